@@ -127,3 +127,31 @@ def residual_correlation(df: DataFrame, keys: Sequence[str], member: str, obj: s
              .where("a.m < b.m"))
     return (pairs.groupBy(*keys, F.col("a.m").alias("member_a"), F.col("b.m").alias("member_b"))
             .agg(F.corr("a.r", "b.r").alias("corr"), F.count("*").alias("n")))
+
+
+def against_baseline(table: DataFrame, model: str, baseline: str, keys: Sequence[str], value: str) -> DataFrame:
+    """Relative change of a metric against one model's row. `table` is a metrics table (one row per model and key)."""
+    table = pin_small(table)
+    base = table.where(F.col(model) == baseline).select(*keys, F.col(value).alias("_base"))
+    return (table.join(base, list(keys)).withColumn(f"{value}_change_pct", 100 * (F.col(value) - F.col("_base")) / F.col("_base"))
+            .drop("_base"))
+
+
+def train_quartiles(train: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """One row holding the quartile array of each column, from distributed order statistics."""
+    probs = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    out = None
+    for name, c in columns.items():
+        q = quantiles(train.select(F.lit(name).alias("_k"), c), ["_k"], c, probs).select(F.array("q1", "q2", "q3").alias(name))
+        values = q.first()[0]
+        out = q if out is None else out.withColumn(name, F.array(*[F.lit(v) for v in values]))
+    return out
+
+
+def density_histogram(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float, width: float) -> DataFrame:
+    """Counts and density per bin inside [lo, hi); the window runs over the bins of a class, not over its rows."""
+    from pyspark.sql import Window as W
+
+    v = F.col(value)
+    h = (df.where((v >= lo) & (v < hi)).groupBy(*keys, F.floor((v - lo) / width).alias("bin")).agg(F.count("*").alias("n")))
+    return h.withColumn("density", F.col("n") / (F.sum("n").over(W.partitionBy(*keys)) * width))

@@ -21,11 +21,11 @@ OBJECTS_SQL = """objects AS (
     CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'Train'
          WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Validation' ELSE 'Test' END AS split,
     o_orderstatus AS kind, o_custkey AS custkey, o_totalprice AS price,
-    CASE WHEN o_totalprice >= 10000 THEN round(0.01 + o_totalprice / 5000000, 6) ELSE -1.0 END AS redshift,
-    round(log10(o_totalprice) + 5, 6) AS log_mstar,
-    round((o_custkey % 97) / 97.0 * 5 - 3.5 + (o_orderkey % 89) / 890.0, 6) AS log_sfr,
+    CASE WHEN o_totalprice >= 10000 THEN round(0.01 + o_totalprice / 5000000, 4) ELSE -1.0 END AS redshift,
+    round(log10(o_totalprice) + 5, 3) AS log_mstar,
+    round((o_custkey % 97) / 97.0 * 5 - 3.5 + (o_orderkey % 89) / 890.0, 3) AS log_sfr,
     CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '3-MEDIUM' THEN NULL
-         ELSE round(1 + dayofyear(o_orderdate) / 366.0 + (o_custkey % 11) / 110.0, 6) END AS d4000
+         ELSE round(1 + dayofyear(o_orderdate) / 366.0 + (o_custkey % 11) / 110.0, 3) END AS d4000
   FROM orders)"""
 
 
@@ -36,11 +36,11 @@ def objects(t: Tables) -> DataFrame:
         "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'Train' "
         "WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Validation' ELSE 'Test' END AS split",
         "o_orderstatus AS kind", "o_custkey AS custkey", "o_totalprice AS price",
-        "IF(o_totalprice >= 10000, round(0.01D + o_totalprice / 5000000, 6), -1.0D) AS redshift",
-        "round(log10(o_totalprice) + 5, 6) AS log_mstar",
-        "round((o_custkey % 97) / 97.0D * 5 - 3.5D + (o_orderkey % 89) / 890.0D, 6) AS log_sfr",
+        "IF(o_totalprice >= 10000, round(0.01D + o_totalprice / 5000000, 4), -1.0D) AS redshift",
+        "round(log10(o_totalprice) + 5, 3) AS log_mstar",
+        "round((o_custkey % 97) / 97.0D * 5 - 3.5D + (o_orderkey % 89) / 890.0D, 3) AS log_sfr",
         "IF(o_orderstatus = 'P' AND o_orderpriority = '3-MEDIUM', NULL, "
-        "round(1 + dayofyear(o_orderdate) / 366.0D + (o_custkey % 11) / 110.0D, 6)) AS d4000")
+        "round(1 + dayofyear(o_orderdate) / 366.0D + (o_custkey % 11) / 110.0D, 3)) AS d4000")
 
 
 # --- predictions: every (family, seed) predicts the three targets of every object --------------------------------------
@@ -54,7 +54,7 @@ pred_wide AS (
     values=", ".join(f"('{f}', {k}, {s})" for f, k, s in MEMBERS),
     noises=", ".join(f"2 * (((obj_id % 1000003) * 7919 + (f * 10 + seed) * 104729 * {j + 1} + {j} * 1299709) % 10007) / 10007.0 - 1 AS u{j}"
                      for j in range(3)),
-    preds=",\n    ".join(f"round({t} + 0.02 * f - 0.01 * seed + ({0.1 * (j + 1):.1f} + 0.05 * f) * u{j} * u{j} * u{j}, 6) AS pred_{t}"
+    preds=",\n    ".join(f"round({t} + 0.02 * f - 0.01 * seed + ({0.1 * (j + 1):.1f} + 0.05 * f) * u{j} * u{j} * u{j}, 3) AS pred_{t}"
                          for j, t in enumerate(TARGETS)))
 
 
@@ -64,7 +64,7 @@ def pred_wide(t: Tables) -> DataFrame:
     d = objects(t).selectExpr("*", f"inline(array({members}))").where("NOT (family = 'eff' AND seed = 2 AND redshift < 0)")
     noise = [f"2 * (((obj_id % 1000003) * 7919 + (f * 10 + seed) * 104729 * {j + 1} + {j} * 1299709) % 10007) / 10007.0D - 1 AS u{j}"
              for j in range(3)]
-    preds = [f"round({x} + 0.02D * f - 0.01D * seed + ({0.1 * (j + 1):.1f}D + 0.05D * f) * u{j} * u{j} * u{j}, 6) AS pred_{x}"
+    preds = [f"round({x} + 0.02D * f - 0.01D * seed + ({0.1 * (j + 1):.1f}D + 0.05D * f) * u{j} * u{j} * u{j}, 3) AS pred_{x}"
              for j, x in enumerate(TARGETS)]
     return d.selectExpr("*", *noise).selectExpr("obj_id", "mangaid", "split", "kind", "custkey", "redshift",
                                                 *[f"{x} AS y_{x}" for x in TARGETS], *preds, "family", "seed")
@@ -101,13 +101,6 @@ family_mean AS (
   FROM aligned GROUP BY obj_id, split, kind, redshift, target, family)"""
 
 
-def train_scale(t: Tables) -> DataFrame:
-    """One row per target: population standard deviation of the train labels."""
-    return (objects(t).where("split = 'Train'")
-            .select(F.explode(F.array(*[F.struct(F.lit(x).alias("target"), F.col(x).alias("v")) for x in TARGETS])).alias("s"))
-            .groupBy(F.col("s.target").alias("target")).agg(F.stddev_pop("s.v").alias("sigma")))
-
-
 # --- images: 25 consecutive embeddings (8 x 8) tile one 40 x 40 image; three bands add a disc, a neighbour and the sky -----
 SIDE = 40
 PIXELS_SQL = """tiles AS (
@@ -146,3 +139,27 @@ def pixels(t: Tables) -> DataFrame:
 # --- the catalogue side --------------------------------------------------------------------------------------------------
 def with_sql(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+def aligned(t: Tables) -> DataFrame:
+    """Predictions of objects that every member predicts and whose labels are complete."""
+    from photonloom.operators.alignment import align_members
+
+    wide = pred_wide(t).where("y_d4000 IS NOT NULL")
+    return to_long(align_members(wide, "obj_id", ["family", "seed"], n_members=len(MEMBERS)))
+
+
+def family_mean(t: Tables) -> DataFrame:
+    """Mean over the seeds of a family."""
+    return (aligned(t).groupBy("obj_id", "split", "kind", "redshift", "target", "family")
+            .agg(F.max("y").alias("y"), F.round(F.avg("pred"), 6).alias("pred")))
+
+
+def scale_of(t: Tables) -> DataFrame:
+    """One row per target: sigma and median of the train labels."""
+    from photonloom.operators.distribution import quantiles
+
+    d = (objects(t).where("split = 'Train'")
+         .selectExpr("inline(array(" + ", ".join(f"named_struct('target', '{x}', 'v', {x})" for x in TARGETS) + "))"))
+    return (d.groupBy("target").agg(F.stddev_pop("v").alias("sigma"))
+            .join(quantiles(d, ["target"], "v", {"train_median": 0.5}, bound=t.rows("orders")), "target"))
