@@ -29,3 +29,176 @@ class StandardScaler:
 
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
         return df.withColumns({f"{c}{suffix}": self.forward(c) for c in self.mean})
+
+
+# --- M01 skew-driven transform --------------------------------------------------------------------------------------------
+LAMBDA_MAX = 3.0
+
+
+@dataclass(frozen=True)
+class SkewTransform:
+    """Per column none, log10, Box-Cox or Yeo-Johnson, chosen by the skewness of the train rows."""
+
+    method: dict[str, str]
+    lam: dict[str, float]
+    report: list[dict] = field(default_factory=list)
+
+    @classmethod
+    def fit(cls, train: DataFrame, columns: Sequence[str], threshold: float = 1.0, lambda_max: float = LAMBDA_MAX) -> "SkewTransform":
+        from photonloom.functions.scalars import box_cox, clipped_log10, finite, yeo_johnson
+
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), finite(c).alias("v")) for c in columns])
+        long = train.select(F.explode(cells).alias("s")).select("s.column", "s.v").where("v IS NOT NULL")
+        base = {r["column"]: r for r in long.groupBy("column").agg(
+            F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurt"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+        # An indicator has at most two values: nothing lies strictly between the extremes.
+        ends = {c: (r["lo"], r["hi"]) for c, r in base.items()}
+        between = F.lit(False)
+        for c, (lo, hi) in ends.items():
+            between = between | ((F.col("column") == c) & (F.col("v") > lo) & (F.col("v") < hi))
+        varied = {r[0] for r in long.where(between).groupBy("column").agg(F.count("*")).collect()}
+        todo = [c for c in columns if c in base and c in varied and abs(base[c]["skew"]) > threshold]
+        positive = [c for c in todo if base[c]["lo"] > 0]
+        lam = cls._maximum_likelihood(long, todo, set(positive), lambda_max) if todo else {}
+        after = {}
+        if todo:
+            of = lambda f, cs: F.skewness(F.when(F.col("column").isin(list(cs)), f))
+            lam_col = F.element_at(F.create_map(*[F.lit(x) for c in todo for x in (c, lam[c])]), F.col("column"))
+            power = F.when(F.col("column").isin(positive), box_cox("v", F.col("lam"))).otherwise(yeo_johnson("v", F.col("lam")))
+            rows = (long.where(F.col("column").isin(todo)).withColumn("lam", lam_col).groupBy("column")
+                    .agg(of(clipped_log10("v"), positive).alias("log"), F.skewness(power).alias("power")).collect())
+            after = {r["column"]: r for r in rows}
+        method, kept, report = {}, {}, []
+        for c in columns:
+            m, l, s = "none", None, base[c]["skew"] if c in base else None
+            if c in todo:
+                a = after[c]
+                if c in positive and abs(a["log"]) <= abs(a["power"]):
+                    m, s = "log10", a["log"]
+                else:
+                    m, l, s = ("box-cox" if c in positive else "yeo-johnson"), lam[c], a["power"]
+            method[c] = m
+            if l is not None:
+                kept[c] = l
+            report.append({"column": c, "skew_before": base[c]["skew"] if c in base else None, "kurtosis_before": base[c]["kurt"] if c in base else None,
+                           "method": m, "lam": l, "lam_limited": l is not None and abs(l) >= lambda_max, "skew_after": s})
+        return cls(method, kept, report)
+
+    @staticmethod
+    def _maximum_likelihood(long: DataFrame, columns: Sequence[str], positive: set[str], limit: float) -> dict[str, float]:
+        """Profile likelihood on a grid of lambdas, refined around each column's best: three passes, a few hundred sums each."""
+        from photonloom.functions.scalars import box_cox, yeo_johnson
+
+        d = long.where(F.col("column").isin(list(columns)))
+        centre, step, width = {c: 0.0 for c in columns}, 0.25, int(limit / 0.25)
+        for _ in range(3):
+            grids = F.create_map(*[x for c in columns for x in (
+                F.lit(c), F.array(*[F.lit(float(max(-limit, min(limit, centre[c] + step * k)))) for k in range(-width, width + 1)]))])
+            g = d.withColumn("lam", F.explode(F.array_distinct(F.element_at(grids, F.col("column")))))
+            is_pos = F.col("column").isin(list(positive))
+            x = F.when(is_pos, box_cox("v", F.col("lam"))).otherwise(yeo_johnson("v", F.col("lam")))
+            jac = F.when(is_pos, F.ln(F.greatest("v", F.lit(1e-12)))).otherwise(F.signum("v") * F.log1p(F.abs("v")))
+            ll = (g.groupBy("column", "lam").agg((-F.count("*") / 2 * F.ln(F.var_pop(x)) + (F.col("lam") - 1) * F.sum(jac)).alias("ll"))
+                  .groupBy("column").agg(F.max_by("lam", "ll").alias("lam")))
+            centre = {r["column"]: r["lam"] for r in ll.collect()}
+            width, step = 5, step / 5
+        return centre
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from photonloom.functions.scalars import box_cox, clipped_log10, finite, yeo_johnson
+
+        out = {}
+        for c, m in self.method.items():
+            v = finite(c)
+            out[c] = finite({"none": lambda: v, "log10": lambda: clipped_log10(v), "box-cox": lambda: box_cox(v, self.lam[c]),
+                             "yeo-johnson": lambda: yeo_johnson(v, self.lam[c])}[m]())
+        return df.withColumns({c: F.when(finite(c).isNotNull(), e) for c, e in out.items()})
+
+
+# --- linear models on Spark ML ----------------------------------------------------------------------------------------------
+def ridge(train: DataFrame, features: str, label: str, alpha: float):
+    """Spark ML rescales the penalty by the spread of the label, hence the factor; the normal solver is one aggregation of
+    the moments."""
+    from pyspark.ml.regression import LinearRegression
+
+    n, spread = train.agg(F.count("*"), F.stddev_pop(label)).first()
+    return LinearRegression(featuresCol=features, labelCol=label, solver="normal", elasticNetParam=0.0, standardization=False,
+                            regParam=alpha / n * spread).fit(train)
+
+
+def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return df.withColumn(out, array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))
+
+
+class VectorPipeline:
+    """Standardize a vector, project on principal components, standardize the scores; population deviations throughout."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    @staticmethod
+    def _fit_scaler(df: DataFrame, c: str, out: str):
+        """Spark's scaler divides by the sample deviation; population deviation differs by one known factor."""
+        from pyspark.ml.feature import StandardScaler as MLScaler
+
+        n = df.count()
+        return MLScaler(inputCol=c, outputCol=out, withMean=True, withStd=True).fit(df), (n / (n - 1)) ** 0.5 if n > 1 else 1.0
+
+    def fit(self, train: DataFrame, column: str) -> "VectorPipeline":
+        from pyspark.ml.feature import PCA
+
+        self.column = column
+        self.first, self.f1 = self._fit_scaler(train, column, "_z")
+        z = self._scale(self.first.transform(train), "_z", self.f1)
+        self.pca = PCA(k=self.k, inputCol="_z", outputCol="_pc").fit(z)
+        self.second, self.f2 = self._fit_scaler(self.pca.transform(z), "_pc", "_s")
+        return self
+
+    @staticmethod
+    def _scale(df: DataFrame, c: str, factor: float) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        return df.withColumn(c, array_to_vector(F.transform(vector_to_array(c), lambda v: v * factor)))
+
+    def transform(self, df: DataFrame, out: str = "scores") -> DataFrame:
+        z = self._scale(self.first.transform(df), "_z", self.f1)
+        s = self._scale(self.second.transform(self.pca.transform(z)), "_s", self.f2)
+        return s.withColumnRenamed("_s", out).drop("_z", "_pc")
+
+
+def cross_fitted(df: DataFrame, features: str, label: str, obj: str, split: str, k: int, alpha: float, seed: int, bound: int | None = None) -> DataFrame:
+    """Out-of-fold estimate for the train rows, full-train model for the rest, with the origin of each estimate."""
+    from photonloom.operators.splits import folds
+
+    train = df.where(F.col(split) == "Train")
+    part = folds(train.select(obj), obj, k, seed, 1, bound).drop("repetition")
+    tagged = train.join(part, obj)
+    out = None
+    for f in range(k):
+        m = ridge(tagged.where(F.col("fold") != f), features, label, alpha)
+        p = m.transform(tagged.where(F.col("fold") == f)).select(obj, split, F.col("prediction").alias("estimate"), F.lit("out of fold").alias("origin"))
+        out = p if out is None else out.unionByName(p)
+    full = ridge(train, features, label, alpha).transform(df.where(F.col(split) != "Train"))
+    return out.unionByName(full.select(obj, split, F.col("prediction").alias("estimate"), F.lit("full train model").alias("origin")))
+
+
+def residual_stack(members: DataFrame, obj: str, names: Sequence[str], covariates: Sequence[str], sigma: float, alpha: float | None,
+                   trees: dict | None = None, fit_rows=None):
+    """Correct the uniform mean by a ridge (or boosted trees) fitted on the standardized member predictions. `members` has
+    one row per object with one column per member, y and the covariates."""
+    from pyspark.ml.regression import GBTRegressor
+
+    mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
+    d = members.withColumn("_base", mean).withColumn("_res", (F.col("y") - F.col("_base")) / sigma)
+    cols = [*names, *covariates]
+    train = d if fit_rows is None else d.where(fit_rows)
+    sc = StandardScaler.fit(train, cols)
+    prep = lambda x: assemble(sc.transform(x, suffix="_z"), [f"{c}_z" for c in cols])
+    if trees is None:
+        model = ridge(prep(train), "features", "_res", alpha)
+    else:
+        model = GBTRegressor(featuresCol="features", labelCol="_res", maxDepth=trees["depth"], stepSize=trees["rate"], maxIter=trees["iterations"],
+                             minInstancesPerNode=30, seed=0).fit(prep(train))
+    return model.transform(prep(d)).withColumn("pred", F.col("_base") + F.col("prediction") * sigma).select(obj, *[c for c in members.columns if c != obj], "pred")

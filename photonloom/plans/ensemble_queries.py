@@ -102,7 +102,7 @@ def _(t: Tables):
     return rounded(R.interval(reps, ["split"], {"d": F.col("d")}, LEVELS).join(point, "split"), [])
 
 
-WILCOXON_SQL = """dd AS (SELECT a.split, a.target, round((b.pred - b.y) * (b.pred - b.y) - (a.pred - a.y) * (a.pred - a.y), 7) AS d FROM family_mean a JOIN family_mean b
+WILCOXON_SQL = """dd AS (SELECT a.split, a.target, round((b.pred - b.y) * (b.pred - b.y) - (a.pred - a.y) * (a.pred - a.y), 9) AS d FROM family_mean a JOIN family_mean b
   ON a.obj_id = b.obj_id AND a.target = b.target WHERE a.family = 'conv' AND b.family = 'vit'),
 nz AS (SELECT split, target, d, abs(d) AS v FROM dd WHERE d <> 0),
 rk AS (SELECT *, rank() OVER (PARTITION BY split, target ORDER BY v) + (count(*) OVER (PARTITION BY split, target, v) - 1) / 2.0 AS r FROM nz),
@@ -116,7 +116,7 @@ pv AS (SELECT split, target, n, w_plus, w_minus, z, 2 * exp(-z * z / 2) / 2.5066
 def wilcoxon_table(t: Tables):
     e = (F.col("pred") - F.col("y")) * (F.col("pred") - F.col("y"))
     d = (family_mean(t).where("family IN ('conv', 'vit')").groupBy("obj_id", "split", "target").pivot("family", ["conv", "vit"]).agg(F.first(e)))
-    return R.wilcoxon(d, ["split", "target"], F.round(F.col("vit") - F.col("conv"), 7), bound=t.rows("orders"))
+    return R.wilcoxon(d, ["split", "target"], F.round(F.col("vit") - F.col("conv"), 9), bound=t.rows("orders"))
 
 
 @query("a35_wilcoxon", with_sql(*ALIGNED, WILCOXON_SQL, body="SELECT split, target, n, w_plus, w_minus, round(z, 5) AS z, round(p, 8) AS p_value FROM pv"))
@@ -142,7 +142,7 @@ SELECT l_returnflag, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(k
 def _(t: Tables):
     """Distributed layout: each group holds a third of the table."""
     k = ks_statistic(t.spread("lineitem", "l_returnflag", "l_linestatus", "l_extendedprice"), ["l_returnflag"], F.col("l_linestatus") == "F", "l_extendedprice")
-    return k.select("l_returnflag", "n1", "n2", r6("ks").alias("ks"), r6(R.ks_p_value(F.col("ks"), F.col("n1"), F.col("n2"))).alias("p_value"))
+    return rounded(k.withColumn("p_value", R.ks_p_value(F.col("ks"), F.col("n1"), F.col("n2"))), [])
 
 
 COMPLEXITY = {"conv": 1, "eff": 2, "vit": 3}
