@@ -25,7 +25,7 @@ def nearest(queries: DataFrame, reference: DataFrame, obj: str, vector: str, pay
     n_r = max(1, -(-reference.count() // block_rows))
     q = (queries.select(obj, vector).withColumn("qb", (hash32(key_text(F.col(obj), "q")) % n_q).cast("int"))
          .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1)))))
-    r = (reference.select(F.col(obj).alias("neighbour"), vector, F.col(payload).cast("double").alias(payload))
+    r = (reference.select(F.col(obj).alias("neighbour"), F.col(vector).alias("ref_vector"), F.col(payload).cast("double").alias(payload))
          .withColumn("rb", (hash32(key_text(F.col("neighbour"), "r")) % n_r).cast("int"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))))
 
@@ -33,7 +33,7 @@ def nearest(queries: DataFrame, reference: DataFrame, obj: str, vector: str, pay
         if a.empty or b.empty:
             return pd.DataFrame({obj: pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64"), payload: pd.Series(dtype="float64")})
         b = b.sort_values("neighbour")
-        rv, rid, rp = np.stack(b[vector].to_numpy()).astype(float), b["neighbour"].to_numpy(), b[payload].to_numpy()
+        rv, rid, rp = np.stack(b["ref_vector"].to_numpy()).astype(float), b["neighbour"].to_numpy(), b[payload].to_numpy()
         out = []
         for qid, v in zip(a[obj].to_numpy(), a[vector].to_numpy()):
             d = np.sqrt(((rv - np.asarray(v, float)) ** 2).sum(axis=1))

@@ -209,9 +209,8 @@ def _(t: Tables):
 
 
 def member_columns(t: Tables, target: str):
-    return (family_mean(t).where(F.col("target") == target).groupBy("obj_id", "split", "redshift")
-            .pivot("family", list(FAMILIES)).agg(F.first("pred")).join(
-                family_mean(t).where(F.col("target") == target).groupBy("obj_id").agg(F.max("y").alias("y")), "obj_id"))
+    return (family_mean(t).where(F.col("target") == target).groupBy("obj_id", "split", "redshift", "y")
+            .pivot("family", list(FAMILIES)).agg(F.first("pred")))
 
 
 @query("e05_positive_stacking")
