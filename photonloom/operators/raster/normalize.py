@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from photonloom.functions.scalars import colour_map, eight_bit, rescale01, stretch01
 from photonloom.operators.distribution import quantiles
-from photonloom.operators.raster.pixels import IMAGE, KEYS, bands_to_columns, with_radius
+from photonloom.operators.raster.pixels import KEYS, bands_to_columns, image_window, with_radius
 from photonloom.operators.raster.sky import clipped_stats, corner_sky
 from photonloom.operators.splits import sampled_positions
 
@@ -22,7 +22,7 @@ CENTRAL_PX = 6.0
 
 def percentile_normalize(px: DataFrame, method: str, softening: float = 0.1, upper: float = 99.5) -> DataFrame:
     """Per image, clip to the (100 - p, p) percentiles and stretch. The window is one image."""
-    q = F.percentile("flux", F.array(F.lit((100 - upper) / 100), F.lit(upper / 100))).over(IMAGE)
+    q = F.percentile("flux", F.array(F.lit((100 - upper) / 100), F.lit(upper / 100))).over(image_window())
     return px.withColumn("_q", q).withColumn("norm", stretch01(rescale01("flux", F.col("_q")[0], F.col("_q")[1]), method, softening)).drop("_q")
 
 
@@ -59,10 +59,10 @@ def normalization_grid(px: DataFrame, side: int, r_min: float, minimum: int = 10
     The nine (interval, stretch) settings are an array exploded inside each row, not a join.
     """
     col = collapses(px, side, r_min, minimum)
-    lim = F.percentile("flux", F.array(F.lit(0.0), F.lit(0.01), F.lit(0.98), F.lit(0.99), F.lit(1.0))).over(IMAGE)
+    lim = F.percentile("flux", F.array(F.lit(0.0), F.lit(0.01), F.lit(0.98), F.lit(0.99), F.lit(1.0))).over(image_window())
     noise = clipped_stats(col, KEYS, F.col("flux")).select(*KEYS, F.col("sky_sigma").alias("s"))
     d = col.withColumn("q", lim).join(noise, KEYS)
-    both = F.percentile("flux", F.array(F.lit(0.01), F.lit(0.99))).over(IMAGE)
+    both = F.percentile("flux", F.array(F.lit(0.01), F.lit(0.99))).over(image_window())
     d = d.withColumn("q98", both)
     limits = "array(named_struct('interval', 'min_max', 'lo', q[0], 'hi', q[4]), named_struct('interval', 'central_98', 'lo', q98[0], 'hi', q98[1]), named_struct('interval', 'percentile_1_98', 'lo', q[1], 'hi', q[2]))"
     d = d.selectExpr("obj_id", "band", "y", "x", "flux", "s", f"inline({limits})").selectExpr("*", "explode(array('linear', 'log', 'asinh')) AS stretch")

@@ -10,11 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 
 from photonloom.functions.scalars import clip, radius
 
 KEYS = ["obj_id", "band"]
-IMAGE = W.partitionBy(*KEYS)
+
+
+def image_window() -> WindowSpec:
+    """All pixels of one image: the largest window any raster operator opens."""
+    return W.partitionBy(*KEYS)
 
 
 def explode_images(images: DataFrame, flux: str, width: int) -> DataFrame:

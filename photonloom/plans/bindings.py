@@ -115,7 +115,7 @@ pixels AS (
     CASE WHEN y < 1 AND x < obj_id % 5 THEN 0.0 ELSE
     round(0.05 + 0.02 * b + (0.08 + 0.02 * b) * e
       + (1 + 0.5 * b) * exp(-sqrt((y - 19.5) * (y - 19.5) + 1.5 * (x - 19.5) * (x - 19.5)) / (2.5 + (obj_id % 4) * 0.25))
-      + 0.8 * exp(-((y - 6) * (y - 6) + (x - 31 + obj_id % 3) * (x - 31 + obj_id % 3)) / 4.0), 6) END AS flux
+      + 0.8 * exp(-((y - 6) * (y - 6) + (x - 31 + obj_id % 3) * (x - 31 + obj_id % 3)) / 4.0), 4) END AS flux
   FROM grid, bands)"""
 
 
@@ -133,7 +133,7 @@ def pixels(t: Tables) -> DataFrame:
     return d.selectExpr("obj_id", "band", "y", "x", """IF(y < 1 AND x < obj_id % 5, 0.0D,
       round(0.05D + 0.02D * b + (0.08D + 0.02D * b) * e
       + (1 + 0.5D * b) * exp(-sqrt((y - 19.5D) * (y - 19.5D) + 1.5D * (x - 19.5D) * (x - 19.5D)) / (2.5D + (obj_id % 4) * 0.25D))
-      + 0.8D * exp(-((y - 6) * (y - 6) + (x - 31 + obj_id % 3) * (x - 31 + obj_id % 3)) / 4.0D), 6)) AS flux""")
+      + 0.8D * exp(-((y - 6) * (y - 6) + (x - 31 + obj_id % 3) * (x - 31 + obj_id % 3)) / 4.0D), 4)) AS flux""")
 
 
 # --- the catalogue side --------------------------------------------------------------------------------------------------

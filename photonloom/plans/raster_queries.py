@@ -52,7 +52,8 @@ def _(t: Tables):
     return d.groupBy(*K).agg(F.count("*").alias("n_px"), r6(F.avg(F.when(F.col("flux") == 0, 1.0).otherwise(0.0))).alias("zero_fraction"), F.round(F.sum("flux"), 5).alias("total"), F.max("y").alias("y_max"))
 
 
-@query("r01_border_background", with_sql(PIXELS_SQL, BORDER_SQL, body="SELECT obj_id, band, round(sky, 7) AS sky, round(sky_sigma, 6) AS sky_sigma, n_sky FROM bg").replace("n_sky FROM bg", "(SELECT count(*) FROM bg5 z WHERE z.obj_id = bg.obj_id AND z.band = bg.band) AS n_kept FROM bg"))
+@query("r01_border_background", with_sql(PIXELS_SQL, BORDER_SQL, body="""
+SELECT obj_id, band, round(sky, 7) AS sky, round(sky_sigma, 6) AS sky_sigma, n_sky AS n_kept FROM bg"""))
 def _(t: Tables):
     d = SK.clipped(pixels(t), K, F.when(SK.border_ring(SIDE), F.col("flux")))
     return d.groupBy(*K).agg(F.round(F.percentile("_v", F.lit(0.5)), 7).alias("sky"), r6(F.stddev_pop("_v")).alias("sky_sigma"), F.count("_v").alias("n_kept"))
@@ -91,7 +92,7 @@ ce AS (SELECT obj_id, band, avg(v) AS cb FROM u WHERE r < 6 GROUP BY ALL)""", bo
 SELECT obj_id, band, round(-sum(c / n * log2(c / n)), 6) AS entropy, round(100 * sum(CASE WHEN u8 >= 255 THEN c ELSE 0 END) / max(n), 6) AS saturation_pct,
   min(u8) FILTER (cum >= 0.85 * n) - min(u8) FILTER (cum >= 0.15 * n) AS cdf_width, round(max(cb), 6) AS central_brightness FROM c JOIN ce USING (obj_id, band) GROUP BY obj_id, band"""))
 def _(t: Tables):
-    lo, hi = F.min("flux").over(PX.IMAGE), F.max("flux").over(PX.IMAGE)
+    lo, hi = F.min("flux").over(PX.image_window()), F.max("flux").over(PX.image_window())
     d = pixels(t).withColumns({"lo": lo, "hi": hi}).withColumn("v", F.round((F.col("flux") - F.col("lo")) / (F.col("hi") - F.col("lo")), 9))
     return rounded(NO.image_metrics(d, "v", SIDE), [])
 
@@ -174,8 +175,8 @@ def _(t: Tables):
 
 
 @query("r44_radial_gradient", with_sql(PIXELS_SQL, AZ_SQL, """p AS (SELECT obj_id, band, list(mean ORDER BY index) AS p, 0.2 + 0.05 * (obj_id % 7) AS k FROM ap GROUP BY ALL),
-g AS (SELECT *, 5.0 / k AS at FROM p)""", body="""
-SELECT obj_id, band, round(CASE WHEN (len(p) - 1) * k >= 5 THEN p[CAST(floor(at) AS INT) + 1] + (p[CAST(floor(at) AS INT) + 2] - p[CAST(floor(at) AS INT) + 1]) * (at - floor(at)) - p[1] END, 6) AS gradient FROM g"""))
+g AS (SELECT *, 5.0 / k AS pos FROM p)""", body="""
+SELECT obj_id, band, round(CASE WHEN (len(p) - 1) * k >= 5 THEN p[CAST(floor(pos) AS INT) + 1] + (p[CAST(floor(pos) AS INT) + 2] - p[CAST(floor(pos) AS INT) + 1]) * (pos - floor(pos)) - p[1] END, 6) AS gradient FROM g"""))
 def _(t: Tables):
     scale = pixels(t).groupBy("obj_id").agg((0.2 + 0.05 * F.max(F.col("obj_id") % 7)).alias("kpc_per_px"))
     return rounded(PR.radial_gradient(PR.azimuthal_profile(pixels(t), SIDE), scale, 5.0), [])
@@ -219,9 +220,9 @@ def _(t: Tables):
 
 
 @query("r34_degraded_resolution", with_sql(PIXELS_SQL, """d AS (SELECT obj_id, band, avg(flux) OVER (PARTITION BY obj_id, band, y // 4, x // 4) AS f FROM pixels)""", body="""
-SELECT obj_id, band, round(stddev_pop(f), 6) AS std, round(max(f), 6) AS max FROM d GROUP BY obj_id, band"""))
+SELECT obj_id, band, round(stddev_pop(f), 6) AS std, round(max(f), 8) AS max FROM d GROUP BY obj_id, band"""))
 def _(t: Tables):
-    return PX.degrade(pixels(t), SIDE, 4).groupBy(*K).agg(r6(F.stddev_pop("flux")).alias("std"), r6(F.max("flux")).alias("max"))
+    return PX.degrade(pixels(t), SIDE, 4).groupBy(*K).agg(r6(F.stddev_pop("flux")).alias("std"), F.round(F.max("flux"), 8).alias("max"))
 
 
 @query("r37_occlusion", with_sql(PIXELS_SQL, f"""o AS (SELECT obj_id, CASE WHEN band = 'g' THEN 0 ELSE flux END AS no_g, CASE WHEN {RAD} / 5.0 >= 0.5 AND {RAD} / 5.0 < 1.5 THEN 0 ELSE flux END AS no_ring FROM pixels)""", body="""
@@ -467,13 +468,13 @@ def _(t: Tables):
     return d.groupBy(*K).agg(F.count("flux").alias("n_px"), r6(F.avg("flux")).alias("mean"), r6(F.max("flux")).alias("max"))
 
 
-BOX_SQL = clip_sql("bb", "obj_id, band, by, bx", "flux", "(SELECT *, y // 10 AS by, x // 10 AS bx FROM pixels)")
+BOX_SQL = clip_sql("bb", "obj_id, band, b_y, b_x", "flux", "(SELECT *, y // 10 AS b_y, x // 10 AS b_x FROM pixels)")
 
 
 @query("r40_box_background", with_sql(PIXELS_SQL, BOX_SQL, body="""
-SELECT a.obj_id, a.band, CAST(a.by AS INTEGER) AS by, CAST(a.bx AS INTEGER) AS bx, round(median(b.sky), 7) AS level FROM bb a JOIN bb b ON a.obj_id = b.obj_id AND a.band = b.band AND abs(a.by - b.by) <= 1 AND abs(a.bx - b.bx) <= 1 GROUP BY ALL"""))
+SELECT a.obj_id, a.band, CAST(a.b_y AS INTEGER) AS box_y, CAST(a.b_x AS INTEGER) AS box_x, round(median(b.sky), 7) AS level FROM bb a JOIN bb b ON a.obj_id = b.obj_id AND a.band = b.band AND abs(a.b_y - b.b_y) <= 1 AND abs(a.b_x - b.b_x) <= 1 GROUP BY ALL"""))
 def _(t: Tables):
-    return SK.box_background(pixels(t), SIDE, 10).withColumn("level", F.round("level", 7))
+    return SK.box_background(pixels(t), SIDE, 10).withColumn("level", F.round("level", 7)).withColumnsRenamed({"by": "box_y", "bx": "box_x"})
 
 
 @query("r40_smooth_background")
