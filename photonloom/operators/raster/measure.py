@@ -10,6 +10,7 @@ from photonloom.operators.raster.pixels import KEYS, symmetric_fill
 from photonloom.operators.raster.profile import petrosian_photometry
 from photonloom.operators.raster.segment import neighbour_mask, neighbour_sources, smoothed_mask
 from photonloom.operators.raster.sky import corner_sky
+from photonloom.session import cut_lineage
 
 # Object mask of the photometry (threshold, smoothing, growth) and growth of the neighbour mask, in pixels.
 SEG_NSIGMA, SEG_SMOOTH, SEG_GROW, NEIGHBOUR_GROW = 2.0, 2.0, 2, 3
@@ -19,10 +20,12 @@ def clean_pixels(px: DataFrame, side: int, r_min: float, minimum: int = 100) ->
     """Sky-subtracted pixels with neighbours and uncovered pixels filled by symmetry, and the sky of each band."""
     sky = corner_sky(px, side, r_min, minimum)
     sub = px.join(sky.select(*KEYS, "sky"), KEYS).withColumn("no_data", F.col("flux") == 0)
-    sub = sub.withColumn("flux", F.when(F.col("no_data"), 0.0).otherwise(F.col("flux") - F.col("sky"))).drop("sky")
+    # The masks below read these pixels many times, so they are materialized once.
+    sub = cut_lineage(sub.withColumn("flux", F.when(F.col("no_data"), 0.0).otherwise(F.col("flux") - F.col("sky"))).drop("sky"))
     ref = sub.where("band = 'r'").select(*KEYS, "y", "x", "flux")
     own = smoothed_mask(ref, side, SEG_NSIGMA, None, SEG_SMOOTH, SEG_GROW).select("obj_id", "y", "x", "in_mask")
     near = neighbour_mask(ref, side, grow_px=NEIGHBOUR_GROW).select("obj_id", "y", "x", "is_neighbour")
+    own, near = cut_lineage(own), cut_lineage(near)
     flags = own.join(near, ["obj_id", "y", "x"]).select("obj_id", "y", "x", (F.col("is_neighbour") & ~F.col("in_mask")).alias("foreign"))
     d = sub.join(flags, ["obj_id", "y", "x"]).withColumn("fill", F.col("foreign") | F.col("no_data"))
     return symmetric_fill(d.drop("no_data", "foreign"), side, "fill").drop("fill"), sky
@@ -31,10 +34,11 @@ def clean_pixels(px: DataFrame, side: int, r_min: float, minimum: int = 100) ->
 def measure_objects(px: DataFrame, side: int, pixscale: float, r_min: float, minimum: int = 100, gini_widths=(0.5, 1.0, 1.5, 2.0)) -> DataFrame:
     """One row per object: photometry, concentration, asymmetry, smoothness, Gini, M20, shape, source count, status and reason."""
     clean, sky = clean_pixels(px, side, r_min, minimum)
-    phot = petrosian_photometry(clean, side, pixscale)
+    clean, sky = cut_lineage(clean), cut_lineage(sky)
+    phot = cut_lineage(petrosian_photometry(clean, side, pixscale))
     sizes = phot.select("obj_id", "rp_px").join(sky.where("band = 'r'").select("obj_id", "sky_sigma"), "obj_id")
     r = clean.where("band = 'r'")
-    seg = MO.gini_segmentation(r, sizes, side, list(gini_widths))
+    seg = cut_lineage(MO.gini_segmentation(r, sizes, side, list(gini_widths)))
     out = phot
     for d in (MO.asymmetry(r, sizes, side), MO.smoothness(r, sizes, side), MO.gini(seg), MO.m20(seg), MO.shape(seg)):
         out = out.join(d.drop("band"), "obj_id", "left")

@@ -17,6 +17,7 @@ from photonloom.operators.raster.measure import measure_objects
 from photonloom.plans.bindings import PIXELS_SQL, SIDE, pixels, with_sql
 from photonloom.plans.metric_queries import rounded
 from photonloom.plans.registry import Tables, query
+from photonloom.session import cut_lineage
 
 K = ["obj_id", "band"]
 R_MIN, MIN_SKY = 22.0, 40
@@ -174,11 +175,11 @@ def _(t: Tables):
     return PR.azimuthal_profile(pixels(t), SIDE).select(*K, "ring", "index", "n", r6("mean").alias("mean"))
 
 
-@query("r44_radial_gradient", with_sql(PIXELS_SQL, AZ_SQL, """p AS (SELECT obj_id, band, list(mean ORDER BY index) AS p, 0.2 + 0.05 * (obj_id % 7) AS k FROM ap GROUP BY ALL),
+@query("r44_radial_gradient", with_sql(PIXELS_SQL, AZ_SQL, """p AS (SELECT obj_id, band, list(mean ORDER BY index) AS p, 0.23 + 0.05 * (obj_id % 7) AS k FROM ap GROUP BY ALL),
 g AS (SELECT *, 5.0 / k AS pos FROM p)""", body="""
 SELECT obj_id, band, round(CASE WHEN (len(p) - 1) * k >= 5 THEN p[CAST(floor(pos) AS INT) + 1] + (p[CAST(floor(pos) AS INT) + 2] - p[CAST(floor(pos) AS INT) + 1]) * (pos - floor(pos)) - p[1] END, 6) AS gradient FROM g"""))
 def _(t: Tables):
-    scale = pixels(t).groupBy("obj_id").agg((0.2 + 0.05 * F.max(F.col("obj_id") % 7)).alias("kpc_per_px"))
+    scale = pixels(t).groupBy("obj_id").agg((0.23 + 0.05 * F.max(F.col("obj_id") % 7)).alias("kpc_per_px"))
     return rounded(PR.radial_gradient(PR.azimuthal_profile(pixels(t), SIDE), scale, 5.0), [])
 
 
@@ -373,8 +374,8 @@ def th90(t: Tables):
 
 
 def report_of(t: Tables):
-    px = pixels(t)
-    masks = SE.candidate_masks(px, SIDE, 0.262, 2.0, 1.0, 1, 21.0)
+    px = cut_lineage(pixels(t))
+    masks = cut_lineage(SE.candidate_masks(px, SIDE, 0.262, 2.0, 1.0, 1, 21.0))
     return SE.mask_report(px, masks, th90(t), SIDE, 0.262, 2.0, 21.0)
 
 
