@@ -193,3 +193,26 @@ def top_n(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> DataFra
     most n rows per key."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn("position", rank).where(F.col("position") <= n)
+
+
+# --- data dictionary -----------------------------------------------------------------------------------------------------
+# Feature columns by group, as produced by the photometry, the morphology and the physical variables.
+FEATURE_GROUPS = {
+    "photometry": ("flux_g", "flux_r", "flux_z", "m_g", "m_r", "m_z", "R20", "R50", "R80", "R90"),
+    "morphology": ("concentration", "asymmetry", "smoothness", "gini", "m20", "axis_ratio"),
+    "physical": ("g_r", "r_z", "g_z", "log_lum_r", "log_r50_kpc", "log_sigma_lum", "log_mass_phot", "log_mass_colour"),
+    "catalogue": ("redshift", "log_mstar", "log_sfr", "d4000"),
+}
+
+
+def feature_columns(group: str) -> list[str]:
+    """Columns of a dictionary group."""
+    return list(FEATURE_GROUPS[group])
+
+
+def project_group(df: DataFrame, obj: str, group: str) -> DataFrame:
+    """The id and the columns of a group; what the table lacks is an error, not a silent gap."""
+    lacking = sorted(set(feature_columns(group)) - set(df.columns))
+    if lacking:
+        raise ValueError(f"columns of group {group} are missing: {lacking}")
+    return df.select(obj, *feature_columns(group))

@@ -132,7 +132,7 @@ def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> Da
     return df.withColumn(out, array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))
 
 
-class VectorPipeline:
+class VectorScores:
     """Standardize a vector, project on principal components, standardize the scores; population deviations throughout."""
 
     def __init__(self, k: int):
@@ -146,7 +146,7 @@ class VectorPipeline:
         n = df.count()
         return MLScaler(inputCol=c, outputCol=out, withMean=True, withStd=True).fit(df), (n / (n - 1)) ** 0.5 if n > 1 else 1.0
 
-    def fit(self, train: DataFrame, column: str) -> "VectorPipeline":
+    def fit(self, train: DataFrame, column: str) -> "VectorScores":
         from pyspark.ml.feature import PCA
 
         self.column = column

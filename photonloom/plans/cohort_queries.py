@@ -483,3 +483,41 @@ def _(t: Tables):
   count(*) FILTER (n_chars < 200) / count(*) <= 0.05 AS within_budget FROM documents GROUP BY source""")
 def _(t: Tables):
     return V.failure_budget(t.documents, F.col("n_chars") < 200, ["source"]).withColumn("failed_share", S.r6("failed_share"))
+
+
+@query("p14_feature_group", with_sql(OBJECTS_SQL, body="SELECT obj_id, redshift, log_mstar, log_sfr, d4000 FROM objects"))
+def _(t: Tables):
+    return C.project_group(objects(t), "obj_id", "catalogue")
+
+
+@query("t02_limited_manifest", """
+SELECT obj_id, segment, orderkey FROM (SELECT c_custkey AS obj_id, c_mktsegment AS segment, o_orderkey AS orderkey,
+  row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS rn FROM customer LEFT JOIN orders ON c_custkey = o_custkey) WHERE rn = 1 ORDER BY obj_id LIMIT 200""")
+def _(t: Tables):
+    """The limit is the feature: a reduced run takes the first ids."""
+    cat = t.customer.selectExpr("c_custkey AS obj_id", "c_mktsegment AS segment")
+    return C.manifest(cat, t.orders.selectExpr("o_custkey AS obj_id", "o_orderkey AS orderkey"), "obj_id", "orderkey", limit=200)
+
+
+@query("s02_normal_ids", """SELECT c_custkey, trim(c_name) AS mangaid, lower(trim(c_mktsegment)) AS segment FROM customer""")
+def _(t: Tables):
+    d = t.customer.select("c_custkey", F.encode(F.concat(F.lit("  "), "c_name", F.lit(" ")), "UTF-8").alias("raw"), F.lower(S.normal_id("c_mktsegment")).alias("segment"))
+    return d.select("c_custkey", readers.decode_id("raw").alias("mangaid"), "segment")
+
+
+@query("v03_required_columns", """SELECT c AS column_name, c IN ('l_orderkey', 'l_tax', 'l_shipdate') AS present, (SELECT count(*) FROM lineitem) AS n_rows FROM (VALUES ('l_orderkey'), ('l_tax'), ('l_shipdate'), ('l_comment')) v(c)""")
+def _(t: Tables):
+    want = ["l_orderkey", "l_tax", "l_shipdate", "l_comment"]
+    lacking = V.missing_columns(t.lineitem, want)
+    return (t.lineitem.groupBy().agg(F.count("*").alias("n_rows")).withColumn("column_name", F.explode(F.array(*[F.lit(c) for c in want])))
+            .select("column_name", (~F.col("column_name").isin(lacking)).alias("present"), "n_rows"))
+
+
+@query("v09_metric_sanity", with_sql(PRED_SQL, """m AS (SELECT split, family, seed, target, count(*) AS n, sqrt(avg((pred - y) * (pred - y))) AS rmse FROM pred_long WHERE y IS NOT NULL GROUP BY ALL)""", body="""
+SELECT (SELECT count(*) FROM (SELECT 1 FROM m GROUP BY split, family, seed, target HAVING count(*) > 1)) AS n_duplicate, CAST(sum((rmse IS NULL OR NOT isfinite(rmse))::INT) AS BIGINT) AS n_not_finite,
+  CAST(sum((rmse < 0)::INT) AS BIGINT) AS n_negative, (SELECT count(*) FROM (SELECT split, target FROM m GROUP BY ALL HAVING count(DISTINCT n) > 1)) AS n_uneven FROM m"""))
+def _(t: Tables):
+    e = F.col("pred") - F.col("y")
+    k = ["split", "family", "seed", "target"]
+    m = pred_long(t).where("y IS NOT NULL").groupBy(*k).agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    return V.metric_sanity(m, k, "n", ["rmse"], ["split", "target"])

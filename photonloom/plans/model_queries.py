@@ -16,6 +16,7 @@ from photonloom.plans.ensemble_queries import sigma_of
 from photonloom.plans.metric_queries import rounded
 from photonloom.plans.registry import Tables, query
 from photonloom.plans.split_queries import h_sql
+from photonloom.session import cut_lineage
 
 
 @query("f01_stretches", """WITH x AS (SELECT l_returnflag, l_linestatus, least(1.0, greatest(0.0, (l_quantity - 3) / 40)) AS v FROM lineitem)
@@ -148,13 +149,13 @@ def _(t: Tables):
     return t.spark.createDataFrame(rep, "column string, skew_before double, kurtosis_before double, method string, lam double, lam_limited boolean, skew_after double")
 
 
-@query("m03_vector_pipeline")
+@query("m03_vector_scores")
 def _(t: Tables):
     """Scores have zero mean and unit population spread on the rows they were fitted on."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     d = t.embeddings.select("vec_id", array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("v"))
-    s = MD.VectorPipeline(8).fit(d, "v").transform(d).select("vec_id", F.posexplode(vector_to_array("scores")).alias("component", "score"))
+    s = MD.VectorScores(8).fit(d, "v").transform(d).select("vec_id", F.posexplode(vector_to_array("scores")).alias("component", "score"))
     return s.groupBy("component").agg(F.count("*").alias("n"), F.round(F.abs(F.avg("score")), 6).alias("mean"), r6(F.stddev_pop("score")).alias("std"))
 
 
@@ -179,7 +180,7 @@ def _(t: Tables):
     from photonloom.operators.splits import random_split
 
     sets = {"A": ["log_mstar"], "B": ["log_mstar", "log_sfr"], "C": ["log_mstar", "redshift"], "D": ["log_mstar", "log_sfr", "redshift"]}
-    base = objects(t).where("d4000 IS NOT NULL AND redshift > 0").select("obj_id", "split", "log_mstar", "log_sfr", "redshift", "d4000")
+    base = cut_lineage(objects(t).where("d4000 IS NOT NULL AND redshift > 0").select("obj_id", "split", "log_mstar", "log_sfr", "redshift", "d4000"))
     out = None
     for seed in (1, 2):
         part = random_split(base.where("split = 'Train'").select("obj_id"), "obj_id", 0.85, seed, bound=t.rows("orders")).where("in_train")
@@ -218,7 +219,7 @@ def _(t: Tables):
     """Non-negative linear and elastic-net stacking per target, from moments."""
     sig, rows = sigma_of(t), []
     for target in TARGETS:
-        d = member_columns(t, target).where("split <> 'Test'")
+        d = cut_lineage(member_columns(t, target).where("split <> 'Test'"))
         cols = [*FAMILIES, "y"]
         row = d.agg(F.count("*").alias("n"), *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a in cols for b in cols]).first()
         import numpy as np
@@ -237,7 +238,7 @@ def _(t: Tables):
     """Ridge correction of the uniform mean with redshift as an extra input, fitted outside the test split."""
     out = None
     for target in TARGETS:
-        d = MD.residual_stack(member_columns(t, target), "obj_id", list(FAMILIES), ["redshift"], sigma_of(t)[target], 1.0, fit_rows="split <> 'Test'")
+        d = MD.residual_stack(cut_lineage(member_columns(t, target)), "obj_id", list(FAMILIES), ["redshift"], sigma_of(t)[target], 1.0, fit_rows="split <> 'Test'")
         e = F.col("pred") - F.col("y")
         row = d.groupBy("split").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 5).alias("rmse")).withColumn("target", F.lit(target))
         out = row if out is None else out.unionByName(row)
@@ -247,7 +248,7 @@ def _(t: Tables):
 @query("e06_boosted_stacking")
 def _(t: Tables):
     target = "d4000"
-    d = MD.residual_stack(member_columns(t, target), "obj_id", list(FAMILIES), ["redshift"], sigma_of(t)[target], None,
+    d = MD.residual_stack(cut_lineage(member_columns(t, target)), "obj_id", list(FAMILIES), ["redshift"], sigma_of(t)[target], None,
                           trees={"depth": 3, "rate": 0.1, "iterations": 10}, fit_rows="split <> 'Test'")
     e = F.col("pred") - F.col("y")
     return d.groupBy("split").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse")).withColumn("target", F.lit(target))

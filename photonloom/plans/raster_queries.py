@@ -189,8 +189,8 @@ rs AS (SELECT obj_id, band, 1.4826 * median(abs(v - m)) AS scale FROM rv JOIN rm
 SELECT r.obj_id, r.band, round(r.scale, 7) AS scale, round(g.sky_scale, 7) AS sky_scale FROM rs r JOIN (SELECT band, median(scale) AS sky_scale FROM rs GROUP BY band) g USING (band)"""))
 def _(t: Tables):
     """A42 and A43."""
-    s = SK.robust_ring_scale(pixels(t), SIDE)
-    g = SK.global_sky_scale(s, bound=t.rows("embeddings"))
+    s = SK.robust_ring_scale(pixels(t), SIDE, bound=3 * t.rows("embeddings"))
+    g = SK.global_sky_scale(s, bound=3 * t.rows("embeddings"))
     return s.join(g, "band").select(*K, F.round("scale", 7).alias("scale"), F.round("sky_scale", 7).alias("sky_scale"))
 
 

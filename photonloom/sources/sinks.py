@@ -23,7 +23,7 @@ def guarded_write(df: DataFrame, path: str, root: str, fmt: str = "parquet", par
 
 
 def write_by_split(df: DataFrame, path: str, root: str, split: str = "split") -> str:
-    """One folder per split. Rows are spread by (split, id hash) so that a large split is many files."""
+    """One folder per split, written by the tasks that hold the rows, so a large split is many files."""
     return guarded_write(df, path, root, partition_by=[split])
 
 
