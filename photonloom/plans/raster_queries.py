@@ -338,7 +338,13 @@ def _(t: Tables):
     return SE.components(d, SIDE, "_b").groupBy("obj_id", "label").agg(F.count("*").alias("n_px"))
 
 
-@query("r07_threshold_mask")
+@query("r07_threshold_mask", recursive(with_sql(PIXELS_SQL, BORDER_SQL, """nb(a, b) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)),
+bn AS (SELECT p.obj_id, p.band, p.y, p.x, p.flux > sky + 3 * sky_sigma AS b FROM pixels p JOIN bg USING (obj_id, band)),
+ce AS (SELECT obj_id, band, y, x FROM bn WHERE b AND y = 20 AND x = 20 UNION SELECT k.obj_id, k.band, k.y, k.x FROM ce c, nb JOIN bn k ON k.obj_id = c.obj_id AND k.band = c.band AND k.y = c.y + nb.a AND k.x = c.x + nb.b WHERE k.b),
+mk AS (SELECT n.obj_id, n.band, n.y, n.x, c.y IS NOT NULL AS m FROM bn n LEFT JOIN ce c ON c.obj_id = n.obj_id AND c.band = n.band AND c.y = n.y AND c.x = n.x),
+op AS (SELECT obj_id, band, y, x FROM mk WHERE NOT m AND (y IN (0, 39) OR x IN (0, 39)) UNION SELECT k.obj_id, k.band, k.y, k.x FROM op o, nb JOIN mk k ON k.obj_id = o.obj_id AND k.band = o.band AND k.y = o.y + nb.a AND k.x = o.x + nb.b WHERE NOT k.m),
+fl AS (SELECT m.obj_id, m.band, o.y IS NULL AS f FROM mk m LEFT JOIN op o ON o.obj_id = m.obj_id AND o.band = m.band AND o.y = m.y AND o.x = m.x)""", body="""
+SELECT obj_id, band, count(*) FILTER (f) AS area_px, round(avg(f::INT), 6) AS mask_fraction FROM fl GROUP BY obj_id, band""")))
 def _(t: Tables):
     d = SE.threshold_segmentation(pixels(t), SIDE, 3.0, 10)
     return d.groupBy(*K).agg(F.count_if("in_mask").alias("area_px"), r6(F.avg(F.col("in_mask").cast("double"))).alias("mask_fraction"))
@@ -416,7 +422,13 @@ def _(t: Tables):
     return rounded(MO.asymmetry(pixels(t).where("band = 'r'"), sizes(t), SIDE), [])
 
 
-@query("r22_smoothness")
+@query("r22_smoothness", with_sql(PIXELS_SQL, """im AS (SELECT * FROM pixels WHERE band = 'r'),
+sz AS (SELECT DISTINCT obj_id, 2 * (5.0 + (obj_id % 5) * 0.5) AS rp, CAST(floor(0.25 * 2 * (5.0 + (obj_id % 5) * 0.5)) AS INTEGER) AS k FROM im),
+o AS (SELECT obj_id, k, unnest(range(-(k // 2), k - k // 2)) AS j FROM sz),
+bx AS (SELECT p.obj_id, p.y, c.x, avg(p.flux) AS v FROM o JOIN (SELECT x FROM range(0, 40) g(x)) c ON true JOIN im p ON p.obj_id = o.obj_id AND p.x = (CASE WHEN c.x + o.j < 0 THEN -1 - c.x - o.j WHEN c.x + o.j > 39 THEN 79 - c.x - o.j ELSE c.x + o.j END) GROUP BY ALL),
+sm AS (SELECT p.obj_id, c.x AS y, p.x, avg(p.v) AS smooth FROM o JOIN (SELECT x FROM range(0, 40) g(x)) c ON true JOIN bx p ON p.obj_id = o.obj_id AND p.y = (CASE WHEN c.x + o.j < 0 THEN -1 - c.x - o.j WHEN c.x + o.j > 39 THEN 79 - c.x - o.j ELSE c.x + o.j END) GROUP BY ALL),
+an AS (SELECT i.obj_id, i.flux, s.smooth, sz.k, sqrt((i.y - 19.5) * (i.y - 19.5) + (i.x - 19.5) * (i.x - 19.5)) AS r, sz.rp FROM im i JOIN sm s ON s.obj_id = i.obj_id AND s.y = i.y AND s.x = i.x JOIN sz ON sz.obj_id = i.obj_id)""", body="""
+SELECT obj_id, 'r' AS band, round((sum(greatest(flux - smooth, 0)) - count(*) * max(0.01 * sqrt(1 - 1 / (k * k)) / sqrt(2 * pi()))) / sum(flux), 6) AS smoothness FROM an WHERE r >= 0.25 * rp AND r <= 1.5 * rp GROUP BY obj_id"""))
 def _(t: Tables):
     s = sizes(t).withColumn("rp_px", 2 * F.col("rp_px"))
     return rounded(MO.smoothness(pixels(t).where("band = 'r'"), s, SIDE), [])
