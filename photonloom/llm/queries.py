@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from photonloom.llm import orc_tokens, packing, pii, sharding
+from photonloom.llm import orc_tokens, packing, pii, sharding, simhash
 from photonloom.llm.common import table, tokenizer_path
 from photonloom.llm.registry import query
 
@@ -29,3 +29,8 @@ def op2_packing(spark, sf_dir):
 @query("op7_orc_tokens")
 def op7_orc_tokens(spark, sf_dir):
     return orc_tokens.summary(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op5_simhash")
+def op5_simhash(spark, sf_dir):
+    return simhash.summary(table(spark, sf_dir, "documents"))
