@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from photonloom.llm import orc_tokens, packing, pii, sharding, simhash
+from photonloom.llm import orc_tokens, packing, pii, sharding, simhash, substrings
 from photonloom.llm.common import table, tokenizer_path
 from photonloom.llm.registry import query
 
@@ -34,3 +34,8 @@ def op7_orc_tokens(spark, sf_dir):
 @query("op5_simhash")
 def op5_simhash(spark, sf_dir):
     return simhash.summary(table(spark, sf_dir, "documents"))
+
+
+@query("op6_substrings")
+def op6_substrings(spark, sf_dir):
+    return substrings.summary(table(spark, sf_dir, "documents"))
