@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from photonloom.llm import orc_tokens, packing, pii, sharding, simhash, substrings
+from photonloom.llm import decontaminate, orc_tokens, packing, pii, sharding, simhash, substrings
 from photonloom.llm.common import table, tokenizer_path
 from photonloom.llm.registry import query
 
@@ -39,3 +39,8 @@ def op5_simhash(spark, sf_dir):
 @query("op6_substrings")
 def op6_substrings(spark, sf_dir):
     return substrings.summary(table(spark, sf_dir, "documents"))
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark, sf_dir):
+    return decontaminate.summary(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
