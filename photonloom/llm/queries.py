@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from photonloom.llm import decontaminate, orc_tokens, packing, pii, sharding, simhash, substrings
+from photonloom.llm import decontaminate, lines, orc_tokens, packing, pii, sharding, simhash, substrings
 from photonloom.llm.common import table, tokenizer_path
 from photonloom.llm.registry import query
 
@@ -44,3 +44,8 @@ def op6_substrings(spark, sf_dir):
 @query("op10_decontaminate")
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.summary(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_lines")
+def op8_lines(spark, sf_dir):
+    return lines.summary(table(spark, sf_dir, "documents"))
