@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from photonloom.llm import decontaminate, lines, orc_tokens, packing, pii, sharding, simhash, substrings
+from photonloom.llm import decontaminate, lines, neighbours, orc_tokens, packing, pii, quality, sharding, simhash, substrings
 from photonloom.llm.common import table, tokenizer_path
 from photonloom.llm.registry import query
 
@@ -49,3 +49,13 @@ def op10_decontaminate(spark, sf_dir):
 @query("op8_lines")
 def op8_lines(spark, sf_dir):
     return lines.summary(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality")
+def op4_quality(spark, sf_dir):
+    return quality.summary(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_neighbours")
+def op9_neighbours(spark, sf_dir):
+    return neighbours.summary(table(spark, sf_dir, "embeddings"))
