@@ -73,3 +73,13 @@ def prefix_sums(values: Column, block: int = 128) -> Column:
 def doc_key(id_col: str = "doc_id", text: str = "text") -> list[Column]:
     """Identity of a document row: its id, with nulls as a value of their own, and its text's hash, for ids that repeat."""
     return [F.col(id_col), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key")]
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row in `_row`, so that no column of the table clashes with an operator's own."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], text: Column | None = None) -> DataFrame:
+    """The columns of the table again, in their order, with a new text where one is given."""
+    return rows.select(*[(text if c == "text" and text is not None else F.col("_row").getField(c)).alias(c) for c in columns])

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photonloom.llm.common import doc_key, let, stored
+from photonloom.llm.common import doc_key, packed, stored, unpacked
 
 WINDOW = 10
 #: A table of benchmark words is broadcast when it has been counted and is no larger; beyond it joins shuffle.
@@ -130,13 +130,7 @@ def summary(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with the words of matches cut from their texts, all columns kept. A text is taken apart at its
-    words, so that what stands between kept words stays as it is."""
+    """The documents without a match, all columns kept."""
     found, _ = matches(docs, benchmark, window)
-    spans = found.select("_doc", "text_key", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos")).groupBy("_doc", "text_key").agg(F.collect_set("pos").alias("_hit"))
-    body = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.withColumn("text_key", F.xxhash64(body)).withColumn("_doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(spans, ["_doc", "text_key"], "left")
-    gaps, words = F.split(body, WORD, -1), F.regexp_extract_all(body, F.lit(WORD), F.lit(0))
-    drop = F.map_from_arrays(F.col("_hit"), F.transform("_hit", lambda p: F.lit(True)))
-    cut = let(gaps, lambda g: let(drop, lambda m: F.concat(g[0], F.array_join(F.transform(words, lambda w, i: F.when(F.coalesce(m[i], F.lit(False)), F.lit("")).otherwise(F.concat(w, g[i + 1]))), ""))))
-    return joined.withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    rows = packed(docs).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    return unpacked(rows.join(found.select("_doc", "text_key").distinct(), ["_doc", "text_key"], "left_anti"), docs.columns)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonloom.llm.common import let, prefix_sums, stored, sum_of
+from photonloom.llm.common import let, packed, prefix_sums, stored, sum_of, unpacked
 from photonloom.llm.decontaminate import lowered
 
 ANCHOR, NEAR_WORDS = 4, 8
@@ -121,17 +121,21 @@ def dropped(docs: DataFrame) -> DataFrame:
     return hit.groupBy(*_KEY).agg(F.array_sort(F.collect_set("line")).alias("gone"), F.count_distinct(F.when(~F.col("again"), F.col("line"))).alias("n_near"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents without the dropped lines, with _n_lines, _n_dropped and _n_near."""
+def _rest(docs: DataFrame) -> DataFrame:
+    """The packed documents with `kept`, the text without the dropped lines, n_lines, n_dropped and n_near."""
     lines = split_lines(F.col("text"))
     ends = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size(lines)))
     rest = let(lines, lambda s: let(ends, lambda e: F.flatten(F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda i: F.slice(s, e[i - 1] + 2, e[i] - e[i - 1] - 1)))))
-    joined = _keyed(docs).join(dropped(docs), _KEY, "left")
-    counts = {"_n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), "_n_dropped": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")), "_n_near": F.coalesce("n_near", F.lit(0))}
-    out = joined.withColumns({k: v.cast("long") for k, v in counts.items()}).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")))
-    return out.select(*docs.columns, *counts)
+    joined = _keyed(packed(docs)).join(dropped(docs), _KEY, "left")
+    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), "n_dropped": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")), "n_near": F.coalesce("n_near", F.lit(0))}
+    return joined.select("_row", "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")).alias("kept"), *[v.cast("long").alias(k) for k, v in counts.items()])
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """The documents without the dropped lines, all columns kept."""
+    return unpacked(_rest(docs), docs.columns, F.col("kept"))
 
 
 def summary(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, n_near and the hash of the remaining text of every document."""
-    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_n_near").alias("n_near"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return _rest(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "n_near", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))

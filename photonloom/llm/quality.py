@@ -8,7 +8,7 @@ order of a hash of their ids, so that the driver's work and memory have a bound.
 
 Defined results: a null or empty text is one empty passage and has a score; without labels of both values the score is
 their mean, or one half; a label given twice counts by its minimum; null labels and labels of null ids count as none; an empty
-table gives no rows; other columns are kept by `score` and never read.
+table gives no rows; other columns are kept by `keep_good` and never read.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from photonloom.llm.common import packed, unpacked
+
 PASSAGE, BUCKETS = 1024, 256
 SAMPLE_DOCS, SAMPLE_BYTES = 6000, 1 << 16
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 24, 12, 25, 64, 5e-3, 1e-5
@@ -165,4 +167,4 @@ def summary(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't rejected, all columns kept."""
-    return score(docs, fit(docs, labels)).where("_score >= 0.5").drop("_score")
+    return unpacked(score(packed(docs), fit(docs, labels)).where("_score >= 0.5"), docs.columns)

@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonloom.llm.common import stored
+from photonloom.llm.common import packed, stored, unpacked
 from photonloom.llm.components import roots
 
 BITS, SEED, SHINGLE, DISTANCE = 64, 42, 3, 2
+NO_ID = -(1 << 63)
 #: Fingerprints that fit the partitions and thresholds, taken in hash order. Only costs depend on them.
 SAMPLE = 20_000
 PARTITIONS = 3
@@ -188,3 +189,10 @@ def components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
 
 def summary(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The document with the smallest id of each component, all columns kept; rows that share an id stay or go together."""
+    ids = components(docs, shingle, distance).select("doc_id", "component_id").distinct().where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"))
+    rows = packed(docs).withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).join(ids, "_doc", "left_semi")
+    return unpacked(rows, docs.columns)
