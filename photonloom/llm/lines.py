@@ -7,8 +7,9 @@ itself. Lines of fewer than NEAR_WORDS words go only if an equal line is earlier
 Every variant of a line with one word deleted is a hashed key. Lines of equal length within one replacement share the
 variant at the place of the change; a line and one that is a word shorter share the shorter itself. Keys are joined to
 the earliest line of each key, never pair by pair, and the edit distance of line and earliest is verified on the words.
-Before variants are made, lines are dropped that can have no partner: one edit leaves the first or the last ANCHOR words
-as they are, so a line whose first and last words are both its own has none.
+Before variants are made, lines are set aside that can have no partner: of two lines within one edit, the longer one with
+N words, either the first or the last (N - 1) / 2 words agree, so a line that shares neither half with a line of about its
+length has none.
 
 Keys are hashes of 64 bits and lines are counted as equal by two of them.
 
@@ -24,13 +25,18 @@ from pyspark.sql import functions as F
 from photonloom.llm.common import let, packed, prefix_sums, stored, sum_of, unpacked
 from photonloom.llm.decontaminate import lowered
 
-ANCHOR, NEAR_WORDS = 4, 8
+NEAR_WORDS = 8
+#: Documents with lines to verify are picked by a broadcast of their keys when they have been counted and are no more.
+BROADCAST_ROWS = 1_000_000
 NO_ID = -(1 << 63)
 _KEY = ["_doc", "text_key"]
 
 
-def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(lowered(line), r"[ \t\x0B\f\r]+", " "))
+def normal(text: Column) -> Column:
+    """A-Z in lower case, and one space for each run of white space within a line."""
+    low = lowered(text)
+    uneven = [F.contains(text, F.lit(c)) for c in ("  ", "\t", "\x0b", "\f", "\r")]
+    return F.when(uneven[0] | uneven[1] | uneven[2] | uneven[3] | uneven[4], F.regexp_replace(low, r"[ \t\x0B\f\r]+", " ")).otherwise(low)
 
 
 def split_lines(text: Column) -> Column:
@@ -41,36 +47,46 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
+def _halves(t: Column, n: Column) -> list[Column]:
+    """Short hashes of the halves that t shares with a partner within one edit, if the longer one has n or n + 1 words."""
+    half = lambda length, side: F.hash(length, F.lit(side), F.call_function("substring_index", t, F.lit(" "), F.floor((length - 1) / 2).cast("int") * side))
+    return [half(n, 1), half(n, -1), half(n + 1, 1), half(n + 1, -1)]
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Stored, one row per line with words: place, two hashes, number of words, hashes of its first and last words."""
-    each = _keyed(docs.select("doc_id", "text")).select(*_KEY, F.posexplode(split_lines(F.col("text"))).alias("line", "raw")).select(*_KEY, "line", normal(F.col("raw")).alias("t")).where("t <> ''")
-    return stored(each.select(*_KEY, "line", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), (F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1).alias("n"),
-                              F.xxhash64(F.substring_index("t", " ", ANCHOR)).alias("head"), F.xxhash64(F.substring_index("t", " ", -ANCHOR)).alias("tail")), "lines")
+    """Stored, one row per line with words: place, two hashes, number of words, hashes of its halves."""
+    each = _keyed(docs.select("doc_id", "text")).select(*_KEY, F.posexplode(split_lines(normal(F.col("text")))).alias("line", "raw")).select(*_KEY, "line", F.trim("raw").alias("t")).where("t <> ''")
+    each = each.withColumn("n", F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1)
+    halves = F.when(F.col("n") >= NEAR_WORDS, F.array(*_halves(F.col("t"), F.col("n"))))
+    return stored(each.select(*_KEY, "line", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), halves.alias("halves")), "lines")
 
 
 def distinct_lines(occ: DataFrame) -> DataFrame:
     """Stored, one row per different line: its first place and how often it occurs."""
-    return stored(occ.groupBy("h1", "h2").agg(F.min(F.struct(*_KEY, "line")).alias("first"), F.count("*").alias("times"), F.min("n").alias("n"), F.min("head").alias("head"), F.min("tail").alias("tail")), "distinct-lines")
+    half = [F.min(F.col("halves")[i]).alias(f"half{i}") for i in range(4)]
+    return stored(occ.groupBy("h1", "h2").agg(F.min(F.struct(*_KEY, "line")).alias("first"), F.count("*").alias("times"), *half), "distinct-lines")
 
 
 def with_possible_partner(distinct: DataFrame) -> DataFrame:
-    """Lines long enough for an edit that share their first or last words with a different line."""
-    long = distinct.where(F.col("n") >= NEAR_WORDS)
-    ends = long.select("h1", "h2", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("head").alias("words")), F.struct(F.lit(1).alias("side"), F.col("tail").alias("words")))).alias("e")).select("h1", "h2", "e.*")
-    shared = ends.groupBy("side", "words").agg(F.count("*").alias("k")).where("k > 1").select("side", "words")
-    return ends.join(shared, ["side", "words"]).select("h1", "h2").distinct().join(long, ["h1", "h2"]).select("h1", "h2", "first", "n")
+    """Lines long enough for an edit that share a half with a different line of about their length."""
+    long = distinct.where("half0 IS NOT NULL")
+    halves = long.select("h1", "h2", F.explode(F.array(*[F.col(f"half{i}") for i in range(4)])).alias("half"))
+    shared = halves.groupBy("half").agg(F.count("*").alias("k")).where("k > 1").select("half")
+    return halves.join(shared, "half").select("h1", "h2").distinct().join(long, ["h1", "h2"]).select("h1", "h2", "first")
 
 
 def _fetch(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """The words of lines, read at their first places."""
-    places = lines.select("first.*", "h1", "h2", "first").groupBy(*_KEY).agg(F.collect_list(F.struct("line", "h1", "h2", "first")).alias("own"))
-    held = _keyed(docs.select("doc_id", "text")).select(*_KEY, "text").join(places, _KEY)
-    each = held.select(let(split_lines(F.col("text")), lambda s: F.transform("own", lambda o: F.struct(o["h1"].alias("h1"), o["h2"].alias("h2"), o["first"].alias("first"), F.split(normal(s[o["line"]]), " ").alias("w")))).alias("o"))
+    places = stored(lines.select("first.*", "h1", "h2", "first").groupBy(*_KEY).agg(F.collect_list(F.struct("line", "h1", "h2", "first")).alias("own")), "places")
+    rows = _keyed(docs.select("doc_id", "text")).select(*_KEY, "text")
+    if places.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(places.select(*_KEY)), _KEY, "left_semi")
+    each = rows.join(places, _KEY).select(let(split_lines(normal(F.col("text"))), lambda s: F.transform("own", lambda o: F.struct(o["h1"].alias("h1"), o["h2"].alias("h2"), o["first"].alias("first"), F.split(F.trim(s[o["line"]]), " ").alias("w")))).alias("o"))
     return each.select(F.explode("o").alias("o")).select("o.*").dropDuplicates(["h1", "h2"])
 
 
 def _variants(w: Column) -> Column:
-    """Array of (kind, key, at): kind 0 and 1 for each deletion, with and without its place; kind 2 for the line itself.
+    """Array of (kind, key): kind 0 and 1 for each deletion, with and without its place; kind 2 for the line itself.
     A key adds hashes of words with their places, so that a deletion is a prefix and a shifted suffix."""
     def placed(shift: int) -> Column:
         return F.transform(w, lambda x, i: F.shiftright(F.xxhash64(x, i - shift), 24))
@@ -79,8 +95,8 @@ def _variants(w: Column) -> Column:
         total = sum_of(moved)
         body = let(F.struct(prefix_sums(here).alias("p"), prefix_sums(moved).alias("q"), total.alias("t")), lambda s: F.transform(w, lambda _, i: s["p"][i] + s["t"] - s["q"][i] - moved[i]))
         keys = let(body, lambda b: F.flatten(F.transform(b, lambda k, i: F.array(
-            F.struct(F.lit(0).alias("kind"), F.xxhash64(F.size(w), k, i).alias("key"), i.alias("at")), F.struct(F.lit(1).alias("kind"), F.xxhash64(F.size(w) - 1, k).alias("key"), i.alias("at"))))))
-        return F.concat(keys, F.array(F.struct(F.lit(2).alias("kind"), F.xxhash64(F.size(w), sum_of(here)).alias("key"), F.lit(-1).alias("at"))))
+            F.struct(F.lit(0).alias("kind"), F.xxhash64(F.lit(0), F.size(w), k, i).alias("key")), F.struct(F.lit(1).alias("kind"), F.xxhash64(F.lit(1), F.size(w) - 1, k).alias("key"))))))
+        return F.concat(keys, F.array(F.struct(F.lit(2).alias("kind"), F.xxhash64(F.lit(1), F.size(w), sum_of(here)).alias("key"))))
 
     return let(placed(0), lambda here: let(placed(1), lambda moved: deletions(here, moved)))
 
@@ -100,15 +116,13 @@ def _within_one(a: Column, b: Column) -> Column:
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of the lines of which an earlier line is within one edit."""
-    own = stored(_fetch(docs, with_possible_partner(distinct)), "candidates")
-    made = own.select("h1", "h2", "first", F.explode(_variants(F.col("w"))).alias("v")).select("h1", "h2", "first", "v.kind", "v.key")
-    made = stored(made.distinct(), "variants")
-    who = F.struct("first", "h1", "h2")
-    # kind 0 meets kind 0; kind 1, a deletion, meets kind 2, a line itself, and the other way round
-    asks = made.withColumn("meets", F.when(F.col("kind") == 0, 0).when(F.col("kind") == 1, 2).otherwise(1))
-    earliest = made.groupBy(F.col("kind").alias("meets"), "key").agg(F.min(who).alias("e"))
-    pairs = asks.join(earliest, ["meets", "key"]).where(F.col("e.first") < F.col("first")).select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2")).distinct()
-    return pairs.join(own.select("h1", "h2", "w"), ["h1", "h2"]).join(own.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("w").alias("x")), ["e1", "e2"]).where(_within_one(F.col("w"), F.col("x"))).select("h1", "h2").distinct()
+    own = stored(_fetch(docs, stored(with_possible_partner(distinct), "partners")), "candidates")
+    made = stored(own.select("h1", "first", F.explode(_variants(F.col("w"))).alias("v")).select("h1", "first", "v.kind", "v.key"), "variants")
+    # Replacements meet replacements; deletions meet the lines themselves. Keys of one line only are left out.
+    earliest = lambda *kinds: F.min(F.when(F.col("kind").isin(*kinds), F.struct("first", "h1")))
+    met = made.groupBy("key").agg(earliest(0).alias("e0"), F.max(F.when(F.col("kind") == 0, F.struct("first", "h1"))).alias("x0"), earliest(1).alias("e1"), earliest(2).alias("e2")).where("e0 <> x0 OR (e1 IS NOT NULL AND e2 IS NOT NULL)")
+    pairs = made.join(met, "key").select("h1", "first", F.when(F.col("kind") == 0, F.col("e0")).when(F.col("kind") == 1, F.col("e2")).otherwise(F.col("e1")).alias("e")).where(F.col("e.first") < F.col("first")).select("h1", F.col("e.h1").alias("e1")).distinct()
+    return pairs.join(own.select("h1", "h2", "w"), "h1").join(own.select(F.col("h1").alias("e1"), F.col("w").alias("x")), "e1").where(_within_one(F.col("w"), F.col("x"))).select("h1", "h2").distinct()
 
 
 def dropped(docs: DataFrame) -> DataFrame:
