@@ -157,7 +157,7 @@ def test_rebalance_for_a_new_shard_moves_few_slots(docs):
     loads, both = sharding.balanced_map(rows, 4, 256)
     newest = both.where("version = 2")
     moved = newest.join(sharding.rebalance(newest, loads, 5).withColumnRenamed("shard", "to").drop("version"), "virtual_slot").where("shard <> to").collect()
-    assert moved and all(r.to == 4 for r in moved)
+    assert moved and len(moved) < 0.5 * 256 and sum(r.to == 4 for r in moved) > 0.7 * len(moved)  # a few even out the old shards
 
 
 # --- quality
@@ -265,7 +265,8 @@ def test_near_lines(spark):
     rows = [(1, base), (2, base.upper() + "\nshort line"), (3, " ".join([*w[:2], "red", *w[3:]])), (4, " ".join(w[1:])), (5, " ".join([*w, "more"])), (6, " ".join([*w[:4], "new", *w[4:]])),
             (7, " ".join([*w[:2], "red", "cat", *w[4:]])), (8, " ".join([w[1], w[0], *w[2:]])), (9, "short lime"), (10, " short \t LINE ")]
     got = {r.doc_id: (r.n_dropped, r.n_near) for r in lines.summary(frame(spark, rows)).collect()}
-    assert got == {1: (0, 0), 2: (1, 0), 3: (1, 1), 4: (1, 1), 5: (1, 1), 6: (1, 1), 7: (1, 1), 8: (0, 0), 9: (0, 0), 10: (1, 0)}
+    # 7 is one word from 3, and 8 is line 4 with a word more
+    assert got == {1: (0, 0), 2: (1, 0), 3: (1, 1), 4: (1, 1), 5: (1, 1), 6: (1, 1), 7: (1, 1), 8: (1, 1), 9: (0, 0), 10: (1, 0)}
 
 
 # --- neighbours
