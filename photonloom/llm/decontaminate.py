@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from photonloom.llm.common import doc_key, packed, stored, unpacked
 
 WINDOW = 10
-#: A table of benchmark words is broadcast when it has been counted and is no larger; beyond it joins shuffle.
+#: A table of benchmark words or of document keys is broadcast when it has been counted and is no larger; beyond it joins
+#: shuffle.
 BROADCAST_ROWS = 200_000
 # What separates words, and the letters that change case.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -82,7 +83,7 @@ def phrase_matches(postings: DataFrame, windows: DataFrame, terms: DataFrame) ->
     both = stored(rarest.where("size > 1").join(shifted(2).drop("size"), key).unionByName(rarest.where("size = 1")), "rarest")
     # The other words, in the documents that are left: at each place of a candidate its word is looked up.
     asked = both.join(places.where("place > 2").drop("size"), "wid").select(*key, "size", (F.col("start") + F.col("off")).alias("pos"), "term")
-    docs = both.select("_doc", "text_key").distinct()
+    docs = small(both.select("_doc", "text_key").distinct())
     there = postings.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"), "text_key", "pos", "term").join(docs, ["_doc", "text_key"], "left_semi").distinct()
     held = asked.join(there, ["_doc", "text_key", "pos", "term"]).groupBy(*key, "size").agg(F.count("*").alias("n")).where("n = size - 2").drop("n")
     return held.select(*key, "size").unionByName(both.where("size <= 2").select(*key, "size").distinct())
@@ -133,4 +134,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     """The documents without a match, all columns kept."""
     found, _ = matches(docs, benchmark, window)
     rows = packed(docs).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    return unpacked(rows.join(found.select("_doc", "text_key").distinct(), ["_doc", "text_key"], "left_anti"), docs.columns)
+    return unpacked(rows.join(small(found.select("_doc", "text_key").distinct()), ["_doc", "text_key"], "left_anti"), docs.columns)
