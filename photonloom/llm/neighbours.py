@@ -30,6 +30,8 @@ K = 20
 #: Sample for rotation-space centroids and the number of probes; only costs and recall depend on it.
 SAMPLE, SAMPLE_QUERIES, COVERAGE = 8000, 300, 0.98
 LIST_ROWS, BLOCK, EPSILON = 4096, 16, 2.5
+#: Distances held at once by a scan.
+SCAN_CELLS = 1 << 17
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -45,6 +47,15 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (id, vector) once; equal ones are always dealt to the same list and part."""
+    if len(np.unique(ids)) == len(ids):
+        return ids, x
+    rows = np.ascontiguousarray(np.column_stack([ids, (x + 0.0).view(np.int64)]))
+    _, own = np.unique(rows.view([("", np.int64)] * rows.shape[1]).ravel(), return_index=True)
+    return ids[own], x[own]
+
+
 class Index:
     """Rotation, centroids and number of probes."""
 
@@ -70,6 +81,8 @@ class Index:
     @staticmethod
     def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
         d = (centres * centres).sum(1) - 2 * x @ centres.T
+        if n == 1:
+            return d.argmin(1)[:, None]
         return np.argsort(d, axis=1, kind="stable")[:, :n]
 
     def lists_of(self, x: np.ndarray, n: int = 1) -> np.ndarray:
@@ -97,26 +110,39 @@ def build_index(rows: DataFrame, k: int = K) -> Index | None:
 
 
 def scan(ids: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, q_rotated: np.ndarray, k: int = K):
-    """For each query: ids and inner products of the best k candidates of one list that no test abandons."""
-    dims = rotated.shape[1]
-    blocks = [np.ascontiguousarray(rotated[:, i:i + BLOCK]) for i in range(0, dims, BLOCK)]
-    head = np.arange(min(len(ids), 4 * k))
-    for q_id, q, turned in zip(q_ids, queries, q_rotated):
-        whole = ((rotated[head] - turned) ** 2).sum(1)
-        kth = np.partition(whole, k)[k] if len(whole) > k else np.inf  # one more: the query itself may be among them
-        left, partial = np.arange(len(ids)), np.zeros(len(ids))
-        for i, block in enumerate(blocks):
-            at = min((i + 1) * BLOCK, dims)
-            partial = partial + ((block[left] - turned[i * BLOCK:at]) ** 2).sum(1)
-            if at < dims:
-                keep = partial * (dims / at) <= kth * (1 + EPSILON / math.sqrt(at)) ** 2
-                left, partial = left[keep], partial[keep]
-        if len(left) > k + 1:
-            left = left[partial <= np.partition(partial, k)[k] * (1 + 1e-9)]
-        left = left[ids[left] != q_id]
-        score = (vectors[left] * q).sum(1)
-        order = np.lexsort((ids[left], -score))[:k]
-        yield q_id, ids[left][order], score[order]
+    """(query's place, id, inner product) as three arrays, by query and nearest first: of each query the best k candidates
+    of one list that no test abandons. Queries go in groups, so that a group's distances are SCAN_CELLS numbers at most."""
+    dims, step = rotated.shape[1], max(1, SCAN_CELLS // max(1, len(ids)))
+    blocks = [(at, np.ascontiguousarray(rotated[:, at:at + BLOCK])) for at in range(0, dims, BLOCK)]
+    squares = [(block * block).sum(1) for _, block in blocks]
+    head = rotated[:4 * k]
+    rounding = 1e-9 * (rotated * rotated).sum(1).max(initial=0.0)
+    found = []
+    for first in range(0, len(q_ids), step):
+        turned = q_rotated[first:first + step]
+        whole = ((head[None, :, :] - turned[:, None, :]) ** 2).sum(2)
+        kth = np.partition(whole, k, axis=1)[:, k] if len(head) > k else np.full(len(turned), np.inf)  # one more: the query itself may be among them
+        far = np.zeros((len(turned), len(ids)))
+        for (at, block), square in zip(blocks, squares):
+            part, end = turned[:, at:at + BLOCK], min(at + BLOCK, dims)
+            live = np.isfinite(far)
+            if 4 * live.sum() > live.size:
+                far += np.maximum(square[None, :] - 2 * part @ block.T + (part * part).sum(1)[:, None], 0)
+            else:
+                q, c = np.nonzero(live)
+                far[q, c] += ((block[c] - part[q]) ** 2).sum(1)
+            if end < dims:
+                far[far * (dims / end) > (kth * (1 + EPSILON / math.sqrt(end)) ** 2 + rounding)[:, None]] = np.inf
+        last = np.partition(far, k, axis=1)[:, k] if len(ids) > k else np.full(len(turned), np.inf)
+        q, c = np.nonzero(np.isfinite(far) & (far <= (last * (1 + 1e-9) + rounding)[:, None]))
+        other = ids[c] != q_ids[first + q]
+        q, c = q[other] + first, c[other]
+        score = (vectors[c] * queries[q]).sum(1)
+        order = np.lexsort((ids[c], -score, q))
+        q, c, score = q[order], c[order], score[order]
+        best = np.arange(len(q)) - np.searchsorted(q, q) < k
+        found.append((q[best], ids[c[best]], score[best]))
+    return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, index: Index | None = None) -> DataFrame:
@@ -153,17 +179,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, index: Index | No
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(lists.ravel(), per), pa.int32()), pa.array(part, pa.int32()), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], names=["list", "part", "vec_id", "embedding"])
 
     def probed(candidates: pa.Table, asked: pa.Table) -> pa.Table:
-        rows = []
-        if len(candidates) and len(asked):
-            x, q = _matrix(candidates.column("embedding")), _matrix(asked.column("embedding"))
-            rows = list(scan(candidates.column("vec_id").to_numpy(), x, index.rotate(x), asked.column("vec_id").to_numpy(), q, index.rotate(q, True), k))
-        found = pa.array([[{"far": -s, "vec_id": i} for i, s in zip(ids.tolist(), score.tolist())] for _, ids, score in rows], pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))
-        return pa.table({"query_id": pa.array([r[0] for r in rows], pa.int64()), "found": found})
+        x, q = _matrix(candidates.column("embedding")), _matrix(asked.column("embedding"))
+        x_ids, q_ids = candidates.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
+        x_ids, x = _once(x_ids, x)
+        if not len(candidates) or not len(asked):
+            q_ids, (place, ids, score) = q_ids[:0], scan(q_ids[:0], x[:0], x[:0], q_ids[:0], q[:0], q[:0], k)
+        else:
+            place, ids, score = scan(x_ids, x, index.rotate(x), q_ids, q, index.rotate(q, True), k)
+        near = pa.StructArray.from_arrays([pa.array(-score), pa.array(ids)], names=["far", "vec_id"])
+        return pa.table({"query_id": pa.array(q_ids), "found": pa.ListArray.from_arrays(pa.array(np.searchsorted(place, np.arange(len(q_ids) + 1)), pa.int32()), near)})
 
     four = "list int, part int, vec_id bigint, embedding array<double>"
-    lists, asked = own.mapInArrow(dealt, four), queries.mapInArrow(routed, four)
+    lists, asked = own.mapInArrow(dealt, four), queries.select("vec_id", "embedding").distinct().mapInArrow(routed, four)
     found = lists.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(probed, "query_id bigint, found array<struct<far:double,vec_id:bigint>>")
-    best = found.groupBy("query_id").agg(F.slice(F.array_distinct(F.array_sort(F.flatten(F.collect_list("found")))), 1, k).alias("best"))
+    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), "b.vec_id", (-F.col("b.far")).alias("score"))
 
 
