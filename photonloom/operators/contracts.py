@@ -27,10 +27,11 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def join_cardinality(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that break a 1:1 join, with the multiplicity on each side. Sides are reduced to counts before they meet."""
+    """Keys that break a 1:1 join, with the multiplicity on each side, also keys that one side lacks. Sides are reduced to
+    counts before they meet."""
     a = left.groupBy(*keys).agg(F.count("*").alias("n_left"))
     b = right.groupBy(*keys).agg(F.count("*").alias("n_right"))
-    return a.join(b, list(keys)).where("n_left > 1 OR n_right > 1")
+    return a.join(b, list(keys), "full_outer").fillna(0, ["n_left", "n_right"]).where("n_left > 1 OR n_right > 1")
 
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
@@ -104,7 +105,7 @@ def fingerprint(df: DataFrame, keys: Sequence[str], row: Column) -> DataFrame:
     plain partial aggregates, so no group is gathered anywhere. The sums are digested once per group.
     """
     d = df.select(*keys, F.md5(row).alias("_h"))
-    words = [F.sum(F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("bigint")).alias(f"_w{i}") for i in range(4)]
+    words = [F.sum(F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).alias(f"_w{i}") for i in range(4)]
     out = d.groupBy(*keys).agg(F.count("*").alias("n"), *words)
     return out.select(*keys, "n", row_digest("n", *[f"_w{i}" for i in range(4)]).alias("fingerprint"))
 

@@ -115,8 +115,9 @@ def map_correlation(px: DataFrame, side: int, value: str = "flux") -> DataFrame:
 
 
 def stamp(px: DataFrame, geometry: DataFrame, side: int, out_px: int, radii: float = 2.0) -> DataFrame:
-    """Aligned, rescaled stamp. `geometry` has obj_id, rp_px and pa_rad. Every sample position is joined to its four
-    surrounding pixels (those outside count as 0), weighted bilinearly, normalized by the mean of r and compressed."""
+    """Aligned, rescaled stamp. `geometry` has obj_id, rp_px and pa_rad. Every sample position of every band is
+    joined to its four surrounding pixels, weighted bilinearly, normalized by the mean of r and compressed; a position outside
+    the image counts as 0."""
     half = radii * F.coalesce("rp_px", F.lit(20.0))
     c = (side - 1) / 2
     step = 2.0 / (out_px - 1)
@@ -124,9 +125,10 @@ def stamp(px: DataFrame, geometry: DataFrame, side: int, out_px: int, radii: flo
     g = g.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(out_px - 1)))).withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(out_px - 1))))
     U, V = F.col("h") * (F.col("u") * step - 1), F.col("h") * (F.col("v") * step - 1)
     g = g.select("obj_id", "v", "u", (F.lit(c) + U * F.col("sa") + V * F.col("ca")).alias("sy"), (F.lit(c) + U * F.col("ca") - V * F.col("sa")).alias("sx"))
-    g = g.withColumns({"y0": F.floor("sy").cast("int"), "x0": F.floor("sx").cast("int")})
-    g = g.selectExpr("obj_id", "v", "u", "inline(array(" + ", ".join(
+    g = g.withColumns({"y0": F.floor("sy").cast("int"), "x0": F.floor("sx").cast("int"), "held": F.col("sy").between(0, side - 1) & F.col("sx").between(0, side - 1)})
+    g = g.join(px.select("obj_id", "band").distinct(), "obj_id").selectExpr("obj_id", "band", "v", "u", "held", "inline(array(" + ", ".join(
         f"named_struct('y', y0 + {a}, 'x', x0 + {b}, 'w', {'(sy - y0)' if a else '(1 - sy + y0)'} * {'(sx - x0)' if b else '(1 - sx + x0)'})" for a in (0, 1) for b in (0, 1)) + "))")
-    s = g.join(px, ["obj_id", "y", "x"]).groupBy("obj_id", "band", "v", "u").agg(F.sum(F.col("w") * F.col("flux")).alias("flux"))
+    value = F.when(F.col("held"), F.col("w") * F.col("flux"))
+    s = g.join(px, ["obj_id", "band", "y", "x"], "left").groupBy("obj_id", "band", "v", "u").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("flux"))
     scale = F.sum(F.when(F.col("band") == "r", F.col("flux"))).over(W.partitionBy("obj_id")) / (out_px * out_px)
     return s.withColumn("_s", scale).withColumn("flux", F.when(F.col("_s") > 0, F.asinh(F.col("flux") / F.col("_s")))).drop("_s")

@@ -111,13 +111,18 @@ def smoothed_mask(px: DataFrame, side: int, nsigma: float | None, limit: float |
     return dilate(out, side, "in_mask", grow_px) if grow_px > 0 else out
 
 
-def neighbour_sources(px: DataFrame, side: int, nsigma: float = 3.0, min_px: int = 5) -> DataFrame:
-    """Pixels of sources (8-connected, at least min_px) other than the central one, with their label."""
+def detected_sources(px: DataFrame, side: int, nsigma: float = 3.0, min_px: int = 5) -> DataFrame:
+    """Pixels of sources (8-connected, at least min_px) with their label; `_c` is the label at the centre, if any."""
     d = px.join(border_background(px, side), KEYS).withColumn("_b", F.col("flux") - F.col("sky") > nsigma * F.col("sky_sigma"))
     lab = components(d, side, "_b", eight=True).withColumn("_n", F.count("*").over(W.partitionBy(*KEYS, "label"))).where(F.col("_n") >= min_px).drop("_n")
     c = int(round((side - 1) / 2))
     here = F.max(F.when((F.col("y") == c) & (F.col("x") == c), F.col("label"))).over(W.partitionBy(*KEYS))
-    return lab.withColumn("_c", here).where("_c IS NULL OR label <> _c").drop("_c")
+    return lab.withColumn("_c", here)
+
+
+def neighbour_sources(px: DataFrame, side: int, nsigma: float = 3.0, min_px: int = 5) -> DataFrame:
+    """Pixels of sources other than the central one, with their label."""
+    return detected_sources(px, side, nsigma, min_px).where("_c IS NULL OR label <> _c").drop("_c")
 
 
 def neighbour_mask(px: DataFrame, side: int, nsigma: float = 3.0, min_px: int = 5, grow_px: int = 3) -> DataFrame:
@@ -156,21 +161,26 @@ def candidate_masks(px: DataFrame, side: int, pixscale: float, nsigma: float, sm
 
 def mask_report(px: DataFrame, masks: DataFrame, reference: DataFrame, side: int, pixscale: float, ref_factor: float, sb_limit: float,
                 bands=("g", "r", "z")) -> DataFrame:
-    """Light fraction, contamination, area ratio, equivalent and isophotal radius per mask. `reference` has obj_id, th90."""
+    """Light fraction, contamination, area ratio, equivalent and isophotal radius per mask. `reference` has obj_id, th90. An empty
+    mask has area 0; the contamination is 0 where an image has no source."""
     bg = border_background(px, side).select(*KEYS, "sky")
     sub = px.join(bg, KEYS).withColumn("sub", F.col("flux") - F.col("sky")).drop("sky")
-    own = with_flag(sub, neighbour_sources(px, side), "contaminant")
+    found = detected_sources(px, side).select(*KEYS, "y", "x", (F.col("_c").isNull() | (F.col("label") != F.col("_c"))).alias("contaminant"), F.lit(True).alias("source"))
+    own = sub.join(found, [*KEYS, "y", "x"], "left").fillna(False, ["contaminant", "source"])
     shared = neighbour_mask(collapsed_sky_free(px, side), side).select("obj_id", "y", "x", "is_neighbour")
     d = own.join(shared, ["obj_id", "y", "x"]).withColumn("clean", F.when(F.col("is_neighbour"), 0.0).otherwise(F.col("sub")))
     d = with_radius(d, side).join(reference, "obj_id")
     ref_px = ref_factor * F.col("th90") / pixscale
-    sums = d.groupBy("obj_id", "band").agg(F.sum(F.when(F.col("r") <= ref_px, F.col("clean"))).alias("ref_flux"))
-    inside = d.join(masks.where("in_mask"), ["obj_id", "y", "x"])
-    m = inside.groupBy("obj_id", "mask", "band").agg(F.sum("clean").alias("light"), F.sum("sub").alias("total"), F.sum(F.when(F.col("contaminant"), F.col("sub")).otherwise(0.0)).alias("foreign"),
-                                                     F.count("*").alias("area_px"), F.max("th90").alias("th90"))
+    sums = d.groupBy("obj_id", "band").agg(F.sum(F.when(F.col("r") <= ref_px, F.col("clean"))).alias("ref_flux"), F.max("source").alias("has_source"))
+    def within(value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("in_mask"), value)), F.lit(0.0))
+
+    inside = d.join(masks, ["obj_id", "y", "x"])
+    m = inside.groupBy("obj_id", "mask", "band").agg(within(F.col("clean")).alias("light"), within(F.col("sub")).alias("total"), within(F.when(F.col("contaminant"), F.col("sub"))).alias("foreign"),
+                                                     F.count_if("in_mask").alias("area_px"), F.max("th90").alias("th90"))
     iso = isophotal_radius(d.select("obj_id", "band", "y", "x", F.col("clean").alias("flux"), "th90"), side, pixscale, sb_limit, ref_px)
     m = m.join(sums, ["obj_id", "band"]).join(iso, ["obj_id", "band"], "left")
-    m = m.withColumns({"light_frac": F.when(F.col("ref_flux") > 0, F.col("light") / F.col("ref_flux")), "contam": F.when(F.col("total") > 0, F.col("foreign") / F.col("total"))})
+    m = m.withColumns({"light_frac": F.when(F.col("ref_flux") > 0, F.col("light") / F.col("ref_flux")), "contam": F.when(~F.col("has_source"), 0.0).when(F.col("total") > 0, F.col("foreign") / F.col("total"))})
     r90 = F.first("th90") / pixscale
     cols = [F.first(F.when(F.col("band") == b, F.col(c)), ignorenulls=True).alias(f"{c}_{b}") for c in ("light_frac", "contam", "r_iso") for b in bands]
     return m.groupBy("obj_id", "mask").agg((equivalent_radius(F.first("area_px")) * pixscale).alias("r_mask"), safe_div(F.first("area_px"), F.pi() * r90 * r90).alias("area_ratio"), *cols)

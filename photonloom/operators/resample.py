@@ -84,10 +84,10 @@ def wilcoxon(df: DataFrame, keys: Sequence[str], d: Column, bound: int | None =
     counts = (df.select(*keys, d.alias("_d")).where("_d <> 0").select(*keys, F.abs("_d").alias("value"), (F.col("_d") > 0).cast("int").alias("_pos"))
               .groupBy(*keys, "value").agg(F.count("*").alias("n_at"), F.sum("_pos").alias("_npos")))
     t = ordered(counts, keys, bound=bound)
-    rank, n = F.col("n_before") + (F.col("n_at") + 1) / 2, F.col("n_at")
+    rank, n = F.col("n_before") + (F.col("n_at") + 1) / 2, F.col("n_at").cast("double")
     out = t.groupBy(*keys).agg(F.max("n_total").alias("n"), F.sum(rank * F.col("_npos")).alias("w_plus"),
                                F.sum(rank * (n - F.col("_npos"))).alias("w_minus"),
-                               F.sum((n * n * n - n).cast("double")).alias("_ties"))
+                               F.sum(n * n * n - n).alias("_ties"))
     nn = F.col("n").cast("double")
     sd = F.sqrt(nn * (nn + 1) * (2 * nn + 1) / 24 - F.col("_ties") / 48)
     z = (F.least("w_plus", "w_minus") - nn * (nn + 1) / 4) / sd
@@ -96,6 +96,7 @@ def wilcoxon(df: DataFrame, keys: Sequence[str], d: Column, bound: int | None =
 
 def ks_p_value(ks: Column, n1: Column, n2: Column, terms: int = 50) -> Column:
     """Asymptotic two-sided p-value of the two-sample statistic."""
+    n1, n2 = n1.cast("double"), n2.cast("double")
     lam = ks * F.sqrt(n1 * n2 / (n1 + n2))
     series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
                          lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * lam * lam))

@@ -417,8 +417,8 @@ def _(t: Tables):
     return V.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-@query("v02_join_cardinality", """SELECT c_custkey, n_left, n_right FROM (SELECT c_custkey, count(*) AS n_left FROM customer GROUP BY ALL)
-  JOIN (SELECT o_custkey AS c_custkey, count(*) AS n_right FROM orders GROUP BY ALL) USING (c_custkey) WHERE n_left > 1 OR n_right > 1""")
+@query("v02_join_cardinality", """SELECT c_custkey, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right FROM (SELECT c_custkey, count(*) AS n_left FROM customer GROUP BY ALL)
+  FULL JOIN (SELECT o_custkey AS c_custkey, count(*) AS n_right FROM orders GROUP BY ALL) USING (c_custkey) WHERE n_left > 1 OR n_right > 1""")
 def _(t: Tables):
     return V.join_cardinality(t.customer.select("c_custkey"), t.orders.selectExpr("o_custkey AS c_custkey"), ["c_custkey"])
 

@@ -133,3 +133,10 @@ def test_object_mask_and_neighbour(spark):
     assert m.where("in_mask AND y = 20 AND x = 20").count() == 1 and m.where("in_mask AND y = 6 AND x = 32").count() == 0
     n = SE.neighbour_sources(table(spark, img), 40)
     assert n.where("y = 6 AND x = 32").count() == 1 and n.where("y = 20 AND x = 20").count() == 0
+
+
+def test_stamp_keeps_cells_outside_the_image(spark):
+    px = table(spark, np.ones((20, 20)))
+    geo = spark.createDataFrame([(1, 20.0, 0.0)], "obj_id long, rp_px double, pa_rad double")
+    got = {(r["v"], r["u"]): r["flux"] for r in PX.stamp(px, geo, 20, 16, 1.5).collect()}
+    assert len(got) == 256 and got[0, 0] == 0 and got[8, 8] > 0

@@ -27,6 +27,12 @@ def test_qc_filter_and_contracts(spark):
         V.require(V.duplicate_keys(df.union(df), ["id"]), "duplicate ids")
 
 
+def test_cardinality_of_keys_without_partner(spark):
+    left, right = (spark.createDataFrame([(i,) for i in ids], "id int") for ids in ([1, 1, 2], [2, 3, 3]))
+    got = {tuple(r) for r in V.join_cardinality(left, right, ["id"]).collect()}
+    assert got == {(1, 2, 0), (3, 0, 2)}
+
+
 def test_holm_and_verdict(spark):
     df = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.03)], "f string, t string, p double")
     got = {r["t"]: r["p_holm"] for r in R.holm(df, ["f"], "p", ["t"]).collect()}
