@@ -2,7 +2,8 @@
 
 1. quality: documents that the classifier rejects go.
 2. lines: lines that repeat an earlier line, or are one word away from it, go; documents stay.
-3. near_duplicates: of documents whose fingerprints over runs of five words are linked, the one with the smallest id stays.
+3. near_duplicates: of documents linked by a resemblance of 0.8 or more over runs of five words, the smallest id stays;
+   candidates come from SimHash links and words of minima, and are verified on the shingles.
 4. decontaminate: documents with a passage of the benchmark go.
 5. packing: the rest is cut and packed into sequences of 1024 tokens; a row per piece.
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from photonloom.llm import decontaminate, lines, packing, quality, simhash
+from photonloom.llm import decontaminate, lines, packing, quality, resemblance
 from photonloom.llm.common import prepare, stored, table, tokenizer_path
 
 SHINGLE = 5
@@ -31,7 +32,7 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return simhash.one_of_each(docs, SHINGLE)
+    return resemblance.one_of_each(docs, SHINGLE)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

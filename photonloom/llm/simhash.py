@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonloom.llm.common import packed, stored, unpacked
+from photonloom.llm.common import stored
 from photonloom.llm.components import roots
 
 BITS, SEED, SHINGLE, DISTANCE = 64, 42, 3, 2
@@ -38,15 +38,20 @@ PAIR_LIMIT = 200
 CHUNK = 1 << 16
 
 
-def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
-    """Signed 64-bit fingerprint of a word sequence; zero without words."""
+def gram_hashes(words: list[bytes], shingle: int = SHINGLE) -> bytes:
+    """Hashes of all shingles, eight bytes each, most significant first; none without words."""
     import xxhash
 
     if not words:
-        return 0
+        return b""
     grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    n, ones, digest = 0, np.zeros(BITS, np.int64), xxhash.xxh64_digest
-    hashes = b"".join([digest(g, SEED) for g in grams])  # eight bytes each, most significant first
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(g, SEED) for g in grams])
+
+
+def bits_of(hashes: bytes) -> int:
+    """Signed 64-bit fingerprint: the bits set in over half the hashes."""
+    n, ones = 0, np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 8 * CHUNK):
         bits = np.unpackbits(np.frombuffer(hashes[at:at + 8 * CHUNK], np.uint8).reshape(-1, 8), axis=1)
         n += len(bits)
@@ -54,6 +59,11 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
+def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
+    """Signed 64-bit fingerprint of a word sequence; zero without words."""
+    return bits_of(gram_hashes(words, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp of every row: A-Z in lower case, words between ASCII white space."""
     def run(batches):
@@ -190,9 +200,3 @@ def components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
 def summary(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The document with the smallest id of each component, all columns kept; rows that share an id stay or go together."""
-    ids = components(docs, shingle, distance).select("doc_id", "component_id").distinct().where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"))
-    rows = packed(docs).withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).join(ids, "_doc", "left_semi")
-    return unpacked(rows, docs.columns)
