@@ -65,7 +65,7 @@ def stage_summary(df: DataFrame, keys: Sequence[str], stats: Sequence[Column], p
     """Counts and scalar statistics of a stage, optionally written as JSON."""
     out = df.groupBy(*keys).agg(*stats)
     if path:
-        guarded_write(out.coalesce(1), path, root or path, fmt="json")
+        guarded_write(out, path, root or path, fmt="json")
     return out
 
 
