@@ -113,24 +113,20 @@ def holm(df: DataFrame, keys: Sequence[str], p: str, tie: Sequence[str], bound:
 
 
 def one_standard_error(losses: DataFrame, keys: Sequence[str], model: str, obj: str, complexity: DataFrame) -> DataFrame:
-    """Per key and model the mean loss, paired difference to the best, its standard error, and the simplest model within
-    one standard error. Models of an object sit in one row (a few columns), so the pairing needs no self-join of the table."""
-    names = [r[0] for r in complexity.select(model).distinct().limit(1001).collect()]
-    wide = losses.groupBy(*keys, obj).pivot(model, names).agg(F.first("loss"))
-    aggs = [F.avg(m).alias(f"m_{m}") for m in names] + [F.count("*").alias("_n")]
-    aggs += [F.avg(F.col(a) - F.col(b)).alias(f"d_{a}_{b}") for a in names for b in names]
-    aggs += [F.stddev_samp(F.col(a) - F.col(b)).alias(f"s_{a}_{b}") for a in names for b in names]
-    row = wide.groupBy(*keys).agg(*aggs)
-    best = F.array_min(F.array(*[F.struct(F.col(f"m_{m}").alias("v"), F.lit(m).alias("m")) for m in names]))["m"]
-    row = row.withColumn("best", best)
-    entries = []
-    for m in names:
-        d, s = F.lit(None).cast("double"), F.lit(None).cast("double")
-        for b in names:
-            d = F.when(F.col("best") == b, F.col(f"d_{m}_{b}")).otherwise(d)
-            s = F.when(F.col("best") == b, F.col(f"s_{m}_{b}")).otherwise(s)
-        entries.append(F.struct(F.lit(m).alias(model), F.col(f"m_{m}").alias("criterion"), d.alias("difference"), (s / F.sqrt("_n")).alias("std_error")))
-    long = row.select(*keys, "best", F.explode(F.array(*entries)).alias("e")).select(*keys, "best", "e.*").join(complexity, model)
+    """Per key and model the mean loss, paired difference to the best, its standard error over the objects that have both,
+    and the simplest model within one standard error. Any number of models: the best's losses come by a window over the
+    models of one object."""
+    own = losses.groupBy(*keys, obj, model).agg(F.first("loss").alias("loss")).join(complexity.select(model), model)
+    mean = own.groupBy(*keys, model).agg(F.avg("loss").alias("_m")).where("_m IS NOT NULL")
+    best = mean.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min_by(model, F.struct("_m", model)).alias("best"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    paired = own.join(best, same).drop(*[f"_{k}" for k in keys])
+    d = F.col("loss") - F.max(F.when(F.col(model) == F.col("best"), F.col("loss"))).over(W.partitionBy(*keys, obj))
+    long = (paired.withColumn("_d", d).groupBy(*keys, "best", model)
+            .agg(F.avg("loss").alias("criterion"), F.avg("_d").alias("difference"), (F.stddev_samp("_d") / F.sqrt(F.count("_d"))).alias("std_error"))
+            .join(complexity, model))
     long = long.withColumn("within", (F.col(model) == F.col("best")) | (F.col("difference") <= F.col("std_error")))
     pick = F.min_by(F.col(model), F.when(F.col("within"), F.struct("complexity", "criterion"))).over(W.partitionBy(*keys))
     return long.withColumn("chosen", F.col(model) == pick)
