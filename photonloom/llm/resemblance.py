@@ -4,9 +4,9 @@ A SimHash of 64 bits cannot find these alone: at a resemblance of 0.8 two finger
 20, and no split of 64 bits into partitions with thresholds that sum to 20 is selective. So candidates come from two
 fingerprints, by the same rule that a similar pair agrees in some partition: the SimHash within `distance` bits
 (simhash.links), and BANDS words of ROWS minima each, every word a partition with threshold zero. A pair at the
-threshold shares a word with probability 1 - (1 - 0.8 ** 5) ** 20 = 0.9996. Candidates more than FAR_BITS apart by SimHash
-are dropped (five standard deviations from the mean at the threshold), all others are verified on the shingles themselves,
-hashed to 32 bits.
+threshold shares a word with probability 1 - (1 - 0.8 ** 5) ** 20 = 0.9996. Candidates are verified on the shingles
+themselves, hashed to 32 bits. Only exact bounds on these sets drop one before: their sizes, and PARITY bits, of which bit i
+tells whether an odd number of hashes ends in i; sets differ in at least as many hashes as their parities in bits.
 
 Copies, by their words, are one node. Every member of a bucket is first held against the bucket's smallest one; pairs
 whose ends are then in one group need no verifying, so a dense group costs its size, not its square. Buckets of up to
@@ -31,7 +31,7 @@ from photonloom.llm.simhash import DISTANCE, NO_ID, bits_of, gram_hashes, links
 
 THRESHOLD = (4, 5)  # as a ratio of whole numbers
 SHINGLE, BANDS, ROWS = 5, 20, 5
-FAR_BITS = 26
+PARITY = 256
 PAIR_LIMIT = 64
 #: Pairs that read one document's shingles from one copy.
 SHARE = 2000
@@ -55,13 +55,20 @@ def words_of_minima(hashes: np.ndarray) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(data[i].tobytes(), i)).astype(np.int64)) for i in range(BANDS)]
 
 
+def parity_of(grams: np.ndarray) -> list[int]:
+    """PARITY bits as signed 64-bit words: bit i is the parity of the number of hashes that end in i."""
+    odd = np.bincount(grams & np.uint32(PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
+
+
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Stored: doc_id, text_key, node (a hash of the words), fp, bands, grams (sorted 32-bit hashes) of every row."""
+    """Stored: doc_id, text_key, node (a hash of the words), fp, bands, size, odd (the parity), grams (sorted 32-bit hashes) of every
+    row."""
     import xxhash
 
     def run(batches):
         for b in batches:
-            nodes, fps, bands, grams = [], [], [], []
+            nodes, fps, bands, sizes, odd, grams = [], [], [], [], [], []
             for t in b.column(2).cast(pa.binary()):
                 words = (t.as_buffer().to_pybytes() if t.is_valid else b"").lower().split()
                 digests = gram_hashes(words, shingle)
@@ -69,16 +76,23 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 nodes.append(int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 1)).astype(np.int64)))
                 fps.append(bits_of(digests))
                 bands.append(words_of_minima(unique))
-                grams.append(np.unique((unique >> np.uint64(32)).astype("<u4")).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(grams, pa.binary())],
-                                             names=["doc_id", "text_key", "node", "fp", "bands", "grams"])
+                own = np.unique((unique >> np.uint64(32)).astype("<u4"))
+                sizes.append(len(own))
+                odd.append(parity_of(own))
+                grams.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(grams, pa.binary())],
+                                             names=["doc_id", "text_key", "node", "fp", "bands", "size", "odd", "grams"])
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    return stored(rows.mapInArrow(run, "doc_id bigint, text_key bigint, node bigint, fp bigint, bands array<bigint>, grams binary"), "sketches")
+    return stored(rows.mapInArrow(run, "doc_id bigint, text_key bigint, node bigint, fp bigint, bands array<bigint>, size int, odd array<bigint>, grams binary"), "sketches")
 
 
 def _close() -> Column:
-    return F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= FAR_BITS
+    """False only for pairs (nu, ou), (nv, ov) of sizes and parities that cannot reach the threshold: at resemblance r sets
+    differ in (1 - r) / (1 + r) of the sum of their sizes."""
+    num, den = THRESHOLD
+    apart = sum((F.bit_count(F.col("ou")[i].bitwiseXOR(F.col("ov")[i])) for i in range(PARITY // 64)), F.lit(0))
+    return (F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num) & (apart * (den + num) <= (F.col("nu") + F.col("nv")) * (den - num))
 
 
 def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
@@ -106,9 +120,9 @@ def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def _held_against(buckets: DataFrame, pick) -> DataFrame:
-    """(u, v): each member (key, node, fp) and the one that `pick` takes of its bucket."""
-    one = stored(buckets.groupBy("key").agg(pick(F.struct("node", "fp")).alias("r")), "picked")
-    return buckets.join(one.hint("merge"), "key").where("node <> r.node").select(F.col("node").alias("u"), F.col("r.node").alias("v"), F.col("fp").alias("fu"), F.col("r.fp").alias("fv")).where(_close()).select("u", "v")
+    """(u, v): each member (key, node, size, odd) and the one that `pick` takes of its bucket."""
+    one = stored(buckets.groupBy("key").agg(pick(F.struct("node", "size", "odd")).alias("r")), "picked")
+    return buckets.join(one.hint("merge"), "key").where("node <> r.node").select(F.col("node").alias("u"), F.col("r.node").alias("v"), F.col("size").alias("nu"), F.col("odd").alias("ou"), F.col("r.size").alias("nv"), F.col("r.odd").alias("ov")).where(_close()).select("u", "v")
 
 
 def _of_more_groups(buckets: DataFrame) -> DataFrame:
@@ -117,19 +131,19 @@ def _of_more_groups(buckets: DataFrame) -> DataFrame:
 
 
 def _pairs(buckets: DataFrame) -> DataFrame:
-    v = buckets.select("key", F.col("node").alias("v"), F.col("fp").alias("fv"), F.col("root").alias("rv"))
-    u = buckets.select("key", F.col("node").alias("u"), F.col("fp").alias("fu"), F.col("root").alias("ru"))
+    v = buckets.select("key", F.col("node").alias("v"), F.col("size").alias("nv"), F.col("odd").alias("ov"), F.col("root").alias("rv"))
+    u = buckets.select("key", F.col("node").alias("u"), F.col("size").alias("nu"), F.col("odd").alias("ou"), F.col("root").alias("ru"))
     return u.join(v.hint("merge"), "key").where("u < v AND ru <> rv").where(_close()).select("u", "v")
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, text_key and component_id, the smallest id of the group, of every row."""
     rows = sketches(docs, shingle)
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "text_key")).alias("at")), "nodes")
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("size").alias("size"), F.min("odd").alias("odd"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "text_key")).alias("at")), "nodes")
     grams = rows.join(nodes.select("node", "at"), "node").where((F.coalesce("doc_id", F.lit(NO_ID)) == F.col("at.d")) & (F.col("text_key") == F.col("at.text_key"))).select("node", "grams").dropDuplicates(["node"])
-    each = nodes.select("node", "fp", "bands", F.explode("bands").alias("key"))
+    each = nodes.select("node", "size", "odd", "bands", F.explode("bands").alias("key"))
     shared = stored(nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    buckets = stored(each.join(shared.hint("merge"), "key").select("key", "n", "node", "fp", "bands"), "buckets")
+    buckets = stored(each.join(shared.hint("merge"), "key").select("key", "n", "node", "size", "odd", "bands"), "buckets")
 
     # By SimHash: equal fingerprints, and those within the distance, through the smallest node of each.
     of_fp = stored(nodes.where("size(bands) > 0").groupBy("fp").agg(F.min("node").alias("v")), "fingerprints")
@@ -153,7 +167,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) ->
             more = more.unionByName(_held_against(large, F.max))
         found = more if found is None else found.unionByName(more)
         if step < 2:  # members of a large bucket that share another word too
-            rooted = stored(large.select(F.col("key").alias("old"), "node", "fp", "bands", "root", F.explode("bands").alias("other")).where("other <> old").select(F.xxhash64("old", "other").alias("key"), "node", "fp", "bands", "root"), "split").withColumn("n", F.lit(0))
+            rooted = stored(large.select(F.col("key").alias("old"), "node", "size", "odd", "bands", "root", F.explode("bands").alias("other")).where("other <> old").select(F.xxhash64("old", "other").alias("key"), "node", "size", "odd", "bands", "root"), "split").withColumn("n", F.lit(0))
     more = verified(ordered(found), grams)
     root = roots(edges.unionByName(more)).select(F.col("u").alias("node"), "root")
     of = nodes.select("node", "first_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))

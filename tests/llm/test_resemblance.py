@@ -57,3 +57,13 @@ def test_one_of_each_keeps_columns_and_nulls(spark):
     kept = resemblance.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or -1, r.node or "") for r in kept.collect()) == [(-1, "d"), (3, "a"), (9, "")]
+
+
+def test_repeats_in_a_line_do_not_hide_a_link(spark):
+    rng = random.Random(43)
+    words = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + words[:6] * 50))]
+    prints = [resemblance.bits_of(resemblance.gram_hashes(t.encode().split(), 5)) for _, t in rows]
+    assert ((prints[0] ^ prints[1]) % (1 << 64)).bit_count() > 26 and set(_expected(rows).values()) == {1}
+    got = resemblance.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == _expected(rows)
