@@ -9,9 +9,11 @@ themselves, hashed to 32 bits. Only exact bounds on these sets drop one before:
 tells whether an odd number of hashes ends in i; sets differ in at least as many hashes as their parities in bits.
 
 Copies, by their words, are one node. Every member of a bucket is first held against the bucket's smallest one; pairs
-whose ends are then in one group need no verifying, so a dense group costs its size, not its square. Buckets of up to
-PAIR_LIMIT members pair the rest; larger ones are split by their members' other words, twice, down to the limit, and what
-is still larger is held against its largest member.
+whose ends are then in one group need no verifying, so a dense group costs its size, not its square. A bucket that is left
+with several groups is cut into blocks of about PAIR_LIMIT members by a hash. Pairs within blocks come first, then blocks
+against blocks in rounds of doubling reach, of STEP distances between blocks at most; after each round groups that met are
+one. A bucket is done when it has one group or all its blocks have met, so that no pair of different groups that share a
+word is left unverified.
 
 Defined results: texts with fewer words than a shingle are one shingle; null, empty and wordless texts are copies of each
 other and resemble nothing else; null ids take part and are never the smallest; rows that share id and text are decided
@@ -33,6 +35,8 @@ THRESHOLD = (4, 5)  # as a ratio of whole numbers
 SHINGLE, BANDS, ROWS = 5, 20, 5
 PARITY = 256
 PAIR_LIMIT = 64
+#: Distances between blocks that are paired in one round: bounds its rows, not the work.
+STEP = 64
 #: Pairs that read one document's shingles from one copy.
 SHARE = 2000
 #: Shingles whose minima are taken at once, so that a very long text needs no more memory.
@@ -125,15 +129,21 @@ def _held_against(buckets: DataFrame, pick) -> DataFrame:
     return buckets.join(one.hint("merge"), "key").where("node <> r.node").select(F.col("node").alias("u"), F.col("r.node").alias("v"), F.col("size").alias("nu"), F.col("odd").alias("ou"), F.col("r.size").alias("nv"), F.col("r.odd").alias("ov")).where(_close()).select("u", "v")
 
 
-def _of_more_groups(buckets: DataFrame) -> DataFrame:
-    """(key, n) of the buckets whose members are in several groups."""
-    return stored(buckets.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n"), "mixed")
+def _open(buckets: DataFrame, root: DataFrame, first: int) -> DataFrame:
+    """Stored: the buckets whose members are in several groups and have blocks `first` or more apart, with each member's
+    root, its block and the number of blocks. Whole buckets stay or go, so a member's block never changes."""
+    rooted = stored(buckets.join(root.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b")
+    mixed = stored(mixed.select("key", F.ceil(F.col("n") / PAIR_LIMIT).cast("int").alias("blocks")).where(F.floor(F.col("blocks") / 2) >= first), "mixed")
+    return stored(rooted.join(mixed.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "open")
 
 
-def _pairs(buckets: DataFrame) -> DataFrame:
-    v = buckets.select("key", F.col("node").alias("v"), F.col("size").alias("nv"), F.col("odd").alias("ov"), F.col("root").alias("rv"))
-    u = buckets.select("key", F.col("node").alias("u"), F.col("size").alias("nu"), F.col("odd").alias("ou"), F.col("root").alias("ru"))
-    return u.join(v.hint("merge"), "key").where("u < v AND ru <> rv").where(_close()).select("u", "v")
+def _pairs(members: DataFrame, first: int, stop: int) -> DataFrame:
+    """(u, v) of different groups whose blocks are `first` to `stop` - 1 apart, counted round the ring of the bucket's blocks."""
+    each = members.withColumn("apart", F.explode(F.sequence(F.lit(first), F.least(F.lit(stop - 1), F.floor(F.col("blocks") / 2).cast("int")))))
+    v = each.select("key", "apart", F.pmod(F.col("block") - F.col("apart"), F.col("blocks")).alias("block"), F.col("node").alias("v"), F.col("size").alias("nv"), F.col("odd").alias("ov"), F.col("root").alias("rv"))
+    u = each.select("key", "apart", "block", F.col("node").alias("u"), F.col("size").alias("nu"), F.col("odd").alias("ou"), F.col("root").alias("ru"))
+    return u.join(v.hint("merge"), ["key", "apart", "block"]).where("(apart > 0 OR u < v) AND ru <> rv").where(_close()).select("u", "v")
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -141,9 +151,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) ->
     rows = sketches(docs, shingle)
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("size").alias("size"), F.min("odd").alias("odd"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "text_key")).alias("at")), "nodes")
     grams = rows.join(nodes.select("node", "at"), "node").where((F.coalesce("doc_id", F.lit(NO_ID)) == F.col("at.d")) & (F.col("text_key") == F.col("at.text_key"))).select("node", "grams").dropDuplicates(["node"])
-    each = nodes.select("node", "size", "odd", "bands", F.explode("bands").alias("key"))
-    shared = stored(nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    buckets = stored(each.join(shared.hint("merge"), "key").select("key", "n", "node", "size", "odd", "bands"), "buckets")
+    each = nodes.select("node", "size", "odd", F.explode("bands").alias("key"))
+    shared = stored(nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    buckets = stored(each.join(shared.hint("merge"), "key").select("key", "node", "size", "odd"), "buckets")
 
     # By SimHash: equal fingerprints, and those within the distance, through the smallest node of each.
     of_fp = stored(nodes.where("size(bands) > 0").groupBy("fp").agg(F.min("node").alias("v")), "fingerprints")
@@ -153,23 +163,14 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) ->
     ordered = lambda p: p.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = verified(ordered(same.unionByName(near)).unionByName(ordered(_held_against(buckets, F.min))), grams)
 
-    # What is left: buckets with members of several groups.
-    root = stored(roots(edges), "roots")
-    rooted = buckets.join(root.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = stored(rooted, "rooted")
-    found = None
-    for step in range(3):
-        mixed = _of_more_groups(rooted)
-        open_rows = stored(rooted.drop("n").join(mixed.hint("merge"), "key"), "open")
-        more = _pairs(open_rows.where(F.col("n") <= PAIR_LIMIT))
-        large = open_rows.where(F.col("n") > PAIR_LIMIT)
-        if step == 2:
-            more = more.unionByName(_held_against(large, F.max))
-        found = more if found is None else found.unionByName(more)
-        if step < 2:  # members of a large bucket that share another word too
-            rooted = stored(large.select(F.col("key").alias("old"), "node", "size", "odd", "bands", "root", F.explode("bands").alias("other")).where("other <> old").select(F.xxhash64("old", "other").alias("key"), "node", "size", "odd", "bands", "root"), "split").withColumn("n", F.lit(0))
-    more = verified(ordered(found), grams)
-    root = roots(edges.unionByName(more)).select(F.col("u").alias("node"), "root")
+    # What is left: buckets with members of several groups, until all their blocks have met.
+    root, first, stop = stored(roots(edges), "roots"), 0, 1
+    while not (left := _open(buckets, root, first)).isEmpty():
+        more = verified(ordered(_pairs(left, first, stop)), grams)
+        root = stored(roots(root.select("u", F.col("root").alias("v")).unionByName(more)), "roots")
+        buckets = left.select("key", "node", "size", "odd")
+        first, stop = stop, min(2 * stop, stop + STEP)
+    root = root.select(F.col("u").alias("node"), "root")
     of = nodes.select("node", "first_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of = stored(of, "rooted-nodes")
     lowest = of.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from photonloom.llm import resemblance
 
@@ -67,3 +68,14 @@ def test_repeats_in_a_line_do_not_hide_a_link(spark):
     assert ((prints[0] ^ prints[1]) % (1 << 64)).bit_count() > 26 and set(_expected(rows).values()) == {1}
     got = resemblance.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == _expected(rows)
+
+
+@pytest.mark.parametrize("limit", [64, 8])
+def test_links_within_one_large_bucket(spark, monkeypatch, limit):
+    """All texts share one word of minima and no other, as a large family of near copies may."""
+    rows = [(i, t) for i, t in _corpus() if t and len(t.split()) > 2]
+    alone = resemblance.sketches
+    monkeypatch.setattr(resemblance, "sketches", lambda *a: alone(*a).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(resemblance, "PAIR_LIMIT", limit)
+    got = resemblance.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == _expected(rows)
