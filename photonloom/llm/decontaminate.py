@@ -79,14 +79,15 @@ def phrase_matches(postings: DataFrame, windows: DataFrame, terms: DataFrame) ->
         own = places.where(F.col("place") == place).select("term", "wid", "off", "size")
         return postings.join(own, "term").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"), "text_key", "wid", (F.col("pos") - F.col("off")).alias("start"), "size").where("start >= 0")
 
-    rarest = shifted(1)
-    both = stored(rarest.where("size > 1").join(shifted(2).drop("size"), key).unionByName(rarest.where("size = 1")), "rarest")
+    # Rows that share id and text have each posting several times.
+    rarest = shifted(1).dropDuplicates(key)
+    both = stored(rarest.where("size > 1").join(shifted(2).select(*key).distinct(), key).unionByName(rarest.where("size = 1")), "rarest")
     # The other words, in the documents that are left: at each place of a candidate its word is looked up.
     asked = both.join(places.where("place > 2").drop("size"), "wid").select(*key, "size", (F.col("start") + F.col("off")).alias("pos"), "term")
     docs = small(both.select("_doc", "text_key").distinct())
     there = postings.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"), "text_key", "pos", "term").join(docs, ["_doc", "text_key"], "left_semi").distinct()
     held = asked.join(there, ["_doc", "text_key", "pos", "term"]).groupBy(*key, "size").agg(F.count("*").alias("n")).where("n = size - 2").drop("n")
-    return held.select(*key, "size").unionByName(both.where("size <= 2").select(*key, "size").distinct())
+    return held.select(*key, "size").unionByName(both.where("size <= 2").select(*key, "size"))
 
 
 def near(postings: DataFrame, windows: DataFrame, terms: DataFrame, span: int) -> DataFrame:

@@ -313,6 +313,15 @@ def test_contamination(spark, docs, texts):
     assert got == brute_hits(rows, bench)
 
 
+def test_contamination_of_rows_of_one_id_and_text(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    docs = frame(spark, [(1, text), (1, text), (None, text), (None, text), (None, text), (2, text), (3, "clean")])
+    bench = spark.createDataFrame([(1, " ".join(text.split()[5:15])), (2, "word20 word21"), (3, "word29")], "item_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.n_hit, r.n_items) for r in decontaminate.summary(docs, bench).collect())
+    assert got == [(0, 13, 3)] * 3 + [(1, 13, 3)] * 2 + [(2, 13, 3), (3, 0, 0)]
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [3]
+
+
 def test_proximity(spark):
     docs, bench = frame(spark, [(1, "alpha x beta y gamma"), (2, "gamma alpha " + "x " * 30 + "beta")]), spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string")
     windows = decontaminate.item_windows(bench)
