@@ -5,8 +5,8 @@ super-k-mer, which travels once, as its words in one string, to the bucket of it
 minimisers and meet there. A bucket sorts its windows by a hash of their words, compares the words of equal hashes and
 keeps the earliest; all others are removed. Words are compared themselves, so the result is exact.
 
-A task sends each distinct string once: a later copy within the task is a repeat of the first, whatever the other tasks
-hold, so its words are reported at once, dealt by document and not by minimiser. A passage that a third of all documents
+A task sends each distinct string once: a copy within the task that is later than the first by (doc_id, start) is a repeat
+of it, whatever the other tasks hold, so its words are reported at once, dealt by document and not by minimiser. A passage that a third of all documents
 share so arrives in its bucket a few times per task, not once per document. The number of buckets follows the bytes of
 text, so that a bucket's size doesn't grow with the input.
 
@@ -114,25 +114,28 @@ def _cut(docs: list[tuple[int, int, bytes]], n_buckets: int, window: int, gram:
     upto = np.concatenate([[0], np.cumsum(valid)])
     count = upto[stop] - upto[first]
     bucket = (least[first] % np.uint64(n_buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    first, count, bucket = first[order], count[order], bucket[order]
-    a, z = begin[first].tolist(), (np.append(begin, len(plain))[first + count + window - 1] - 1).tolist()
     doc_first = np.searchsorted(of, np.arange(len(docs)), "left")
     ids, keys = np.array([d[0] for d in docs], np.int64)[of[first]], np.array([d[1] for d in docs], np.int64)[of[first]]
     start = (first - doc_first[of[first]]).astype(np.int32)
+    order = np.lexsort((keys, start, ids, bucket))  # within a bucket in corpus order
+    first, count, bucket, ids, keys, start = (x[order] for x in (first, count, bucket, ids, keys, start))
+    a, z = begin[first].tolist(), (np.append(begin, len(plain))[first + count + window - 1] - 1).tolist()
     count = count.astype(np.int32)
     packer, later = zstandard.ZstdCompressor(level=3), []
     bounds = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
     for lo, hi in zip(bounds, [*bounds[1:], len(bucket)]):
         strings = [plain[x:y] for x, y in zip(a[lo:hi], z[lo:hi])]
-        kept = dict.fromkeys(strings)
         which = np.arange(lo, hi)
-        if len(kept) < len(strings):
+        if len(set(strings)) < len(strings):
             seen: dict[bytes, int] = {}
-            lead = np.array([seen.setdefault(s, i) == i for i, s in enumerate(strings)])
-            later.append(which[~lead])
-            which = which[lead]
-        yield int(bucket[lo]), ids[which].tobytes(), keys[which].tobytes(), start[which].tobytes(), count[which].tobytes(), packer.compress(b"\n".join(kept))
+            lead = np.array([seen.setdefault(s, i) for i, s in enumerate(strings)]) + lo
+            equal = (ids[which] == ids[lead]) & (start[which] == start[lead])  # of equal rank: no repeat of the first
+            later.append(which[~equal])
+            twin = np.zeros(len(which), bool)
+            twin[1:] = (lead[1:] == lead[:-1]) & (keys[lo + 1:hi] == keys[lo:hi - 1])
+            which = which[equal & ~twin]  # rows that share id and text send it once
+            strings = [strings[i - lo] for i in which.tolist()]
+        yield int(bucket[lo]), ids[which].tobytes(), keys[which].tobytes(), start[which].tobytes(), count[which].tobytes(), packer.compress(b"\n".join(strings))
     if later:  # repeats within the task: dealt by document, without strings
         which = np.concatenate(later)
         which = which[np.lexsort((start[which], keys[which], ids[which]))]

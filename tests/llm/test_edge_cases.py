@@ -95,6 +95,15 @@ def test_rows_of_one_id_and_text_do_not_remove_each_other(spark):
     assert [r.n_dropped for r in lines.summary(twins).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("parts", [1, 9])
+def test_rows_of_one_id_in_one_task(spark, parts):
+    """Rows that share id and text, or an id and a passage at one place, are of equal rank, however they are dealt."""
+    rows = [(3, PASSAGE), (3, PASSAGE), (None, "n " + PASSAGE), (None, "n " + PASSAGE), (7, PASSAGE + " of another end"), (7, PASSAGE), (2, "x y " + PASSAGE), (2, "z " + PASSAGE), (1, " ".join(f"other{i}" for i in range(30)))]
+    for rows, want in ((rows[:2], [(3, 0)] * 2), (rows[4:6], [(7, 0)] * 2), (rows[6:8], [(2, 0), (2, 40)]), (rows, [(0, 0)] * 2 + [(1, 0)] + [(2, 40)] * 2 + [(3, 40)] * 2 + [(7, 40)] * 2)):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(9).coalesce(parts)
+        assert sorted((r.doc_id or 0, r.n_removed) for r in substrings.summary(docs).collect()) == want
+
+
 def test_lines_of_odd_rows(odd):
     got = {}
     for r in lines.summary(odd).collect():
