@@ -57,6 +57,8 @@ def encode_passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     wide = data.astype(np.int64)
     if len(data) > 2:
         gram[2:] = (wide[:-2] * 7919 + wide[1:-1] * 263 + wide[2:]) * 40503 >> 7 & BUCKETS - 1
+        for k in (0, 1):  # no trigram ends there, whatever text the batch has before
+            gram[at[lens > k] + k] = 0
     hist = np.bincount(passage * BUCKETS + gram, minlength=total * BUCKETS).reshape(total, BUCKETS) / np.maximum(size, 1)[:, None]
     peak = -(hist * np.log(np.maximum(hist, 1e-9))).sum(1)
     return np.column_stack([share, np.log1p(size) / 7, peak / 5, hist.max(1), np.sqrt(hist)]).astype(np.float32), n

@@ -181,6 +181,13 @@ def test_quality_gradients():
         assert abs((loss(w | {k: up}) - loss(w | {k: down})) / 2e-6 - g[at]) < 1e-6
 
 
+def test_features_do_not_depend_on_the_row_before():
+    texts = [b"", b"a", b"bc", b"some words of a text", b"x" * 3000]
+    every, n = quality.encode_passages([b"zz before", *texts])
+    apart = [quality.encode_passages([t])[0] for t in texts]
+    assert np.array_equal(every[n[0]:], np.concatenate(apart))
+
+
 # --- near duplicates
 def brute_components(fps, distance=2):
     ids, parent = sorted(fps), {}
