@@ -6,9 +6,11 @@ minimisers and meet there. A bucket sorts its windows by a hash of their words,
 keeps the earliest; all others are removed. Words are compared themselves, so the result is exact.
 
 A task sends each distinct string once: a copy within the task that is later than the first by (doc_id, start) is a repeat
-of it, whatever the other tasks hold, so its words are reported at once, dealt by document and not by minimiser. A passage that a third of all documents
-share so arrives in its bucket a few times per task, not once per document. The number of buckets follows the bytes of
-text, so that a bucket's size doesn't grow with the input.
+of it, whatever the other tasks hold, so its words are reported at once, dealt by document and not by minimiser. A passage
+that a third of all documents share so arrives in its bucket a few times per task, not once per document. The number of
+buckets follows the bytes of text, and the windows of a hot minimiser, one with more text than a bucket should have, travel
+singly, each to the bucket of its own hash: equal windows still meet, and a phrase that many documents have between different
+words is dealt over all buckets. Hot ones are counted on a sample of about SAMPLE_BYTES; only costs depend on it.
 
 Defined results: a null text has no words; windows compare by (doc_id, start), null ids first; rows that share id and
 text stay alike; rows that share an id only are separate documents of equal rank; an empty table gives no rows; other
@@ -24,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonloom.llm.common import doc_key
+from photonloom.llm.common import doc_key, stored
 
 WINDOW, GRAM = 20, 4
 #: Text bytes that a task cuts at once, and text bytes per bucket: bounds on memory, not on the work.
 FLUSH_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+#: Text bytes in which hot minimisers are counted, in the order of a hash, and the fewest runs that make one hot.
+SAMPLE_BYTES, LEAST_RUNS = 64 << 20, 32
 NO_ID = -(1 << 63)
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SENT = "bucket int, docs binary, text_keys binary, starts binary, counts binary, strings binary"
@@ -87,17 +91,16 @@ def _lowest(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(values[:len(values) - (n - width)], values[n - width:]) if n > width else values
 
 
-def _cut(docs: list[tuple[int, int, bytes]], n_buckets: int, window: int, gram: int):
-    """Rows to send for some documents (id, text key, text)."""
+def _windows(texts: list[bytes], window: int, gram: int):
+    """The words of some texts (bytes, where each begins), the text of each, their hashes and, for each window, its minimiser
+    and whether it lies in one text and is the first of a run with one minimiser there; none without windows."""
     import xxhash
-    import zstandard
 
-    docs.sort(key=lambda d: d[:2])
-    data = np.frombuffer(b" ".join(d[2] for d in docs) + b" ", np.uint8)
-    at = np.concatenate([[0], np.cumsum([len(d[2]) + 1 for d in docs])])
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     plain, begin, where = _words(data)
     if len(begin) < window:
-        return
+        return None
     of = np.searchsorted(at, where, "right") - 1
     coded = _coded(plain, begin)
     own = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))[coded.indices.to_numpy()]
@@ -107,13 +110,30 @@ def _cut(docs: list[tuple[int, int, bytes]], n_buckets: int, window: int, gram:
     valid = of[:n] == of[window - 1:]
     new = valid.copy()
     new[1:] &= ~(valid[:-1] & (least[1:n] == least[:n - 1]))
+    return plain, begin, of, own, least, valid, new
+
+
+def _cut(docs: list[tuple[int, int, bytes]], n_buckets: int, window: int, gram: int, hot: np.ndarray):
+    """Rows to send for some documents (id, text key, text)."""
+    import zstandard
+
+    docs.sort(key=lambda d: d[:2])
+    if (made := _windows([d[2] for d in docs], window, gram)) is None:
+        return
+    plain, begin, of, own, least, valid, new = made
+    n = len(valid)
+    single, to = np.isin(least, hot), least
+    if single.any():
+        new |= valid & single
+        with np.errstate(over="ignore"):
+            to = np.where(single, _mix(_rolled(own, window)), least)
     first = np.flatnonzero(new)
     if not len(first):
         return
     stop = np.append(first[1:], n)
     upto = np.concatenate([[0], np.cumsum(valid)])
     count = upto[stop] - upto[first]
-    bucket = (least[first] % np.uint64(n_buckets)).astype(np.int64)
+    bucket = (to[first] % np.uint64(n_buckets)).astype(np.int64)
     doc_first = np.searchsorted(of, np.arange(len(docs)), "left")
     ids, keys = np.array([d[0] for d in docs], np.int64)[of[first]], np.array([d[1] for d in docs], np.int64)[of[first]]
     start = (first - doc_first[of[first]]).astype(np.int32)
@@ -130,7 +150,8 @@ def _cut(docs: list[tuple[int, int, bytes]], n_buckets: int, window: int, gram:
             seen: dict[bytes, int] = {}
             lead = np.array([seen.setdefault(s, i) for i, s in enumerate(strings)]) + lo
             equal = (ids[which] == ids[lead]) & (start[which] == start[lead])  # of equal rank: no repeat of the first
-            later.append(which[~equal])
+            if not equal.all():
+                later.append(which[~equal])
             twin = np.zeros(len(which), bool)
             twin[1:] = (lead[1:] == lead[:-1]) & (keys[lo + 1:hi] == keys[lo:hi - 1])
             which = which[equal & ~twin]  # rows that share id and text send it once
@@ -139,14 +160,41 @@ def _cut(docs: list[tuple[int, int, bytes]], n_buckets: int, window: int, gram:
     if later:  # repeats within the task: dealt by document, without strings
         which = np.concatenate(later)
         which = which[np.lexsort((start[which], keys[which], ids[which]))]
-        to = (keys[which].view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
-        for b in np.unique(to).tolist():
-            w = which[to == b]
+        d, k, s = ids[which], keys[which], start[which]
+        alike = (d[1:] == d[:-1]) & (k[1:] == k[:-1])
+        which = which[np.append(True, ~(alike & (s[1:] == s[:-1])))]  # rows that share id and text report once
+        d, k, s, c = ids[which], keys[which], start[which], count[which]
+        head = np.flatnonzero(np.append(True, ~((d[1:] == d[:-1]) & (k[1:] == k[:-1]) & (s[1:] == s[:-1] + c[:-1]))))
+        which = which[head]
+        count[which] = np.add.reduceat(c, head)  # runs of windows that follow one another are one
+        goal = (keys[which].view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
+        for b in np.unique(goal).tolist():
+            w = which[goal == b]
             yield int(b), ids[w].tobytes(), keys[w].tobytes(), start[w].tobytes(), count[w].tobytes(), None
 
 
+def hot_minimisers(docs: DataFrame, n_buckets: int, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """Minimisers that begin more runs of windows than a bucket should get, counted on a sample: fewer than n_buckets."""
+    per_million = min(1_000_000, -(-SAMPLE_BYTES * 1_000_000 // (n_buckets * BUCKET_BYTES)))
+
+    def run(batches):
+        for b in batches:
+            if (made := _windows([t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()], window, gram)) is not None:
+                keys, n = np.unique(made[4][made[6]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["least", "n"])
+
+    part = docs.where(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1_000_000)) < per_million)
+    runs = part.select("text").mapInArrow(run, "least bigint, n bigint").groupBy("least").agg(F.sum("n").alias("n"))
+    rows = stored(runs.groupBy(F.when(F.col("n") >= LEAST_RUNS, F.col("least")).alias("least")).agg(F.sum("n").alias("n")), "runs")  # null: all others
+    every = rows.agg(F.sum("n")).first()[0] or 0
+    rows = rows.where("least IS NOT NULL").where(F.col("n") * n_buckets > every).select("least").collect()  # fewer than n_buckets numbers
+    return np.array(sorted(r[0] for r in rows), np.int64).view(np.uint64)
+
+
 def super_kmers(docs: DataFrame, n_buckets: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Packed super-k-mers by bucket."""
+    hot = hot_minimisers(docs, n_buckets, window, gram)
+
     def rows(made):
         cols = list(zip(*made))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "docs", "text_keys", "starts", "counts", "strings"])
@@ -158,10 +206,10 @@ def super_kmers(docs: DataFrame, n_buckets: int, window: int = WINDOW, gram: int
                 held.append((NO_ID if i is None else i, k, t or b""))
                 size += len(held[-1][2])
                 if size >= FLUSH_BYTES:
-                    if made := list(_cut(held, n_buckets, window, gram)):
+                    if made := list(_cut(held, n_buckets, window, gram, hot)):
                         yield rows(made)
                     held, size = [], 0
-        if held and (made := list(_cut(held, n_buckets, window, gram))):
+        if held and (made := list(_cut(held, n_buckets, window, gram, hot))):
             yield rows(made)
 
     return docs.select(*doc_key(), "text").mapInArrow(run, _SENT)

@@ -259,6 +259,23 @@ def test_repeated_passages(spark, texts, monkeypatch):
     assert got == brute_repeats(rows, 20)
 
 
+def test_a_hot_minimiser_is_dealt_over_all_buckets(spark):
+    """A phrase with a low hash between different words: its windows are all different, and no bucket takes them all."""
+    rng = random.Random(4)
+    with np.errstate(over="ignore"):
+        phrase = min(([f"p{rng.randrange(10 ** 6)}" for _ in range(4)] for _ in range(3000)), key=lambda p: substrings._mix(substrings._rolled(np.array([xxhash.xxh64_intdigest(w) for w in p], np.uint64), 4))[0])
+    word = lambda: f"w{rng.randrange(10 ** 6)}"
+    rows = [(i, " ".join([*(word() for _ in range(30)), *phrase, *(word() for _ in range(30))])) for i in range(600)]
+    rows += [(1000 + i, "x " * (i % 3) + " ".join(rows[i][1].split()[15:50])) for i in range(50)]
+    load = collections.Counter()
+    for r in substrings.super_kmers(frame(spark, rows), 16).collect():
+        load[r.bucket] += int(np.frombuffer(r.counts, np.int32).sum())
+    assert max(load.values()) < 2 * sum(load.values()) / 16
+    for parts in (1, 5):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.summary(frame(spark, rows).repartition(parts)).collect()}
+        assert got == brute_repeats(rows, 20)
+
+
 def test_hash_collisions_are_resolved_by_words(monkeypatch):
     monkeypatch.setattr(substrings, "_rolled", lambda v, n: np.zeros(len(v) - n + 1, np.uint64))
     ids = np.array([1, 2, 3, 1, 2, 3, 9, 1, 2, 4], np.int32)
