@@ -6,7 +6,9 @@ words near a span adjust its score. Email, ip, card and phone spans that pass th
 does only near a context word.
 
 Positions come from splitting at the pattern: a match starts after the pieces and matches before it. Patterns are
-possessive and anchored at run starts, so that a text of one long run costs linear time.
+possessive and anchored at run starts, so that a text of one long run costs linear time. A bank account is looked for at
+each start of one, whatever follows: of the ends of its groups the one with the country's length counts, or for a country
+without a known length the last one that passes the check.
 
 Defined results: a null text is empty; repeated rows give repeated rows; an empty table gives no rows; other columns are
 kept by `find_spans` and ignored by `summary`.
@@ -28,7 +30,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
@@ -37,6 +39,10 @@ CONTEXT = {
     "iban": "(iban|account|bank|konto|compte|cuenta)", "ssn": r"(ssn|social|security|\bid\b|tax)",
 }
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.35}
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT",
+}
 CONTEXT_BONUS, MIN_SCORE, REACH = 0.3, 0.6, 40
 
 
@@ -50,6 +56,15 @@ def _mod97(m: Column) -> Column:
     return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step)
 
 
+def _account(m: Column) -> Column:
+    """The bank account that a candidate begins with, or null: up to the end of one of its groups."""
+    lengths = F.create_map(*[F.lit(x) for n, of in IBAN_LENGTHS.items() for c in of.split() for x in (c, n)])
+    ends = F.filter(F.sequence(F.lit(15), F.length(m)), lambda i: (i == F.length(m)) | (F.substring(m, i + 1, F.lit(1)) == " "))
+    ends = F.filter(ends, lambda i: let(F.length(F.regexp_replace(F.substring(m, F.lit(1), i), " ", "")), lambda n: (n >= 15) & (n == F.coalesce(lengths[F.substring(m, 1, 2)], n))))
+    good = F.filter(F.transform(ends, lambda i: F.substring(m, F.lit(1), i)), lambda p: _mod97(p) == 1)
+    return F.try_element_at(good, F.lit(-1))
+
+
 def _valid(kind: str, m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     if kind == "ip":
@@ -59,7 +74,7 @@ def _valid(kind: str, m: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(9, 15)
     if kind == "iban":
-        return _mod97(m) == 1
+        return m.isNotNull()
     return F.lit(True)
 
 
@@ -69,8 +84,11 @@ def _spans(kind: str, text: Column) -> Column:
 
     def placed(found: Column) -> Column:
         gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p).cast("long"))
-        both = let(gaps, lambda g: let(prefix_sums(F.transform(found, lambda m, i: g[i] + F.length(m))), lambda at: F.transform(found, lambda m, i: F.struct((at[i] + g[i]).alias("start"), m.alias("m")))))
-        near = lambda s: F.lower(F.substring(text, F.greatest(s["start"] - REACH + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(REACH)).cast("int")))
+        whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), _account) if kind == "iban" else found
+        both = let(gaps, lambda g: let(prefix_sums(F.transform(found, lambda m, i: g[i] + F.length(m))), lambda at: let(whole, lambda w: F.transform(found, lambda m, i: F.struct((at[i] + g[i]).alias("start"), w[i].alias("m"))))))
+        before = lambda s: F.substring(text, F.greatest(s["start"] - REACH + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(REACH)).cast("int"))
+        after = lambda s: F.substring(text, (s["start"] + F.length(s["m"]) + 1).cast("int"), F.lit(REACH))
+        near = lambda s: F.lower(F.concat_ws(" | ", before(s), after(s)))
         scored = F.transform(F.filter(both, lambda s: _valid(kind, s["m"])), lambda s: F.struct(
             s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("ord"), (s["start"] + F.length(s["m"])).alias("end"), F.lit(kind).alias("kind"),
             F.least(F.lit(1.0), SCORE[kind] + F.when(near(s).rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)).alias("score")))

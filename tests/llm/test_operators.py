@@ -80,6 +80,14 @@ def test_pii_added_spans(spark):
     assert pii.redact(pii.find_spans(frame(spark, [(1, "mail a@b.co now")]))).first().text == "mail [email] now"
 
 
+def test_pii_spans_end_where_they_should(spark):
+    uk, de = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
+    rows = [(1, f"{uk} BIC WESTGB2L"), (2, f"{uk} 00 2024"), (3, f"{uk} {de} X"), (4, "123-45-6789 is my social security number"), (5, f"no {uk[:-1]}3 BIC"), (6, "part 123-45-6789 of it"), (7, f"{uk} and so on")]
+    got = {r.doc_id: r.spans for r in pii.summary(frame(spark, rows)).collect()}
+    own = {i: [s for s in v.split(",") if s.split(":")[0] in ("iban", "ssn")] for i, v in got.items()}
+    assert own == {1: ["iban:0:27"], 2: ["iban:0:27"], 3: ["iban:0:27", "iban:28:50"], 4: ["ssn:0:11"], 5: [], 6: [], 7: ["iban:0:27"]}
+
+
 # --- tokens, packing, files
 ODD = ["a  b", "  lead", "trail ", "x \n y", "a\tb c", "", "<|endoftext|> hi", "a\n\nb c\n d", "don't 's 'S  x", "a\0 b\0c", "\n", " ", "日本 語 é ü", "a  b", "a b", "w\r\n next", None, "ab\u0085 c", "Ċ Ġ x", "12abc $%&***word", "é x", " x", "x\n"]
 
