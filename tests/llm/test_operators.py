@@ -271,7 +271,7 @@ def test_a_hot_minimiser_is_dealt_over_all_buckets(spark):
     """A phrase with a low hash between different words: its windows are all different, and no bucket takes them all."""
     rng = random.Random(4)
     with np.errstate(over="ignore"):
-        phrase = min(([f"p{rng.randrange(10 ** 6)}" for _ in range(4)] for _ in range(3000)), key=lambda p: substrings._mix(substrings._rolled(np.array([xxhash.xxh64_intdigest(w) for w in p], np.uint64), 4))[0])
+        phrase = min(([f"p{rng.randrange(10 ** 6)}" for _ in range(4)] for _ in range(3000)), key=lambda p: substrings._mix(substrings._rolled(np.array([xxhash.xxh64_intdigest(w + " ") for w in p], np.uint64), 4))[0])
     word = lambda: f"w{rng.randrange(10 ** 6)}"
     rows = [(i, " ".join([*(word() for _ in range(30)), *phrase, *(word() for _ in range(30))])) for i in range(600)]
     rows += [(1000 + i, "x " * (i % 3) + " ".join(rows[i][1].split()[15:50])) for i in range(50)]
