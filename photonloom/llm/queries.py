@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from photonloom.llm import decontaminate, lines, neighbours, orc_tokens, packing, pii, quality, sharding, simhash, substrings
+from photonloom.llm import conversations, decontaminate, lines, neighbours, orc_tokens, packing, pii, quality, resampling, sharding, simhash, statements, substrings, token_counts
 from photonloom.llm.common import table, tokenizer_path
 from photonloom.llm.registry import query
 
@@ -59,3 +59,18 @@ def op4_quality(spark, sf_dir):
 @query("op9_neighbours")
 def op9_neighbours(spark, sf_dir):
     return neighbours.summary(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_resampling", statements.OP11)
+def op11_resampling(spark, sf_dir):
+    return resampling.summary(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_conversations", statements.OP12)
+def op12_conversations(spark, sf_dir):
+    return conversations.summary(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark, sf_dir):
+    return token_counts.summary(table(spark, sf_dir, "documents"), tokenizer_path())
