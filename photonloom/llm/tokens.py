@@ -3,7 +3,7 @@
 Texts of natural language repeat their words. The tokenizer cuts a text into pieces first and encodes each piece alone;
 a piece never holds a non-space character before a space, so a text can be cut before each space that has no other white
 space beside it, and the ids of a text are those of its words in order. A batch's distinct words are found by Arrow's
-dictionary encoding, a worker remembers words and pieces up to a bound, and ids are gathered with numpy. A text with mixed
+dictionary encoding, a worker remembers words and pieces up to a bound and forgets rare ones first, and ids are gathered with numpy. A text with mixed
 white space is one word, encoded as it is. The results are those of the tokenizer on the whole text.
 """
 
@@ -14,8 +14,9 @@ import os
 import numpy as np
 import pyarrow as pa
 
-#: Words and ids that a worker remembers before it starts anew; results don't depend on it.
-MAX_WORDS, MAX_IDS = 500_000, 5_000_000
+#: Words, and pieces of words, that a worker remembers before it forgets those that it met in one batch only, then the rarer
+#: half; results don't depend on it.
+MAX_WORDS, MAX_PIECES = 600_000, 600_000
 #: Letters below this code point are classed alike by Python and by the tokenizer; other words go to the tokenizer whole.
 PLAIN_BELOW = 0x250
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -27,15 +28,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
-class _Ragged:
-    """Growing lists of ids, addressed by number."""
+class _Known:
+    """Numbered keys with a list of ids each, and how often each was asked for."""
 
     def __init__(self):
-        self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def add(self, ids: np.ndarray, lens: np.ndarray) -> None:
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32, copy=False)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lens, dtype=np.int64)])
+        self.number: dict = {}
+        self.ids, self.begin, self.uses = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def add(self, keys: list, ids: np.ndarray, lens: np.ndarray) -> None:
+        n, base = len(self.number), int(self.begin[len(self.number)])
+        end, upto = n + len(keys), base + len(ids)
+        if end + 1 > len(self.begin):
+            self.begin, self.uses = np.resize(self.begin, 2 * end + 1), np.resize(self.uses, 2 * end + 1)
+        if upto > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * upto)
+        self.ids[base:upto] = ids
+        self.begin[n + 1:end + 1] = base + np.cumsum(lens, dtype=np.int64)
+        self.uses[n:end] = 0
+        self.number.update(zip(keys, range(n, end)))
 
     def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the numbered lists one after another, and each one's length."""
@@ -44,6 +54,17 @@ class _Ragged:
         ends = np.cumsum(lens)
         return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - lens), lens)], lens
 
+    def forget(self, most: int) -> "_Known":
+        """What to go on with: the same, or less once more than `most` keys are known."""
+        if len(self.number) <= most:
+            return self
+        uses = self.uses[:len(self.number)]
+        kept = np.flatnonzero(uses >= max(2, np.partition(uses, -most // 2)[-most // 2] + 1))
+        keys, rest = list(self.number), _Known()
+        rest.add([keys[i] for i in kept.tolist()], *self.gather(kept))
+        rest.uses[:len(kept)] = uses[kept] // 2
+        return rest
+
 
 class Encoder:
     """Encodes batches of texts; `get` shares one per worker and tokenizer file."""
@@ -62,7 +83,7 @@ class Encoder:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.mark = self.letters[10]
         self.mark_id = self.pieces_only.encode(self.mark, add_special_tokens=False).ids[0]
-        self._reset()
+        self.words, self.pieces = _Known(), _Known()
 
     @staticmethod
     def get(path: str) -> "Encoder":
@@ -71,11 +92,6 @@ class Encoder:
             _ENCODERS[path] = Encoder(path)
         return _ENCODERS[path]
 
-    def _reset(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, int] = {}
-        self.word_ids, self.piece_ids = _Ragged(), _Ragged()
-
     def _cut(self, word: str) -> list[str]:
         body = word[1:] if word[:1] == " " else word
         if not word.isascii() and max(map(ord, body)) >= PLAIN_BELOW:
@@ -88,29 +104,27 @@ class Encoder:
 
     def _learn_pieces(self, new: list[str]) -> None:
         plain = [p for p in new if "\n" not in p and (p.isascii() or max(map(ord, p)) < PLAIN_BELOW)]
-        rest = [p for p in new if not ("\n" not in p and (p.isascii() or max(map(ord, p)) < PLAIN_BELOW))]
         if plain:
             letters = "\n".join(plain).encode().decode("latin-1").translate(self.letters | {10: f"\n{self.mark}\n"})
             ids = np.array(self.pieces_only.encode_batch_fast([letters], add_special_tokens=False)[0].ids, np.int32)
             is_mark = ids == self.mark_id
             at = np.concatenate([[-1], np.flatnonzero(is_mark), [len(ids)]])
-            self.piece_ids.add(ids[~is_mark], np.diff(at) - 1)
-        if rest:
+            self.pieces.add(plain, ids[~is_mark], np.diff(at) - 1)
+        if len(plain) < len(new):
+            rest = [p for p in new if p not in self.pieces.number]
             got = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-            self.piece_ids.add(np.array([i for ids in got for i in ids], np.int32), np.array([len(x) for x in got]))
-        base = len(self.pieces)
-        self.pieces.update((p, base + i) for i, p in enumerate([*plain, *rest]))
+            self.pieces.add(rest, np.array([i for ids in got for i in ids], np.int32), np.array([len(x) for x in got]))
 
     def _learn_words(self, new: list[bytes]) -> None:
         cut = [self._cut(w.decode()) for w in new]
-        self._learn_pieces(list(dict.fromkeys(p for ps in cut for p in ps if p not in self.pieces)))
-        which = np.fromiter((self.pieces[p] for ps in cut for p in ps), np.int64)
-        ids, lens = self.piece_ids.gather(which)
+        flat = [p for ps in cut for p in ps]
+        self._learn_pieces(list(dict.fromkeys(p for p in flat if p not in self.pieces.number)))
+        which = np.fromiter(map(self.pieces.number.__getitem__, flat), np.int64, len(flat))
+        self.pieces.uses[:len(self.pieces.number)] += np.bincount(which, minlength=len(self.pieces.number)).astype(np.int32)
+        ids, lens = self.pieces.gather(which)
         upto = np.concatenate([[0], np.cumsum(lens)])
         ends = upto[np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))]
-        self.word_ids.add(ids, np.diff(np.concatenate([[0], ends])))
-        base = len(self.words)
-        self.words.update((w, base + i) for i, w in enumerate(new))
+        self.words.add(new, ids, np.diff(np.concatenate([[0], ends])))
 
     @staticmethod
     def _mixed(data: np.ndarray) -> np.ndarray:
@@ -125,8 +139,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text; a null text has none."""
-        if len(self.words) > MAX_WORDS or len(self.word_ids.ids) > MAX_IDS:
-            self._reset()
+        self.words, self.pieces = self.words.forget(MAX_WORDS), self.pieces.forget(MAX_PIECES)
         texts = pa.array(texts).fill_null("").cast(pa.binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
         if offsets[-1] == offsets[0]:
@@ -140,9 +153,11 @@ class Encoder:
         starts = np.append(np.flatnonzero(cut), len(data)).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if new := [w for w in distinct if w not in self.words]:
+        known = self.words.number
+        if new := [w for w in distinct if w not in known]:
             self._learn_words(new)
-        number = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
-        flat, lens = self.word_ids.gather(number[coded.indices.to_numpy()])
+        number = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        self.words.uses[number] += 1
+        flat, lens = self.words.gather(number[coded.indices.to_numpy()])
         upto = np.concatenate([[0], np.cumsum(lens)])[np.searchsorted(starts[:-1], offsets, "left")]
         return flat, np.diff(upto)
