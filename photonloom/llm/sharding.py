@@ -1,8 +1,8 @@
 """Sharding by fixed virtual slots.
 
 Every record hashes to one of a fixed number of slots. Bytes are aggregated by slot, and a stored, versioned map says
-which shard holds a slot. Version 1 deals slots round-robin; a rebalance writes the next version, in which slots leave
-shards above their share and go, largest first, to the shard with the least bytes. Records never move between slots,
+which shard holds a slot. Version 1 deals slots round-robin; a rebalance writes the next version, in which as few slots as will
+do leave shards above their share and go, largest first, to the shard with the least bytes. Records never move between slots,
 so an edit of the map moves whole slots and nothing is rehashed.
 
 Defined results: a null text has no bytes; a null id hashes like any other value; repeated rows share a slot and get
@@ -42,22 +42,22 @@ def first_map(loads: DataFrame, shards: int) -> DataFrame:
 
 
 def rebalance(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
-    """The next version of the map. A shard keeps its largest slots up to an even share of all bytes; the others are
-    handed out by a fold over the slots, largest first, to the shard with the least bytes. Shards that are new start
-    empty. The fold runs over one array of as many elements as there are slots, a constant."""
-    by_size = Window.partitionBy("shard").orderBy(F.desc("n_bytes"), "virtual_slot")
-    m = slot_map.join(loads, "virtual_slot").withColumn("_upto", F.sum("n_bytes").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    m = m.withColumn("_share", F.sum("n_bytes").over(Window.partitionBy(F.lit(0))) / shards)  # as many rows as slots
-    m = m.withColumn("_keeps", (F.col("_upto") <= F.col("_share")) & (F.col("shard") < shards))
-    one = m.agg(
-        F.array_sort(F.collect_list(F.when(~F.col("_keeps"), F.struct((-F.col("n_bytes")).alias("k"), F.col("virtual_slot").alias("s"))))).alias("free"),
-        F.map_from_entries(F.collect_list(F.when(F.col("_keeps") & (F.col("_upto") >= 0), F.struct(F.struct("shard", "virtual_slot"), "n_bytes")))).alias("kept"),
-        F.max("version").alias("version"))
-    load0 = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda d: F.aggregate(F.map_entries("kept"), F.lit(0).cast("long"), lambda a, e: F.when(e["key"]["shard"] == d, a + e["value"]).otherwise(a)))
+    """The next version of the map. A shard above an even share of all bytes frees slots, largest first, as long as they fit
+    into what it has too much; empty slots stay, and a shard that is no more frees all. Freed slots are handed out, largest
+    first, to the shard with the least bytes; shards that are new start empty. Both folds run over arrays of as many
+    elements as there are slots, a constant."""
+    m = slot_map.join(loads, "virtual_slot").withColumn("_share", F.sum("n_bytes").over(Window.partitionBy(F.lit(0))) / shards)  # as many rows as slots
+    by_shard = m.groupBy("shard", "version").agg(F.first("_share").alias("share"), F.sum("n_bytes").alias("held"), F.array_sort(F.collect_list(F.struct((-F.col("n_bytes")).alias("k"), F.col("virtual_slot").alias("s")))).alias("slots"))
+    begin = F.struct((F.col("held") - F.col("share")).alias("over"), F.filter("slots", lambda x: F.lit(False)).alias("free"))
+    give = lambda a, x: F.when((x["k"] < 0) & (-x["k"] <= a["over"]), F.struct((a["over"] + x["k"]).alias("over"), F.array_append(a["free"], x).alias("free"))).otherwise(a)
+    by_shard = by_shard.withColumn("free", F.when(F.col("shard") < shards, F.aggregate("slots", begin, give)["free"]).otherwise(F.col("slots")))
+    kept = F.col("held") + F.aggregate("free", F.lit(0).cast("long"), lambda a, x: a + x["k"])
+    one = by_shard.agg(F.array_sort(F.flatten(F.collect_list("free"))).alias("free"), F.map_from_entries(F.collect_list(F.struct("shard", kept))).alias("kept"), F.max("version").alias("version"))
+    load0 = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda d: F.coalesce(F.try_element_at("kept", d), F.lit(0).cast("long")))
     start = F.struct(load0.alias("load"), F.array().cast("array<struct<s:int,d:int>>").alias("moved"))
     step = lambda a, x: let(F.array_position(a["load"], F.array_min(a["load"])).cast("int") - 1, lambda d: F.struct(
         F.transform(a["load"], lambda v, i: F.when(i == d, v - x["k"]).otherwise(v)).alias("load"), F.array_append(a["moved"], F.struct(x["s"].alias("s"), d.alias("d"))).alias("moved")))
-    moved = one.select("version", F.explode(F.aggregate("free", start, step)["moved"]).alias("m")).select(F.col("m.s").alias("virtual_slot"), F.col("m.d").alias("to"))
+    moved = one.select(F.explode(F.aggregate("free", start, step)["moved"]).alias("m")).select(F.col("m.s").alias("virtual_slot"), F.col("m.d").alias("to"))
     return (slot_map.join(moved, "virtual_slot", "left")
             .select("virtual_slot", F.coalesce("to", "shard").alias("shard"), (F.col("version") + 1).alias("version")))
 
