@@ -25,7 +25,6 @@ WINDOW = 10
 BROADCAST_ROWS = 200_000
 # What separates words, and the letters that change case.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,11 +52,18 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.groupBy("words").agg(F.collect_set("item_id").alias("items")).select(F.xxhash64(F.concat_ws(" ", "words")).alias("wid"), F.size("words").alias("size"), "words", "items")
 
 
+def read_words(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored postings (doc_id, text_key, pos, term) of the given words (word, term), and (doc_id, text_key, n_words) of
+    every row; rows of one document stay together, texts are read once, and nothing is shuffled. The empty word, which
+    no text has, stands at the end of each text; its place is the number of words."""
+    each = docs.select(*doc_key(), F.posexplode(F.array_append(words_of(F.col("text")), F.lit(""))).alias("pos", "word"))
+    written = stored(each.join(terms, "word").select("doc_id", "text_key", "pos", "term"), "postings")
+    return written.where("term IS NOT NULL"), written.where("term IS NULL").select("doc_id", "text_key", F.col("pos").cast("long").alias("n_words"))
+
+
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Stored postings (doc_id, text_key, pos, term) of the given words (word, term); rows of one document stay together,
-    and nothing is shuffled."""
-    each = docs.select(*doc_key(), F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
-    return stored(each.join(terms, "word").select("doc_id", "text_key", "pos", "term"), "postings")
+    """The postings of the given words alone."""
+    return read_words(docs, terms)[0]
 
 
 def _offsets(windows: DataFrame, terms: DataFrame, counts: DataFrame) -> DataFrame:
@@ -92,23 +98,41 @@ def phrase_matches(postings: DataFrame, windows: DataFrame, terms: DataFrame) ->
 
 def near(postings: DataFrame, windows: DataFrame, terms: DataFrame, span: int) -> DataFrame:
     """Proximity: (doc_id, text_key, wid, start) where all distinct words of a window lie within `span` words from the
-    position of its rarest word on either side."""
+    position of its rarest word on either side. Words meet within one document and one stretch of it, the rarest first; each further
+    word is looked up only around the places that are left."""
     counts = stored(postings.groupBy("term").agg(F.count("*").alias("n")), "counts")
-    places = small(_offsets(windows, terms, counts).select("wid", "term", "place"))
-    first = places.where("place = 1").select("wid", "term")
-    need = places.groupBy("wid").agg(F.countDistinct("term").alias("need"))
-    anchors = postings.join(first, "term").select("doc_id", "text_key", "wid", F.col("pos").alias("start")).withColumn("cell", F.explode(F.array(*[(F.col("start") / span).cast("int") + d for d in (-1, 0, 1)])))
-    near_by = anchors.join(places.select("wid", F.col("term").alias("t")).distinct(), "wid").join(
-        postings.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("pos").alias("p"), F.col("term").alias("t"), (F.col("pos") / span).cast("int").alias("cell")), ["t", "cell"])
-    met = near_by.where("doc_id <=> d AND text_key = k AND abs(p - start) < " + str(span)).groupBy("doc_id", "text_key", "wid", "start").agg(F.countDistinct("t").alias("n"))
-    return met.join(need, "wid").where("n = need").select("doc_id", "text_key", "wid", "start")
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of windows (`_doc`: the id with null as the smallest number) and the windows themselves."""
+    places = _offsets(windows, terms, counts)
+    places = small(places.withColumn("least", F.min("n").over(Window.partitionBy("wid"))).where("least > 0").groupBy("wid", "term").agg(F.min("place").alias("place")))
+    need = places.groupBy("wid").agg(F.count("*").alias("need"))
+    key, doc = ["_doc", "text_key", "wid", "start"], F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc")
+    anchors = postings.join(places.where("place = 1").select("wid", "term"), "term").select(doc, "text_key", "wid", F.col("pos").alias("start")).distinct()
+    cells = anchors.withColumn("cell", F.explode(F.array(*[F.floor(F.col("start") / span).cast("int") + d for d in (-1, 0, 1)])))
+    there = postings.select(doc, "text_key", F.col("pos").alias("p"), "term", F.floor(F.col("pos") / span).cast("int").alias("cell"))
+
+    def met(at: DataFrame, which: str) -> DataFrame:
+        asked = at.join(places.where(which).select("wid", "term"), "wid")
+        return asked.join(there, ["_doc", "text_key", "term", "cell"]).where(F.abs(F.col("p") - F.col("start")) < span).select(*key, "term").distinct()
+
+    second = places.where("place > 1").groupBy("wid").agg(F.min("place").alias("place"))
+    places = small(places.join(second.withColumnRenamed("place", "second"), "wid", "left"))
+    left = stored(met(cells, "place = second").select(*key), "near").join(cells, key).unionByName(cells.join(need.where("need = 1").select("wid"), "wid", "left_semi"))
+    found = met(left, "place > 0").groupBy(*key).agg(F.count("*").alias("n")).join(need, "wid").where("n = need")
+    return found.select(F.when(F.col("_doc") != -(1 << 63), F.col("_doc")).alias("doc_id"), "text_key", "wid", "start")
+
+
+def benchmark_terms(windows: DataFrame) -> DataFrame:
+    """(word, term) of the windows' words, and the empty word without a term."""
+    words = windows.select(F.explode("words").alias("word")).distinct().select("word", F.xxhash64("word").alias("term"))
+    return small(words.unionByName(windows.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(None).cast("long").alias("term"))))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Occurrences of windows (`_doc`: the id with null as the smallest number), the windows themselves, and the number of
+    words of every row."""
     windows = stored(item_windows(benchmark, window), "windows")
-    terms = small(windows.select(F.explode("words").alias("word")).distinct().select("word", F.xxhash64("word").alias("term")))
-    return stored(phrase_matches(build_index(docs, terms), windows, terms), "matches"), windows
+    terms = benchmark_terms(windows)
+    postings, sizes = read_words(docs, terms)
+    return stored(phrase_matches(postings, windows, terms), "matches"), windows, sizes
 
 
 def hits(found: DataFrame, windows: DataFrame) -> DataFrame:
@@ -121,9 +145,8 @@ def hits(found: DataFrame, windows: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items of every document."""
-    own = docs.select(*doc_key(), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"))
-    found, windows = matches(docs, benchmark, window)
-    out = own.join(hits(found, windows), ["_doc", "text_key"], "left")
+    found, windows, sizes = matches(docs, benchmark, window)
+    out = sizes.withColumn("_doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(hits(found, windows), ["_doc", "text_key"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
@@ -133,6 +156,6 @@ def summary(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a match, all columns kept."""
-    found, _ = matches(docs, benchmark, window)
+    found, _, _ = matches(docs, benchmark, window)
     rows = packed(docs).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
     return unpacked(rows.join(small(found.select("_doc", "text_key").distinct()), ["_doc", "text_key"], "left_anti"), docs.columns)
