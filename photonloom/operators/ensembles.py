@@ -1,22 +1,19 @@
-"""Ensembles of prediction tables.
+"""Ensembles of prediction tables.
 
 With weights that add up to one the ensemble residual is the weighted sum of member residuals, so the error of every convex
-blend is a quadratic form in one Gram matrix of residuals per (fold, target). Spark computes all the matrices in one
-aggregation; what reaches the driver is a few M x M matrices (M models), and cross-validation needs no further pass.
+blend is a quadratic form in one Gram matrix of residuals per target. Spark computes the matrices in one aggregation; what
+reaches the driver is one M x M matrix per target (M models). Search and validation over families are in `stacking`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonloom.functions.draws import hash32, key_text
-
-MAX_MEMBERS = 10
+from photonloom.operators.stacking import simplex_solution
 
 
 def member_rows(df: DataFrame, obj: str, keys: Sequence[str] = (), member: str = "family") -> DataFrame:
@@ -32,79 +29,15 @@ def residual_gram(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
             .agg(F.count("*").alias("n"), F.avg(F.col("a.r") * F.col("b.r")).alias("gram")))
 
 
-def simplex_weights(gram: np.ndarray, regularization: float = 0.0) -> np.ndarray:
-    """argmin w'Gw + reg |w - 1/M|^2 over the simplex, exactly: the best feasible stationary point over all supports."""
-    m = len(gram)
-    if m > MAX_MEMBERS:
-        raise ValueError(f"at most {MAX_MEMBERS} members")
-    q = gram + regularization * np.eye(m)
-    c = np.full(m, regularization / m)
-    best, value = np.full(m, 1.0 / m), np.inf
-    for size in range(1, m + 1):
-        for s in combinations(range(m), size):
-            i = np.array(s)
-            kkt = np.block([[q[np.ix_(i, i)], np.ones((size, 1))], [np.ones((1, size)), np.zeros((1, 1))]])
-            w_s = np.linalg.lstsq(kkt, np.append(c[i], 1.0), rcond=None)[0][:size]
-            if (w_s < -1e-12).any():
-                continue
-            w = np.zeros(m)
-            w[i] = np.clip(w_s, 0, None)
-            w /= w.sum()
-            v = w @ q @ w - 2 * c @ w
-            if v < value - 1e-15:
-                best, value = w, v
-    return best
-
-
-def positive_least_squares(xx: np.ndarray, xy: np.ndarray, l1: float = 0.0, l2: float = 0.0, rounds: int = 20000) -> np.ndarray:
-    """Non-negative coefficients of 0.5 b'XXb - xy'b + l1 sum(b) + 0.5 l2 |b|^2 by coordinate descent (moments, not rows)."""
-    b = np.zeros(len(xy))
-    for _ in range(rounds):
-        old = b.copy()
-        for k in range(len(b)):
-            b[k] = max(0.0, (xy[k] - xx[k] @ b + xx[k, k] * b[k] - l1) / (xx[k, k] + l2))
-        if np.abs(b - old).max() < 1e-12:
-            break
-    return b
-
-
-class Grams:
-    """Residual Gram matrices on the driver, keyed by (key values..., target)."""
-
-    def __init__(self, table: DataFrame, keys: Sequence[str], sigma: dict[str, float], max_cells: int = 200_000):
-        rows = table.limit(max_cells + 1).collect()
-        if len(rows) > max_cells:
-            raise ValueError("too many Gram cells for the driver; use fewer folds or members")
-        self.members = sorted({r["member_a"] for r in rows})
-        at = {m: i for i, m in enumerate(self.members)}
-        m = len(self.members)
-        self.sums: dict[tuple, np.ndarray] = {}
-        self.n: dict[tuple, int] = {}
-        for r in rows:
-            k = (*[r[x] for x in keys], r["target"])
-            g = self.sums.setdefault(k, np.zeros((m, m)))
-            g[at[r["member_a"]], at[r["member_b"]]] = r["gram"] * r["n"] / sigma[r["target"]] ** 2
-            self.n[k] = r["n"]
-        self.targets = sorted({k[-1] for k in self.sums})
-
-    def total(self, target: str, keep) -> tuple[np.ndarray, int]:
-        ks = [k for k in self.sums if k[-1] == target and keep(k)]
-        return sum(self.sums[k] for k in ks), sum(self.n[k] for k in ks)
-
-    def fit(self, keep, regularization: float, scope: str = "target") -> dict[str, np.ndarray]:
-        parts = {t: self.total(t, keep) for t in self.targets}
-        means = {t: g / n for t, (g, n) in parts.items()}
-        if scope == "global":
-            w = simplex_weights(sum(means.values()) / len(means), regularization)
-            return {t: w for t in self.targets}
-        return {t: simplex_weights(g, regularization) for t, g in means.items()}
-
-    def criterion(self, weights: dict[str, np.ndarray], keep) -> float:
-        vals = []
-        for t in self.targets:
-            g, n = self.total(t, keep)
-            vals.append(weights[t] @ g @ weights[t] / n)
-        return float(np.mean(vals))
+def convex_weights(grams: DataFrame, sigma: dict[str, float], regularization: float) -> tuple[list[str], dict[str, np.ndarray]]:
+    """Member names and, per target, the weights of the blend; the table holds members squared cells per target."""
+    rows = grams.collect()
+    members = sorted({r["member_a"] for r in rows})
+    at = {m: i for i, m in enumerate(members)}
+    by_target = {t: np.zeros((len(members), len(members))) for t in sorted({r["target"] for r in rows})}
+    for r in rows:
+        by_target[r["target"]][at[r["member_a"]], at[r["member_b"]]] = r["gram"] / sigma[r["target"]] ** 2
+    return members, {t: simplex_solution(g, regularization) for t, g in by_target.items()}
 
 
 def weights_table(spark, weights: dict[str, np.ndarray], members: Sequence[str]) -> DataFrame:
@@ -123,65 +56,6 @@ def uniform_mean(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys, "target").agg(F.max("y").alias("y"), F.avg("pred").alias("pred"))
 
 
-def cross_validated_blend(rows: DataFrame, obj: str, sigma: dict[str, float], k: int, seed: int, candidates: Sequence[tuple[float, str]]) -> list[dict]:
-    """Out-of-fold criterion of every (regularization, scope): fit on total minus fold, score on the fold."""
-    d = rows.withColumn("fold", (hash32(key_text(F.col(obj), seed)) % k).cast("int"))
-    g = Grams(residual_gram(d, ["fold"]), ["fold"], sigma)
-    out = []
-    for reg, scope in candidates:
-        err = np.zeros(len(g.targets))
-        for f in range(k):
-            w = g.fit(lambda key, f=f: key[0] != f, reg, scope)
-            for i, t in enumerate(g.targets):
-                err[i] += w[t] @ g.sums[(f, t)] @ w[t]
-        n = [sum(g.n[(f, t)] for f in range(k)) for t in g.targets]
-        out.append({"regularization": reg, "scope": scope, "criterion": float(np.mean(err / np.array(n)))})
-    return out
-
-
-def nested_blend(rows: DataFrame, obj: str, sigma: dict[str, float], outer: int, inner: int, repetitions: int, seed: int,
-                 candidates: Sequence[tuple[float, str]]) -> list[dict]:
-    """The inner search never sees the outer fold. Objects are exploded to (repetition, left-out outer fold), outer
-    members get inner fold -1, and one aggregation yields every matrix the two loops need."""
-    d = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    d = d.withColumn("own", (hash32(key_text(F.col(obj), seed, F.col("rep"))) % outer).cast("int"))
-    d = d.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))))
-    part = (hash32(key_text(F.col(obj), seed, F.col("rep"), F.col("outer"), "inner")) % inner).cast("int")
-    d = d.withColumn("inner", F.when(F.col("own") == F.col("outer"), F.lit(-1)).otherwise(part))
-    g = Grams(residual_gram(d, ["rep", "outer", "inner"]), ["rep", "outer", "inner"], sigma)
-    out = []
-    for rep in range(repetitions):
-        for o in range(outer):
-            here = lambda key, rep=rep, o=o: key[0] == rep and key[1] == o
-            scored = []
-            for reg, scope in candidates:
-                crit = np.mean([g.criterion(g.fit(lambda key, i=i: here(key) and key[2] not in (-1, i), reg, scope),
-                                            lambda key, i=i: here(key) and key[2] == i) for i in range(inner)])
-                scored.append((float(crit), reg, scope))
-            _, reg, scope = min(scored)
-            w = g.fit(lambda key: here(key) and key[2] != -1, reg, scope)
-            out.append({"repetition": rep, "outer_fold": o, "regularization": reg, "scope": scope,
-                        "n": g.total(g.targets[0], lambda key: here(key) and key[2] == -1)[1],
-                        "criterion": g.criterion(w, lambda key: here(key) and key[2] == -1)})
-    return out
-
-
-def without_member(g: Grams, regularization: float) -> list[dict]:
-    """Criterion of the blend when each member is removed, as sub-matrices of the same Gram."""
-    full = g.criterion(g.fit(lambda k: True, regularization), lambda k: True)
-    out = []
-    for i, m in enumerate(g.members):
-        keep = [j for j in range(len(g.members)) if j != i]
-        vals = []
-        for t in g.targets:
-            s, n = g.total(t, lambda k: True)
-            sub = s[np.ix_(keep, keep)] / n
-            w = simplex_weights(sub, regularization)
-            vals.append(w @ sub @ w)
-        out.append({"removed": m, "criterion": float(np.mean(vals)), "lost": float(np.mean(vals)) - full})
-    return out
-
-
 def ambiguity(df: DataFrame, keys: Sequence[str], obj: str, weights: DataFrame | None = None) -> DataFrame:
     """Weighted member error, ambiguity and ensemble error per key and target; the identity error = members - ambiguity
     is exact for convex weights."""

@@ -182,23 +182,3 @@ def cross_fitted(df: DataFrame, features: str, label: str, obj: str, split: str,
         out = p if out is None else out.unionByName(p)
     full = ridge(train, features, label, alpha).transform(df.where(F.col(split) != "Train"))
     return out.unionByName(full.select(obj, split, F.col("prediction").alias("estimate"), F.lit("full train model").alias("origin")))
-
-
-def residual_stack(members: DataFrame, obj: str, names: Sequence[str], covariates: Sequence[str], sigma: float, alpha: float | None,
-                   trees: dict | None = None, fit_rows=None):
-    """Correct the uniform mean by a ridge (or boosted trees) fitted on the standardized member predictions. `members` has
-    one row per object with one column per member, y and the covariates."""
-    from pyspark.ml.regression import GBTRegressor
-
-    mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
-    d = members.withColumn("_base", mean).withColumn("_res", (F.col("y") - F.col("_base")) / sigma)
-    cols = [*names, *covariates]
-    train = d if fit_rows is None else d.where(fit_rows)
-    sc = StandardScaler.fit(train, cols)
-    prep = lambda x: assemble(sc.transform(x, suffix="_z"), [f"{c}_z" for c in cols])
-    if trees is None:
-        model = ridge(prep(train), "features", "_res", alpha)
-    else:
-        model = GBTRegressor(featuresCol="features", labelCol="_res", maxDepth=trees["depth"], stepSize=trees["rate"], maxIter=trees["iterations"],
-                             minInstancesPerNode=30, seed=0).fit(prep(train))
-    return model.transform(prep(d)).withColumn("pred", F.col("_base") + F.col("prediction") * sigma).select(obj, *[c for c in members.columns if c != obj], "pred")

@@ -200,8 +200,7 @@ def sigma_of(t: Tables) -> dict[str, float]:
 
 def blend_weights(t: Tables, regularization: float = 0.01):
     rows = E.member_rows(family_mean(t).where("split <> 'Test'"), "obj_id")
-    g = E.Grams(E.residual_gram(rows, []), [], sigma_of(t))
-    return g, g.fit(lambda k: True, regularization)
+    return E.convex_weights(E.residual_gram(rows, []), sigma_of(t), regularization)
 
 
 # Independent statement of the simplex solution: every support of three members in closed form, best feasible one wins.
@@ -223,16 +222,16 @@ wt AS (SELECT target, arg_min(w1, v) AS w1, arg_min(w2, v) AS w2, arg_min(w3, v)
 @query("e03_convex_weights", with_sql(*ALIGNED, SCALE_SQL, WEIGHTS_SQL, body="""
 SELECT target, 'conv' AS family, round(w1, 5) AS weight FROM wt UNION ALL SELECT target, 'eff', round(w2, 5) FROM wt UNION ALL SELECT target, 'vit', round(w3, 5) FROM wt"""))
 def _(t: Tables):
-    g, w = blend_weights(t)
-    return E.weights_table(t.spark, w, g.members).withColumn("weight", F.round("weight", 5))
+    members, w = blend_weights(t)
+    return E.weights_table(t.spark, w, members).withColumn("weight", F.round("weight", 5))
 
 
 @query("e04_apply_weights", with_sql(*ALIGNED, SCALE_SQL, WEIGHTS_SQL, """bl AS (SELECT f.obj_id, f.split, f.target, max(f.y) AS y,
   sum(f.pred * CASE f.family WHEN 'conv' THEN w1 WHEN 'eff' THEN w2 ELSE w3 END) AS pred FROM family_mean f JOIN wt USING (target) GROUP BY ALL)""", body="""
 SELECT split, target, count(*) AS n, round(sqrt(avg((pred - y) * (pred - y))), 5) AS rmse FROM bl GROUP BY ALL"""))
 def _(t: Tables):
-    g, w = blend_weights(t)
-    d = E.apply_weights(family_mean(t), E.weights_table(t.spark, w, g.members), ["obj_id", "split"])
+    members, w = blend_weights(t)
+    d = E.apply_weights(family_mean(t), E.weights_table(t.spark, w, members), ["obj_id", "split"])
     e = F.col("pred") - F.col("y")
     return d.groupBy("split", "target").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 5).alias("rmse"))
 
@@ -273,32 +272,6 @@ def _(t: Tables):
     return out.select("target", "quintile", "n", *[F.round(c, 5).alias(c) for c in ("centre", "median_error", "p84")], r6("spearman").alias("spearman"))
 
 
-CANDIDATES = [(reg, scope) for reg in (0.0, 0.001, 0.01, 0.1, 1.0) for scope in ("target", "global")]
-
-
-@query("e07_out_of_fold_blend")
-def _(t: Tables):
-    """Criterion of every candidate by cross-validation; the best is flagged."""
-    rows = E.member_rows(family_mean(t).where("split = 'Validation'"), "obj_id")
-    out = E.cross_validated_blend(rows, "obj_id", sigma_of(t), 5, 0, CANDIDATES)
-    best = min(out, key=lambda r: r["criterion"])
-    return t.spark.createDataFrame([{**r, "best": r is best} for r in out], "regularization double, scope string, criterion double, best boolean")
-
-
-@query("e09_nested_validation")
-def _(t: Tables):
-    rows = E.member_rows(family_mean(t).where("split = 'Validation'"), "obj_id")
-    out = E.nested_blend(rows, "obj_id", sigma_of(t), outer=5, inner=4, repetitions=2, seed=0, candidates=CANDIDATES)
-    return t.spark.createDataFrame(out, "repetition int, outer_fold int, regularization double, scope string, n int, criterion double")
-
-
-@query("a48_without_member")
-def _(t: Tables):
-    """Criterion lost when each family is removed."""
-    g, _ = blend_weights(t)
-    return t.spark.createDataFrame(E.without_member(g, 0.01), "removed string, criterion double, lost double")
-
-
 @query("e12_sealed_selection", with_sql(*ALIGNED, SCALE_SQL, LOSS_SQL, ONE_SE_SQL, """ch AS (SELECT family FROM (SELECT family, row_number() OVER (ORDER BY (NOT "within"), complexity, criterion) AS k FROM t WHERE split = 'Validation') WHERE k = 1),
 h AS (SELECT md5(concat_ws('|', obj_id, target, printf('%.6f', pred))) AS h FROM family_mean JOIN ch USING (family) WHERE split = 'Validation'),
 w AS (SELECT count(*) AS n, """ + ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS BIGINT) AS w{i}" for i in range(4)) + """ FROM h)""", body="""

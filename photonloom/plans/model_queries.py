@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 from photonloom.functions import physics as PH
 from photonloom.functions import scalars as S
 from photonloom.functions.scalars import r6
-from photonloom.operators import ensembles as E
 from photonloom.operators import models as MD
 from photonloom.operators.neighbours import nearest, weighted_neighbour_mean
 from photonloom.operators.windows import with_distances
-from photonloom.plans.bindings import ALIGNED_SQL, FAMILIES, OBJECTS_SQL, PRED_SQL, SCALE_SQL, TARGETS, family_mean, objects, pred_wide, with_sql
-from photonloom.plans.ensemble_queries import sigma_of
+from photonloom.plans.bindings import OBJECTS_SQL, PRED_SQL, objects, pred_wide, with_sql
 from photonloom.plans.metric_queries import rounded
 from photonloom.plans.registry import Tables, query
 from photonloom.plans.split_queries import h_sql
@@ -207,48 +205,3 @@ def _(t: Tables):
     p = pred_wide(t).where("family = 'conv' AND seed = 1").select("obj_id", "pred_log_sfr")
     return (objects(t).join(p, "obj_id", "left").groupBy("split").agg(F.count("*").alias("n"), F.count("pred_log_sfr").alias("n_attached"))
             .withColumn("complete", F.col("n") == F.col("n_attached")))
-
-
-def member_columns(t: Tables, target: str):
-    return (family_mean(t).where(F.col("target") == target).groupBy("obj_id", "split", "redshift", "y")
-            .pivot("family", list(FAMILIES)).agg(F.first("pred")))
-
-
-@query("e05_positive_stacking")
-def _(t: Tables):
-    """Non-negative linear and elastic-net stacking per target, from moments."""
-    sig, rows = sigma_of(t), []
-    for target in TARGETS:
-        d = cut_lineage(member_columns(t, target).where("split <> 'Test'"))
-        cols = [*FAMILIES, "y"]
-        row = d.agg(F.count("*").alias("n"), *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a in cols for b in cols]).first()
-        import numpy as np
-
-        s2 = sig[target] ** 2
-        xx = np.array([[row[f"c_{a}_{b}"] for b in FAMILIES] for a in FAMILIES]) / s2
-        xy = np.array([row[f"c_{a}_y"] for a in FAMILIES]) / s2
-        for kind, l1, l2 in (("linear", 0.0, 0.0), ("elastic", 0.005, 0.005)):
-            b = E.positive_least_squares(xx, xy, l1, l2)
-            rows += [(target, kind, f, round(float(w), 6)) for f, w in zip(FAMILIES, b)]
-    return t.spark.createDataFrame(rows, "target string, kind string, family string, coefficient double")
-
-
-@query("e06_residual_stacking")
-def _(t: Tables):
-    """Ridge correction of the uniform mean with redshift as an extra input, fitted outside the test split."""
-    out = None
-    for target in TARGETS:
-        d = MD.residual_stack(cut_lineage(member_columns(t, target)), "obj_id", list(FAMILIES), ["redshift"], sigma_of(t)[target], 1.0, fit_rows="split <> 'Test'")
-        e = F.col("pred") - F.col("y")
-        row = d.groupBy("split").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 5).alias("rmse")).withColumn("target", F.lit(target))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-@query("e06_boosted_stacking")
-def _(t: Tables):
-    target = "d4000"
-    d = MD.residual_stack(cut_lineage(member_columns(t, target)), "obj_id", list(FAMILIES), ["redshift"], sigma_of(t)[target], None,
-                          trees={"depth": 3, "rate": 0.1, "iterations": 10}, fit_rows="split <> 'Test'")
-    e = F.col("pred") - F.col("y")
-    return d.groupBy("split").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse")).withColumn("target", F.lit(target))
