@@ -1,52 +1,198 @@
-"""Exact nearest-neighbour join without a cross join.
+"""Exact nearest-neighbour join with pruning by the triangle inequality.
 
-Both sides are cut into blocks of bounded size. A query row travels once to every reference block; each (query block, reference
-block) pair is one cogrouped task that keeps only its k best candidates per query, and a final top-k merges the blocks. No task
-sees more than one block of each side and no all-pairs table exists.
+A bounded sample of reference rows serves as pivots. Each reference row belongs to the cell of its nearest pivot; a cell with
+many rows is cut into blocks by the distance to the pivot, and a block that is still too large, as for many equal rows, by
+a hash. What is known of a block is its pivot, number of rows and range of distances: a table of at most MAX_BLOCKS + MAX_PIVOTS rows.
+
+Round one joins each query to one block of its own cell, which bounds the distance of its k-th neighbour; where the block has too
+few rows, the ranges of all blocks give a bound. Round two sends the query to those other blocks only that the bound
+cannot rule out: by the range of distances to the pivot, and by the plane between the block's pivot and the query's own.
+Both rounds cogroup a slice of queries with one block, so no task holds more than a slice of each, and
+a query keeps k candidates per block. On data with structure a query visits a few blocks, whatever the size of the table; the
+result is exact on any data.
+
+Rows with a null vector take no part.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photonloom.functions.draws import hash32, key_text
 from photonloom.operators.cohort import top_n
+from photonloom.session import cut_lineage
+
+#: Rows of a block, and of a slice of queries that meets it.
+BLOCK_ROWS = 4_000
+MAX_PIVOTS, MAX_BLOCKS = 4_096, 65_536
+#: Numbers in a matrix of distances that a task holds at once.
+MATRIX_CELLS = 4_000_000
+#: Rounding error allowed for in bounds, relative to the numbers compared.
+SLACK = 1e-9
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), float).reshape(len(column), -1)
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0.0)
+
+
+def pivots_of(reference: DataFrame, obj: str, vector: str, n: int) -> np.ndarray:
+    """n reference vectors in the order of a hash; equal ones count once."""
+    rows = reference.orderBy(hash32(key_text(F.col(obj), "pivot")), obj).limit(n).select(F.col(vector).cast("array<double>").alias("v")).collect()
+    return np.unique(np.array([r.v for r in rows], float), axis=0) if rows else np.zeros((0, 1))
+
+
+def _celled(df: DataFrame, obj: str, vector: str, pivots: np.ndarray) -> DataFrame:
+    """(id, v, cell, d): nearest pivot and distance to it."""
+    def assign(batches):
+        for b in batches:
+            v = _matrix(b.column(1))
+            cell, d = np.zeros(len(v), np.int32), np.zeros(len(v))
+            step = max(1, MATRIX_CELLS // len(pivots))
+            for i in range(0, len(v), step):
+                cell[i:i + step] = _squares(v[i:i + step], pivots).argmin(1)
+                d[i:i + step] = np.sqrt(((v[i:i + step] - pivots[cell[i:i + step]]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(d)], names=[*b.schema.names, "cell", "d"])
+
+    kind = df.schema[obj].dataType.simpleString()
+    rest = [c for c in df.columns if c not in (obj, vector)]
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(obj).alias("id"), F.col(vector).cast("array<double>").alias("v"), *rest)
+    more = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in rest)
+    return rows.mapInArrow(assign, f"id {kind}, v array<double>{more}, cell int, d double")
+
 
-BLOCK_ROWS = 20_000
+def blocks_of(cells: DataFrame, block_rows: int) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """The rows with their block's number, and the table of blocks: cell, n, lo, hi (distances to the pivot)."""
+    span = cells.groupBy("cell").agg(F.count("*").alias("_n"), F.min("d").alias("_lo"), F.max("d").alias("_hi"))
+    bins = F.ceil(F.col("_n") / block_rows)
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    at = F.when(width > 0, F.least(bins - 1, F.floor((F.col("d") - F.col("_lo")) / width))).otherwise(F.lit(0)).cast("int")
+    binned = cells.join(F.broadcast(span), "cell").withColumn("bin", at).drop("_n", "_lo", "_hi")
+    counts = binned.groupBy("cell", "bin").agg(F.count("*").alias("_n"))
+    split = binned.join(counts, ["cell", "bin"]).withColumn("part", F.pmod(hash32(key_text(F.col("id"), "part")), F.ceil(F.col("_n") / block_rows)).cast("int")).drop("_n")
+    split = cut_lineage(split)
+    table = split.groupBy("cell", "bin", "part").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).orderBy("cell", "bin", "part").collect()
+    number = cells.sparkSession.createDataFrame([(r["cell"], r["bin"], r["part"], i) for i, r in enumerate(table)], "cell int, bin int, part int, block int")
+    known = {c: np.array([r[c] for r in table], float if c in ("lo", "hi") else np.int64) for c in ("cell", "n", "lo", "hi")}
+    return split.join(F.broadcast(number), ["cell", "bin", "part"]).drop("cell", "bin", "part", "d"), known
+
+
+def _visits(queries: DataFrame, pivots: np.ndarray, known: dict[str, np.ndarray], first: bool, k: int) -> DataFrame:
+    """Queries exploded to the blocks they have to see: in round one (id, v, cell, d, block, bound), in round two with the
+    bound of round one the others (id, v, block, bound)."""
+    gaps = np.sqrt(_squares(pivots, pivots))
+    of, n, lo, hi = (known[c] for c in ("cell", "n", "lo", "hi"))
+
+    def look(batches):
+        for b in batches:
+            v, cell, d = _matrix(b.column(1)), np.asarray(b.column(2), np.int64), np.asarray(b.column(3), float)
+            step = max(1, MATRIX_CELLS // len(of))
+            for i in range(0, len(v), step):
+                q, own = v[i:i + step], cell[i:i + step]
+                to_pivots = np.sqrt(_squares(q, pivots))
+                to_pivots[np.arange(len(q)), own] = d[i:i + step]
+                reach = to_pivots[:, of]
+                part = b.slice(i, len(q))
+                if first:
+                    away = np.where(of[None, :] == own[:, None], np.maximum(lo - reach, reach - hi), np.inf)
+                    block = away.argmin(1).astype(np.int32)
+                    far = reach + hi  # every row of the block is at most that far
+                    order = np.argsort(far, axis=1)
+                    enough = np.argmax(np.cumsum(n[order], axis=1) > k, axis=1)
+                    bound = np.where(n.sum() > k, far[np.arange(len(q)), order[np.arange(len(q)), enough]], np.inf)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(block), pa.array(bound)], names=["id", "v", "cell", "d", "block", "bound"])
+                else:
+                    bound = np.asarray(part.column(4), float)
+                    slack = SLACK * (1 + to_pivots.max())
+                    near = (reach >= lo - (bound + slack)[:, None]) & (reach <= hi + (bound + slack)[:, None])
+                    # Rows of another cell lie beyond the plane halfway between the two pivots.
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        plane = (to_pivots ** 2 - (d[i:i + step] ** 2)[:, None]) / (2 * gaps[own])
+                    plane[np.arange(len(q)), own] = 0
+                    near &= np.nan_to_num(plane, nan=0.0, posinf=0.0)[:, of] <= (bound + slack)[:, None]
+                    near[np.arange(len(q)), np.asarray(part.column(5))] = False
+                    which, block = np.nonzero(near)
+                    taken = pa.array(which)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(taken), part.column(1).take(taken), pa.array(block.astype(np.int32)), part.column(4).take(taken)], names=["id", "v", "block", "bound"])
+
+    kind = queries.schema["id"].dataType.simpleString()
+    if first:
+        return queries.select("id", "v", "cell", "d").mapInArrow(look, f"id {kind}, v array<double>, cell int, d double, block int, bound double")
+    return queries.select("id", "v", "cell", "d", "bound", "block").mapInArrow(look, f"id {kind}, v array<double>, block int, bound double")
+
+
+def _met(visits: DataFrame, blocks: DataFrame, known: dict[str, np.ndarray], k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    """(id, neighbour, distance, payload): the k nearest of each query in each block it visits, within its bound."""
+    counts = visits.groupBy("block").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("slices"))
+    q = visits.join(counts, "block").withColumn("slice", F.pmod(hash32(key_text(F.col("id"), "slice")), F.col("slices")).cast("int")).select("block", "slice", "id", "v", "bound")
+    r = blocks.join(counts, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("block", "slice", "id", "v", "payload")
+    kind = visits.schema["id"].dataType.simpleString()
+    schema = pa.schema([("id", _arrow(visits, "id")), ("neighbour", _arrow(blocks, "id")), ("distance", pa.float64()), ("payload", pa.float64())])
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        b = b.sort_by("id")
+        qid, rid = a.column("id").combine_chunks(), b.column("id").combine_chunks()
+        qv, rv, bound = _matrix(a.column("v").combine_chunks()), _matrix(b.column("v").combine_chunks()), a.column("bound").to_numpy()
+        same = {x: i for i, x in enumerate(rid.to_pylist())} if exclude_self else {}
+        own, out = [same.get(x, -1) for x in qid.to_pylist()], []
+        step = max(1, MATRIX_CELLS // len(rv))
+        for i in range(0, len(qv), step):
+            rough = _squares(qv[i:i + step], rv)
+            error = SLACK * (1 + (qv[i:i + step] ** 2).sum(1).max() + (rv ** 2).sum(1).max())
+            for j, row in enumerate(rough):
+                if own[i + j] >= 0:
+                    row[own[i + j]] = np.inf
+                most = min((bound[i + j] * (1 + SLACK)) ** 2, np.partition(row, k - 1)[k - 1] if k < len(row) else np.inf) + error
+                at = np.flatnonzero((row <= most) & (row < np.inf))
+                exact = np.sqrt(((rv[at] - qv[i + j]) ** 2).sum(1))
+                best = np.argsort(exact, kind="stable")[:k]
+                out.append((np.full(len(best), i + j), at[best], exact[best]))
+        which, at, distance = (np.concatenate(x) for x in zip(*out))
+        return pa.Table.from_arrays([qid.take(pa.array(which)), rid.take(pa.array(at)), pa.array(distance), b.column("payload").combine_chunks().take(pa.array(at))], schema=schema)
+
+    return q.groupBy("block", "slice").cogroup(r.groupBy("block", "slice")).applyInArrow(meet, f"id {kind}, neighbour {blocks.schema['id'].dataType.simpleString()}, distance double, payload double")
+
+
+def _arrow(df: DataFrame, c: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[c].dataType)
 
 
 def nearest(queries: DataFrame, reference: DataFrame, obj: str, vector: str, payload: str, k: int, exclude_self: bool = False,
             block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(obj, neighbour, distance, payload, position): Euclidean, ties by neighbour id."""
-    n_q = max(1, -(-queries.count() // block_rows))
-    n_r = max(1, -(-reference.count() // block_rows))
-    q = (queries.select(obj, vector).withColumn("qb", (hash32(key_text(F.col(obj), "q")) % n_q).cast("int"))
-         .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1)))))
-    r = (reference.select(F.col(obj).alias("neighbour"), F.col(vector).alias("ref_vector"), F.col(payload).cast("double").alias(payload))
-         .withColumn("rb", (hash32(key_text(F.col("neighbour"), "r")) % n_r).cast("int"))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))))
-
-    def block_candidates(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({obj: pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64"), payload: pd.Series(dtype="float64")})
-        b = b.sort_values("neighbour")
-        rv, rid, rp = np.stack(b["ref_vector"].to_numpy()).astype(float), b["neighbour"].to_numpy(), b[payload].to_numpy()
-        out = []
-        for qid, v in zip(a[obj].to_numpy(), a[vector].to_numpy()):
-            d = np.sqrt(((rv - np.asarray(v, float)) ** 2).sum(axis=1))
-            if exclude_self:
-                d = np.where(rid == qid, np.inf, d)
-            near = np.argsort(d, kind="stable")[:k]
-            near = near[np.isfinite(d[near])]
-            out.append(pd.DataFrame({obj: qid, "neighbour": rid[near], "distance": d[near], payload: rp[near]}))
-        return pd.concat(out, ignore_index=True)
-
-    cand = (q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb"))
-            .applyInPandas(block_candidates, f"{obj} long, neighbour long, distance double, {payload} double"))
-    return top_n(cand, [obj], k, F.col("distance"), F.col("neighbour"))
+    found, _ = nearest_with_visits(queries, reference, obj, vector, payload, k, exclude_self, block_rows)
+    return found
+
+
+def nearest_with_visits(queries: DataFrame, reference: DataFrame, obj: str, vector: str, payload: str, k: int, exclude_self: bool = False,
+                        block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The neighbours, and the (query, block) rows of round two that the pruning has left."""
+    ref = reference.where(F.col(vector).isNotNull()).select(obj, vector, F.col(payload).cast("double").alias("payload"))
+    n = ref.count()
+    pivots = pivots_of(ref, obj, vector, min(MAX_PIVOTS, max(1, -(-n // block_rows))))
+    kind = queries.schema[obj].dataType.simpleString()
+    if not n:
+        none = queries.sparkSession.createDataFrame([], f"{obj} {kind}, neighbour {kind}, distance double, {payload} double, position int")
+        return none, none
+    rows = max(block_rows, -(-n // MAX_BLOCKS))
+    blocks, known = blocks_of(cut_lineage(_celled(ref, obj, vector, pivots)), rows)
+    own = cut_lineage(_visits(_celled(queries.select(obj, vector), obj, vector, pivots), pivots, known, True, k))
+    near = cut_lineage(_met(own, blocks, known, k, exclude_self, rows))
+    kth = near.groupBy("id").agg(F.count("*").alias("_n"), F.max("distance").alias("_far"))
+    bounded = own.join(kth, "id", "left").withColumn("bound", F.when(F.col("_n") >= k, F.least("bound", "_far")).otherwise(F.col("bound")))
+    visits = cut_lineage(_visits(bounded, pivots, known, False, k))
+    cand = near.unionByName(_met(visits, blocks, known, k, exclude_self, rows)).toDF(obj, "neighbour", "distance", payload)
+    return top_n(cand, [obj], k, F.col("distance"), F.col("neighbour")), visits
 
 
 def weighted_neighbour_mean(neighbours: DataFrame, obj: str, payload: str) -> DataFrame:
