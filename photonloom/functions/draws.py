@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 POISSON_CDF = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581519,
                0.99991675886, 0.99998980292, 0.99999887498)
 
-DRAWS_PER_HASH = 4
-
 
 def key_text(*parts: Column | str | int) -> Column:
     return F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
@@ -19,14 +17,3 @@ def key_text(*parts: Column | str | int) -> Column:
 def hash32(text: Column, word: int = 0) -> Column:
     """One of the four 32-bit words of the MD5 digest, as bigint."""
     return F.conv(F.substring(F.md5(text), 1 + 8 * word, 8), 16, 10).cast("bigint")
-
-
-def uniform(text: Column, word: int = 0) -> Column:
-    return hash32(text, word) / F.lit(4294967296.0)
-
-
-def poisson_weight(u: Column) -> Column:
-    w = F.lit(0)
-    for edge in POISSON_CDF:
-        w = w + F.when(u >= edge, 1).otherwise(0)
-    return w

@@ -1,9 +1,4 @@
-"""Bootstrap and paired comparison.
-
-Replicates never exist as rows of resampled data. Each object gets a Poisson(1) number of copies per replicate, a function of
-its id, and the statistics are sums weighted by the copies: partial aggregates leave every task with one row per replicate.
-One MD5 digest serves four replicates.
-"""
+"""Intervals, tests and paired comparison (A32-A38, A53, E13); the replicates come from `bootstrap`."""
 
 from __future__ import annotations
 
@@ -13,33 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from photonloom.functions.draws import DRAWS_PER_HASH, POISSON_CDF
-from photonloom.operators.distribution import ordered, value_counts, mad_of, global_rank
+from photonloom.operators.distribution import global_rank, ordered
 
 # Margins within which two models count as equivalent.
 EQUIVALENCE_MARGINS = {"log_mstar": 0.02, "log_sfr": 0.02, "d4000": 0.01}
 
 
-def with_copies(df: DataFrame, obj: str, n_boot: int, seed: int) -> DataFrame:
-    """Explode replicates: adds `rep` and `copies`, rows without copies dropped. The draw depends on the object only, so all
-    models and targets of an object share it (paired resampling)."""
-    words = ", ".join(f"named_struct('rep', _blk * {DRAWS_PER_HASH} + {i}, 'u', conv(substring(_h, {1 + 8 * i}, 8), 16, 10) / 4294967296.0D)"
-                      for i in range(DRAWS_PER_HASH))
-    copies = " + ".join(f"int(u >= {edge}D)" for edge in POISSON_CDF)
-    kept = df.columns
-    d = df.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit((n_boot + DRAWS_PER_HASH - 1) // DRAWS_PER_HASH - 1))))
-    d = d.withColumn("_h", F.md5(F.concat_ws("|", F.col(obj).cast("string"), F.lit(str(seed)), F.col("_blk").cast("string"))))
-    d = d.selectExpr(*kept, f"inline(array({words}))").selectExpr(*kept, "rep", f"{copies} AS copies")
-    return d.where((F.col("rep") < n_boot) & (F.col("copies") > 0))
-
-
-def replicate_means(df: DataFrame, obj: str, keys: Sequence[str], columns: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    """(keys, rep, column...): weighted mean of each column in each replicate."""
-    d = with_copies(df.select(obj, *keys, *columns), obj, n_boot, seed)
-    return (d.groupBy(*keys, "rep").agg(*[(F.sum(F.col("copies") * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), F.col("copies")))).alias(c)
-                                          for c in columns]))
-
-
 def interval(reps: DataFrame, keys: Sequence[str], stats: Mapping[str, Column], levels: Mapping[str, float]) -> DataFrame:
     """Quantiles over replicates: `n_boot` rows per key, so the built-in percentile is exact and small."""
     out = []
@@ -48,13 +22,6 @@ def interval(reps: DataFrame, keys: Sequence[str], stats: Mapping[str, Column],
     return reps.groupBy(*keys).agg(*out)
 
 
-def replicate_nmad(df: DataFrame, obj: str, keys: Sequence[str], value: str, n_boot: int, seed: int, bound: int | None = None) -> DataFrame:
-    """(keys, rep, med, nmad): weighted median and MAD of each replicate."""
-    d = with_copies(df.select(obj, *keys, value), obj, n_boot, seed)
-    k = [*keys, "rep"]
-    return mad_of(ordered(value_counts(d, k, value, "copies"), k, bound=bound), k, None, bound)
-
-
 def verdict(lo: Column, hi: Column, margin: Column, lo_eq: Column | None = None, hi_eq: Column | None = None) -> Column:
     """Negative means the first model is better. Equivalence looks at the bounds given for it, else at lo and hi."""
     lo_eq, hi_eq = lo if lo_eq is None else lo_eq, hi if hi_eq is None else hi_eq

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from photonloom.functions.scalars import r6
+from photonloom.operators import bootstrap as B
 from photonloom.operators import ensembles as E
 from photonloom.operators import metrics as M
 from photonloom.operators import resample as R
@@ -13,74 +14,99 @@ from photonloom.plans.bindings import ALIGNED_SQL, FAMILIES, OBJECTS_SQL, PRED_S
 from photonloom.plans.metric_queries import rounded
 from photonloom.plans.registry import Tables, query
 from photonloom.plans.split_queries import h_sql
+from photonloom.session import cut_lineage
 
 ALIGNED = [PRED_SQL, ALIGNED_SQL]
-N_BOOT = 40
+N_BOOT = 1000
+PAIRS = [(a, b) for i, a in enumerate(FAMILIES) for b in FAMILIES[i + 1:]]
 
 
 def copies_sql(source: str, n_boot: int, seed: int, cols: str) -> str:
-    word = "CAST('0x' || substr(h, 1 + 8 * j, 8) AS BIGINT) / 4294967296.0"
-    copies = " + ".join(f"(u >= {e})::INT" for e in R.POISSON_CDF)
-    return f"""hashed AS (SELECT {cols}, b, md5(concat_ws('|', obj_id, '{seed}', b)) AS h FROM {source}, range(0, {(n_boot + 3) // 4}) g(b)),
-draws AS (SELECT {cols}, CAST(b * 4 + j AS INTEGER) AS rep, {word} AS u FROM hashed, range(0, 4) g(j)),
-copies AS (SELECT *, {copies} AS copies FROM draws WHERE rep < {n_boot})"""
+    word = lambda k: f"CAST('0x' || substr(md5(concat_ws('|', obj_id, '{seed}')), {1 + 8 * k}, 8) AS BIGINT)"
+    n = " + ".join(f"(x >= {e})::INT" for e in B.EDGES)
+    return f"""words AS (SELECT {cols}, {word(0)} AS w0, {word(1)} AS w1 FROM {source}),
+mixed AS (SELECT {cols}, CAST(rep AS INTEGER) AS rep, (xor(x, x >> 16) * {B.MIX}) % 4294967296 AS x FROM (SELECT *, (w0 + w1 * rep) % 4294967296 AS x FROM words, range(0, {n_boot}) g(rep))),
+copies AS (SELECT {cols}, rep, {n} AS copies FROM (SELECT * REPLACE (xor(x, x >> 16) AS x) FROM mixed))"""
 
 
-# One row per object with the squared error and residual of every (family, target): the draws are computed once per object.
+# One row per object with the residual of every (family, target): the draws are made once per object.
 ERR = [(f, t) for f in FAMILIES for t in TARGETS]
+ERR_COLUMNS = ", ".join(f"r_{f}_{t}" for f, t in ERR)
 ERRORS_SQL = "errors AS (SELECT obj_id, split, " + ", ".join(
     f"max(pred - y) FILTER (family = '{f}' AND target = '{t}') AS r_{f}_{t}" for f, t in ERR) + " FROM family_mean GROUP BY obj_id, split)"
+#: Per replicate and (family, target): mean square, mean and mean absolute residual.
+REPS_SQL = "sums AS (SELECT split, rep, sum(copies) AS n, " + ", ".join(f"sum(copies * r_{f}_{t} * r_{f}_{t}) AS q_{f}_{t}, sum(copies * r_{f}_{t}) AS b_{f}_{t}, sum(copies * abs(r_{f}_{t})) AS a_{f}_{t}" for f, t in ERR) + """ FROM copies GROUP BY split, rep),
+reps AS (""" + " UNION ALL ".join(f"SELECT split, rep, '{f}' AS family, '{t}' AS target, sqrt(q_{f}_{t} / n) AS rmse, b_{f}_{t} / n AS bias, a_{f}_{t} / n AS mae FROM sums" for f, t in ERR) + ")"
+LEVELS = {"lo": 0.025, "hi": 0.975}
 
 
-def errors(t: Tables):
-    return family_mean(t).groupBy("obj_id", "split").agg(*[
-        F.max(F.when((F.col("family") == f) & (F.col("target") == x), F.col("pred") - F.col("y"))).alias(f"r_{f}_{x}") for f, x in ERR])
+def replicate_errors(t: Tables, seed: int):
+    """(split, rep, family, target, rmse, bias, mae)"""
+    d = family_mean(t).groupBy("obj_id", "split").agg(*[F.max(F.when((F.col("family") == f) & (F.col("target") == x), F.col("pred") - F.col("y"))).alias(f"b_{f}_{x}") for f, x in ERR])
+    d = d.withColumns({f"q_{f}_{x}": F.col(f"b_{f}_{x}") * F.col(f"b_{f}_{x}") for f, x in ERR}).withColumns({f"a_{f}_{x}": F.abs(f"b_{f}_{x}") for f, x in ERR})
+    reps = B.replicate_means(d, "obj_id", ["split"], [f"{k}_{f}_{x}" for k in "qba" for f, x in ERR], N_BOOT, seed)
+    rows = ", ".join(f"named_struct('family', '{f}', 'target', '{x}', 'rmse', sqrt(q_{f}_{x}), 'bias', b_{f}_{x}, 'mae', a_{f}_{x})" for f, x in ERR)
+    return reps.selectExpr("split", "rep", f"inline(array({rows}))")
 
 
-def replicate_errors(t: Tables, n_boot: int, seed: int, power: int):
-    d = errors(t)
-    cols = [f"r_{f}_{x}" for f, x in ERR]
-    if power == 2:
-        d = d.withColumns({c: F.col(c) * F.col(c) for c in cols})
-    reps = R.replicate_means(d, "obj_id", ["split"], cols, n_boot, seed)
-    return reps.selectExpr("split", "rep", "inline(array(" + ", ".join(f"named_struct('family', '{f}', 'target', '{x}', 'v', r_{f}_{x})" for f, x in ERR) + "))")
+def paired(reps, keys: list[str], values: list[str]):
+    """(keys, rep, family, versus, value...): differences of every pair of families on the same draws."""
+    one = reps.groupBy(*keys, "rep").agg(*[F.max(F.when(F.col("family") == f, F.col(v))).alias(f"{v}_{f}") for f in FAMILIES for v in values])
+    rows = ", ".join(f"named_struct('family', '{b}', 'versus', '{a}', " + ", ".join(f"'{v}', {v}_{b} - {v}_{a}" for v in values) + ")" for a, b in PAIRS)
+    return one.selectExpr(*keys, "rep", f"inline(array({rows}))")
 
 
-LEVELS = {"lo": 0.025, "hi": 0.975}
+def quantile_sql(columns: str, levels: dict[str, float] = LEVELS) -> str:
+    return ", ".join(f"round(quantile_cont({c}, {p}), 6) AS {c}_{tag}" for c in columns.split() for tag, p in levels.items())
 
 
-@query("a32_bootstrap_rmse_interval", with_sql(*ALIGNED, ERRORS_SQL, copies_sql("errors", N_BOOT, 1, "obj_id, split, " + ", ".join(f"r_{f}_{t}" for f, t in ERR)),
-    "reps AS (" + " UNION ALL ".join(f"SELECT split, rep, '{f}' AS family, '{t}' AS target, sum(copies * r_{f}_{t} * r_{f}_{t}) / sum(copies) AS v FROM copies GROUP BY split, rep" for f, t in ERR) + ")", body="""
-SELECT split, family, target, round(quantile_cont(sqrt(v), 0.025), 6) AS rmse_lo, round(quantile_cont(sqrt(v), 0.975), 6) AS rmse_hi FROM reps GROUP BY ALL"""))
+@query("a32_bootstrap_rmse_interval", with_sql(*ALIGNED, ERRORS_SQL, copies_sql("errors", N_BOOT, 1, f"obj_id, split, {ERR_COLUMNS}"), REPS_SQL, body=f"""
+SELECT split, family, target, {quantile_sql('rmse bias mae')} FROM reps GROUP BY ALL"""))
 def _(t: Tables):
-    reps = replicate_errors(t, N_BOOT, 1, 2)
-    return rounded(R.interval(reps, ["split", "family", "target"], {"rmse": F.sqrt("v")}, LEVELS), [])
+    """Intervals of RMSE, bias and MAE of every family."""
+    return rounded(R.interval(replicate_errors(t, 1), ["split", "family", "target"], {c: F.col(c) for c in ("rmse", "bias", "mae")}, LEVELS), [])
+
 
+PAIRED_SQL = "pairs(family, versus) AS (VALUES " + ", ".join(f"('{b}', '{a}')" for a, b in PAIRS) + ")"
 
-@query("a33_paired_bootstrap", with_sql(*ALIGNED, ERRORS_SQL, copies_sql("errors", N_BOOT, 2, "obj_id, split, " + ", ".join(f"r_{f}_{t}" for f, t in ERR)),
-    "reps AS (" + " UNION ALL ".join(f"SELECT split, rep, '{f}' AS family, '{t}' AS target, sqrt(sum(copies * r_{f}_{t} * r_{f}_{t}) / sum(copies)) - sqrt(sum(copies * r_conv_{t} * r_conv_{t}) / sum(copies)) AS d FROM copies GROUP BY split, rep"
-                                     for f, t in ERR if f != "conv") + "),\n" + """ci AS (SELECT split, family, target, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, quantile_cont(d, 0.05) AS lo90, quantile_cont(d, 0.95) AS hi90,
-      CASE target WHEN 'd4000' THEN 0.01 ELSE 0.02 END AS margin FROM reps GROUP BY ALL)""", body="""
-SELECT split, family, target, round(lo, 6) AS d_lo, round(hi, 6) AS d_hi, CASE WHEN hi < 0 THEN 'better' WHEN lo > 0 THEN 'worse' WHEN -margin < lo90 AND hi90 < margin THEN 'equivalent' ELSE 'inconclusive' END AS verdict FROM ci"""))
+
+@query("a33_paired_bootstrap", with_sql(*ALIGNED, ERRORS_SQL, copies_sql("errors", N_BOOT, 2, f"obj_id, split, {ERR_COLUMNS}"), REPS_SQL, PAIRED_SQL, """
+d AS (SELECT x.split, x.target, p.family, p.versus, x.rmse - y.rmse AS d, x.mae - y.mae AS m FROM pairs p JOIN reps x ON x.family = p.family JOIN reps y ON y.family = p.versus AND y.split = x.split AND y.target = x.target AND y.rep = x.rep),
+ci AS (SELECT split, family, versus, target, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, quantile_cont(d, 0.05) AS lo90, quantile_cont(d, 0.95) AS hi90, quantile_cont(m, 0.025) AS mlo, quantile_cont(m, 0.975) AS mhi,
+      CASE target WHEN 'd4000' THEN 0.01 ELSE 0.02 END AS margin FROM d GROUP BY ALL)""", body="""
+SELECT split, family, versus, target, round(lo, 6) AS d_lo, round(hi, 6) AS d_hi, round(mlo, 6) AS mae_lo, round(mhi, 6) AS mae_hi,
+  CASE WHEN hi < 0 THEN 'better' WHEN lo > 0 THEN 'worse' WHEN -margin < lo90 AND hi90 < margin THEN 'equivalent' ELSE 'inconclusive' END AS verdict FROM ci"""))
 def _(t: Tables):
-    """Difference to the first family on the same draws, and the decision rule with the 90 % bounds."""
-    reps = replicate_errors(t, N_BOOT, 2, 2)
-    wide = reps.groupBy("split", "rep", "target").pivot("family", list(FAMILIES)).agg(F.sqrt(F.first("v")))
-    d = wide.selectExpr("split", "rep", "target", "inline(array(" + ", ".join(f"named_struct('family', '{f}', 'd', {f} - conv)" for f in FAMILIES if f != "conv") + "))")
-    ci = R.interval(d, ["split", "family", "target"], {"d": F.col("d")}, {**LEVELS, "lo90": 0.05, "hi90": 0.95})
+    """RMSE and MAE differences of every pair of families on the same draws, and the decision rule with the 90 % bounds."""
+    keys = ["split", "family", "versus", "target"]
+    d = paired(replicate_errors(t, 2), ["split", "target"], ["rmse", "mae"])
+    ci = R.interval(d, keys, {"d": F.col("rmse"), "mae": F.col("mae")}, {**LEVELS, "lo90": 0.05, "hi90": 0.95})
     v = R.verdict(F.col("d_lo"), F.col("d_hi"), R.margin_of(), F.col("d_lo90"), F.col("d_hi90"))
-    return ci.select("split", "family", "target", r6("d_lo").alias("d_lo"), r6("d_hi").alias("d_hi"), v.alias("verdict"))
+    return ci.select(*keys, *[r6(c).alias(c) for c in ("d_lo", "d_hi", "mae_lo", "mae_hi")], v.alias("verdict"))
 
 
-@query("a32_bootstrap_nmad_interval", with_sql(*ALIGNED, "src AS (SELECT obj_id, family, target, pred - y AS r FROM family_mean)", copies_sql("src", 4, 3, "obj_id, family, target, r"), """
+NMAD_SQL = ["src AS (SELECT obj_id, family, target, pred - y AS r FROM family_mean)", copies_sql("src", N_BOOT, 3, "obj_id, family, target, r"), """
 ex AS (SELECT family, target, rep, r FROM copies, range(0, 10) k(i) WHERE i < copies),
 med AS (SELECT family, target, rep, median(r) AS med FROM ex GROUP BY ALL),
-mad AS (SELECT family, target, rep, 1.4826 * median(abs(r - med)) AS nmad FROM ex JOIN med USING (family, target, rep) GROUP BY ALL)""", body="""
+mad AS (SELECT family, target, rep, 1.4826 * median(abs(r - med)) AS nmad FROM ex JOIN med USING (family, target, rep) GROUP BY ALL)"""]
+
+
+def replicate_nmads(t: Tables):
+    return B.replicate_nmad(family_mean(t).withColumn("r", F.col("pred") - F.col("y")), "obj_id", ["family", "target"], "r", N_BOOT, 3)
+
+
+@query("a32_bootstrap_nmad_interval", with_sql(*ALIGNED, *NMAD_SQL, body="""
 SELECT family, target, round(quantile_cont(nmad, 0.025), 6) AS nmad_lo, round(quantile_cont(nmad, 0.975), 6) AS nmad_hi FROM mad GROUP BY ALL"""))
 def _(t: Tables):
-    d = family_mean(t).withColumn("r", F.col("pred") - F.col("y"))
-    reps = R.replicate_nmad(d, "obj_id", ["family", "target"], "r", 4, 3, bound=t.rows("orders"))
-    return rounded(R.interval(reps, ["family", "target"], {"nmad": F.col("nmad")}, LEVELS), [])
+    return rounded(R.interval(replicate_nmads(t), ["family", "target"], {"nmad": F.col("nmad")}, LEVELS), [])
+
+
+@query("a33_paired_nmad", with_sql(*ALIGNED, *NMAD_SQL, PAIRED_SQL, """
+d AS (SELECT x.target, p.family, p.versus, x.nmad - y.nmad AS d FROM pairs p JOIN mad x ON x.family = p.family JOIN mad y ON y.family = p.versus AND y.target = x.target AND y.rep = x.rep)""", body=f"""
+SELECT family, versus, target, {quantile_sql('d')} FROM d GROUP BY ALL"""))
+def _(t: Tables):
+    """NMAD differences of every pair of families on the same draws."""
+    return rounded(R.interval(paired(replicate_nmads(t), ["target"], ["nmad"]), ["family", "versus", "target"], {"d": F.col("nmad")}, LEVELS), [])
 
 
 LOSS_SQL = "loss AS (SELECT obj_id, split, family, avg(((pred - y) / sigma) * ((pred - y) / sigma)) AS loss FROM family_mean JOIN scale USING (target) GROUP BY ALL)"
@@ -90,16 +116,20 @@ def losses(t: Tables):
     return M.object_loss(family_mean(t), scale_of(t), ["obj_id", "split", "family"])
 
 
-@query("a33_criterion_difference", with_sql(*ALIGNED, SCALE_SQL, LOSS_SQL, """diff AS (SELECT obj_id, split, max(loss) FILTER (family = 'eff') - max(loss) FILTER (family = 'conv') AS d FROM loss GROUP BY ALL)""",
-    copies_sql("diff", N_BOOT, 4, "obj_id, split, d"), """reps AS (SELECT split, rep, sum(copies * d) / sum(copies) AS d FROM copies GROUP BY ALL),
-point AS (SELECT split, avg(d) AS mean_d FROM diff GROUP BY ALL)""", body="""
-SELECT split, round(max(mean_d), 6) AS mean_d, round(quantile_cont(d, 0.025), 6) AS d_lo, round(quantile_cont(d, 0.975), 6) AS d_hi FROM reps JOIN point USING (split) GROUP BY split"""))
+@query("a33_criterion_difference", with_sql(*ALIGNED, SCALE_SQL, LOSS_SQL, "diff AS (SELECT obj_id, split, " + ", ".join(f"max(loss) FILTER (family = '{b}') - max(loss) FILTER (family = '{a}') AS d_{a}_{b}" for a, b in PAIRS) + " FROM loss GROUP BY ALL)",
+    copies_sql("diff", N_BOOT, 4, "obj_id, split, " + ", ".join(f"d_{a}_{b}" for a, b in PAIRS)), "sums AS (SELECT split, rep, sum(copies) AS n, " + ", ".join(f"sum(copies * d_{a}_{b}) AS d_{a}_{b}" for a, b in PAIRS) + """ FROM copies GROUP BY ALL),
+reps AS (""" + " UNION ALL ".join(f"SELECT split, '{b}' AS family, '{a}' AS versus, d_{a}_{b} / n AS d FROM sums" for a, b in PAIRS) + "),\npoint AS (" + " UNION ALL ".join(f"SELECT split, '{b}' AS family, '{a}' AS versus, avg(d_{a}_{b}) AS mean_d FROM diff GROUP BY split" for a, b in PAIRS) + ")", body="""
+SELECT split, family, versus, round(max(mean_d), 6) AS mean_d, round(quantile_cont(d, 0.025), 6) AS d_lo, round(quantile_cont(d, 0.975), 6) AS d_hi FROM reps JOIN point USING (split, family, versus) GROUP BY ALL"""))
 def _(t: Tables):
-    d = (losses(t).groupBy("obj_id", "split").pivot("family", ["conv", "eff"]).agg(F.first("loss"))
-         .select("obj_id", "split", (F.col("eff") - F.col("conv")).alias("d")))
-    reps = R.replicate_means(d, "obj_id", ["split"], ["d"], N_BOOT, 4)
-    point = d.groupBy("split").agg(F.avg("d").alias("mean_d"))
-    return rounded(R.interval(reps, ["split"], {"d": F.col("d")}, LEVELS).join(point, "split"), [])
+    """Criterion difference of every pair of families."""
+    wide = losses(t).groupBy("obj_id", "split").agg(*[F.max(F.when(F.col("family") == f, F.col("loss"))).alias(f) for f in FAMILIES])
+    d = wide.select("obj_id", "split", *[(F.col(b) - F.col(a)).alias(f"d_{a}_{b}") for a, b in PAIRS])
+    names = [f"d_{a}_{b}" for a, b in PAIRS]
+    rows = "inline(array(" + ", ".join(f"named_struct('family', '{b}', 'versus', '{a}', 'd', d_{a}_{b})" for a, b in PAIRS) + "))"
+    reps = B.replicate_means(d, "obj_id", ["split"], names, N_BOOT, 4).selectExpr("split", rows)
+    point = d.groupBy("split").agg(*[F.avg(c).alias(c) for c in names]).selectExpr("split", rows).withColumnRenamed("d", "mean_d")
+    keys = ["split", "family", "versus"]
+    return rounded(R.interval(reps, keys, {"d": F.col("d")}, LEVELS).join(point, keys), [])
 
 
 WILCOXON_SQL = """dd AS (SELECT a.split, a.target, round((b.pred - b.y) * (b.pred - b.y) - (a.pred - a.y) * (a.pred - a.y), 9) AS d FROM family_mean a JOIN family_mean b
@@ -292,20 +322,20 @@ def _(t: Tables):
 
 @query("a53_input_importance", with_sql(*ALIGNED, f"""prm AS (SELECT a.obj_id, b.redshift AS z2 FROM (SELECT obj_id, row_number() OVER (ORDER BY obj_id) AS k FROM objects) a
   JOIN (SELECT obj_id, redshift, row_number() OVER (ORDER BY {h_sql('obj_id', 9)}, obj_id) AS k FROM objects) b USING (k)),
-base AS (SELECT f.obj_id, f.target, f.y, f.pred, f.redshift, p.z2 FROM family_mean f JOIN prm p USING (obj_id) WHERE f.family = 'conv'),
-src AS (SELECT obj_id, target, (pred - y) * (pred - y) AS e0, (pred + 0.5 * (z2 - redshift) - y) * (pred + 0.5 * (z2 - redshift) - y) AS e1 FROM base)""",
-    copies_sql("src", N_BOOT, 6, "obj_id, target, e0, e1"), """reps AS (SELECT target, rep, sqrt(sum(copies * e1) / sum(copies)) - sqrt(sum(copies * e0) / sum(copies)) AS d FROM copies GROUP BY ALL),
-pt AS (SELECT target, sqrt(avg(e1)) - sqrt(avg(e0)) AS d0 FROM src GROUP BY ALL)""", body="""
-SELECT 'redshift permuted' AS modification, target, round(max(d0), 6) AS increase, round(quantile_cont(d, 0.025), 6) AS d_lo, round(quantile_cont(d, 0.975), 6) AS d_hi FROM reps JOIN pt USING (target) GROUP BY target"""))
+base AS (SELECT f.obj_id, f.family, f.target, f.y, f.pred, f.redshift, p.z2 FROM family_mean f JOIN prm p USING (obj_id)),
+src AS (SELECT obj_id, family, target, (pred - y) * (pred - y) AS e0, (pred + 0.5 * (z2 - redshift) - y) * (pred + 0.5 * (z2 - redshift) - y) AS e1 FROM base)""",
+    copies_sql("src", N_BOOT, 6, "obj_id, family, target, e0, e1"), """reps AS (SELECT family, target, rep, sqrt(sum(copies * e1) / sum(copies)) - sqrt(sum(copies * e0) / sum(copies)) AS d FROM copies GROUP BY ALL),
+pt AS (SELECT family, target, sqrt(avg(e1)) - sqrt(avg(e0)) AS d0 FROM src GROUP BY ALL)""", body="""
+SELECT 'redshift permuted' AS modification, family, target, round(max(d0), 6) AS increase, round(quantile_cont(d, 0.025), 6) AS d_lo, round(quantile_cont(d, 0.975), 6) AS d_hi FROM reps JOIN pt USING (family, target) GROUP BY family, target"""))
 def _(t: Tables):
     """A covariate is permuted between all objects by a bijection, the model (linear in it) is re-evaluated, and the
     RMSE increase gets a paired interval."""
     perm = R.permuted_column(objects(t), "obj_id", "redshift", 9)
-    d = family_mean(t).where("family = 'conv'").join(perm, "obj_id")
+    d = family_mean(t).join(perm, "obj_id")
     e0 = F.col("pred") - F.col("y")
     e1 = F.col("pred") + 0.5 * (F.col("redshift_permuted") - F.col("redshift")) - F.col("y")
-    src = d.select("obj_id", "target", (e0 * e0).alias("e0"), (e1 * e1).alias("e1"))
-    reps = R.replicate_means(src, "obj_id", ["target"], ["e0", "e1"], N_BOOT, 6)
-    ci = R.interval(reps, ["target"], {"d": F.sqrt("e1") - F.sqrt("e0")}, LEVELS)
-    pt = src.groupBy("target").agg((F.sqrt(F.avg("e1")) - F.sqrt(F.avg("e0"))).alias("increase"))
-    return rounded(ci.join(pt, "target"), []).withColumn("modification", F.lit("redshift permuted"))
+    src = cut_lineage(d.select("obj_id", "family", "target", (e0 * e0).alias("e0"), (e1 * e1).alias("e1")))
+    reps = B.replicate_means(src, "obj_id", ["family", "target"], ["e0", "e1"], N_BOOT, 6)
+    ci = R.interval(reps, ["family", "target"], {"d": F.sqrt("e1") - F.sqrt("e0")}, LEVELS)
+    pt = src.groupBy("family", "target").agg((F.sqrt(F.avg("e1")) - F.sqrt(F.avg("e0"))).alias("increase"))
+    return rounded(ci.join(pt, ["family", "target"]), []).withColumn("modification", F.lit("redshift permuted"))

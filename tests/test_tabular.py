@@ -41,13 +41,6 @@ def test_holm_and_verdict(spark):
     assert [r[0] for r in v.select(R.verdict(F.col("lo"), F.col("hi"), F.lit(0.02))).collect()] == ["better", "worse", "equivalent", "inconclusive"]
 
 
-def test_copies_follow_poisson_and_are_paired(spark):
-    df = spark.range(2000).withColumnRenamed("id", "obj").withColumn("m", F.explode(F.array(F.lit("a"), F.lit("b"))))
-    c = R.with_copies(df, "obj", 10, 0)
-    assert c.agg(F.sum("copies")).first()[0] / (2000 * 10 * 2) == pytest.approx(1.0, abs=0.03)
-    assert c.groupBy("obj", "rep").agg(F.countDistinct("copies").alias("k"), F.count("*").alias("n")).where("k <> 1 OR n <> 2").count() == 0
-
-
 def test_permuted_column_is_a_bijection(spark):
     df = spark.range(500).selectExpr("id AS obj", "double(id) AS z")
     got = R.permuted_column(df, "obj", "z", 3).collect()
