@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photonloom.functions.scalars import col, finite, safe_div
-from photonloom.operators.distribution import (is_small, mad_of, median_and_mad, ordered, quantiles, quantiles_of, rank_correlation, spearman,
-                                                value_counts, value_pairs)
-from photonloom.session import pin_small
+from photonloom.operators.distribution import median_and_mad, quantiles, spearman
+from photonloom.session import cut_lineage
 
 
 def residuals(df: DataFrame, keys: Sequence[str], y: Column | str = "y", p: Column | str = "pred", *extra: str) -> DataFrame:
@@ -31,39 +30,27 @@ def moments(d: DataFrame, keys: Sequence[str], catastrophic: float | None = None
 
 
 def regression_metrics(df: DataFrame, keys: Sequence[str], y="y", p="pred", catastrophic: float | None = None,
-                       rank: bool = True, bound: int | None = None) -> DataFrame:
-    """N, RMSE, MSE, MAE, R2, bias, NMAD, outlier share, residual slope, Pearson and Spearman.
-
-    The residual, the label and the prediction are ordered together (`part` tells them apart), in one shuffle.
-    """
+                       rank: bool = True) -> DataFrame:
+    """N, RMSE, MSE, MAE, R2, bias, NMAD, outlier share, residual slope, Pearson and Spearman. The base table is
+    read once; all statistics come from the materialized residuals."""
     keys = list(keys)
-    d = residuals(df, keys, y, p)
-    out = moments(d, keys, catastrophic)
-    if not rank or is_small(bound):
-        out = out.join(median_and_mad(d, keys, "r", bound=bound), keys)
-        return out.join(spearman(d, keys, "y", "p", bound), keys) if rank else out
-    pairs = value_pairs(d, keys, "y", "p")
-    parts = F.array(*[F.struct(F.lit(n).alias("part"), v.alias("v"))
-                      for n, v in (("y", F.col("_a")), ("p", F.col("_b")), ("r", F.col("_b") - F.col("_a")))])
-    exploded = pairs.select(*keys, "_n", F.explode(parts).alias("s")).select(*keys, "_n", "s.part", "s.v")
-    table = ordered(value_counts(exploded, [*keys, "part"], "v", "_n"), [*keys, "part"], bound=bound)
-    of = {n: table.where(F.col("part") == n).drop("part") for n in ("y", "p", "r")}
-    return (out.join(mad_of(of["r"], keys, bound=bound), keys)
-            .join(rank_correlation(pairs, keys, of["y"], of["p"]), keys))
+    d = cut_lineage(residuals(df, keys, y, p))
+    out = moments(d, keys, catastrophic).join(median_and_mad(d, keys, "r"), keys)
+    return out.join(spearman(d, keys, "y", "p"), keys) if rank else out
 
 
 def normalized_criterion(df: DataFrame, scale: DataFrame, keys: Sequence[str], y="y", p="pred") -> DataFrame:
     """Mean over targets of (RMSE / sigma of the train labels)^2. `scale` has one row per target."""
     per_target = (residuals(df, [*keys, "target"], y, p).groupBy(*keys, "target")
                   .agg(F.avg(F.col("r") * F.col("r")).alias("mse")))
-    return (per_target.join(pin_small(scale), "target")
+    return (per_target.join(cut_lineage(scale), "target")
             .groupBy(*keys).agg(F.avg(F.col("mse") / (F.col("sigma") * F.col("sigma"))).alias("criterion")))
 
 
 def object_loss(df: DataFrame, scale: DataFrame, keys: Sequence[str], y="y", p="pred") -> DataFrame:
     """Mean over targets of the normalized squared error of each object."""
     e = (col(p) - col(y)) / F.col("sigma")
-    return df.join(pin_small(scale), "target").groupBy(*keys).agg(F.avg(e * e).alias("loss"))
+    return df.join(cut_lineage(scale), "target").groupBy(*keys).agg(F.avg(e * e).alias("loss"))
 
 
 def edge_bucket(value: Column | str, edges: Sequence[float], right_closed: bool = False, last_closed: bool = False) -> Column:
@@ -77,18 +64,15 @@ def edge_bucket(value: Column | str, edges: Sequence[float], right_closed: bool
 
 
 def residual_summary(df: DataFrame, keys: Sequence[str], value: Column | str = "r", minimum: int = 1,
-                     probs: dict[str, float] | None = None, bound: int | None = None) -> DataFrame:
+                     probs: dict[str, float] | None = None) -> DataFrame:
     """N, mean, sample std, NMAD and quantiles of one column per group."""
     keys = list(keys)
     d = df.select(*keys, finite(value).alias("v")).where("v is not null")
     base = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")) \
         .where(F.col("n") >= minimum)
-    if is_small(bound):
-        out = base.join(median_and_mad(d, keys, "v", outlier_factor=None, bound=bound), keys)
-        return out.join(quantiles(d, keys, "v", probs, bound=bound), keys) if probs else out
-    table = ordered(value_counts(d, keys, "v"), keys)
-    out = base.join(mad_of(table, keys, None), keys)
-    return out.join(quantiles_of(table, keys, probs), keys) if probs else out
+    d = cut_lineage(d)
+    out = base.join(median_and_mad(d, keys, "v", outlier_factor=None), keys)
+    return out.join(quantiles(d, keys, "v", probs), keys) if probs else out
 
 
 def column_audit(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -102,8 +86,7 @@ def column_audit(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
         F.min("ok").alias("min"), F.max("ok").alias("max"), F.avg("ok").alias("mean"), F.stddev_samp("ok").alias("std"))
 
 
-def photoz_metrics(df: DataFrame, keys: Sequence[str], z: Column | str, z_pred: Column | str, outlier: float = 0.05,
-                   bound: int | None = None) -> DataFrame:
+def photoz_metrics(df: DataFrame, keys: Sequence[str], z: Column | str, z_pred: Column | str, outlier: float = 0.05) -> DataFrame:
     """Median and NMAD of dz/(1+z), outlier share, median relative error, RMSE of log10 z and rank correlation."""
     keys = list(keys)
     zt, zp = col(z), col(z_pred)
@@ -111,9 +94,9 @@ def photoz_metrics(df: DataFrame, keys: Sequence[str], z: Column | str, z_pred:
                   (F.log10(zp) - F.log10(zt)).alias("dlog"))
     base = d.groupBy(*keys).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("dlog") * F.col("dlog"))).alias("rmse_log10z"),
                                 F.avg(F.when(F.abs("dz") > outlier, 1.0).otherwise(0.0)).alias("outlier_frac"))
-    dz = median_and_mad(d, keys, "dz", outlier_factor=None, bound=bound).withColumnsRenamed({"med": "bias_dz", "nmad": "nmad_dz"})
-    rel = quantiles(d, keys, "rel", {"median_relative_error": 0.5}, bound=bound)
-    return base.join(dz, keys).join(rel, keys).join(spearman(d, keys, "z", "zp", bound), keys)
+    dz = median_and_mad(d, keys, "dz", outlier_factor=None).withColumnsRenamed({"med": "bias_dz", "nmad": "nmad_dz"})
+    rel = quantiles(d, keys, "rel", {"median_relative_error": 0.5})
+    return base.join(dz, keys).join(rel, keys).join(spearman(d, keys, "z", "zp"), keys)
 
 
 def residual_correlation(df: DataFrame, keys: Sequence[str], member: str, obj: str = "obj_id") -> DataFrame:
@@ -131,7 +114,7 @@ def residual_correlation(df: DataFrame, keys: Sequence[str], member: str, obj: s
 
 def against_baseline(table: DataFrame, model: str, baseline: str, keys: Sequence[str], value: str) -> DataFrame:
     """Relative change of a metric against one model's row. `table` is a metrics table (one row per model and key)."""
-    table = pin_small(table)
+    table = cut_lineage(table)
     base = table.where(F.col(model) == baseline).select(*keys, F.col(value).alias("_base"))
     return (table.join(base, list(keys)).withColumn(f"{value}_change_pct", 100 * (F.col(value) - F.col("_base")) / F.col("_base"))
             .drop("_base"))

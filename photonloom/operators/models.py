@@ -168,12 +168,12 @@ class VectorScores:
         return s.withColumnRenamed("_s", out).drop("_z", "_pc")
 
 
-def cross_fitted(df: DataFrame, features: str, label: str, obj: str, split: str, k: int, alpha: float, seed: int, bound: int | None = None) -> DataFrame:
+def cross_fitted(df: DataFrame, features: str, label: str, obj: str, split: str, k: int, alpha: float, seed: int) -> DataFrame:
     """Out-of-fold estimate for the train rows, full-train model for the rest, with the origin of each estimate."""
     from photonloom.operators.splits import folds
 
     train = df.where(F.col(split) == "Train")
-    part = folds(train.select(obj), obj, k, seed, 1, bound).drop("repetition")
+    part = folds(train.select(obj), obj, k, seed, 1).drop("repetition")
     tagged = train.join(part, obj)
     out = None
     for f in range(k):

@@ -87,9 +87,9 @@ class AsinhScaler:
     std: dict[str, float]
 
     @classmethod
-    def fit(cls, train: DataFrame, positions: int | None = 512, seed: int = 0, bound: int | None = None) -> "AsinhScaler":
+    def fit(cls, train: DataFrame, positions: int | None = 512, seed: int = 0) -> "AsinhScaler":
         sample = train if positions is None else train.join(sampled_positions(train, "obj_id", positions, seed), ["obj_id", "y", "x"])
-        q = quantiles(sample.withColumn("_a", F.abs("flux")), ["band"], "_a", {"s": 0.75}, bound=bound)
+        q = quantiles(sample.withColumn("_a", F.abs("flux")), ["band"], "_a", {"s": 0.75})
         scale = {r["band"]: r["s"] for r in q.collect()}
         d = train.withColumn("_t", F.asinh(F.col("flux") / cls._by_band(scale)))
         rows = d.groupBy("band").agg(F.avg("_t").alias("m"), F.stddev_pop("_t").alias("s")).collect()
@@ -112,12 +112,12 @@ def noise_stretch(flux: Column, sigma: Column, beta: float) -> Column:
     return F.asinh(flux / (beta * sigma))
 
 
-def stretched_scale(px: DataFrame, sigma: DataFrame, beta: float, percentile: float = 0.999, bound: int | None = None) -> DataFrame:
+def stretched_scale(px: DataFrame, sigma: DataFrame, beta: float, percentile: float = 0.999) -> DataFrame:
     """High percentile of the stretched train pixels per band. `sigma` has one row per band."""
-    from photonloom.session import pin_small
+    from photonloom.session import cut_lineage
 
-    d = px.join(pin_small(sigma), "band").withColumn("_t", noise_stretch(F.col("flux"), F.col("sky_scale"), beta))
-    return quantiles(d, ["band"], "_t", {"scale": percentile}, bound=bound)
+    d = px.join(cut_lineage(sigma), "band").withColumn("_t", noise_stretch(F.col("flux"), F.col("sky_scale"), beta))
+    return quantiles(d, ["band"], "_t", {"scale": percentile})
 
 
 def colour_image(px: DataFrame, q: float = 8.0, stretch: float = 0.5) -> DataFrame:

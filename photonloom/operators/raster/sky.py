@@ -50,19 +50,19 @@ def corner_sky(px: DataFrame, side: int, r_min: float, minimum: int = 100) -> Da
     return every.join(s, KEYS, "left").select(*KEYS, F.when(few, 0.0).otherwise(F.col("sky")).alias("sky"), F.when(~few, F.col("sky_sigma")).alias("sky_sigma"))
 
 
-def robust_ring_scale(px: DataFrame, side: int, r_fraction: float = 0.45, floor: float = 1e-6, bound: int | None = None) -> DataFrame:
+def robust_ring_scale(px: DataFrame, side: int, r_fraction: float = 0.45, floor: float = 1e-6) -> DataFrame:
     """1.4826 MAD of the outer ring per image and band, zeros excluded; missing ones take the global median."""
     w = W.partitionBy(*KEYS)
     v = F.when((F.col("r") > r_fraction * side) & (F.col("flux") != 0), F.col("flux"))
     d = with_radius(px, side).withColumn("_v", v).withColumn("_m", F.percentile("_v", F.lit(0.5)).over(w))
     s = d.groupBy(*KEYS).agg((1.4826 * F.percentile(F.abs(F.col("_v") - F.col("_m")), F.lit(0.5))).alias("scale"))
-    middle = quantiles(s.select(F.lit(1).alias("_k"), "scale"), ["_k"], "scale", {"g": 0.5}, bound=bound).select("g")
+    middle = quantiles(s.select(F.lit(1).alias("_k"), "scale"), ["_k"], "scale", {"g": 0.5}).select("g")
     return s.withColumn("scale", F.greatest(F.coalesce(F.col("scale"), middle.scalar()), F.lit(floor)))
 
 
-def global_sky_scale(scales: DataFrame, bound: int | None = None) -> DataFrame:
+def global_sky_scale(scales: DataFrame) -> DataFrame:
     """Median over objects of the per-image scale."""
-    return quantiles(scales, ["band"], "scale", {"sky_scale": 0.5}, bound=bound)
+    return quantiles(scales, ["band"], "scale", {"sky_scale": 0.5})
 
 
 def subtract_ring_median(px: DataFrame, side: int, r_min: float) -> DataFrame:

@@ -45,12 +45,12 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def wilcoxon(df: DataFrame, keys: Sequence[str], d: Column, bound: int | None = None) -> DataFrame:
+def wilcoxon(df: DataFrame, keys: Sequence[str], d: Column) -> DataFrame:
     """Signed-rank test of paired differences; zeros dropped, ties averaged, normal approximation with tie correction."""
     keys = list(keys)
     counts = (df.select(*keys, d.alias("_d")).where("_d <> 0").select(*keys, F.abs("_d").alias("value"), (F.col("_d") > 0).cast("int").alias("_pos"))
               .groupBy(*keys, "value").agg(F.count("*").alias("n_at"), F.sum("_pos").alias("_npos")))
-    t = ordered(counts, keys, bound=bound)
+    t = ordered(counts, keys)
     rank, n = F.col("n_before") + (F.col("n_at") + 1) / 2, F.col("n_at").cast("double")
     out = t.groupBy(*keys).agg(F.max("n_total").alias("n"), F.sum(rank * F.col("_npos")).alias("w_plus"),
                                F.sum(rank * (n - F.col("_npos"))).alias("w_minus"),
@@ -70,7 +70,7 @@ def ks_p_value(ks: Column, n1: Column, n2: Column, terms: int = 50) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series))
 
 
-def holm(df: DataFrame, keys: Sequence[str], p: str, tie: Sequence[str], bound: int | None = None) -> DataFrame:
+def holm(df: DataFrame, keys: Sequence[str], p: str, tie: Sequence[str]) -> DataFrame:
     """Step-down correction inside each family of tests (a family is the list of tests of one report)."""
     w = W.partitionBy(*keys).orderBy(p, *tie)
     m = F.count("*").over(W.partitionBy(*keys))
@@ -110,12 +110,12 @@ def challenger(losses: DataFrame, obj: str, model: str, incumbent: str, floor: f
     return out.withColumn("wins", (F.col(model) != incumbent) & (F.col("difference") < -F.greatest("std_error", F.lit(floor))))
 
 
-def permuted_column(df: DataFrame, obj: str, column: str, seed: int, bound: int | None = None) -> DataFrame:
+def permuted_column(df: DataFrame, obj: str, column: str, seed: int) -> DataFrame:
     """The column reassigned between objects by a bijection: position in id order joined to position in hash order."""
     from photonloom.operators.splits import shuffled_rank
 
     d = df.select(F.lit(1).alias("_k"), obj, column)
-    by_id = global_rank(d.select("_k", obj), ["_k"], [obj], bound).select(obj, "rank0")
-    by_hash = shuffled_rank(d, obj, ["_k"], seed, bound=bound).select(F.col(obj).alias("_src"), "rank0")
+    by_id = global_rank(d.select("_k", obj), ["_k"], [obj]).select(obj, "rank0")
+    by_hash = shuffled_rank(d, obj, ["_k"], seed).select(F.col(obj).alias("_src"), "rank0")
     values = d.select(F.col(obj).alias("_src"), F.col(column).alias(f"{column}_permuted"))
     return by_id.join(by_hash, "rank0").join(values, "_src").select(obj, f"{column}_permuted")

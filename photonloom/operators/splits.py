@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from photonloom.functions.draws import hash32, key_text
 from photonloom.operators.cohort import top_n
 from photonloom.operators.distribution import global_rank, quantiles
-from photonloom.session import pin_small
+from photonloom.session import cut_lineage
 
 
-def shuffled_rank(df: DataFrame, obj: str, keys: Sequence[str], *salt, bound: int | None = None) -> DataFrame:
+def shuffled_rank(df: DataFrame, obj: str, keys: Sequence[str], *salt) -> DataFrame:
     """(keys, obj, rank0, n_total): position of each object in a seeded permutation of its group."""
     d = df.select(*keys, obj, hash32(key_text(F.col(obj), *salt)).alias("_h"))
-    return global_rank(d, keys, ["_h", obj], bound).drop("_h")
+    return global_rank(d, keys, ["_h", obj]).drop("_h")
 
 
-def stratified_split(df: DataFrame, obj: str, stratum: str, fractions: Mapping[str, float], seed: int, bound: int | None = None) -> DataFrame:
+def stratified_split(df: DataFrame, obj: str, stratum: str, fractions: Mapping[str, float], seed: int) -> DataFrame:
     """Inside each stratum, (rank + 0.5) / n against the cumulative fractions. A table with fewer rows than splits goes
     to the first split."""
     names, acc, split = list(fractions), 0.0, None
@@ -31,14 +31,14 @@ def stratified_split(df: DataFrame, obj: str, stratum: str, fractions: Mapping[s
         split = F.when(at <= round(acc, 12), name) if split is None else split.when(at <= round(acc, 12), name)
     tiny = df.limit(len(names)).count() < len(names)
     d = df.withColumn(stratum, F.coalesce(F.col(stratum).cast("string"), F.lit("na")))
-    out = shuffled_rank(d, obj, [stratum], seed, bound=bound)
+    out = shuffled_rank(d, obj, [stratum], seed)
     return out.select(obj, stratum, (F.lit(names[0]) if tiny or split is None else split.otherwise(names[-1])).alias("split"))
 
 
-def quantile_bucket(df: DataFrame, value: str, n: int, bound: int | None = None, keys: Sequence[str] = ()) -> tuple[Column, list[float]]:
+def quantile_bucket(df: DataFrame, value: str, n: int, keys: Sequence[str] = ()) -> tuple[Column, list[float]]:
     """Quantile buckets with right-closed edges, the lowest edge included and equal edges merged; returns the bucket column."""
     probs = {f"e{i}": i / n for i in range(n + 1)}
-    row = quantiles(df.select(F.lit(1).alias("_k"), value), ["_k"], value, probs, bound=bound).first()
+    row = quantiles(df.select(F.lit(1).alias("_k"), value), ["_k"], value, probs).first()
     edges = sorted({row[f"e{i}"] for i in range(n + 1)})
     v, b = F.col(value), F.lit(None).cast("int")
     for k in range(len(edges) - 2, -1, -1):
@@ -47,29 +47,29 @@ def quantile_bucket(df: DataFrame, value: str, n: int, bound: int | None = None,
     return b, edges
 
 
-def validation_draw(df: DataFrame, obj: str, label: str, fraction: float, seed: int, n_buckets: int = 10, bound: int | None = None) -> DataFrame:
+def validation_draw(df: DataFrame, obj: str, label: str, fraction: float, seed: int, n_buckets: int = 10) -> DataFrame:
     """Move round(fraction * n) train objects of every label decile to Validation."""
     if fraction <= 0:
         return df.withColumn("part", F.col("split"))
     train = df.where("split = 'Train'")
-    bucket, _ = quantile_bucket(train, label, n_buckets, bound)
-    ranked = shuffled_rank(train.withColumn("_b", bucket).where("_b IS NOT NULL"), obj, ["_b"], seed, bound=bound)
+    bucket, _ = quantile_bucket(train, label, n_buckets)
+    ranked = shuffled_rank(train.withColumn("_b", bucket).where("_b IS NOT NULL"), obj, ["_b"], seed)
     drawn = ranked.where(F.col("rank0") < F.rint(F.lit(fraction) * F.col("n_total"))).select(obj, F.lit(True).alias("_v"))
     return df.join(drawn, obj, "left").withColumn("part", F.when(F.col("_v"), "Validation").otherwise(F.col("split"))).drop("_v")
 
 
-def folds(df: DataFrame, obj: str, k: int, seed: int, repetitions: int = 1, bound: int | None = None) -> DataFrame:
+def folds(df: DataFrame, obj: str, k: int, seed: int, repetitions: int = 1) -> DataFrame:
     """(obj, repetition, fold), folds of equal size within one row, redrawn for every repetition."""
     d = df.select(obj, F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("repetition"))
-    return shuffled_rank(d, obj, ["repetition"], seed, F.col("repetition"), bound=bound).select(
+    return shuffled_rank(d, obj, ["repetition"], seed, F.col("repetition")).select(
         obj, "repetition", (F.col("rank0") % k).cast("int").alias("fold"))
 
 
-def random_split(df: DataFrame, obj: str, fraction: float, seed: int, keys: Sequence[str] = (), bound: int | None = None) -> DataFrame:
+def random_split(df: DataFrame, obj: str, fraction: float, seed: int, keys: Sequence[str] = ()) -> DataFrame:
     """The first round(fraction * n) of a seeded permutation, over all rows or inside each class."""
     d = df if keys else df.withColumn("_all", F.lit(1))
     by = list(keys) or ["_all"]
-    out = shuffled_rank(d, obj, by, seed, bound=bound)
+    out = shuffled_rank(d, obj, by, seed)
     return out.select(obj, *keys, (F.col("rank0") < F.rint(F.lit(fraction) * F.col("n_total"))).alias("in_train"))
 
 
@@ -85,9 +85,9 @@ def sampled_positions(pixels: DataFrame, obj: str, n: int, seed: int) -> DataFra
     return top_n(pos, [obj], n, F.col("_h"), F.col("y"), F.col("x")).drop("_h", "position")
 
 
-def nearest_to_quantiles(df: DataFrame, keys: Sequence[str], obj: str, value: str, probs: Sequence[float], bound: int | None = None) -> DataFrame:
+def nearest_to_quantiles(df: DataFrame, keys: Sequence[str], obj: str, value: str, probs: Sequence[float]) -> DataFrame:
     """Per quantile the object whose value is nearest to it."""
-    q = pin_small(quantiles(df, keys, value, {f"q{i}": p for i, p in enumerate(probs)}, bound=bound))
+    q = cut_lineage(quantiles(df, keys, value, {f"q{i}": p for i, p in enumerate(probs)}))
     v = F.col(value)
     aggs = [F.min_by(F.struct(F.col(obj), v.alias("v")), F.struct(F.abs(v - F.col(f"q{i}")), F.col(obj))).alias(f"_{i}") for i in range(len(probs))]
     rows = F.array(*[F.struct(F.lit(float(p)).alias("quantile"), F.col(f"_{i}.{obj}").alias(obj), F.col(f"_{i}.v").alias("value"))

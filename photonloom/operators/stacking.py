@@ -257,7 +257,7 @@ class Moments:
 
     @classmethod
     def of(cls, vectors: DataFrame, obj: str, lay: Layout, outer: int, inner: int = 1, repetitions: int = 1, seed: int = 0) -> "Moments":
-        return cls(moment_cells(fold_cells(vectors, obj, outer, inner, repetitions, seed), lay), lay, outer, inner)
+        return cls(moment_cells(fold_cells(cut_lineage(vectors), obj, outer, inner, repetitions, seed), lay), lay, outer, inner)
 
     @property
     def repetitions(self) -> list[int]:

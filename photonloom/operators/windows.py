@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from photonloom.session import pin_small
+from photonloom.session import cut_lineage
 
 
 def best_row(df: DataFrame, keys: Sequence[str], payload: Sequence[str], criterion: str, *tie: str) -> DataFrame:
@@ -59,7 +59,7 @@ def interpolate_at(df: DataFrame, x: Column, grid: DataFrame, step: float, colum
     ends = grid.select("cell", *columns, *[F.lead(c).over(w).alias(f"_{c}1") for c in columns])
     d = df.withColumn("_x", x / step).withColumn("cell", F.floor("_x"))
     at = F.col("_x") - F.col("cell")
-    out = d.join(pin_small(ends), "cell", "left")
+    out = d.join(cut_lineage(ends), "cell", "left")
     for c in columns:
         out = out.withColumn(c, F.when(at == 0, F.col(c)).otherwise(F.col(c) + (F.col(f"_{c}1") - F.col(c)) * at))
     return out.drop("_x", "cell", *[f"_{c}1" for c in columns])

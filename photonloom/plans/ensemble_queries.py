@@ -146,7 +146,7 @@ pv AS (SELECT split, target, n, w_plus, w_minus, z, 2 * exp(-z * z / 2) / 2.5066
 def wilcoxon_table(t: Tables):
     e = (F.col("pred") - F.col("y")) * (F.col("pred") - F.col("y"))
     d = (family_mean(t).where("family IN ('conv', 'vit')").groupBy("obj_id", "split", "target").pivot("family", ["conv", "vit"]).agg(F.first(e)))
-    return R.wilcoxon(d, ["split", "target"], F.round(F.col("vit") - F.col("conv"), 9), bound=t.rows("orders"))
+    return R.wilcoxon(d, ["split", "target"], F.round(F.col("vit") - F.col("conv"), 9))
 
 
 @query("a35_wilcoxon", with_sql(*ALIGNED, WILCOXON_SQL, body="SELECT split, target, n, w_plus, w_minus, round(z, 5) AS z, round(p, 8) AS p_value FROM pv"))
@@ -225,7 +225,8 @@ def _(t: Tables):
 
 
 def sigma_of(t: Tables) -> dict[str, float]:
-    return {r["target"]: r["sigma"] for r in scale_of(t).collect()}
+    row = objects(t).where("split = 'Train'").agg(*[F.stddev_pop(x).alias(x) for x in TARGETS]).first()
+    return row.asDict()
 
 
 def blend_weights(t: Tables, regularization: float = 0.01):
@@ -292,13 +293,12 @@ SELECT target, quintile, count(*) AS n, round(median(s), 5) AS centre, round(med
 FROM b JOIN rho USING (target) GROUP BY target, quintile"""))
 def _(t: Tables):
     """Disagreement between members as a signal of uncertainty."""
-    bound = t.rows("orders")
     d = E.disagreement(family_mean(t), ["obj_id"]).select("target", r6("disagreement").alias("s"), r6(F.abs(F.col("pred") - F.col("y"))).alias("e"))
-    edges = M.pin_small(quantiles(d, ["target"], "s", {f"q{i}": i / 5 for i in range(1, 5)}, bound=bound))
+    edges = cut_lineage(quantiles(d, ["target"], "s", {f"q{i}": i / 5 for i in range(1, 5)}))
     b = d.join(edges, "target").withColumn("quintile", F.expr(" + ".join(f"int(s >= q{i})" for i in range(1, 5))))
     k = ["target", "quintile"]
-    out = (b.groupBy(*k).agg(F.count("*").alias("n")).join(quantiles(b, k, "s", {"centre": 0.5}, bound=bound), k)
-           .join(quantiles(b, k, "e", {"median_error": 0.5, "p84": 0.84}, bound=bound), k).join(spearman(d, ["target"], "s", "e", bound), "target"))
+    out = (b.groupBy(*k).agg(F.count("*").alias("n")).join(quantiles(b, k, "s", {"centre": 0.5}), k)
+           .join(quantiles(b, k, "e", {"median_error": 0.5, "p84": 0.84}), k).join(spearman(d, ["target"], "s", "e"), "target"))
     return out.select("target", "quintile", "n", *[F.round(c, 5).alias(c) for c in ("centre", "median_error", "p84")], r6("spearman").alias("spearman"))
 
 

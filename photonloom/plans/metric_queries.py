@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from photonloom.functions.scalars import finite, r6
 from photonloom.operators import metrics as M
-from photonloom.operators.distribution import is_small, median_and_mad, ordered, quantiles, spearman
+from photonloom.operators.distribution import median_and_mad, ordered, quantiles, spearman
 from photonloom.plans.bindings import (ALIGNED_SQL, MEMBERS, OBJECTS_SQL, PRED_SQL, SCALE_SQL, TARGETS, aligned, family_mean, objects,
                                        pred_long, pred_wide, scale_of, with_sql)
 from photonloom.plans.registry import Tables, query
+from photonloom.session import cut_lineage
 
 
 def rounded(df, keys):
@@ -46,7 +47,7 @@ FROM base JOIN med USING (split, family, seed, target) JOIN mad USING (split, fa
 
 @query("a01_regression_metrics", A01_SQL)
 def _(t: Tables):
-    return rounded(M.regression_metrics(pred_long(t), ["split", "family", "seed", "target"], bound=t.rows("orders")), [])
+    return rounded(M.regression_metrics(pred_long(t), ["split", "family", "seed", "target"]), [])
 
 
 FAMILY = ["family", "target"]
@@ -62,8 +63,7 @@ FROM base JOIN med USING ({k}) JOIN mad USING ({k}) JOIN outl USING ({k})"""
     PRED_SQL, metric_sql("family, kind, target", "pred_long", ", avg(CASE WHEN abs(r) > 0.3 THEN 1.0 ELSE 0.0 END) AS catastrophic_frac").lstrip(),
     body=NO_RANK.format(k="family, kind, target", more=", round(catastrophic_frac, 6) AS catastrophic_frac")))
 def _(t: Tables):
-    return rounded(M.regression_metrics(pred_long(t), ["family", "kind", "target"], catastrophic=0.3, rank=False,
-                                        bound=2 * t.rows("orders")), [])
+    return rounded(M.regression_metrics(pred_long(t), ["family", "kind", "target"], catastrophic=0.3, rank=False), [])
 
 
 @query("a03_normalized_mse", with_sql(PRED_SQL, SCALE_SQL, body="""
@@ -72,7 +72,7 @@ FROM pred_long JOIN scale USING (target) WHERE y IS NOT NULL AND pred IS NOT NUL
 def _(t: Tables):
     k = ["split", "family", "seed", "target"]
     per = M.residuals(pred_long(t), k).groupBy(*k).agg(F.count("*").alias("n"), F.avg(F.col("r") * F.col("r")).alias("mse"))
-    return per.join(M.pin_small(scale_of(t)), "target").select(
+    return per.join(cut_lineage(scale_of(t)), "target").select(
         *k, "n", r6(F.col("mse") / (F.col("sigma") * F.col("sigma"))).alias("normalized_mse"))
 
 
@@ -80,7 +80,7 @@ def _(t: Tables):
     *ALIGNED, metric_sql("split, family, target", "family_mean").lstrip(),
     body=NO_RANK.format(k="split, family, target", more=", 'seed mean' AS variant")))
 def _(t: Tables):
-    out = M.regression_metrics(family_mean(t), ["split", "family", "target"], rank=False, bound=t.rows("orders"))
+    out = M.regression_metrics(family_mean(t), ["split", "family", "target"], rank=False)
     return rounded(out, []).withColumn("variant", F.lit("seed mean"))
 
 
@@ -126,7 +126,7 @@ SELECT family, target, bin, n, round(rmse, 6) AS rmse, round(bias, 6) AS bias, r
 FROM base JOIN mad USING (family, target, bin)"""))
 def _(t: Tables):
     d = family_mean(t).withColumn("bin", M.edge_bucket("redshift", Z_EDGES, right_closed=True)).where("bin is not null")
-    out = M.regression_metrics(d, ["family", "target", "bin"], rank=False, bound=t.rows("orders")).where("n >= 5")
+    out = M.regression_metrics(d, ["family", "target", "bin"], rank=False).where("n >= 5")
     return rounded(out.select("family", "target", "bin", "n", "rmse", "bias", "nmad"), [])
 
 
@@ -146,10 +146,10 @@ SELECT family, target, bin, count(*) AS n, round(median(x), 6) AS x_med, round(m
 FROM mv WHERE bin IS NOT NULL GROUP BY family, target, bin HAVING count(*) >= 10"""))
 def _(t: Tables):
     k = ["family", "target", "bin"]
-    d, bound = with_mass_bin(t), t.rows("orders")
+    d = with_mass_bin(t)
     n = d.groupBy(*k).agg(F.count("*").alias("n")).where("n >= 10")
-    q = quantiles(d, k, "r", {"med": 0.5, "p16": 0.16, "p84": 0.84}, bound=bound)
-    return rounded(n.join(q, k).join(quantiles(d, k, "x", {"x_med": 0.5}, bound=bound), k), [])
+    q = quantiles(d, k, "r", {"med": 0.5, "p16": 0.16, "p84": 0.84})
+    return rounded(n.join(q, k).join(quantiles(d, k, "x", {"x_med": 0.5}), k), [])
 
 
 @query("a10_quantile_interval_medians", with_sql(*ALIGNED, """edges AS (
@@ -160,16 +160,15 @@ SELECT family, target, CAST(bin AS INTEGER) AS bin, count(*) AS n, round(median(
   round(quantile_cont(r, 0.16), 6) AS p16, round(quantile_cont(r, 0.84), 6) AS p84
 FROM hit GROUP BY family, target, bin HAVING count(*) >= 4"""))
 def _(t: Tables):
-    bound = t.rows("orders")
     d = family_mean(t).withColumn("r", F.col("pred") - F.col("y"))
     probs = {f"e{i}": i / 5 for i in range(6)}
-    edges = M.pin_small(quantiles(d, FAMILY, "y", probs, bound=bound))
+    edges = cut_lineage(quantiles(d, FAMILY, "y", probs))
     hits = F.expr("filter(array(" + ", ".join(f"IF(y >= e{i} AND y <= e{i + 1}, {i}, NULL)" for i in range(5)) + "), b -> b IS NOT NULL)")
     d = d.join(edges, FAMILY).withColumn("bin", F.explode(hits))
     k = [*FAMILY, "bin"]
     n = d.groupBy(*k).agg(F.count("*").alias("n")).where("n >= 4")
-    q = quantiles(d, k, "r", {"med": 0.5, "p16": 0.16, "p84": 0.84}, bound=bound)
-    return rounded(n.join(q, k).join(quantiles(d, k, "y", {"x_med": 0.5}, bound=bound), k), [])
+    q = quantiles(d, k, "r", {"med": 0.5, "p16": 0.16, "p84": 0.84})
+    return rounded(n.join(q, k).join(quantiles(d, k, "y", {"x_med": 0.5}), k), [])
 
 
 @query("a11_residuals_by_bin", with_sql(*ALIGNED, MOVING, """dv AS (
@@ -179,7 +178,7 @@ SELECT family, target, bin, count(*) AS n, round(avg(pred - y), 6) AS mean, roun
   round(stddev_samp(pred - y), 6) AS std, round(max(nmad), 6) AS nmad
 FROM mv JOIN mad USING (family, target, bin) GROUP BY family, target, bin"""))
 def _(t: Tables):
-    return rounded(M.residual_summary(with_mass_bin(t), ["family", "target", "bin"], bound=t.rows("orders")), [])
+    return rounded(M.residual_summary(with_mass_bin(t), ["family", "target", "bin"]), [])
 
 
 DIRTY_SQL = """dirty AS (SELECT split, log_mstar, d4000,
@@ -199,7 +198,7 @@ def _(t: Tables):
                               "WHEN redshift < 0 THEN double('Infinity') ELSE redshift END AS redshift")
     cols = ["log_mstar", "d4000", "redshift"]
     long = d.selectExpr("split", "inline(array(" + ", ".join(f"named_struct('column', '{c}', 'v', {c})" for c in cols) + "))")
-    med = quantiles(long.withColumn("v", finite("v")), ["split", "column"], "v", {"median": 0.5}, bound=t.rows("orders"))
+    med = quantiles(long.withColumn("v", finite("v")), ["split", "column"], "v", {"median": 0.5})
     return rounded(M.column_audit(d, cols, ["split"]).join(med, ["split", "column"]), [])
 
 
@@ -214,7 +213,7 @@ def _(t: Tables):
     long = objects(t).selectExpr("split", "inline(array(" + ", ".join(f"named_struct('target', '{c}', 'v', {c})" for c in TARGETS) + "))")
     base = long.groupBy(*k).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
                                 F.min("v").alias("min"), F.max("v").alias("max"))
-    return rounded(base.join(quantiles(long, k, "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, bound=t.rows("orders")), k), [])
+    return rounded(base.join(quantiles(long, k, "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9}), k), [])
 
 
 @query("a14_group_describe", """
@@ -228,7 +227,7 @@ def _(t: Tables):
     k = ["l_returnflag", "l_linestatus"]
     base = d.groupBy(*k).agg(F.count("v").alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev_samp("v"), 4).alias("std"),
                              F.min("v").alias("min"), F.max("v").alias("max"))
-    q = quantiles(d, k, "v", {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}, bound=t.rows("lineitem"))
+    q = quantiles(d, k, "v", {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
     return base.join(q.select(*k, *[F.round(c, 4).alias(c) for c in ("p05", "p25", "p50", "p75", "p95")]), k)
 
 
@@ -274,7 +273,7 @@ def _(t: Tables):
     k = ["pair", "target"]
     base = d.groupBy(*k).agg(F.count("d").alias("n"), F.avg("d").alias("bias"), F.stddev_samp("d").alias("std"), F.avg(F.abs("d")).alias("mae"),
                              F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"), F.corr("a", "b").alias("pearson"))
-    return rounded(base.join(quantiles(d, k, "d", {"med": 0.5}, bound=t.rows("orders")), k), [])
+    return rounded(base.join(quantiles(d, k, "d", {"med": 0.5}), k), [])
 
 
 @query("a19_residual_sensitivity", with_sql(*ALIGNED, PAIRS_SQL, """tagged AS (
@@ -286,7 +285,7 @@ FROM tagged JOIN mad USING (sample, pair, target) GROUP BY sample, pair, target"
 def _(t: Tables):
     d = measure_pairs(t).withColumn("d", F.col("a") - F.col("b"))
     tags = F.when(F.abs("d") <= 0.15, F.array(F.lit("all"), F.lit("without extremes"))).otherwise(F.array(F.lit("all")))
-    return rounded(M.residual_summary(d.withColumn("sample", F.explode(tags)), ["sample", "pair", "target"], "d", bound=t.rows("orders")), [])
+    return rounded(M.residual_summary(d.withColumn("sample", F.explode(tags)), ["sample", "pair", "target"], "d"), [])
 
 
 @query("a20_dispersion_metrics", with_sql(*ALIGNED, metric_sql("family, target", "family_mean").lstrip(), """sd AS (
@@ -294,11 +293,10 @@ def _(t: Tables):
 SELECT family, target, n, round(std, 6) AS std, round(nmad, 6) AS nmad, round(p16, 6) AS p16, round(p84, 6) AS p84, round(spearman, 6) AS spearman, round(rmse, 6) AS rmse
 FROM base JOIN mad USING (family, target) JOIN sd USING (family, target) JOIN rho USING (family, target)"""))
 def _(t: Tables):
-    bound = 2 * t.rows("orders")
     d = family_mean(t).withColumn("r", F.col("pred") - F.col("y"))
     base = d.groupBy(*FAMILY).agg(F.count("*").alias("n"), F.stddev_samp("r").alias("std"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rmse"))
-    out = (base.join(median_and_mad(d, FAMILY, "r", outlier_factor=None, bound=bound).drop("med"), FAMILY)
-           .join(quantiles(d, FAMILY, "r", {"p16": 0.16, "p84": 0.84}, bound=bound), FAMILY).join(spearman(d, FAMILY, "y", "pred", bound), FAMILY))
+    out = (base.join(median_and_mad(d, FAMILY, "r", outlier_factor=None).drop("med"), FAMILY)
+           .join(quantiles(d, FAMILY, "r", {"p16": 0.16, "p84": 0.84}), FAMILY).join(spearman(d, FAMILY, "y", "pred"), FAMILY))
     return rounded(out, [])
 
 
@@ -313,7 +311,7 @@ SELECT f.family, f.target, f.n, round(f.rmse, 6) AS rmse, f.n_out2, f.n_out3, ro
 FROM f JOIN f b ON b.family = 'conv' AND b.target = f.target"""))
 def _(t: Tables):
     d = family_mean(t).withColumn("r", F.col("pred") - F.col("y"))
-    fit = median_and_mad(d, FAMILY, "r", outlier_factor=None, bound=2 * t.rows("orders"))
+    fit = median_and_mad(d, FAMILY, "r", outlier_factor=None)
     dev = F.abs(F.col("r") - F.col("med"))
     out = d.join(fit, FAMILY).groupBy(*FAMILY).agg(
         F.count("*").alias("n"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rmse"), F.count_if(dev > 2 * F.col("nmad")).alias("n_out2"),
@@ -388,7 +386,7 @@ SELECT family, count(*) AS n, round(sqrt(avg(dl * dl)), 6) AS rmse_log10z, round
 FROM d JOIN med USING (family) JOIN mad USING (family) JOIN rho USING (family) GROUP BY family"""))
 def _(t: Tables):
     d = pred_wide(t).where("redshift > 0").selectExpr("family", "redshift AS z", "round(redshift * (1 + 0.3D * (pred_log_mstar - y_log_mstar)), 6) AS zp")
-    out = M.photoz_metrics(d, ["family"], "z", "zp", bound=2 * t.rows("orders"))
+    out = M.photoz_metrics(d, ["family"], "z", "zp")
     fine = {"bias_dz", "nmad_dz", "median_relative_error"}
     return out.select(*[F.round(c, 7 if c in fine else 6).alias(c) if ty == "double" else F.col(c) for c, ty in out.dtypes])
 
@@ -399,7 +397,7 @@ FROM (SELECT split, 'log_mstar' AS target, log_mstar AS y FROM objects UNION ALL
   UNION ALL SELECT split, 'd4000', d4000 FROM objects) o JOIN scale s USING (target) WHERE o.y IS NOT NULL GROUP BY o.split, s.target"""))
 def _(t: Tables):
     d = objects(t).selectExpr("split", "inline(array(" + ", ".join(f"named_struct('target', '{x}', 'y', {x})" for x in TARGETS) + "))")
-    d = d.join(M.pin_small(scale_of(t)), "target").withColumn("pred", F.col("train_median"))
+    d = d.join(cut_lineage(scale_of(t)), "target").withColumn("pred", F.col("train_median"))
     k = ["split", "target"]
     return rounded(M.residuals(d, k).groupBy(*k).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rmse"), F.avg("r").alias("bias")), [])
 
@@ -413,9 +411,7 @@ l AS (SELECT 'redshift' AS grouping, gz AS grp, family, target, pred - y AS r FR
 SELECT grouping, grp, family, target, count(*) AS n, round(sqrt(avg(r * r)), 6) AS rmse, round(avg(r), 6) AS bias FROM l GROUP BY ALL"""))
 def _(t: Tables):
     o = objects(t)
-    q = (o.where("split = 'Train'").agg(F.percentile("redshift", F.array(F.lit(.25), F.lit(.5), F.lit(.75))).alias("qz"),
-                                        F.percentile("log_mstar", F.array(F.lit(.25), F.lit(.5), F.lit(.75))).alias("qm"))
-         if is_small(t.rows("orders")) else M.train_quartiles(o.where("split = 'Train'"), {"qz": "redshift", "qm": "log_mstar"}))
+    q = M.train_quartiles(o.where("split = 'Train'"), {"qz": "redshift", "qm": "log_mstar"})
     qz, qm = q.first()
     d = family_mean(t).join(o.select("obj_id", "log_mstar"), "obj_id").withColumn("r", F.col("pred") - F.col("y"))
     step = lambda c, edges: "string(" + " + ".join(f"int({c} > {e!r}D)" for e in edges) + ")"
@@ -429,7 +425,7 @@ def _(t: Tables):
 SELECT family, target, CASE WHEN y <= train_median THEN 'low' ELSE 'high' END AS regime, kind, count(*) AS n, round(sqrt(avg((pred - y) * (pred - y))), 6) AS rmse
 FROM family_mean JOIN scale USING (target) GROUP BY ALL"""))
 def _(t: Tables):
-    d = family_mean(t).join(M.pin_small(scale_of(t)), "target").withColumn("regime", F.when(F.col("y") <= F.col("train_median"), "low").otherwise("high"))
+    d = family_mean(t).join(cut_lineage(scale_of(t)), "target").withColumn("regime", F.when(F.col("y") <= F.col("train_median"), "low").otherwise("high"))
     e = F.col("pred") - F.col("y")
     return rounded(d.groupBy("family", "target", "regime", "kind").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse")), [])
 
@@ -493,7 +489,7 @@ def _(t: Tables):
         "l_quantity AS c", "inline(array(named_struct('param', 'discount', 'value', string(l_discount)), named_struct('param', 'tax', 'value', string(l_tax)), "
         "named_struct('param', 'line', 'value', string(double(l_linenumber)))))")
     k = ["param", "value"]
-    return d.groupBy(*k).agg(F.count("*").alias("trials")).join(quantiles(d, k, "c", {"median_criterion": 0.5}, bound=t.rows("lineitem")), k)
+    return d.groupBy(*k).agg(F.count("*").alias("trials")).join(quantiles(d, k, "c", {"median_criterion": 0.5}), k)
 
 
 @query("a51_density_histogram", with_sql(OBJECTS_SQL, body="""

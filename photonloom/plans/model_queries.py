@@ -181,7 +181,7 @@ def _(t: Tables):
     base = cut_lineage(objects(t).where("d4000 IS NOT NULL AND redshift > 0").select("obj_id", "split", "log_mstar", "log_sfr", "redshift", "d4000"))
     out = None
     for seed in (1, 2):
-        part = random_split(base.where("split = 'Train'").select("obj_id"), "obj_id", 0.85, seed, bound=t.rows("orders")).where("in_train")
+        part = random_split(base.where("split = 'Train'").select("obj_id"), "obj_id", 0.85, seed).where("in_train")
         for name, cols in sets.items():
             d = MD.assemble(base, cols)
             m = MD.ridge(d.join(part, "obj_id", "left_semi"), "features", "d4000", 1.0)
@@ -195,7 +195,7 @@ def _(t: Tables):
 @query("m07_cross_fitted_estimate")
 def _(t: Tables):
     d = MD.assemble(objects(t).where("d4000 IS NOT NULL AND redshift > 0").select("obj_id", "split", "log_mstar", "log_sfr", "redshift"), ["log_mstar", "log_sfr"])
-    out = MD.cross_fitted(d, "features", "redshift", "obj_id", "split", 3, 1.0, 42, bound=t.rows("orders"))
+    out = MD.cross_fitted(d, "features", "redshift", "obj_id", "split", 3, 1.0, 42)
     return out.groupBy("split", "origin").agg(F.count("*").alias("n"), r6(F.avg("estimate")).alias("mean_estimate"))
 
 

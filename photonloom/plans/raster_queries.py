@@ -189,8 +189,8 @@ rs AS (SELECT obj_id, band, 1.4826 * median(abs(v - m)) AS scale FROM rv JOIN rm
 SELECT r.obj_id, r.band, round(r.scale, 7) AS scale, round(g.sky_scale, 7) AS sky_scale FROM rs r JOIN (SELECT band, median(scale) AS sky_scale FROM rs GROUP BY band) g USING (band)"""))
 def _(t: Tables):
     """A42 and A43."""
-    s = SK.robust_ring_scale(pixels(t), SIDE, bound=3 * t.rows("embeddings"))
-    g = SK.global_sky_scale(s, bound=3 * t.rows("embeddings"))
+    s = SK.robust_ring_scale(pixels(t), SIDE)
+    g = SK.global_sky_scale(s)
     return s.join(g, "band").select(*K, F.round("scale", 7).alias("scale"), F.round("sky_scale", 7).alias("sky_scale"))
 
 
@@ -454,14 +454,14 @@ sc AS (SELECT band, quantile_cont(abs(flux), 0.75) AS s FROM pixels JOIN ps USIN
 tr AS (SELECT band, asinh(flux / s) AS v, s FROM pixels JOIN sc USING (band))""", body="""
 SELECT band, round(max(s), 7) AS scale, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM tr GROUP BY band"""))
 def _(t: Tables):
-    sc = NO.AsinhScaler.fit(pixels(t), 512, 0, bound=64 * t.rows("embeddings"))
+    sc = NO.AsinhScaler.fit(pixels(t), 512, 0)
     return t.spark.createDataFrame([(b, round(sc.scale[b], 7), round(sc.mean[b], 6), round(sc.std[b], 6)) for b in sorted(sc.scale)], "band string, scale double, mean double, std double")
 
 
 @query("r31_stretched_scale", with_sql(PIXELS_SQL, "st AS (SELECT band, asinh(flux / (3.0 * CASE band WHEN 'g' THEN 0.01 WHEN 'r' THEN 0.012 ELSE 0.015 END)) AS v FROM pixels)", body="SELECT band, round(quantile_cont(v, 0.999), 6) AS scale FROM st GROUP BY band"))
 def _(t: Tables):
     sig = t.spark.createDataFrame([("g", 0.01), ("r", 0.012), ("z", 0.015)], "band string, sky_scale double")
-    return rounded(NO.stretched_scale(pixels(t), sig, 3.0, bound=64 * t.rows("embeddings")), [])
+    return rounded(NO.stretched_scale(pixels(t), sig, 3.0), [])
 
 
 @query("f11_colour_image", with_sql(PIXELS_SQL, """w AS (SELECT obj_id, y, x, greatest(max(flux) FILTER (band = 'g'), 0) AS b, greatest(max(flux) FILTER (band = 'r'), 0) AS g, greatest(max(flux) FILTER (band = 'z'), 0) AS r FROM pixels GROUP BY ALL),

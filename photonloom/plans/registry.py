@@ -28,7 +28,6 @@ def query(name: str, sql: str | None = None):
 
 
 _READERS: dict[tuple, DataFrame] = {}
-_ROWS: dict[tuple, int] = {}
 
 
 class Tables:
@@ -54,10 +53,3 @@ class Tables:
         df = getattr(self, name).select(*columns)
         cores = self.spark.sparkContext.defaultParallelism
         return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-    def rows(self, name: str) -> int:
-        """Row count from file footers: the proven bound handed to operators as `bound`."""
-        key = self._key(name)
-        if key not in _ROWS:
-            _ROWS[key] = getattr(self, name).count()
-        return _ROWS[key]

@@ -23,9 +23,9 @@ sp AS (SELECT obj_id, stratum, CASE WHEN (rn - 0.5) / n <= 0.7 THEN 'train' WHEN
     count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders))"""
 
 
-def split_of(t: Tables, bound=None):
+def split_of(t: Tables):
     d = t.orders.selectExpr("o_orderkey AS obj_id", "o_orderpriority AS stratum")
-    return P.stratified_split(d, "obj_id", "stratum", {"train": 0.7, "val": 0.15, "test": 0.15}, 42, bound=bound)
+    return P.stratified_split(d, "obj_id", "stratum", {"train": 0.7, "val": 0.15, "test": 0.15}, 42)
 
 
 @query("w05_stratified_split", with_sql(W05_SQL, body="SELECT obj_id, stratum, split FROM sp"))
@@ -41,8 +41,8 @@ def _(t: Tables):
     from photonloom.sources.sinks import guarded_write
 
     path, root = fresh_path(t, "frozen")
-    guarded_write(split_of(t, t.rows("orders")), path, root)
-    return V.frozen_split_mismatch(split_of(t, t.rows("orders")), t.spark.read.parquet(path), "obj_id").select("obj_id")
+    guarded_write(split_of(t), path, root)
+    return V.frozen_split_mismatch(split_of(t), t.spark.read.parquet(path), "obj_id").select("obj_id")
 
 
 @query("w06_validation_by_decile", with_sql(OBJECTS_SQL, f"""tr AS (SELECT obj_id, log_mstar FROM objects WHERE split = 'Train'),
@@ -51,7 +51,7 @@ b AS (SELECT obj_id, greatest(len(list_filter(e, lambda x: x < log_mstar)) - 1,
 r AS (SELECT obj_id, b, row_number() OVER (PARTITION BY b ORDER BY {h_sql('obj_id', 7)}, obj_id) - 1 AS rn, count(*) OVER (PARTITION BY b) AS n FROM b)""", body="""
 SELECT o.obj_id, CASE WHEN r.rn < round_even(0.15 * r.n, 0) THEN 'Validation' ELSE o.split END AS part FROM objects o LEFT JOIN r USING (obj_id)"""))
 def _(t: Tables):
-    return P.validation_draw(objects(t), "obj_id", "log_mstar", 0.15, 7, bound=t.rows("orders")).select("obj_id", "part")
+    return P.validation_draw(objects(t), "obj_id", "log_mstar", 0.15, 7).select("obj_id", "part")
 
 
 @query("w07_repeated_folds", f"""SELECT obj_id, repetition, CAST((row_number() OVER (PARTITION BY repetition ORDER BY {h_sql('obj_id', 3, 'repetition')}, obj_id) - 1) % 5 AS INTEGER) AS fold
@@ -63,7 +63,7 @@ def _(t: Tables):
 @query("w17_random_split", f"""SELECT obj_id, kind, row_number() OVER (PARTITION BY kind ORDER BY {h_sql('obj_id', 11)}, obj_id) - 1 < round_even(0.85 * count(*) OVER (PARTITION BY kind), 0) AS in_train
 FROM (SELECT o_orderkey AS obj_id, o_orderstatus AS kind FROM orders)""")
 def _(t: Tables):
-    return P.random_split(t.orders.selectExpr("o_orderkey AS obj_id", "o_orderstatus AS kind"), "obj_id", 0.85, 11, ["kind"], bound=t.rows("orders"))
+    return P.random_split(t.orders.selectExpr("o_orderkey AS obj_id", "o_orderstatus AS kind"), "obj_id", 0.85, 11, ["kind"])
 
 
 @query("w08_worst_per_group", with_sql(PRED_SQL, ALIGNED_SQL, body="""
@@ -128,7 +128,7 @@ def _(t: Tables):
 @query("t06_representatives", with_sql(OBJECTS_SQL, """q AS (SELECT split, unnest([0.1, 0.5, 0.9]) AS quantile, unnest(quantile_cont(log_mstar, [0.1, 0.5, 0.9])) AS v FROM objects GROUP BY split)""", body="""
 SELECT split, CAST(quantile AS DOUBLE) AS quantile, arg_min(obj_id, (abs(log_mstar - v), obj_id)) AS obj_id, arg_min(log_mstar, (abs(log_mstar - v), obj_id)) AS value FROM objects JOIN q USING (split) GROUP BY ALL"""))
 def _(t: Tables):
-    return P.nearest_to_quantiles(objects(t).select("split", "obj_id", "log_mstar"), ["split"], "obj_id", "log_mstar", [0.1, 0.5, 0.9], bound=t.rows("orders"))
+    return P.nearest_to_quantiles(objects(t).select("split", "obj_id", "log_mstar"), ["split"], "obj_id", "log_mstar", [0.1, 0.5, 0.9])
 
 
 @query("t07_quality_ranking", """SELECT source, round(100 * max(z), 4) AS worst_zero_pct, CAST(row_number() OVER (ORDER BY round(100 * max(z), 4) DESC, source) AS INTEGER) AS position

@@ -54,12 +54,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
-
-
-def pin_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Fit-then-apply for statistics tables: evaluate a table of at most `max_rows` rows once, so that Spark knows its size
-    and broadcasts it. A larger table is returned unevaluated and joins by shuffle."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
