@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from photonloom.functions.scalars import safe_div
-from photonloom.operators.raster.filters import box_mean, gaussian, gaussian_kernel, median_filter, smooth
+from photonloom.operators.raster.filters import box_mean, gaussian, gaussian_kernel, median_filter, own_gaussian, smooth
 from photonloom.operators.raster.pixels import KEYS, rotate180, with_radius
-from photonloom.operators.raster.segment import central_component, components, with_flag
+from photonloom.operators.raster.segment import components, with_flag
+from photonloom.session import cut_lineage
 
 # Extent and box of the smoothness, smoothing of the Gini mask, half-pixel search of the asymmetry centre.
 CAS_EXTENT, CAS_BOX, GINI_SMOOTH, CENTRE_SEARCH = 1.5, 0.25, 0.2, 3
@@ -21,22 +24,38 @@ def asymmetry(px: DataFrame, size: DataFrame, side: int, search: int = CENTRE_SE
     """Asymmetry under 180 degree rotation, minimized over half-pixel centres, with the analytic noise term removed.
     `size` has obj_id, rp_px and sky_sigma.
 
-    Shifted partners meet by an equi-join on computed coordinates (shifts wrap around the image, as a roll does); each task folds
-    its pixels into one partial row per (image, shift).
+    An image is one array, and each batch of images is turned about all centres at once: a centre shifted by half a pixel
+    shifts the turned image by one, around the border. No pixel is copied and nothing is joined.
     """
     c = (side - 1) / 2
-    shifts = F.expr(f"flatten(transform(sequence(-{search}, {search}), a -> transform(sequence(-{search}, {search}), b -> struct(a AS sy, b AS sx))))")
-    d = px.join(size.where("rp_px IS NOT NULL"), "obj_id")
-    r_ap = F.least(CAS_EXTENT * F.col("rp_px"), F.lit(c - 3))
-    d = d.withColumn("s", F.explode(shifts)).select("obj_id", "band", "y", "x", "flux", "sky_sigma", r_ap.alias("r_ap"), F.col("s.sy").alias("sy"), F.col("s.sx").alias("sx"))
-    dy, dx = F.col("y") - (F.lit(c) + F.col("sy") / 2), F.col("x") - (F.lit(c) + F.col("sx") / 2)
-    d = d.where(F.sqrt(dy * dy + dx * dx) < F.col("r_ap"))
-    d = d.withColumns({"py": F.pmod(F.lit(side - 1) + F.col("sy") - F.col("y"), F.lit(side)), "px": F.pmod(F.lit(side - 1) + F.col("sx") - F.col("x"), F.lit(side))})
-    other = px.select("obj_id", "band", F.col("y").alias("py"), F.col("x").alias("px"), F.col("flux").alias("rot"))
-    a = (d.join(other, ["obj_id", "band", "py", "px"]).groupBy(*KEYS, "sy", "sx")
-         .agg(F.sum(F.abs(F.col("flux") - F.col("rot"))).alias("num"), F.sum(F.abs("flux")).alias("den"), F.count("*").alias("area"), F.max("sky_sigma").alias("sky_sigma")))
-    a = a.where("den > 0").withColumn("raw", F.round(F.col("num") / F.col("den"), 12))
-    best = a.groupBy(*KEYS).agg(F.min_by(F.struct("raw", "sy", "sx", "den", "area", "sky_sigma"), F.struct("raw", "sy", "sx")).alias("b")).select(*KEYS, "b.*")
+    images = px.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "flux"))), lambda s: s["flux"]).alias("image"))
+    images = images.join(size.where("rp_px IS NOT NULL").select("obj_id", F.least(CAS_EXTENT * F.col("rp_px"), F.lit(c - 3)).alias("r_ap"), F.col("sky_sigma").cast("double").alias("sky_sigma")), "obj_id")
+
+    def turn(batches):
+        yy, xx = np.mgrid[0:side, 0:side]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            img = np.asarray(b.column(2).flatten(), float).reshape(-1, side, side)
+            r_ap = np.asarray(b.column(3), float)
+            best = [None] * len(img)
+            for sy in range(-search, search + 1):
+                for sx in range(-search, search + 1):
+                    inside = np.sqrt((yy - (c + sy / 2)) ** 2 + (xx - (c + sx / 2)) ** 2)[None] < r_ap[:, None, None]
+                    other = np.roll(img[:, ::-1, ::-1], (sy, sx), axis=(1, 2))
+                    num = np.where(inside, np.abs(img - other), 0).sum((1, 2))
+                    den = np.where(inside, np.abs(img), 0).sum((1, 2))
+                    area = inside.sum((1, 2))
+                    for i in np.flatnonzero(den > 0):
+                        found = (round(float(num[i] / den[i]), 12), sy, sx, float(den[i]), int(area[i]))
+                        best[i] = found if best[i] is None else min(best[i], found)
+            at = pa.array([i for i, f in enumerate(best) if f is not None], pa.int64())
+            cells = list(zip(*(f for f in best if f is not None))) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(4).take(at), *[pa.array(v, t) for v, t in zip(cells, (pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int64()))]],
+                                             names=["obj_id", "band", "sky_sigma", "raw", "sy", "sx", "den", "area"])
+
+    kind = px.schema["obj_id"].dataType.simpleString()
+    best = images.select("obj_id", "band", "image", "r_ap", "sky_sigma").mapInArrow(turn, f"obj_id {kind}, band string, sky_sigma double, raw double, sy int, sx int, den double, area bigint")
     noise = F.coalesce(F.col("area") * (2 * F.col("sky_sigma") / math.sqrt(math.pi)) / F.col("den"), F.lit(0.0))
     return best.select(*KEYS, (F.col("raw") - noise).alias("asymmetry"), (F.col("sx") / 2).alias("centre_dx"), (F.col("sy") / 2).alias("centre_dy"))
 
@@ -53,23 +72,19 @@ def smoothness(px: DataFrame, size: DataFrame, side: int) -> DataFrame:
     return agg.select(*KEYS, F.when(F.col("total") > 0, (F.col("pos") - F.col("n") * F.col("noise")) / F.col("total")).alias("smoothness"))
 
 
-def gini_segmentation(px: DataFrame, size: DataFrame, side: int, sigmas: list[float]) -> DataFrame:
-    """Pixels whose smoothed flux exceeds its mean in the Petrosian ring, 8-connected to the centre.
-
-    The smoothing follows each object's radius; objects are handled by the nearest of the given kernel widths, one branch each.
-    """
-    d = px.join(size.where("rp_px IS NOT NULL").select("obj_id", "rp_px"), "obj_id")
-    want = GINI_SMOOTH * F.col("rp_px")
-    pick = F.array_min(F.array(*[F.struct(F.abs(want - s).alias("d"), F.lit(s).alias("s")) for s in sigmas]))["s"]
-    d = d.withColumn("_s", pick)
-    parts = None
-    for s in sigmas:
-        sm = gaussian(d.where(F.col("_s") == s), side, s, mode="constant")
-        parts = sm if parts is None else parts.unionByName(sm)
-    d = with_radius(parts, side).join(size.select("obj_id", "rp_px"), "obj_id")
+def gini_segmentation(px: DataFrame, size: DataFrame, side: int) -> DataFrame:
+    """Pixels whose smoothed flux reaches its mean in the Petrosian ring, 8-connected to the centre; where the centre is not
+    among them, to the brightest smoothed pixel. Each object is smoothed with its own width; without a pixel in the ring
+    nothing is segmented."""
+    sizes = size.where("rp_px IS NOT NULL").select("obj_id", "rp_px")
+    sm = own_gaussian(px, sizes.select("obj_id", (GINI_SMOOTH * F.col("rp_px")).alias("sigma")), side)
+    d = with_radius(sm, side).join(sizes, "obj_id")
     level = F.avg(F.when(F.abs(F.col("r") - F.col("rp_px")) < 0.5, F.col("smooth"))).over(W.partitionBy(*KEYS))
-    d = d.withColumn("_b", F.coalesce(F.col("smooth") >= level, F.lit(False)))
-    return with_flag(px, central_component(components(d, side, "_b", eight=True), side, "nearest"), "seg")
+    d = cut_lineage(d.withColumn("_b", F.coalesce(F.col("smooth") >= level, F.lit(False))))
+    c = side // 2
+    lab = components(d, side, "_b", eight=True).join(d.select(*KEYS, "y", "x", "smooth"), [*KEYS, "y", "x"])
+    first = F.struct((F.col("y") == c) & (F.col("x") == c), "smooth", -F.col("y"), -F.col("x"))  # of equal pixels the first in reading order
+    return with_flag(px, lab.withColumn("_t", F.max_by("label", first).over(W.partitionBy(*KEYS))).where("label = _t"), "seg")
 
 
 def gini(px: DataFrame, seg: str = "seg") -> DataFrame:

@@ -434,9 +434,22 @@ def _(t: Tables):
     return rounded(MO.smoothness(pixels(t).where("band = 'r'"), s, SIDE), [])
 
 
-@query("r23_gini_segmentation")
-def _(t: Tables):
-    d = MO.gini_segmentation(pixels(t).where("band = 'r'"), sizes(t), SIDE, [1.0, 1.5])
+# The kernel of each object has its own width; the component grows from its first pixel by flood fill.
+SEGMENT_SQL = """im AS (SELECT * FROM pixels WHERE band = 'r'),
+kn AS (SELECT obj_id, rp_px, j, exp(-0.5 * pow(j / (0.2 * rp_px), 2)) AS w FROM sz, range(-8, 9) g(j) WHERE abs(j) <= floor(4 * 0.2 * rp_px + 0.5)),
+kw AS (SELECT obj_id, j, w / sum(w) OVER (PARTITION BY obj_id) AS w FROM kn),
+sx AS (SELECT p.obj_id, p.y, p.x - j AS x, sum(w * flux) AS v FROM im p JOIN kw USING (obj_id) WHERE p.x - j BETWEEN 0 AND 39 GROUP BY ALL),
+sy AS (SELECT p.obj_id, p.y - j AS y, p.x, sum(w * v) AS smooth FROM sx p JOIN kw USING (obj_id) WHERE p.y - j BETWEEN 0 AND 39 GROUP BY ALL),
+lv AS (SELECT obj_id, avg(smooth) AS level FROM sy JOIN sz USING (obj_id) WHERE abs(sqrt((y - 19.5) * (y - 19.5) + (x - 19.5) * (x - 19.5)) - rp_px) < 0.5 GROUP BY obj_id),
+on_ AS (SELECT obj_id, y, x, smooth FROM sy JOIN lv USING (obj_id) WHERE smooth >= level),
+seeds AS (SELECT obj_id, y, x FROM (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY NOT (y = 20 AND x = 20), smooth DESC, y, x) AS k FROM on_) WHERE k = 1),
+fill(obj_id, y, x) AS (SELECT * FROM seeds UNION SELECT o.obj_id, o.y, o.x FROM fill f JOIN on_ o ON o.obj_id = f.obj_id AND abs(o.y - f.y) <= 1 AND abs(o.x - f.x) <= 1)"""
+
+
+@query("r23_gini_segmentation", with_sql(PIXELS_SQL, SIZES_SQL, SEGMENT_SQL, body="""
+SELECT i.obj_id, count(f.y) AS seg_px, round(sum(i.flux) FILTER (f.y IS NOT NULL), 6) AS seg_flux FROM im i LEFT JOIN fill f ON f.obj_id = i.obj_id AND f.y = i.y AND f.x = i.x GROUP BY i.obj_id""").replace("WITH", "WITH RECURSIVE", 1))
+def _(t: Tables):
+    d = MO.gini_segmentation(pixels(t).where("band = 'r'"), sizes(t), SIDE)
     return d.groupBy("obj_id").agg(F.count_if("seg").alias("seg_px"), r6(F.sum(F.when(F.col("seg"), F.col("flux")))).alias("seg_flux"))
 
 
@@ -499,6 +512,6 @@ def _(t: Tables):
 
 @query("r46_object_measurement")
 def _(t: Tables):
-    d = measure_objects(pixels(t), SIDE, 0.262, R_MIN, MIN_SKY, (1.0, 1.5))
-    cols = ["rp_px", "R50", "R90", "m_r", "concentration", "asymmetry", "smoothness", "gini", "m20", "axis_ratio"]
+    d = measure_objects(pixels(t), SIDE, 0.262, R_MIN, MIN_SKY)
+    cols = ["rp_px", "R_P", "R50", "R90", "m_r", "concentration", "asymmetry", "smoothness", "gini", "m20", "axis_ratio", "neighbour_share", "no_data_share", "sky_sigma_g", "sky_sigma_r", "sky_sigma_z"]
     return d.select("obj_id", "status", "reason", "n_sources", "petro_converges", *[F.round(c, 5).alias(c) for c in cols])
