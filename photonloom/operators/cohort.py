@@ -172,20 +172,21 @@ def content_leaks(df: DataFrame, content: Column | str, split: str) -> DataFrame
 def design_gaps(observed: DataFrame, dims: Sequence[DataFrame]) -> DataFrame:
     """Expected cells that are missing and observed cells that are not expected.
 
-    Each dimension is a list of a few names; the expected design is their product, built from one array per dimension.
+    The expected design is the product of the dimensions' distinct values, spread over the cluster: each further dimension is one
+    array, a scalar subquery, exploded in every row of the product so far. Missing values of a dimension count as a value.
     """
-    spark = observed.sparkSession
-    lists = {d.columns[0]: [r[0] for r in d.distinct().limit(1001).collect()] for d in dims}
-    if any(len(v) > 1000 for v in lists.values()):
-        raise ValueError("a design dimension has more than 1000 values")
-    want = spark.range(1)
-    for c, values in lists.items():
-        want = want.withColumn(c, F.explode(F.array(*[F.lit(v) for v in values])))
-    want = want.drop("id").withColumn("_want", F.lit(True))
-    names = list(lists)
+    names = [d.columns[0] for d in dims]
+    want = dims[0].distinct()
+    for c, d in zip(names[1:], dims[1:]):
+        values = d.select(F.struct(F.col(c).alias("v")).alias("s")).agg(F.array_sort(F.collect_set("s"))).scalar()
+        want = want.select("*", F.explode(values).alias("_s")).select(*want.columns, F.col("_s.v").alias(c))
+    want = want.select(*[F.col(c).alias(f"_w_{c}") for c in names], F.lit(True).alias("_want"))
     got = observed.groupBy(*names).agg(F.count("*").alias("n"))
-    return (want.join(got, names, "full_outer").where("_want IS NULL OR n IS NULL")
-            .select(*names, F.when(F.col("n").isNull(), "missing").otherwise("extra").alias("gap")))
+    on = F.lit(True)
+    for c in names:
+        on = on & F.col(c).eqNullSafe(F.col(f"_w_{c}"))
+    return (want.join(got, on, "full_outer").where("_want IS NULL OR n IS NULL")
+            .select(*[F.coalesce(c, f"_w_{c}").alias(c) for c in names], F.when(F.col("n").isNull(), "missing").otherwise("extra").alias("gap")))
 
 
 def top_n(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> DataFrame:

@@ -9,9 +9,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from photonloom.operators.contracts import enforce_budget, fingerprint
+from photonloom.session import path_exists
 from photonloom.sources.sinks import guarded_write
 
 
@@ -67,11 +67,9 @@ class ChoiceRegister:
     def register(self, choice: str, predictions: DataFrame, keys: list[str], value: str) -> tuple[str, str, bool]:
         row = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.format_string("%.6f", value))
         print_ = fingerprint(predictions, [], row).first()["fingerprint"]
-        try:
+        if path_exists(self.spark, self.path):
             old = self.spark.read.parquet(self.path).first()
             return old["choice"], old["fingerprint"], old["fingerprint"] != print_
-        except AnalysisException:
-            pass
         new = self.spark.range(1).select(F.lit(choice).alias("choice"), F.lit(print_).alias("fingerprint"), F.current_timestamp().alias("registered_at"))
         guarded_write(new, self.path, self.root)
         return choice, print_, False

@@ -55,7 +55,7 @@ def _(t: Tables):
 @query("s05_file_inventory", with_sql(OBJECTS_SQL, body="SELECT split AS obj_id, true AS has_bytes, 1::BIGINT AS n_files FROM objects GROUP BY split"))
 def _(t: Tables):
     path, root = fresh_path(t, "inventory")
-    sinks.guarded_write(objects(t).select("split", "obj_id").coalesce(1), path, root, partition_by=["split"])
+    sinks.guarded_write(objects(t).select("split", "obj_id").repartition("split"), path, root, partition_by=["split"])
     inv = readers.file_inventory(t.spark, path, r"^(part)-").withColumn("obj_id", F.regexp_extract("path", r"split=([A-Za-z]+)/", 1))
     return inv.groupBy("obj_id").agg(F.max(F.col("length") > 0).alias("has_bytes"), F.count("*").alias("n_files"))
 

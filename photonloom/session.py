@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +51,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder lies at `path`, on whatever file system it names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application, so that they find it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        here = Path(__file__).resolve().parent
+        target = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), f"{here.name}.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(here.rglob("*.py")):
+                z.write(f, f.relative_to(here.parent))
+        sc.addPyFile(target)
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize a DataFrame in the shared folder; partition ids and contents are fixed from here on."""
     spark = df.sparkSession

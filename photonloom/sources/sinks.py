@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from photonloom.session import path_exists
 
 
 def guarded_write(df: DataFrame, path: str, root: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "errorifexists",
@@ -54,11 +55,9 @@ def append_runs(runs: DataFrame, path: str, root: str, key: str) -> DataFrame:
 
 
 def stored_keys(like: DataFrame, path: str, key: str) -> DataFrame:
+    """Keys of the runs at `path`; none where nothing has been written. What cannot be read is an error."""
     spark = like.sparkSession
-    try:
-        return spark.read.parquet(path).select(key).distinct()
-    except AnalysisException:
-        return like.select(key).limit(0)
+    return spark.read.parquet(path).select(key).distinct() if path_exists(spark, path) else like.select(key).limit(0)
 
 
 def stage_summary(df: DataFrame, keys: Sequence[str], stats: Sequence[Column], path: str | None = None, root: str | None = None) -> DataFrame:

@@ -105,3 +105,10 @@ def test_neighbours_against_brute_force_over_blocks(spark):
     assert all([n for _, n in sorted(got[i])] == list(np.argsort(d[i])[:3]) for i in range(60))
     z = spark.createDataFrame([(1, 0.0, 5.0), (1, 1.0, 9.0), (2, 1.0, 2.0), (2, 2.0, 8.0)], "obj long, distance double, p double")
     assert {r["obj"]: r["pred"] for r in weighted_neighbour_mean(z, "obj", "p").collect()} == pytest.approx({1: 5.0, 2: 4.0})
+
+
+def test_design_gaps_of_long_dimensions(spark):
+    a, b = spark.range(5000).selectExpr("IF(id = 0, NULL, id) AS a"), spark.range(6).selectExpr("IF(id = 5, NULL, id) AS b").union(spark.range(2).selectExpr("id AS b"))
+    seen = a.withColumn("b", F.explode(F.array(*[F.lit(i) for i in range(5)], F.lit(None)))).where("a IS NULL OR a <> 17 OR b IS NULL").union(spark.createDataFrame([(9999, 1)], "a long, b int"))
+    got = {(r["a"], r["b"], r["gap"]) for r in C.design_gaps(seen, [a, b]).collect()}
+    assert got == {(17, i, "missing") for i in range(5)} | {(9999, 1, "extra")}
