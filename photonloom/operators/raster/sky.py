@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -83,28 +85,54 @@ def box_size(r90_arcsec: Column, side: int, pixscale: float) -> Column:
     return F.least(F.greatest(4 * r90, F.lit(32.0)), F.lit(float(side // 4))).cast("int")
 
 
+#: Fixed value: boxes that a dropped box is filled from.
+FILL_FROM = 10
+
+
 def box_background(px: DataFrame, side: int, box: int, masked: Column | None = None, limit: float = 0.5) -> DataFrame:
-    """(obj_id, band, by, bx, level): clipped median per box, boxes masked beyond the limit dropped, 3 x 3 median of boxes."""
+    """(obj_id, band, by, bx, level) of every box: clipped median per box; a box masked beyond the limit, or without a pixel left,
+    takes the mean of the nearest FILL_FROM others weighted by 1 / distance; 3 x 3 median of boxes, fewer at the border."""
+    n = -(-side // box)
     d = px.withColumns({"by": F.expr(f"int(y div {box})"), "bx": F.expr(f"int(x div {box})"), "_masked": F.lit(False) if masked is None else masked})
     k = [*KEYS, "by", "bx"]
     w = W.partitionBy(*k)
     d = d.withColumn("_share", F.avg(F.when(F.col("_masked"), 1.0).otherwise(0.0)).over(w)).where(F.col("_share") <= limit)
-    level = clipped(d, k, F.when(~F.col("_masked"), F.col("flux"))).groupBy(*k).agg(F.percentile("_v", F.lit(0.5)).alias("raw"))
-    near = level.withColumn("_o", F.explode(F.expr("flatten(transform(array(-1, 0, 1), a -> transform(array(-1, 0, 1), b -> struct(a AS a, b AS b))))")))
-    near = near.select(*KEYS, (F.col("by") + F.col("_o.a")).alias("by"), (F.col("bx") + F.col("_o.b")).alias("bx"), F.col("raw").alias("n"))
-    return (near.join(level.drop("raw"), k, "left_semi").groupBy(*k).agg(F.percentile("n", F.lit(0.5)).alias("level")))
+    level = clipped(d, k, F.when(~F.col("_masked"), F.col("flux"))).groupBy(*k).agg(F.percentile("_v", F.lit(0.5)).alias("raw")).where("raw IS NOT NULL")
+    # The mesh of an image is one small array.
+    known = level.groupBy(*KEYS).agg(F.collect_list(F.struct("by", "bx", "raw")).alias("known"))
+    every = known.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1)))).withColumns({"by": F.expr(f"int(_i div {n})"), "bx": F.expr(f"int(_i % {n})")})
+    away = F.transform("known", lambda b: F.struct(((b["by"] - F.col("by")) * (b["by"] - F.col("by")) + (b["bx"] - F.col("bx")) * (b["bx"] - F.col("bx"))).alias("d2"), b["by"].alias("by"), b["bx"].alias("bx"), b["raw"].alias("raw")))
+    every = every.withColumn("_near", F.slice(F.array_sort(away), 1, FILL_FROM))
+    total = lambda f: F.aggregate("_near", F.lit(0.0), lambda s, b: s + f(b))
+    mesh = every.select(*k, F.when(F.col("_near")[0]["d2"] == 0, F.col("_near")[0]["raw"]).otherwise(total(lambda b: b["raw"] / F.sqrt(b["d2"])) / total(lambda b: 1 / F.sqrt(b["d2"]))).alias("raw"))
+    offsets = F.expr("flatten(transform(array(-1, 0, 1), a -> transform(array(-1, 0, 1), b -> struct(a AS a, b AS b))))")
+    near = mesh.withColumn("_o", F.explode(offsets)).select(*KEYS, (F.col("by") + F.col("_o.a")).alias("by"), (F.col("bx") + F.col("_o.b")).alias("bx"), "raw")
+    return near.where(F.col("by").between(0, n - 1) & F.col("bx").between(0, n - 1)).groupBy(*k).agg(F.percentile("raw", F.lit(0.5)).alias("level"))
+
+
+def spline_weights(side: int, box: int) -> list[list[float]]:
+    """[pixel][box]: the cubic spline through the box centres, mirrored at the border, as weights of the box levels."""
+    n = -(-side // box)
+    mirrored = lambda i: -1 - i if i < 0 else 2 * n - 1 - i if i >= n else i
+    knots = np.zeros((n, n))
+    for i in range(n):
+        for j, v in ((i, 4 / 6), (mirrored(i - 1), 1 / 6), (mirrored(i + 1), 1 / 6)):
+            knots[i, j] += v
+    coefficients, out = np.linalg.inv(knots), np.zeros((side, n))
+    for p in range(side):
+        u = (p + 0.5) / box - 0.5
+        for i in range(math.floor(u) - 1, math.floor(u) + 3):
+            x = abs(u - i)
+            out[p] += coefficients[min(n - 1, max(0, mirrored(i)))] * (2 / 3 - x * x + x ** 3 / 2 if x < 1 else (2 - x) ** 3 / 6)
+    return out.tolist()
 
 
 def smooth_background(px: DataFrame, boxes: DataFrame, box: int, side: int) -> DataFrame:
-    """Box levels interpolated bilinearly at every pixel, by equi-joins on the box index (edges repeat the last box)."""
-    last = side // box - 1
-    fy, fx = (F.col("y") + 0.5) / box - 0.5, (F.col("x") + 0.5) / box - 0.5
-    d = px.withColumns({"_fy": F.least(F.greatest(fy, F.lit(0.0)), F.lit(float(last))), "_fx": F.least(F.greatest(fx, F.lit(0.0)), F.lit(float(last)))})
-    grid = boxes.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct((F.col("by") * 10_000 + F.col("bx")).alias("k"), "level"))).alias("_g"))
-    d = d.join(grid, KEYS, "left")
-    y0, x0 = F.floor("_fy"), F.floor("_fx")
-    y1, x1 = F.least(y0 + 1, F.lit(last)), F.least(x0 + 1, F.lit(last))
-    at = lambda y, x: F.col("_g")[(y * 10_000 + x).cast("int")]
-    ty, tx = F.col("_fy") - y0, F.col("_fx") - x0
-    level = (1 - ty) * ((1 - tx) * at(y0, x0) + tx * at(y0, x1)) + ty * ((1 - tx) * at(y1, x0) + tx * at(y1, x1))
-    return d.withColumn("background", level).drop("_fy", "_fx", "_g")
+    """The mesh of box levels interpolated at every pixel by a cubic spline, within the range of the levels."""
+    n = -(-side // box)
+    mesh = boxes.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("by", "bx", "level"))), lambda b: b["level"]).alias("_g"))
+    w = F.array(*[F.array(*[F.lit(v) for v in row]) for row in spline_weights(side, box)])
+    d = px.join(mesh, KEYS, "left").withColumns({"_wy": F.get(w, F.col("y")), "_wx": F.get(w, F.col("x"))})
+    row = lambda i: F.aggregate(F.zip_with(F.slice("_g", i * n + 1, n), F.col("_wx"), lambda g, v: g * v), F.lit(0.0), lambda s, v: s + v)
+    value = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda s, i: s + F.get("_wy", i) * row(i))
+    return d.withColumn("background", F.greatest(F.array_min("_g"), F.least(F.array_max("_g"), value))).drop("_wy", "_wx", "_g")

@@ -503,11 +503,28 @@ def _(t: Tables):
     return SK.box_background(pixels(t), SIDE, 10).withColumn("level", F.round("level", 7)).withColumnsRenamed({"by": "box_y", "bx": "box_x"})
 
 
-@query("r40_smooth_background")
-def _(t: Tables):
-    px = pixels(t)
-    d = SK.smooth_background(px, SK.box_background(px, SIDE, 10), 10, SIDE)
-    return d.groupBy(*K).agg(F.count("background").alias("n_px"), r6(F.min("background")).alias("min"), r6(F.max("background")).alias("max"))
+# Boxes inside the masked disc are filled from the others; the spline's coefficients come from an elimination.
+MESH_SQL = clip_sql("mb", "obj_id, band, b_y, b_x", "CASE WHEN NOT masked THEN flux END", "(SELECT * FROM (SELECT *, avg(masked::INT) OVER (PARTITION BY obj_id, band, b_y, b_x) AS share FROM (SELECT *, y // 10 AS b_y, x // 10 AS b_x, sqrt((y - 19.5) * (y - 19.5) + (x - 19.5) * (x - 19.5)) <= 10 AS masked FROM pixels)) WHERE share <= 0.5)") + """,
+gb AS (SELECT i.obj_id, i.band, a.b AS b_y, c.b AS b_x FROM (SELECT DISTINCT obj_id, band FROM pixels) i, range(0, 4) a(b), range(0, 4) c(b)),
+nb AS (SELECT g.obj_id, g.band, g.b_y, g.b_x, m.sky, sqrt((m.b_y - g.b_y) ** 2 + (m.b_x - g.b_x) ** 2) AS d, row_number() OVER (PARTITION BY g.obj_id, g.band, g.b_y, g.b_x ORDER BY (m.b_y - g.b_y) ** 2 + (m.b_x - g.b_x) ** 2, m.b_y, m.b_x) AS k
+  FROM gb g JOIN mb m USING (obj_id, band)),
+fb AS (SELECT obj_id, band, b_y, b_x, CASE WHEN min(d) = 0 THEN max(sky) FILTER (d = 0) ELSE sum(sky / d) FILTER (d > 0) / sum(1 / d) FILTER (d > 0) END AS sky FROM nb WHERE k <= 10 GROUP BY ALL),
+lv AS (SELECT a.obj_id, a.band, a.b_y, a.b_x, median(b.sky) AS level FROM fb a JOIN fb b ON a.obj_id = b.obj_id AND a.band = b.band AND abs(a.b_y - b.b_y) <= 1 AND abs(a.b_x - b.b_x) <= 1 GROUP BY ALL),
+el AS (SELECT 1 AS k, [[5, 1, 0, 0, 6, 0, 0, 0], [1, 4, 1, 0, 0, 6, 0, 0], [0, 1, 4, 1, 0, 0, 6, 0], [0, 0, 1, 5, 0, 0, 0, 6]]::DOUBLE[][] AS a UNION ALL
+  SELECT k + 1, list_transform(a, lambda row, r: CASE WHEN r = k THEN list_transform(row, lambda v: v / a[k][k]) ELSE list_transform(row, lambda v, c: v - row[k] * a[k][c] / a[k][k]) END) FROM el WHERE k <= 4),
+wt AS (SELECT p, b, sum(CASE WHEN abs(u - i) < 1 THEN 2 / 3.0 - (u - i) ** 2 + abs(u - i) ** 3 / 2 ELSE (2 - abs(u - i)) ** 3 / 6 END * a[CASE WHEN i < 0 THEN -i WHEN i > 3 THEN 8 - i ELSE i + 1 END][5 + b]) AS w
+  FROM (SELECT p, (p + 0.5) / 10 - 0.5 AS u, CAST(floor((p + 0.5) / 10 - 0.5) AS INTEGER) + j AS i FROM range(0, 40) x(p), range(-1, 3) y(j)), range(0, 4) z(b), (SELECT a FROM el WHERE k = 5) GROUP BY p, b),
+sb AS (SELECT obj_id, band, wy.p AS y, wx.p AS x, greatest(min(lo), least(max(hi), sum(wy.w * wx.w * level))) AS v FROM (SELECT *, min(level) OVER (PARTITION BY obj_id, band) AS lo, max(level) OVER (PARTITION BY obj_id, band) AS hi FROM lv) JOIN wt wy ON wy.b = b_y JOIN wt wx ON wx.b = b_x GROUP BY ALL)"""
+
+
+@query("r40_smooth_background", with_sql(PIXELS_SQL, MESH_SQL, body="""
+SELECT obj_id, band, count(v) AS n_px, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(sum(v * (y - x)), 4) AS tilt FROM sb GROUP BY ALL""").replace("WITH", "WITH RECURSIVE", 1))
+def _(t: Tables):
+    """The middle of each image is masked, so that its boxes are dropped and filled."""
+    px = PX.with_radius(pixels(t), SIDE)
+    d = SK.smooth_background(px, SK.box_background(px, SIDE, 10, F.col("r") <= 10), 10, SIDE)
+    return d.groupBy(*K).agg(F.count("background").alias("n_px"), r6(F.min("background")).alias("min"), r6(F.max("background")).alias("max"), r6(F.avg("background")).alias("mean"),
+                             F.round(F.sum(F.col("background") * (F.col("y") - F.col("x"))), 4).alias("tilt"))
 
 
 @query("r46_object_measurement")
