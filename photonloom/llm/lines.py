@@ -115,14 +115,19 @@ def _within_one(a: Column, b: Column) -> Column:
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(h1, h2) of the lines of which an earlier line is within one edit."""
-    own = stored(_fetch(docs, stored(with_possible_partner(distinct), "partners")), "candidates")
-    made = stored(own.select("h1", "first", F.explode(_variants(F.col("w"))).alias("v")).select("h1", "first", "v.kind", "v.key"), "variants")
+    """(h1, h2) of the lines of which an earlier line is within one edit. A candidate has one number, in the order of the corpus:
+    it stands for the line in all its variants."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many tasks for the variants, however few bytes the lines have
+    place = [F.col(f"first.{c}") for c in (*_KEY, "line")]
+    own = _fetch(docs, stored(with_possible_partner(distinct), "partners")).repartitionByRange(parts, *place).sortWithinPartitions(*place)
+    own = stored(own.select(F.monotonically_increasing_id().alias("no"), "h1", "h2", "w"), "candidates")
+    made = stored(own.select("no", F.explode(_variants(F.col("w"))).alias("v")).select("no", F.col("v.kind").cast("byte").alias("kind"), "v.key"), "variants")
     # Replacements meet replacements; deletions meet the lines themselves. Keys of one line only are left out.
-    earliest = lambda *kinds: F.min(F.when(F.col("kind").isin(*kinds), F.struct("first", "h1")))
-    met = made.groupBy("key").agg(earliest(0).alias("e0"), F.max(F.when(F.col("kind") == 0, F.struct("first", "h1"))).alias("x0"), earliest(1).alias("e1"), earliest(2).alias("e2")).where("e0 <> x0 OR (e1 IS NOT NULL AND e2 IS NOT NULL)")
-    pairs = made.join(met, "key").select("h1", "first", F.when(F.col("kind") == 0, F.col("e0")).when(F.col("kind") == 1, F.col("e2")).otherwise(F.col("e1")).alias("e")).where(F.col("e.first") < F.col("first")).select("h1", F.col("e.h1").alias("e1")).distinct()
-    return pairs.join(own.select("h1", "h2", "w"), "h1").join(own.select(F.col("h1").alias("e1"), F.col("w").alias("x")), "e1").where(_within_one(F.col("w"), F.col("x"))).select("h1", "h2").distinct()
+    of = lambda f, kind: f(F.when(F.col("kind") == kind, F.col("no")))
+    met = made.groupBy("key").agg(of(F.min, 0).alias("e0"), of(F.max, 0).alias("x0"), of(F.min, 1).alias("e1"), of(F.min, 2).alias("e2")).where("e0 <> x0 OR (e1 IS NOT NULL AND e2 IS NOT NULL)")
+    pairs = made.join(met, "key").select("no", F.when(F.col("kind") == 0, F.col("e0")).when(F.col("kind") == 1, F.col("e2")).otherwise(F.col("e1")).alias("earlier")).where("earlier < no").distinct()
+    return pairs.join(own, "no").join(own.select(F.col("no").alias("earlier"), F.col("w").alias("x")), "earlier").where(_within_one(F.col("w"), F.col("x"))).select("h1", "h2").distinct()
 
 
 def dropped(docs: DataFrame) -> DataFrame:
