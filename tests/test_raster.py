@@ -140,3 +140,25 @@ def test_stamp_keeps_cells_outside_the_image(spark):
     geo = spark.createDataFrame([(1, 20.0, 0.0)], "obj_id long, rp_px double, pa_rad double")
     got = {(r["v"], r["u"]): r["flux"] for r in PX.stamp(px, geo, 20, 16, 1.5).collect()}
     assert len(got) == 256 and got[0, 0] == 0 and got[8, 8] > 0
+
+
+def test_spline_weights_meet_the_boxes():
+    w = np.array(SK.spline_weights(20, 5))
+    assert w.sum(1) == pytest.approx(np.ones(20))
+    assert w[[2, 7, 12, 17]] == pytest.approx(np.eye(4), abs=1e-12)  # a pixel at a box's centre has its level
+    assert w[::-1, ::-1] == pytest.approx(w)
+    assert np.array(SK.spline_weights(7, 7)) == pytest.approx(np.ones((7, 1)))
+
+
+def test_dropped_boxes_are_filled(spark):
+    img = np.add.outer(np.arange(20.0) // 5, 10 * (np.arange(20.0) // 5))
+    px = table(spark, img).withColumn("bad", (F.col("y") < 5) & (F.col("x") < 5))
+    got = {(r["by"], r["bx"]): r["level"] for r in SK.box_background(px, 20, 5, F.col("bad")).collect()}
+    assert len(got) == 16 and all(v is not None for v in got.values())
+    d = {(i, j): np.hypot(i, j) for i in range(4) for j in range(4) if i or j}
+    near = sorted(d, key=lambda k: (d[k], k))[:10]
+    mesh = {k: k[0] + 10 * k[1] for k in d} | {(0, 0): sum((k[0] + 10 * k[1]) / d[k] for k in near) / sum(1 / d[k] for k in near)}
+    for (i, j), v in got.items():
+        assert v == pytest.approx(np.median([mesh[a, b] for a in range(max(0, i - 1), min(4, i + 2)) for b in range(max(0, j - 1), min(4, j + 2))]))
+    whole = SK.smooth_background(px, SK.box_background(px, 20, 5, F.col("bad")), 5, 20)
+    assert whole.where("background IS NULL").count() == 0
