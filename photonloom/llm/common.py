@@ -55,17 +55,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def sum_of(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+def plus(a: Column, b: Column) -> Column:
+    return a + b
 
 
-def prefix_sums(values: Column, block: int = 128) -> Column:
-    """For each element of an array of longs the sum of those before it. Two levels, so that a long array costs
-    n * block and not n * n steps."""
+def sum_of(values: Column, add=plus) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), add)
+
+
+def prefix_sums(values: Column, block: int = 128, add=plus) -> Column:
+    """For each element of an array of longs the sum of those before it, or what `add` makes of them with 0 as its neutral element. Two
+    levels, so that a long array costs n * block and not n * n steps."""
     def inner(v: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda b: sum_of(F.slice(v, b * block + 1, block)))
-        bases = let(blocks, lambda s: F.transform(s, lambda _, i: sum_of(F.slice(s, 1, i))))
-        return let(bases, lambda base: F.transform(v, lambda _, i: base[F.floor(i / block).cast("int")] + sum_of(F.slice(v, (F.floor(i / block) * block).cast("int") + 1, i % block))))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda b: sum_of(F.slice(v, b * block + 1, block), add))
+        bases = let(blocks, lambda s: F.transform(s, lambda _, i: sum_of(F.slice(s, 1, i), add)))
+        return let(bases, lambda base: F.transform(v, lambda _, i: add(base[F.floor(i / block).cast("int")], sum_of(F.slice(v, (F.floor(i / block) * block).cast("int") + 1, i % block), add))))
 
     return let(values, lambda v: F.when(F.size(v) > 0, inner(v)).otherwise(F.array().cast("array<bigint>")))
 

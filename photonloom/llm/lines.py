@@ -87,16 +87,19 @@ def _fetch(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _variants(w: Column) -> Column:
     """Array of (kind, key): kind 0 and 1 for each deletion, with and without its place; kind 2 for the line itself.
-    A key adds hashes of words with their places, so that a deletion is a prefix and a shifted suffix."""
+    A key is the XOR of the 64-bit hashes of words with their places, so that a deletion is a prefix and a shifted suffix."""
+    def xor(a: Column, b: Column) -> Column:
+        return a.bitwiseXOR(b)
+
     def placed(shift: int) -> Column:
-        return F.transform(w, lambda x, i: F.shiftright(F.xxhash64(x, i - shift), 24))
+        return F.transform(w, lambda x, i: F.xxhash64(x, i - shift))
 
     def deletions(here: Column, moved: Column) -> Column:
-        total = sum_of(moved)
-        body = let(F.struct(prefix_sums(here).alias("p"), prefix_sums(moved).alias("q"), total.alias("t")), lambda s: F.transform(w, lambda _, i: s["p"][i] + s["t"] - s["q"][i] - moved[i]))
+        parts = F.struct(prefix_sums(here, add=xor).alias("p"), prefix_sums(moved, add=xor).alias("q"), sum_of(moved, xor).alias("t"))
+        body = let(parts, lambda s: F.transform(w, lambda _, i: xor(xor(s["p"][i], s["t"]), xor(s["q"][i], moved[i]))))
         keys = let(body, lambda b: F.flatten(F.transform(b, lambda k, i: F.array(
             F.struct(F.lit(0).alias("kind"), F.xxhash64(F.lit(0), F.size(w), k, i).alias("key")), F.struct(F.lit(1).alias("kind"), F.xxhash64(F.lit(1), F.size(w) - 1, k).alias("key"))))))
-        return F.concat(keys, F.array(F.struct(F.lit(2).alias("kind"), F.xxhash64(F.lit(1), F.size(w), sum_of(here)).alias("key"))))
+        return F.concat(keys, F.array(F.struct(F.lit(2).alias("kind"), F.xxhash64(F.lit(1), F.size(w), sum_of(here, xor)).alias("key"))))
 
     return let(placed(0), lambda here: let(placed(1), lambda moved: deletions(here, moved)))
 
