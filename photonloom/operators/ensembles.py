@@ -56,9 +56,9 @@ def uniform_mean(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys, "target").agg(F.max("y").alias("y"), F.avg("pred").alias("pred"))
 
 
-def ambiguity(df: DataFrame, keys: Sequence[str], obj: str, weights: DataFrame | None = None) -> DataFrame:
-    """Weighted member error, ambiguity and ensemble error per key and target; the identity error = members - ambiguity
-    is exact for convex weights."""
+def ambiguity(df: DataFrame, keys: Sequence[str], obj: str, weights: DataFrame | None = None, scale: DataFrame | None = None) -> DataFrame:
+    """Weighted member error, ambiguity and ensemble error per key and target, in units of the squared scale (target, sigma)
+    where one is given; the identity error = members - ambiguity is exact for convex weights."""
     d = df.withColumn("weight", F.lit(1.0)) if weights is None else df.join(weights, ["target", "family"])
     ms = F.collect_list(F.struct(F.col("weight").alias("w"), F.col("pred").alias("p")))
     one = d.groupBy(*keys, obj, "target").agg(F.max("y").alias("y"), ms.alias("ms"), F.sum("weight").alias("sw"),
@@ -67,8 +67,12 @@ def ambiguity(df: DataFrame, keys: Sequence[str], obj: str, weights: DataFrame |
     member = F.aggregate("ms", F.lit(0.0), lambda s, x: s + x["w"] * (x["p"] - F.col("y")) * (x["p"] - F.col("y"))) / F.col("sw")
     amb = F.aggregate("ms", F.lit(0.0), lambda s, x: s + x["w"] * (x["p"] - F.col("e")) * (x["p"] - F.col("e"))) / F.col("sw")
     err = (F.col("e") - F.col("y")) * (F.col("e") - F.col("y"))
-    return (one.select(*keys, "target", member.alias("m"), amb.alias("a"), err.alias("e2")).groupBy(*keys, "target")
-            .agg(F.count("*").alias("n"), F.avg("m").alias("member_error"), F.avg("a").alias("ambiguity"), F.avg("e2").alias("ensemble_error")))
+    out = (one.select(*keys, "target", member.alias("m"), amb.alias("a"), err.alias("e2")).groupBy(*keys, "target")
+           .agg(F.count("*").alias("n"), F.avg("m").alias("member_error"), F.avg("a").alias("ambiguity"), F.avg("e2").alias("ensemble_error")))
+    if scale is None:
+        return out
+    unit = F.col("sigma") * F.col("sigma")
+    return out.join(scale.select("target", "sigma"), "target").select(*keys, "target", "n", *[(F.col(c) / unit).alias(c) for c in ("member_error", "ambiguity", "ensemble_error")])
 
 
 def disagreement(df: DataFrame, keys: Sequence[str], weights: DataFrame | None = None) -> DataFrame:

@@ -267,11 +267,24 @@ def _(t: Tables):
     return d.groupBy("split", "target").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 5).alias("rmse"))
 
 
-@query("a29_ambiguity", with_sql(*ALIGNED, """en AS (SELECT obj_id, target, avg(pred) AS e FROM family_mean GROUP BY ALL)""", body="""
-SELECT split, target, count(DISTINCT obj_id) AS n, round(avg((pred - y) * (pred - y)), 6) AS member_error, round(avg((pred - e) * (pred - e)), 6) AS ambiguity, round(avg((e - y) * (e - y)), 6) AS ensemble_error
-FROM family_mean JOIN en USING (obj_id, target) GROUP BY split, target"""))
+@query("a29_ambiguity", with_sql(*ALIGNED, SCALE_SQL, """en AS (SELECT obj_id, target, avg(pred) AS e FROM family_mean GROUP BY ALL)""", body="""
+SELECT split, target, count(DISTINCT obj_id) AS n, round(avg((pred - y) * (pred - y)) / max(sigma * sigma), 6) AS member_error, round(avg((pred - e) * (pred - e)) / max(sigma * sigma), 6) AS ambiguity,
+  round(avg((e - y) * (e - y)) / max(sigma * sigma), 6) AS ensemble_error FROM family_mean JOIN en USING (obj_id, target) JOIN scale USING (target) GROUP BY split, target"""))
 def _(t: Tables):
-    return rounded(E.ambiguity(family_mean(t), ["split"], "obj_id"), [])
+    """Members weigh the same; errors in units of the squared train scale."""
+    return rounded(E.ambiguity(family_mean(t), ["split"], "obj_id", scale=scale_of(t)), [])
+
+
+@query("a29_weighted_ambiguity", with_sql(*ALIGNED, SCALE_SQL, WEIGHTS_SQL, """wm AS (SELECT f.*, CASE f.family WHEN 'conv' THEN w1 WHEN 'eff' THEN w2 ELSE w3 END AS w FROM family_mean f JOIN wt USING (target)),
+en AS (SELECT obj_id, target, sum(w * pred) AS e FROM wm GROUP BY ALL)""", body="""
+SELECT split, target, count(DISTINCT obj_id) AS n, round(sum(w * (pred - y) * (pred - y)) / count(DISTINCT obj_id) / max(sigma * sigma), 5) AS member_error,
+  round(sum(w * (pred - e) * (pred - e)) / count(DISTINCT obj_id) / max(sigma * sigma), 5) AS ambiguity, round(sum(w * (e - y) * (e - y)) / count(DISTINCT obj_id) / max(sigma * sigma), 5) AS ensemble_error
+FROM wm JOIN en USING (obj_id, target) JOIN scale USING (target) GROUP BY split, target"""))
+def _(t: Tables):
+    """With the weights of the convex blend."""
+    members, w = blend_weights(t)
+    d = E.ambiguity(family_mean(t), ["split"], "obj_id", E.weights_table(t.spark, w, members), scale_of(t))
+    return d.select("split", "target", "n", *[F.round(c, 5).alias(c) for c in ("member_error", "ambiguity", "ensemble_error")])
 
 
 @query("a30_disagreement", with_sql(*ALIGNED, body="""
