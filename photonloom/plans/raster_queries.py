@@ -14,10 +14,14 @@ from photonloom.operators.raster import profile as PR
 from photonloom.operators.raster import segment as SE
 from photonloom.operators.raster import sky as SK
 from photonloom.operators.raster.measure import measure_objects
+from photonloom.operators.registry import Variant
 from photonloom.plans.bindings import PIXELS_SQL, SIDE, pixels, with_sql
+from photonloom.plans.cohort_queries import fresh_path
 from photonloom.plans.metric_queries import rounded
 from photonloom.plans.registry import Tables, query
 from photonloom.session import cut_lineage
+from photonloom.sources import pixel_cache as PC
+from photonloom.sources.sinks import guarded_write
 
 K = ["obj_id", "band"]
 R_MIN, MIN_SKY = 22.0, 40
@@ -53,6 +57,25 @@ def _(t: Tables):
     return d.groupBy(*K).agg(F.count("*").alias("n_px"), r6(F.avg(F.when(F.col("flux") == 0, 1.0).otherwise(0.0))).alias("zero_fraction"), F.round(F.sum("flux"), 5).alias("total"), F.max("y").alias("y_max"))
 
 
+@query("s06_pixel_cache", with_sql(PIXELS_SQL, "fb AS (SELECT obj_id, bool_or(flux <= 0) AS fallback FROM pixels GROUP BY obj_id)", body="""
+SELECT obj_id, band, fallback, count(*) AS n_px, round(avg((CASE WHEN fallback THEN flux ELSE log10(flux) END = 0)::INT), 6) AS zero_fraction,
+  round(sum(CAST(CAST(CASE WHEN fallback THEN flux ELSE log10(flux) END AS FLOAT) AS DOUBLE)), 5) AS total FROM pixels JOIN fb USING (obj_id) WHERE y BETWEEN 10 AND 29 AND x BETWEEN 10 AND 29 GROUP BY ALL"""))
+def _(t: Tables):
+    """Cubes are written as files, cached in chunks of two files and read back as pixels. A cube with a pixel that has no logarithm
+    falls back to its raw values; here these are most, so the budget is open."""
+    out, root = fresh_path(t, "pixel-cache")
+    layout = PC.CubeLayout(SIDE, 20)
+    source, _ = fresh_path(t, "cubes")
+    px = pixels(t)
+    ordered = lambda b: F.transform(F.array_sort(F.collect_list(F.when(F.col("band") == b, F.struct("y", "x", "flux")))), lambda s: s["flux"]).alias(b)
+    guarded_write(px.groupBy("obj_id").agg(*[ordered(b) for b in layout.bands]).repartition(8, "obj_id"), source, root)
+    log = Variant("log_flux", lambda px: px.withColumn("flux", F.log10(F.when(F.col("flux") > 0, F.col("flux")))), max_failed_share=1.0)
+    PC.build_cache(t.spark, source, out, root, layout, log, files_per_chunk=2)
+    rows = PC.bands_to_rows(PC.read_cache(t.spark, out, layout), layout.bands)
+    d = PX.explode_images(rows, "image", layout.crop).groupBy(*K).agg(F.count("*").alias("n_px"), F.round(F.sum("flux"), 5).alias("total"))
+    return d.join(rows.select(*K, "fallback", r6("zero_fraction").alias("zero_fraction")), K)
+
+
 @query("r01_border_background", with_sql(PIXELS_SQL, BORDER_SQL, body="""
 SELECT obj_id, band, round(sky, 7) AS sky, round(sky_sigma, 6) AS sky_sigma, n_sky AS n_kept FROM bg"""))
 def _(t: Tables):
