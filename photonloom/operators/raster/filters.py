@@ -97,17 +97,51 @@ def own_gaussian(px: DataFrame, widths: DataFrame, side: int, truncate: float =
     return _weighted_along(_weighted_along(d, "x", "y", side), "y", "x", side).select(*KEYS, "y", "x", F.col("_v").alias("smooth"))
 
 
+def running_median(img: np.ndarray, size: int) -> np.ndarray:
+    """Median of the square of `size` around every pixel, edges repeated; of an even number of values the upper middle one.
+
+    All rows of the image slide over its columns together. Each keeps a histogram of the ranks in its window, fine and summed in blocks: a
+    step removes one column and adds another, and the median is found in the blocks, then inside one. Work per pixel grows with
+    the size and the side of the image, not with the area of the window."""
+    side, cols = img.shape
+    h = size // 2
+    padded = np.pad(img, ((h, size - h - 1), (h, size - h - 1)), mode="edge")
+    values, rank = np.unique(padded, return_inverse=True)
+    rank = rank.reshape(padded.shape)
+    width = math.isqrt(len(values) - 1) + 1
+    fine = np.zeros((side, width, width), np.int32)
+    at = np.arange(side)
+    rows = np.repeat(at, size)
+    out = np.empty((side, cols), np.intp)
+    half = size * size // 2
+    windows = np.lib.stride_tricks.sliding_window_view(rank, size, axis=0)  # (row, column, values of the column in the row's window)
+
+    def change(column: int, by: int) -> None:
+        r = windows[:, column].ravel()
+        np.add.at(fine, (rows, r // width, r % width), by)
+        np.add.at(coarse, (rows, r // width), by)
+
+    coarse = np.zeros((side, width), np.int32)
+    for column in range(size - 1):
+        change(column, 1)
+    for x in range(cols):
+        change(x + size - 1, 1)
+        up_to = coarse.cumsum(axis=1)
+        block = (up_to <= half).sum(axis=1)
+        rest = half - (up_to[at, block] - coarse[at, block])
+        out[:, x] = block * width + (fine[at, block].cumsum(axis=1) <= rest[:, None]).sum(axis=1)
+        change(x, -1)
+    return values[out]
+
+
 def median_filter(px: DataFrame, side: int, size: int, value: str = "flux") -> DataFrame:
-    """Square median with repeated edges. The neighbourhood median is not separable, so each image (bounded by `side`) is one
-    vectorized task group; rows are taken in strips to bound memory."""
+    """Square median with repeated edges. It is not separable, so an image, whose size is fixed by `side`, is one group. Pixels that
+    an image lacks, and missing values, count as 0; NaN is greater than any number."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         img = np.zeros((side, side))
         y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
         img[y, x] = pdf["v"].to_numpy()
-        h = size // 2
-        view = np.lib.stride_tricks.sliding_window_view(np.pad(img, ((h, size - h - 1), (h, size - h - 1)), mode="edge"), (size, size))
-        out = np.concatenate([np.median(view[i:i + 16].reshape(-1, side, size * size), axis=2) for i in range(0, side, 16)])
-        return pdf.assign(smooth=out[y, x]).drop(columns="v")
+        return pdf.assign(smooth=running_median(img, size)[y, x]).drop(columns="v")
 
-    return (px.select(*KEYS, "y", "x", F.col(value).alias("v")).groupBy(*KEYS)
+    return (px.select(*KEYS, "y", "x", F.coalesce(F.col(value), F.lit(0.0)).alias("v")).groupBy(*KEYS)
             .applyInPandas(run, "obj_id long, band string, y int, x int, smooth double"))

@@ -304,6 +304,13 @@ def _(t: Tables):
     return (a.groupBy(*K).agg(r6(F.sum("value") / flux).alias("asymmetry")).join(c.groupBy(*K).agg(r6(F.sum("value") / flux).alias("clumpiness")), K))
 
 
+@query("r13_running_median", with_sql(PIXELS_SQL, f"""o AS (SELECT a.i AS dy, b.i AS dx FROM range(-2, 3) a(i), range(-2, 3) b(i)),
+nb AS (SELECT obj_id, band, y, x, least({SIDE - 1}, greatest(0, y + dy)) AS ny, least({SIDE - 1}, greatest(0, x + dx)) AS nx FROM pixels, o)""", body="""
+SELECT nb.obj_id, nb.band, nb.y, nb.x, median(flux) AS smooth FROM nb JOIN pixels p ON p.obj_id = nb.obj_id AND p.band = nb.band AND p.y = ny AND p.x = nx GROUP BY ALL"""))
+def _(t: Tables):
+    return FI.median_filter(pixels(t), SIDE, 5)
+
+
 @query("r13_box_mean", with_sql(PIXELS_SQL, """sz AS (SELECT DISTINCT obj_id, CAST(2 + obj_id % 3 AS INTEGER) AS k FROM pixels),
 o AS (SELECT obj_id, k, unnest(range(-(k // 2), k - k // 2)) AS j FROM sz),
 bx AS (SELECT p.obj_id, p.band, p.y, c.x, avg(p.flux) AS v FROM o JOIN (SELECT x FROM range(0, 40) g(x)) c ON true JOIN pixels p ON p.obj_id = o.obj_id AND p.x = (CASE WHEN c.x + o.j < 0 THEN -1 - c.x - o.j WHEN c.x + o.j > 39 THEN 79 - c.x - o.j ELSE c.x + o.j END) GROUP BY ALL),
