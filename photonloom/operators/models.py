@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,39 +135,133 @@ def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> Da
 
 
 class VectorScores:
-    """Standardize a vector, project on principal components, standardize the scores; population deviations throughout."""
+    """Standardize a vector, project on principal components, standardize the scores, append a standardized scalar; population
+    deviations throughout. Rows whose vector or scalar is missing, of another length or not finite do not enter the fit and
+    get no scores. Components are those of greatest variance; their largest loading is positive. A dimension without
+    spread is centred only, and a component without variance scores zero."""
 
     def __init__(self, k: int):
         self.k = k
 
-    @staticmethod
-    def _fit_scaler(df: DataFrame, c: str, out: str):
-        """Spark's scaler divides by the sample deviation; population deviation differs by one known factor."""
-        from pyspark.ml.feature import StandardScaler as MLScaler
-
-        n = df.count()
-        return MLScaler(inputCol=c, outputCol=out, withMean=True, withStd=True).fit(df), (n / (n - 1)) ** 0.5 if n > 1 else 1.0
-
-    def fit(self, train: DataFrame, column: str) -> "VectorScores":
-        from pyspark.ml.feature import PCA
-
-        self.column = column
-        self.first, self.f1 = self._fit_scaler(train, column, "_z")
-        z = self._scale(self.first.transform(train), "_z", self.f1)
-        self.pca = PCA(k=self.k, inputCol="_z", outputCol="_pc").fit(z)
-        self.second, self.f2 = self._fit_scaler(self.pca.transform(z), "_pc", "_s")
+    def fit(self, train: DataFrame, column: str, width: int, scalar: str | None = None) -> "VectorScores":
+        """One pass over the rows; only the moments, whose size is set by `width`, reach the driver."""
+        if not 0 < self.k <= width:
+            raise ValueError(f"{self.k} components of {width} dimensions")
+        self.column, self.scalar, self.width = column, scalar, width
+        extra = width + (scalar is not None)
+        n, mean, comoment = vector_moments(train, [column] + ([scalar] if scalar else []), extra)
+        if n == 0:
+            raise ValueError("no complete row to fit on")
+        spread = np.sqrt(np.diag(comoment) / n)
+        scale = np.where(spread > 1e-12 * np.maximum(1.0, np.abs(mean)), spread, np.inf)
+        correlation = comoment[:width, :width] / n / np.outer(scale[:width], scale[:width])
+        values, axes = np.linalg.eigh(correlation)
+        values, axes = np.maximum(values[::-1], 0.0), axes[:, ::-1]
+        axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(width)] < 0, -1.0, 1.0)
+        self.n, self.mean, self.std = n, mean, np.where(np.isfinite(scale), scale, 1.0)
+        self.components, self.variance = axes[:, :self.k], values[:self.k]
+        self.explained = self.variance / values.sum() if values.sum() > 0 else self.variance
         return self
 
-    @staticmethod
-    def _scale(df: DataFrame, c: str, factor: float) -> DataFrame:
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-
-        return df.withColumn(c, array_to_vector(F.transform(vector_to_array(c), lambda v: v * factor)))
-
     def transform(self, df: DataFrame, out: str = "scores") -> DataFrame:
-        z = self._scale(self.first.transform(df), "_z", self.f1)
-        s = self._scale(self.second.transform(self.pca.transform(z)), "_s", self.f2)
-        return s.withColumnRenamed("_s", out).drop("_z", "_pc")
+        """An array of k scores, then the scalar; a projection of Arrow batches, without a shuffle."""
+        width, dims = self.width, self.width + (self.scalar is not None)
+        root = np.sqrt(self.variance)
+        turn = self.components / self.std[:width, None] / np.where(root > 1e-9, root, np.inf)
+        mean, std = self.mean, self.std
+
+        @F.pandas_udf("array<double>")
+        def project(x: pd.Series) -> pd.Series:
+            rows = [None] * len(x)
+            held = np.flatnonzero(x.notna().to_numpy())
+            if len(held):
+                m = np.stack(x.iloc[held].to_numpy()).astype(float)
+                scores = np.hstack([(m[:, :width] - mean[:width]) @ turn, (m[:, width:] - mean[width:]) / std[width:]])
+                for i, r in zip(held, scores):
+                    rows[i] = r
+            return pd.Series(rows, dtype=object)
+
+        return df.withColumn(out, project(complete_vector([self.column] + ([self.scalar] if self.scalar else []), dims)))
+
+
+def complete_vector(columns: Sequence[str], width: int) -> Column:
+    """A vector column and scalar columns behind it as one array of doubles; NULL unless all `width` numbers are there and finite."""
+    v = F.concat(F.transform(F.col(columns[0]), lambda x: x.cast("double")), *[F.array(F.col(c).cast("double")) for c in columns[1:]])
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when((F.size(v) == width) & ~bad, v)
+
+
+#: Side of the blocks in which moments of pairs travel: 512 KB each.
+MOMENT_BLOCK = 256
+
+
+def vector_moments(df: DataFrame, columns: Sequence[str], width: int, partials: int = 1024) -> tuple[int, "np.ndarray", "np.ndarray"]:
+    """Number of complete rows, mean and sums of products of deviations of a vector, exact in one pass.
+
+    A task keeps the moments of its rows, merges each Arrow batch into them as a matrix product and sends the upper triangle in blocks
+    with its count and means; a second stage merges blocks as they stream in. At most `partials` tasks send, so what is
+    shuffled and what memory is needed depend on `width` alone. Deviations are from each part's own mean: nothing cancels."""
+    edges = list(range(0, width, MOMENT_BLOCK)) + [width]
+    spans = list(zip(edges[:-1], edges[1:]))
+    schema = "i int, j int, n long, mean array<double>, block array<double>"
+
+    def merged(a, b):
+        if a is None or b[0] == 0:
+            return b if a is None else a
+        n = a[0] + b[0]
+        d = b[1] - a[1]
+        return n, a[1] + d * (b[0] / n), a[2] + b[2] + a[0] * b[0] / n * d[0][:, None] * d[1][None, :]
+
+    def gathered(batches):
+        held = {}
+        for pdf in batches:
+            x = np.stack(pdf["v"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, width))
+            if not len(x):
+                continue
+            mean = x.mean(axis=0)
+            dev = x - mean
+            for i, (a, b) in enumerate(spans):
+                for j, (c, d) in enumerate(spans[i:], i):
+                    held[i, j] = merged(held.get((i, j)), (len(x), _Pair(mean[a:b], mean[c:d]), dev[:, a:b].T @ dev[:, c:d]))
+        for (i, j), (n, m, block) in held.items():
+            yield pd.DataFrame({"i": [i], "j": [j], "n": [n], "mean": [np.concatenate([m[0], m[1]])], "block": [block.ravel()]})
+
+    def reduced(batches):
+        held = {}
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                (a, b), (c, d) = spans[r.i], spans[r.j]
+                m = np.asarray(r.mean)
+                part = (r.n, _Pair(m[:b - a], m[b - a:]), np.asarray(r.block).reshape(b - a, d - c))
+                held[r.i, r.j] = merged(held.get((r.i, r.j)), part)
+        for (i, j), (n, m, block) in held.items():
+            yield pd.DataFrame({"i": [i], "j": [j], "n": [n], "mean": [np.concatenate([m[0], m[1]])], "block": [block.ravel()]})
+
+    rows = df.select(complete_vector(columns, width).alias("v")).where("v IS NOT NULL").coalesce(partials)
+    blocks = rows.mapInPandas(gathered, schema).repartition(len(spans) * (len(spans) + 1) // 2, "i", "j").mapInPandas(reduced, schema)
+    n, mean, total = 0, np.zeros(width), np.zeros((width, width))
+    for r in blocks.toLocalIterator():
+        (a, b), (c, d) = spans[r["i"]], spans[r["j"]]
+        n, total[a:b, c:d] = r["n"], np.asarray(r["block"]).reshape(b - a, d - c)
+        total[c:d, a:b] = total[a:b, c:d].T
+        mean[a:b] = r["mean"][:b - a]
+    return n, mean, total
+
+
+class _Pair(tuple):
+    """Means of the rows and of the columns of a block, with the arithmetic of a vector."""
+
+    def __new__(cls, rows, columns):
+        return super().__new__(cls, (rows, columns))
+
+    def __add__(self, o):
+        return _Pair(self[0] + o[0], self[1] + o[1])
+
+    def __sub__(self, o):
+        return _Pair(self[0] - o[0], self[1] - o[1])
+
+    def __mul__(self, k):
+        return _Pair(self[0] * k, self[1] * k)
 
 
 def cross_fitted(df: DataFrame, features: str, label: str, obj: str, split: str, k: int, alpha: float, seed: int) -> DataFrame:

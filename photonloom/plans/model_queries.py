@@ -149,12 +149,41 @@ def _(t: Tables):
 
 @query("m03_vector_scores")
 def _(t: Tables):
-    """Scores have zero mean and unit population spread on the rows they were fitted on."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    d = t.embeddings.select("vec_id", array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("v"))
-    s = MD.VectorScores(8).fit(d, "v").transform(d).select("vec_id", F.posexplode(vector_to_array("scores")).alias("component", "score"))
-    return s.groupBy("component").agg(F.count("*").alias("n"), F.round(F.abs(F.avg("score")), 6).alias("mean"), r6(F.stddev_pop("score")).alias("std"))
+    """Scores have zero mean, unit population spread and no correlation with each other on the rows they were fitted on."""
+    m = MD.VectorScores(8).fit(t.embeddings, "embedding", 64, "label")
+    d = m.transform(t.embeddings).select("scores")
+    cross = F.array(*[F.aggregate(F.slice("scores", 1, 8), F.lit(0.0), lambda s, v: s + v) * F.get("scores", F.lit(j)) for j in range(9)])
+    s = d.select(F.posexplode(F.arrays_zip("scores", cross.alias("cross"))).alias("component", "c")).select("component", "c.scores", "c.cross")
+    shares = F.array(*[F.lit(float(v)) for v in m.explained])
+    # Without correlation the mean product of a score with the sum of all eight is 1; for the scalar it is the sum of its correlations.
+    return s.groupBy("component").agg(F.count("*").alias("n"), F.round(F.abs(F.avg("scores")), 6).alias("mean"), r6(F.stddev_pop("scores")).alias("std"),
+                                      r6(F.avg("cross")).alias("with_scores")).withColumn("explained", r6(F.get(shares, "component")))
+
+
+def squared(m: str, c: str = "c") -> str:
+    """SQL: the square of a symmetric matrix of lists, divided by its trace."""
+    return f"""SELECT list_transform({m}, lambda r: list_transform(r, lambda v: v / list_sum(list_transform(range(1, len({m}) + 1), lambda k: {m}[k][k])))) AS {m}, {c} FROM (
+  SELECT list_transform({m}, lambda a: list_transform({m}, lambda b: list_dot_product(a, b))) AS {m}, {c} FROM %s)"""
+
+
+LEADING_SQL = """e AS (SELECT vec_id, CAST(label AS DOUBLE) AS label, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) g(i)),
+z AS (SELECT vec_id, i, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS z FROM e WINDOW w AS (PARTITION BY i)),
+zl AS (SELECT vec_id, list(z ORDER BY i) AS z FROM z GROUP BY vec_id),
+r AS (SELECT a.i, b.i AS j, avg(a.z * b.z) AS r FROM z a JOIN z b USING (vec_id) GROUP BY ALL),
+rows_ AS (SELECT i, list(r ORDER BY j) AS r FROM r GROUP BY i),
+p0 AS (SELECT list(r ORDER BY i) AS m, list(r ORDER BY i) AS c FROM rows_),
+""" + ",\n".join(f"p{k + 1} AS (" + squared("m") % f"p{k}" + ")" for k in range(16)) + """,
+lead AS (SELECT m, list_sum(list_transform(range(1, 65), lambda k: list_dot_product(m[k], c[k]))) AS variance FROM p16)"""
+
+
+@query("m03_leading_component", with_sql(LEADING_SQL, body="""
+SELECT vec_id, round(list_dot_product(z, list_transform(m, lambda a: list_dot_product(a, z))) / variance, 5) AS first_squared, round((label - lm) / ls, 6) AS scalar, round(variance / 64, 6) AS explained
+FROM zl JOIN embeddings USING (vec_id), lead, (SELECT avg(label) AS lm, stddev_pop(label) AS ls FROM embeddings)"""))
+def _(t: Tables):
+    """The first score, squared as its sign is a convention, and the appended scalar of every row."""
+    m = MD.VectorScores(4).fit(t.embeddings, "embedding", 64, "label")
+    s = m.transform(t.embeddings)
+    return s.select("vec_id", F.round(F.get("scores", F.lit(0)) ** 2, 5).alias("first_squared"), r6(F.get("scores", F.lit(4))).alias("scalar"), F.lit(round(float(m.explained[0]), 6)).alias("explained"))
 
 
 RIDGE_SQL = """rt AS (SELECT redshift AS a, log_mstar AS b, d4000 AS y FROM objects WHERE split = 'Train' AND d4000 IS NOT NULL AND redshift > 0),
