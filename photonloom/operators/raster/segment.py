@@ -12,7 +12,7 @@ from photonloom.functions.scalars import equivalent_radius, flux_limit, safe_div
 from photonloom.operators.raster.filters import gaussian
 from photonloom.operators.raster.pixels import KEYS, with_radius
 from photonloom.operators.raster.profile import isophotal_radius
-from photonloom.operators.raster.sky import border_background
+from photonloom.operators.raster.sky import border_background, clipped
 
 
 def min_labels(mask: np.ndarray, eight: bool) -> np.ndarray:
@@ -132,9 +132,10 @@ def neighbour_mask(px: DataFrame, side: int, nsigma: float = 3.0, min_px: int =
 
 def nearest_source_mask(px: DataFrame, side: int, noise: Column, nsigma: float = 1.5, sigma_px: float = 3.0, min_px: int = 5) -> DataFrame:
     """Smoothed detection; the source whose centroid is nearest the centre becomes the object (holes filled), the rest are
-    other sources."""
+    other sources. The threshold is `nsigma` times the noise above the clipped mean of the smoothed image."""
     s = gaussian(px, side, sigma_px, mode="constant").join(px.select(*KEYS, "y", "x", noise.alias("_noise")), [*KEYS, "y", "x"])
-    lab = components(s.withColumn("_b", F.col("smooth") > nsigma * F.col("_noise")), side, "_b", eight=True)
+    s = clipped(s, KEYS, F.col("smooth"), rounds=10).withColumn("_level", F.avg("_v").over(W.partitionBy(*KEYS)))
+    lab = components(s.withColumn("_b", F.col("smooth") > F.col("_level") + nsigma * F.col("_noise")), side, "_b", eight=True)
     by_label = W.partitionBy(*KEYS, "label")
     lab = lab.withColumns({"_n": F.count("*").over(by_label), "_cy": F.avg("y").over(by_label), "_cx": F.avg("x").over(by_label)}).where(F.col("_n") >= min_px)
     c = (side - 1) / 2

@@ -29,12 +29,12 @@ RAD = "sqrt((y - 19.5) * (y - 19.5) + (x - 19.5) * (x - 19.5))"
 RING = "(y < 4 OR y >= 36 OR x < 4 OR x >= 36)"
 
 
-def clip_sql(name: str, keys: str, value: str, source: str = "pixels") -> str:
-    """Five rounds of 3-sigma clipping, one CTE per round; the final CTE has sky and sky_sigma."""
+def clip_sql(name: str, keys: str, value: str, source: str = "pixels", rounds: int = 5) -> str:
+    """Rounds of 3-sigma clipping, one CTE per round; the final CTE has sky, sky_sigma and the mean."""
     out = [f"{name}0 AS (SELECT {keys}, {value} AS v FROM {source} WHERE ({value}) IS NOT NULL)"]
-    for i in range(5):
+    for i in range(rounds):
         out.append(f"{name}{i + 1} AS (SELECT {keys}, v FROM (SELECT *, median(v) OVER (PARTITION BY {keys}) AS m, stddev_pop(v) OVER (PARTITION BY {keys}) AS s FROM {name}{i}) WHERE abs(v - m) <= 3 * s)")
-    out.append(f"{name} AS (SELECT {keys}, median(v) AS sky, stddev_pop(v) AS sky_sigma, count(*) AS n_sky FROM {name}5 GROUP BY {keys})")
+    out.append(f"{name} AS (SELECT {keys}, median(v) AS sky, stddev_pop(v) AS sky_sigma, avg(v) AS level, count(*) AS n_sky FROM {name}{rounds} GROUP BY {keys})")
     return ",\n".join(out)
 
 
@@ -397,7 +397,21 @@ def _(t: Tables):
     return d.where("m").groupBy(*K).agg(F.count("*").alias("grown_px"))
 
 
-@query("r14_neighbour_sources")
+def sources_sql(flagged: str) -> str:
+    """Eight-connected sources of at least five pixels of the table `flagged` (obj_id, y, x); labels spread from pixels without a smaller neighbour."""
+    return f"""n8(a, b) AS (SELECT * FROM range(-1, 2) g(a), range(-1, 2) h(b) WHERE a <> 0 OR b <> 0),
+fl AS (SELECT obj_id, y, x, CAST(y * 40 + x + 1 AS INTEGER) AS p FROM {flagged}),
+ed AS (SELECT f.obj_id, f.p, g.p AS q FROM fl f, n8 JOIN fl g ON g.obj_id = f.obj_id AND g.y = f.y + n8.a AND g.x = f.x + n8.b),
+reach AS (SELECT obj_id, p, p AS root FROM fl WHERE (obj_id, p) NOT IN (SELECT obj_id, p FROM ed WHERE q < p) UNION SELECT r.obj_id, e.q, r.root FROM reach r JOIN ed e ON e.obj_id = r.obj_id AND e.p = r.p WHERE r.root < e.q),
+lb AS (SELECT obj_id, p, min(root) AS label FROM reach GROUP BY ALL),
+so AS (SELECT obj_id, y, x, p, label FROM lb JOIN fl USING (obj_id, p) QUALIFY count(*) OVER (PARTITION BY obj_id, label) >= 5)"""
+
+
+@query("r14_neighbour_sources", recursive(with_sql(PIXELS_SQL, BORDER_SQL, "det AS (SELECT obj_id, y, x FROM pixels JOIN bg USING (obj_id, band) WHERE band = 'r' AND flux - sky > 3 * sky_sigma)", sources_sql("det"), """
+ot AS (SELECT s.* FROM so s LEFT JOIN (SELECT obj_id, label AS centre FROM so WHERE y = 20 AND x = 20) c USING (obj_id) WHERE centre IS NULL OR label <> centre),
+gr AS (SELECT DISTINCT obj_id, y + a AS y, x + b AS x FROM ot, range(-3, 4) g(a), range(-3, 4) h(b) WHERE abs(a) + abs(b) <= 3 AND y + a BETWEEN 0 AND 39 AND x + b BETWEEN 0 AND 39)""", body="""
+SELECT obj_id, coalesce(masked_px, 0) AS masked_px, coalesce(n_sources, 0) AS n_sources, coalesce(source_px, 0) AS source_px FROM (SELECT DISTINCT obj_id FROM pixels)
+LEFT JOIN (SELECT obj_id, count(*) AS masked_px FROM gr GROUP BY obj_id) USING (obj_id) LEFT JOIN (SELECT obj_id, count(DISTINCT label) AS n_sources, count(*) AS source_px FROM ot GROUP BY obj_id) USING (obj_id)""")))
 def _(t: Tables):
     px = pixels(t).where("band = 'r'")
     n = SE.neighbour_sources(px, SIDE).groupBy("obj_id").agg(F.countDistinct("label").alias("n_sources"), F.count("*").alias("source_px"))
@@ -426,7 +440,21 @@ def _(t: Tables):
     return rounded(SE.mask_summary(report_of(t)), [])
 
 
-@query("r41_nearest_source_mask")
+G15 = FI.gaussian_kernel(1.5)
+G15_SQL = f"""g15(j, w) AS (VALUES {", ".join(f"({i - len(G15) // 2}, {w!r}::DOUBLE)" for i, w in enumerate(G15))}),
+im AS (SELECT obj_id, y, x, flux - sky AS flux, sky_sigma FROM pixels JOIN bg USING (obj_id, band) WHERE band = 'r'),
+sx AS (SELECT obj_id, y, x - j AS x, sum(w * flux) AS v FROM im, g15 WHERE x - j BETWEEN 0 AND 39 GROUP BY ALL),
+sg AS (SELECT obj_id, y - j AS y, x, sum(w * v) AS smooth FROM sx, g15 WHERE y - j BETWEEN 0 AND 39 GROUP BY ALL)"""
+
+
+@query("r41_nearest_source_mask", recursive(with_sql(PIXELS_SQL, BORDER_SQL, G15_SQL, clip_sql("sl", "obj_id", "smooth", "sg", 10),
+    "det AS (SELECT obj_id, y, x FROM sg JOIN im USING (obj_id, y, x) JOIN sl USING (obj_id) WHERE smooth > level + 1.5 * im.sky_sigma)", sources_sql("det"), """
+ob AS (SELECT s.* FROM so s JOIN (SELECT obj_id, arg_min(label, (d, label)) AS label FROM (SELECT obj_id, label, pow(avg(y) - 19.5, 2) + pow(avg(x) - 19.5, 2) AS d FROM so GROUP BY obj_id, label) GROUP BY obj_id) USING (obj_id, label)),
+nb(a, b) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)),
+mk AS (SELECT i.obj_id, i.y, i.x, o.p IS NOT NULL AS m FROM im i LEFT JOIN ob o USING (obj_id, y, x)),
+op AS (SELECT obj_id, y, x FROM mk WHERE NOT m AND (y IN (0, 39) OR x IN (0, 39)) UNION SELECT k.obj_id, k.y, k.x FROM op o, nb JOIN mk k ON k.obj_id = o.obj_id AND k.y = o.y + nb.a AND k.x = o.x + nb.b WHERE NOT k.m),
+fd AS (SELECT m.obj_id, m.y, m.x, o.y IS NULL AS inside FROM mk m LEFT JOIN op o ON o.obj_id = m.obj_id AND o.y = m.y AND o.x = m.x)""", body="""
+SELECT obj_id, count(*) FILTER (inside) AS object_px, count(*) FILTER (s.p IS NOT NULL AND NOT inside) AS other_px FROM fd LEFT JOIN so s USING (obj_id, y, x) GROUP BY obj_id""")))
 def _(t: Tables):
     px = pixels(t).where("band = 'r'")
     d = px.join(SK.border_background(px, SIDE), K)

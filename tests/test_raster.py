@@ -162,3 +162,14 @@ def test_dropped_boxes_are_filled(spark):
         assert v == pytest.approx(np.median([mesh[a, b] for a in range(max(0, i - 1), min(4, i + 2)) for b in range(max(0, j - 1), min(4, j + 2))]))
     whole = SK.smooth_background(px, SK.box_background(px, 20, 5, F.col("bad")), 5, 20)
     assert whole.where("background IS NULL").count() == 0
+
+
+def test_nearest_source_stands_above_the_background_and_leaves_others(spark):
+    rng = np.random.default_rng(5)
+    y, x = np.indices((40, 40))
+    blob = lambda cy, cx, s: np.exp(-((y - cy) ** 2 + (x - cx) ** 2) / (2 * s * s))
+    img = 0.3 + rng.normal(0, 0.05, (40, 40)) + 3 * blob(18, 21, 3.0) + 4 * blob(33, 6, 2.0)  # all of it above 1.5 times the noise
+    d = {(r["y"], r["x"]): r for r in SE.nearest_source_mask(table(spark, img).withColumn("noise", F.lit(0.05)), 40, F.col("noise"), 1.5, 1.5).collect()}
+    assert d[18, 21]["in_object"] and not d[18, 21]["in_other"]
+    assert d[33, 6]["in_other"] and not d[33, 6]["in_object"]
+    assert sum(r["in_object"] for r in d.values()) < 400 and sum(r["in_other"] for r in d.values()) < 300
