@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from photonloom.functions.scalars import col
-from photonloom.session import cut_lineage
+from photonloom.session import cut_lineage, small
 
 #: Accuracy of the sketches: their ranks are off by at most a share of 1 / SKETCH of the group.
 SKETCH = 10_000
@@ -59,7 +59,7 @@ def ordered(counts: DataFrame, keys: Sequence[str], order: Sequence[Column] | No
         F.coalesce(F.sum("_w").over(by_group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
         F.sum("_w").over(by_group).alias("n_total"))
     inside = W.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return (null_safe_join(laid, blocks, [*keys, "_part"])
+    return (null_safe_join(laid, small(blocks), [*keys, "_part"])
             .withColumn("n_before", F.col("_base") + F.coalesce(F.sum("n_at").over(inside), F.lit(0)))
             .drop("_part", "_base"))
 
@@ -77,7 +77,7 @@ def _condensed(d: DataFrame, keys: list[str], probs: dict[str, float], spread: f
     q = d.groupBy(*keys).agg(F.percentile_approx("_x", [x for cut in cuts for x in cut], SKETCH).alias("_q"), F.least(F.floor(F.log2(F.count("*"))), F.lit(LARGEST)).cast("int").alias("_p"))
     at = F.col("_p") * (2 * len(probs))
     q = q.select(*keys, *[F.get("_q", at + 2 * i + side).alias(f"_{n}{i}") for i in range(len(probs)) for side, n in ((0, "lo"), (1, "hi"))])
-    joined = null_safe_join(d, q, keys)
+    joined = null_safe_join(d, small(q), keys)
     within, gap = F.lit(False), F.lit(0)
     for i in range(len(probs)):
         within = within | F.col("_x").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
@@ -128,9 +128,9 @@ def median_and_mad(df: DataFrame, keys: Sequence[str], value: Column | str, outl
     """(keys, med, nmad[, outlier_frac]) of a column: 1.4826 MAD about the median and the share beyond `outlier_factor` times it."""
     keys = list(keys)
     d = cut_lineage(df.select(*keys, col(value).alias("_x")).where("_x is not null"))
-    med = _selected(d, keys, {"med": 0.5})
+    med = small(_selected(d, keys, {"med": 0.5}))
     dev = null_safe_join(d, med, keys).select(*keys, F.abs(F.col("_x") - F.col("med")).alias("_x"))
-    mad = _selected(dev, keys, {"mad": 0.5}).select(*keys, (1.4826 * F.col("mad")).alias("nmad"))
+    mad = small(_selected(dev, keys, {"mad": 0.5}).select(*keys, (1.4826 * F.col("mad")).alias("nmad")))
     if outlier_factor is None:
         return null_safe_join(med, mad, keys)
     tail = F.avg(F.when(F.col("_x") > outlier_factor * F.col("nmad"), 1.0).otherwise(0.0))

@@ -47,7 +47,7 @@ def weights_table(spark, weights: dict[str, np.ndarray], members: Sequence[str])
 
 def apply_weights(df: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Weighted sum of the members; `weights` has one row per (target, member)."""
-    return (df.join(weights, ["target", "family"]).groupBy(*keys, "target")
+    return (df.join(F.broadcast(weights), ["target", "family"]).groupBy(*keys, "target")
             .agg(F.max("y").alias("y"), F.sum(F.col("weight") * F.col("pred")).alias("pred")))
 
 
@@ -59,7 +59,7 @@ def uniform_mean(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def ambiguity(df: DataFrame, keys: Sequence[str], obj: str, weights: DataFrame | None = None, scale: DataFrame | None = None) -> DataFrame:
     """Weighted member error, ambiguity and ensemble error per key and target, in units of the squared scale (target, sigma)
     where one is given; the identity error = members - ambiguity is exact for convex weights."""
-    d = df.withColumn("weight", F.lit(1.0)) if weights is None else df.join(weights, ["target", "family"])
+    d = df.withColumn("weight", F.lit(1.0)) if weights is None else df.join(F.broadcast(weights), ["target", "family"])
     ms = F.collect_list(F.struct(F.col("weight").alias("w"), F.col("pred").alias("p")))
     one = d.groupBy(*keys, obj, "target").agg(F.max("y").alias("y"), ms.alias("ms"), F.sum("weight").alias("sw"),
                                               F.sum(F.col("weight") * F.col("pred")).alias("sp"))
@@ -79,7 +79,7 @@ def disagreement(df: DataFrame, keys: Sequence[str], weights: DataFrame | None =
     """Weighted standard deviation of the members about the ensemble, per object and target."""
     if weights is None:
         return df.groupBy(*keys, "target").agg(F.max("y").alias("y"), F.avg("pred").alias("pred"), F.stddev_pop("pred").alias("disagreement"))
-    d = df.join(weights, ["target", "family"])
+    d = df.join(F.broadcast(weights), ["target", "family"])
     w, p = F.col("weight"), F.col("pred")
     agg = d.groupBy(*keys, "target").agg(F.max("y").alias("y"), F.sum(w * p).alias("_p"), F.sum(w * p * p).alias("_pp"), F.sum(w).alias("_w"))
     return agg.select(*keys, "target", "y", F.col("_p").alias("pred"),

@@ -43,14 +43,14 @@ def normalized_criterion(df: DataFrame, scale: DataFrame, keys: Sequence[str], y
     """Mean over targets of (RMSE / sigma of the train labels)^2. `scale` has one row per target."""
     per_target = (residuals(df, [*keys, "target"], y, p).groupBy(*keys, "target")
                   .agg(F.avg(F.col("r") * F.col("r")).alias("mse")))
-    return (per_target.join(cut_lineage(scale), "target")
+    return (per_target.join(F.broadcast(cut_lineage(scale)), "target")
             .groupBy(*keys).agg(F.avg(F.col("mse") / (F.col("sigma") * F.col("sigma"))).alias("criterion")))
 
 
 def object_loss(df: DataFrame, scale: DataFrame, keys: Sequence[str], y="y", p="pred") -> DataFrame:
     """Mean over targets of the normalized squared error of each object."""
     e = (col(p) - col(y)) / F.col("sigma")
-    return df.join(cut_lineage(scale), "target").groupBy(*keys).agg(F.avg(e * e).alias("loss"))
+    return df.join(F.broadcast(cut_lineage(scale)), "target").groupBy(*keys).agg(F.avg(e * e).alias("loss"))
 
 
 def edge_bucket(value: Column | str, edges: Sequence[float], right_closed: bool = False, last_closed: bool = False) -> Column:

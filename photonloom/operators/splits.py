@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from photonloom.functions.draws import hash32, key_text
 from photonloom.operators.cohort import top_n
 from photonloom.operators.distribution import global_rank, quantiles
-from photonloom.session import cut_lineage
+from photonloom.session import small
 
 
 def shuffled_rank(df: DataFrame, obj: str, keys: Sequence[str], *salt) -> DataFrame:
@@ -87,7 +87,7 @@ def sampled_positions(pixels: DataFrame, obj: str, n: int, seed: int) -> DataFra
 
 def nearest_to_quantiles(df: DataFrame, keys: Sequence[str], obj: str, value: str, probs: Sequence[float]) -> DataFrame:
     """Per quantile the object whose value is nearest to it."""
-    q = cut_lineage(quantiles(df, keys, value, {f"q{i}": p for i, p in enumerate(probs)}))
+    q = small(quantiles(df, keys, value, {f"q{i}": p for i, p in enumerate(probs)}))
     v = F.col(value)
     aggs = [F.min_by(F.struct(F.col(obj), v.alias("v")), F.struct(F.abs(v - F.col(f"q{i}")), F.col(obj))).alias(f"_{i}") for i in range(len(probs))]
     rows = F.array(*[F.struct(F.lit(float(p)).alias("quantile"), F.col(f"_{i}.{obj}").alias(obj), F.col(f"_{i}.v").alias("value"))

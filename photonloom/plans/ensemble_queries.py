@@ -308,7 +308,7 @@ def _(t: Tables):
     """Disagreement between members as a signal of uncertainty."""
     d = E.disagreement(family_mean(t), ["obj_id"]).select("target", r6("disagreement").alias("s"), r6(F.abs(F.col("pred") - F.col("y"))).alias("e"))
     edges = cut_lineage(quantiles(d, ["target"], "s", {f"q{i}": i / 5 for i in range(1, 5)}))
-    b = d.join(edges, "target").withColumn("quintile", F.expr(" + ".join(f"int(s >= q{i})" for i in range(1, 5))))
+    b = d.join(F.broadcast(edges), "target").withColumn("quintile", F.expr(" + ".join(f"int(s >= q{i})" for i in range(1, 5))))
     k = ["target", "quintile"]
     out = (b.groupBy(*k).agg(F.count("*").alias("n")).join(quantiles(b, k, "s", {"centre": 0.5}), k)
            .join(quantiles(b, k, "e", {"median_error": 0.5, "p84": 0.84}), k).join(spearman(d, ["target"], "s", "e"), "target"))

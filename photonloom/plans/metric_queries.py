@@ -72,7 +72,7 @@ FROM pred_long JOIN scale USING (target) WHERE y IS NOT NULL AND pred IS NOT NUL
 def _(t: Tables):
     k = ["split", "family", "seed", "target"]
     per = M.residuals(pred_long(t), k).groupBy(*k).agg(F.count("*").alias("n"), F.avg(F.col("r") * F.col("r")).alias("mse"))
-    return per.join(cut_lineage(scale_of(t)), "target").select(
+    return per.join(F.broadcast(cut_lineage(scale_of(t))), "target").select(
         *k, "n", r6(F.col("mse") / (F.col("sigma") * F.col("sigma"))).alias("normalized_mse"))
 
 
@@ -162,7 +162,7 @@ FROM hit GROUP BY family, target, bin HAVING count(*) >= 4"""))
 def _(t: Tables):
     d = family_mean(t).withColumn("r", F.col("pred") - F.col("y"))
     probs = {f"e{i}": i / 5 for i in range(6)}
-    edges = cut_lineage(quantiles(d, FAMILY, "y", probs))
+    edges = F.broadcast(cut_lineage(quantiles(d, FAMILY, "y", probs)))
     hits = F.expr("filter(array(" + ", ".join(f"IF(y >= e{i} AND y <= e{i + 1}, {i}, NULL)" for i in range(5)) + "), b -> b IS NOT NULL)")
     d = d.join(edges, FAMILY).withColumn("bin", F.explode(hits))
     k = [*FAMILY, "bin"]
@@ -257,8 +257,8 @@ pairs AS (SELECT obj_id, kind, target, 'conv-label' AS pair, conv AS a, label AS
 
 
 def measure_pairs(t: Tables):
-    wide = (family_mean(t).groupBy("obj_id", "kind", "target").pivot("family", ["conv", "vit", "eff"]).agg(F.max("pred"))
-            .join(family_mean(t).groupBy("obj_id", "target").agg(F.max("y").alias("label")), ["obj_id", "target"]))
+    wide = family_mean(t).groupBy("obj_id", "kind", "target").agg(
+        F.max("y").alias("label"), *[F.max(F.when(F.col("family") == f, F.col("pred"))).alias(f) for f in ("conv", "vit", "eff")])
     pairs = [("conv", "label"), ("vit", "label"), ("conv", "vit"), ("vit", "eff")]
     return wide.selectExpr("obj_id", "kind", "target", "inline(array(" + ", ".join(
         f"named_struct('pair', '{a}-{b}', 'a', {a}, 'b', {b})" for a, b in pairs) + "))")
@@ -313,7 +313,7 @@ def _(t: Tables):
     d = family_mean(t).withColumn("r", F.col("pred") - F.col("y"))
     fit = median_and_mad(d, FAMILY, "r", outlier_factor=None)
     dev = F.abs(F.col("r") - F.col("med"))
-    out = d.join(fit, FAMILY).groupBy(*FAMILY).agg(
+    out = d.join(F.broadcast(fit), FAMILY).groupBy(*FAMILY).agg(
         F.count("*").alias("n"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rmse"), F.count_if(dev > 2 * F.col("nmad")).alias("n_out2"),
         F.count_if(dev > 3 * F.col("nmad")).alias("n_out3"), F.regr_slope("pred", "y").alias("slope"), F.regr_intercept("pred", "y").alias("intercept"))
     return M.against_baseline(out, "family", "conv", ["target"], "rmse").select(
@@ -397,7 +397,7 @@ FROM (SELECT split, 'log_mstar' AS target, log_mstar AS y FROM objects UNION ALL
   UNION ALL SELECT split, 'd4000', d4000 FROM objects) o JOIN scale s USING (target) WHERE o.y IS NOT NULL GROUP BY o.split, s.target"""))
 def _(t: Tables):
     d = objects(t).selectExpr("split", "inline(array(" + ", ".join(f"named_struct('target', '{x}', 'y', {x})" for x in TARGETS) + "))")
-    d = d.join(cut_lineage(scale_of(t)), "target").withColumn("pred", F.col("train_median"))
+    d = d.join(F.broadcast(cut_lineage(scale_of(t))), "target").withColumn("pred", F.col("train_median"))
     k = ["split", "target"]
     return rounded(M.residuals(d, k).groupBy(*k).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rmse"), F.avg("r").alias("bias")), [])
 
@@ -425,7 +425,7 @@ def _(t: Tables):
 SELECT family, target, CASE WHEN y <= train_median THEN 'low' ELSE 'high' END AS regime, kind, count(*) AS n, round(sqrt(avg((pred - y) * (pred - y))), 6) AS rmse
 FROM family_mean JOIN scale USING (target) GROUP BY ALL"""))
 def _(t: Tables):
-    d = family_mean(t).join(cut_lineage(scale_of(t)), "target").withColumn("regime", F.when(F.col("y") <= F.col("train_median"), "low").otherwise("high"))
+    d = family_mean(t).join(F.broadcast(cut_lineage(scale_of(t))), "target").withColumn("regime", F.when(F.col("y") <= F.col("train_median"), "low").otherwise("high"))
     e = F.col("pred") - F.col("y")
     return rounded(d.groupBy("family", "target", "regime", "kind").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse")), [])
 

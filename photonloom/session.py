@@ -8,10 +8,14 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings applied when the session leaves them at Spark's default. Joins on (obj_id, y, x) may reuse a layout hashed on
-#: obj_id alone, so pixel tables are shuffled once per job and not once per join.
+#: obj_id alone, so pixel tables are shuffled once per job and not once per join. The size of a scan says nothing about a table whose
+#: rows are exploded, so no join is broadcast by that estimate, only by measured sizes or a hint.
 RUNTIME_DEFAULTS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
 }
@@ -74,6 +78,16 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Rows of a table that each task may hold.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Materialize a table that is expected to be small, such as one row per group; it is broadcast if its count says so."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize a DataFrame in the shared folder; partition ids and contents are fixed from here on."""
     spark = df.sparkSession
