@@ -25,10 +25,11 @@ def asymmetry(px: DataFrame, size: DataFrame, side: int, search: int = CENTRE_SE
     `size` has obj_id, rp_px and sky_sigma.
 
     An image is one array, and each batch of images is turned about all centres at once: a centre shifted by half a pixel
-    shifts the turned image by one, around the border. No pixel is copied and nothing is joined.
+    shifts the turned image by one, around the border. No pixel is copied and nothing is joined. Only pixels whose partner the image
+    has as well are compared.
     """
     c = (side - 1) / 2
-    images = px.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "flux"))), lambda s: s["flux"]).alias("image"))
+    images = px.groupBy(*KEYS).agg(F.collect_list(F.struct("y", "x", "flux")).alias("image"))
     images = images.join(size.where("rp_px IS NOT NULL").select("obj_id", F.least(CAS_EXTENT * F.col("rp_px"), F.lit(c - 3)).alias("r_ap"), F.col("sky_sigma").cast("double").alias("sky_sigma")), "obj_id")
 
     def turn(batches):
@@ -36,13 +37,16 @@ def asymmetry(px: DataFrame, size: DataFrame, side: int, search: int = CENTRE_SE
         for b in batches:
             if not b.num_rows:
                 continue
-            img = np.asarray(b.column(2).flatten(), float).reshape(-1, side, side)
+            img = np.full((b.num_rows, side, side), np.nan)
+            y, x, flux = (c.to_numpy(zero_copy_only=False) for c in b.column(2).flatten().flatten())
+            img[np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy()), y, x] = flux
             r_ap = np.asarray(b.column(3), float)
             best = [None] * len(img)
             for sy in range(-search, search + 1):
                 for sx in range(-search, search + 1):
                     inside = np.sqrt((yy - (c + sy / 2)) ** 2 + (xx - (c + sx / 2)) ** 2)[None] < r_ap[:, None, None]
                     other = np.roll(img[:, ::-1, ::-1], (sy, sx), axis=(1, 2))
+                    inside = inside & ~np.isnan(img) & ~np.isnan(other)
                     num = np.where(inside, np.abs(img - other), 0).sum((1, 2))
                     den = np.where(inside, np.abs(img), 0).sum((1, 2))
                     area = inside.sum((1, 2))

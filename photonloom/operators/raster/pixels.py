@@ -22,6 +22,12 @@ def image_window() -> WindowSpec:
     return W.partitionBy(*KEYS)
 
 
+def frame(px: DataFrame, side: int) -> DataFrame:
+    """(obj_id, band, y, x) of all places of every image, with those whose pixel it lacks."""
+    d = px.select(*KEYS).distinct().withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
+    return d.select(*KEYS, F.expr(f"int(_p div {side})").alias("y"), F.expr(f"int(_p % {side})").alias("x"))
+
+
 def explode_images(images: DataFrame, flux: str, width: int) -> DataFrame:
     """Rows (obj_id, band, y, x, flux) from one array per (obj_id, band), laid out by obj_id before they are exploded."""
     d = images.repartition("obj_id").select("obj_id", "band", F.posexplode(flux).alias("p", "v"))

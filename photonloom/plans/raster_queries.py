@@ -62,17 +62,18 @@ SELECT obj_id, band, fallback, count(*) AS n_px, round(avg((CASE WHEN fallback T
   round(sum(CAST(CAST(CASE WHEN fallback THEN flux ELSE log10(flux) END AS FLOAT) AS DOUBLE)), 5) AS total FROM pixels JOIN fb USING (obj_id) WHERE y BETWEEN 10 AND 29 AND x BETWEEN 10 AND 29 GROUP BY ALL"""))
 def _(t: Tables):
     """Cubes are written as files, cached in chunks of two files and read back as pixels. A cube with a pixel that has no logarithm
-    falls back to its raw values; here these are most, so the budget is open."""
+    falls back to its raw values; here these are most, so the budget is open. Pixels that an image lacks are gaps of its cube."""
     out, root = fresh_path(t, "pixel-cache")
-    layout = PC.CubeLayout(SIDE, 20)
+    layout = PC.CubeLayout(SIDE, 20, gaps=True)
     source, _ = fresh_path(t, "cubes")
     px = pixels(t)
+    places = PX.frame(px, SIDE).join(px, [*K, "y", "x"], "left")
     ordered = lambda b: F.transform(F.array_sort(F.collect_list(F.when(F.col("band") == b, F.struct("y", "x", "flux")))), lambda s: s["flux"]).alias(b)
-    guarded_write(px.groupBy("obj_id").agg(*[ordered(b) for b in layout.bands]).repartition(8, "obj_id"), source, root)
+    guarded_write(places.groupBy("obj_id").agg(*[ordered(b) for b in layout.bands]).repartition(8, "obj_id"), source, root)
     log = Variant("log_flux", lambda px: px.withColumn("flux", F.log10(F.when(F.col("flux") > 0, F.col("flux")))), max_failed_share=1.0)
     PC.build_cache(t.spark, source, out, root, layout, log, files_per_chunk=2)
     rows = PC.bands_to_rows(PC.read_cache(t.spark, out, layout), layout.bands)
-    d = PX.explode_images(rows, "image", layout.crop).groupBy(*K).agg(F.count("*").alias("n_px"), F.round(F.sum("flux"), 5).alias("total"))
+    d = PX.explode_images(rows, "image", layout.crop).where("flux IS NOT NULL").groupBy(*K).agg(F.count("*").alias("n_px"), F.round(F.sum("flux"), 5).alias("total"))
     return d.join(rows.select(*K, "fallback", r6("zero_fraction").alias("zero_fraction")), K)
 
 
@@ -101,11 +102,17 @@ COLLAPSE_SQL = """cw AS (SELECT obj_id, y, x, flux, flux - sky AS s, CASE WHEN s
 cl AS (SELECT obj_id, y, x, avg(s) AS sky_free_mean, avg(flux) AS raw_mean, sum(w * s) / sum(w) AS inverse_variance FROM cw GROUP BY ALL)"""
 
 
+# Means of fluxes with four decimals can lie exactly between two results of six; as decimals the half is rounded away from
+# zero whatever the order in which a sum was added.
+TIE_SQL = "CAST(round(CAST({} AS DECIMAL(24, 11)), 6) AS DOUBLE)"
+
+
 @query("r05_band_collapses", with_sql(PIXELS_SQL, CORNER_SQL, COLLAPSE_SQL, body=" UNION ALL ".join(
-    f"SELECT obj_id, '{c}' AS band, round(avg({c}), 6) AS mean, round(max({c}), 6) AS max, round(stddev_pop({c}), 6) AS std FROM cl GROUP BY obj_id" for c in ("sky_free_mean", "raw_mean", "inverse_variance"))))
+    f"SELECT obj_id, '{c}' AS band, {TIE_SQL.format(f'avg({c})')} AS mean, {TIE_SQL.format(f'max({c})')} AS max, {TIE_SQL.format(f'stddev_pop({c})')} AS std FROM cl GROUP BY obj_id" for c in ("sky_free_mean", "raw_mean", "inverse_variance"))))
 def _(t: Tables):
     d = NO.collapses(pixels(t), SIDE, R_MIN, MIN_SKY)
-    return d.groupBy(*K).agg(r6(F.avg("flux")).alias("mean"), r6(F.max("flux")).alias("max"), r6(F.stddev_pop("flux")).alias("std"))
+    r = lambda c: F.round(c.cast("decimal(24,11)"), 6).cast("double")
+    return d.groupBy(*K).agg(r(F.avg("flux")).alias("mean"), r(F.max("flux")).alias("max"), r(F.stddev_pop("flux")).alias("std"))
 
 
 @query("r06_image_metrics", with_sql(PIXELS_SQL, f"""q AS (SELECT obj_id, band, min(flux) AS lo, max(flux) AS hi FROM pixels GROUP BY ALL),
@@ -114,7 +121,7 @@ h AS (SELECT obj_id, band, CAST(floor(v * 255) AS INTEGER) AS u8, count(*) AS c
 c AS (SELECT *, sum(c) OVER (PARTITION BY obj_id, band) AS n, sum(c) OVER (PARTITION BY obj_id, band ORDER BY u8) AS cum FROM h),
 ce AS (SELECT obj_id, band, avg(v) AS cb FROM u WHERE r < 6 GROUP BY ALL)""", body="""
 SELECT obj_id, band, round(-sum(c / n * log2(c / n)), 6) AS entropy, round(100 * sum(CASE WHEN u8 >= 255 THEN c ELSE 0 END) / max(n), 6) AS saturation_pct,
-  min(u8) FILTER (cum >= 0.85 * n) - min(u8) FILTER (cum >= 0.15 * n) AS cdf_width, round(max(cb), 6) AS central_brightness FROM c JOIN ce USING (obj_id, band) GROUP BY obj_id, band"""))
+  min(u8) FILTER (cum >= 0.85 * n) - min(u8) FILTER (cum >= 0.15 * n) AS cdf_width, round(max(cb), 6) AS central_brightness FROM c LEFT JOIN ce USING (obj_id, band) GROUP BY obj_id, band"""))
 def _(t: Tables):
     lo, hi = F.min("flux").over(PX.image_window()), F.max("flux").over(PX.image_window())
     d = pixels(t).withColumns({"lo": lo, "hi": hi}).withColumn("v", F.round((F.col("flux") - F.col("lo")) / (F.col("hi") - F.col("lo")), 9))
@@ -259,14 +266,14 @@ def _(t: Tables):
 
 
 @query("r47_map_correlation", with_sql(PIXELS_SQL, body="""
-SELECT a.obj_id, a.band, round(corr(a.flux, b.flux), 6) AS corr FROM pixels a JOIN pixels b ON a.obj_id = b.obj_id AND a.band = b.band AND b.y = 39 - a.y AND b.x = 39 - a.x GROUP BY ALL"""))
+SELECT a.obj_id, a.band, round(corr(a.flux, b.flux), 6) AS corr FROM pixels a LEFT JOIN pixels b ON a.obj_id = b.obj_id AND a.band = b.band AND b.y = 39 - a.y AND b.x = 39 - a.x GROUP BY ALL"""))
 def _(t: Tables):
     return rounded(PX.map_correlation(pixels(t), SIDE), [])
 
 
 @query("r18_symmetric_fill", with_sql(PIXELS_SQL, """m AS (SELECT *, flux < 0.03 OR (y BETWEEN 3 AND 9 AND x BETWEEN 28 AND 34) AS missing FROM pixels)""", body="""
-SELECT a.obj_id, a.band, round(sum(CASE WHEN NOT a.missing THEN a.flux WHEN NOT b.missing THEN b.flux ELSE 0 END), 5) AS total, count(*) FILTER (a.missing) AS n_missing, count(*) FILTER (a.missing AND b.missing) AS n_zero
-FROM m a JOIN m b ON a.obj_id = b.obj_id AND a.band = b.band AND b.y = 39 - a.y AND b.x = 39 - a.x GROUP BY ALL"""))
+SELECT a.obj_id, a.band, round(sum(CASE WHEN NOT a.missing THEN a.flux WHEN NOT b.missing THEN b.flux ELSE 0 END), 5) AS total, count(*) FILTER (a.missing) AS n_missing, count(*) FILTER (a.missing AND coalesce(b.missing, true)) AS n_zero
+FROM m a LEFT JOIN m b ON a.obj_id = b.obj_id AND a.band = b.band AND b.y = 39 - a.y AND b.x = 39 - a.x GROUP BY ALL"""))
 def _(t: Tables):
     d = pixels(t).withColumn("missing", F.expr("flux < 0.03 OR (y BETWEEN 3 AND 9 AND x BETWEEN 28 AND 34)")).withColumn("raw", F.col("flux"))
     f = PX.symmetric_fill(d, SIDE, "missing")
@@ -295,7 +302,7 @@ def _(t: Tables):
 @query("r27_structure_scalars", with_sql(PIXELS_SQL, GAUSS_SQL, f"""mm AS (SELECT p.*, {RAD.replace('y', 'p.y').replace('x', 'p.x')} <= 10 AS m FROM pixels p)""", body="""
 SELECT a.obj_id, a.band, round(sum(CASE WHEN a.m THEN abs(a.flux - b.flux) ELSE 0 END) / greatest(sum(CASE WHEN a.m THEN a.flux ELSE 0 END), 1e-8), 6) AS asymmetry,
   round(sum(CASE WHEN a.m THEN greatest(a.flux - s.smooth, 0) ELSE 0 END) / greatest(sum(CASE WHEN a.m THEN a.flux ELSE 0 END), 1e-8), 6) AS clumpiness
-FROM mm a JOIN mm b ON a.obj_id = b.obj_id AND a.band = b.band AND b.y = 39 - a.y AND b.x = 39 - a.x JOIN gs s ON s.obj_id = a.obj_id AND s.band = a.band AND s.y = a.y AND s.x = a.x GROUP BY ALL"""))
+FROM mm a LEFT JOIN mm b ON a.obj_id = b.obj_id AND a.band = b.band AND b.y = 39 - a.y AND b.x = 39 - a.x JOIN gs s ON s.obj_id = a.obj_id AND s.band = a.band AND s.y = a.y AND s.x = a.x GROUP BY ALL"""))
 def _(t: Tables):
     px = PX.with_radius(pixels(t), SIDE).withColumn("in_mask", F.col("r") <= 10).drop("r")
     a = MO.asymmetry_map(px, SIDE, "in_mask")
@@ -306,7 +313,7 @@ def _(t: Tables):
 
 @query("r13_running_median", with_sql(PIXELS_SQL, f"""o AS (SELECT a.i AS dy, b.i AS dx FROM range(-2, 3) a(i), range(-2, 3) b(i)),
 nb AS (SELECT obj_id, band, y, x, least({SIDE - 1}, greatest(0, y + dy)) AS ny, least({SIDE - 1}, greatest(0, x + dx)) AS nx FROM pixels, o)""", body="""
-SELECT nb.obj_id, nb.band, nb.y, nb.x, median(flux) AS smooth FROM nb JOIN pixels p ON p.obj_id = nb.obj_id AND p.band = nb.band AND p.y = ny AND p.x = nx GROUP BY ALL"""))
+SELECT nb.obj_id, nb.band, nb.y, nb.x, median(coalesce(flux, 0)) AS smooth FROM nb LEFT JOIN pixels p ON p.obj_id = nb.obj_id AND p.band = nb.band AND p.y = ny AND p.x = nx GROUP BY ALL"""))
 def _(t: Tables):
     return FI.median_filter(pixels(t), SIDE, 5)
 
@@ -413,7 +420,9 @@ gr AS (SELECT DISTINCT obj_id, y + a AS y, x + b AS x FROM ot, range(-3, 4) g(a)
 SELECT obj_id, coalesce(masked_px, 0) AS masked_px, coalesce(n_sources, 0) AS n_sources, coalesce(source_px, 0) AS source_px FROM (SELECT DISTINCT obj_id FROM pixels)
 LEFT JOIN (SELECT obj_id, count(*) AS masked_px FROM gr GROUP BY obj_id) USING (obj_id) LEFT JOIN (SELECT obj_id, count(DISTINCT label) AS n_sources, count(*) AS source_px FROM ot GROUP BY obj_id) USING (obj_id)""")))
 def _(t: Tables):
+    """The mask is grown over the whole frame of an image, places whose pixel is lacking included."""
     px = pixels(t).where("band = 'r'")
+    px = PX.frame(px, SIDE).join(px, [*K, "y", "x"], "left")
     n = SE.neighbour_sources(px, SIDE).groupBy("obj_id").agg(F.countDistinct("label").alias("n_sources"), F.count("*").alias("source_px"))
     grown = SE.neighbour_mask(px, SIDE).groupBy("obj_id").agg(F.count_if("is_neighbour").alias("masked_px"))
     return grown.join(n, "obj_id", "left").fillna(0)
@@ -552,21 +561,25 @@ def _(t: Tables):
     return d.groupBy(*K).agg(F.count("flux").alias("n_px"), r6(F.avg("flux")).alias("mean"), r6(F.max("flux")).alias("max"))
 
 
-BOX_SQL = clip_sql("bb", "obj_id, band, b_y, b_x", "flux", "(SELECT *, y // 10 AS b_y, x // 10 AS b_x FROM pixels)")
+def fill_sql(boxes: str) -> str:
+    """All 4 x 4 boxes of every image, `fb`; one that is not in the table `boxes` is filled from its nearest ten."""
+    return f"""gb AS (SELECT i.obj_id, i.band, a.b AS b_y, c.b AS b_x FROM (SELECT DISTINCT obj_id, band FROM pixels) i, range(0, 4) a(b), range(0, 4) c(b)),
+nb AS (SELECT g.obj_id, g.band, g.b_y, g.b_x, m.sky, sqrt((m.b_y - g.b_y) ** 2 + (m.b_x - g.b_x) ** 2) AS d, row_number() OVER (PARTITION BY g.obj_id, g.band, g.b_y, g.b_x ORDER BY (m.b_y - g.b_y) ** 2 + (m.b_x - g.b_x) ** 2, m.b_y, m.b_x) AS k
+  FROM gb g JOIN {boxes} m USING (obj_id, band)),
+fb AS (SELECT obj_id, band, b_y, b_x, CASE WHEN min(d) = 0 THEN max(sky) FILTER (d = 0) ELSE sum(sky / d) FILTER (d > 0) / sum(1 / d) FILTER (d > 0) END AS sky FROM nb WHERE k <= 10 GROUP BY ALL)"""
+
+
+BOX_SQL = clip_sql("bb", "obj_id, band, b_y, b_x", "flux", "(SELECT *, y // 10 AS b_y, x // 10 AS b_x FROM pixels)") + ",\n" + fill_sql("bb")
 
 
 @query("r40_box_background", with_sql(PIXELS_SQL, BOX_SQL, body="""
-SELECT a.obj_id, a.band, CAST(a.b_y AS INTEGER) AS box_y, CAST(a.b_x AS INTEGER) AS box_x, round(median(b.sky), 7) AS level FROM bb a JOIN bb b ON a.obj_id = b.obj_id AND a.band = b.band AND abs(a.b_y - b.b_y) <= 1 AND abs(a.b_x - b.b_x) <= 1 GROUP BY ALL"""))
+SELECT a.obj_id, a.band, CAST(a.b_y AS INTEGER) AS box_y, CAST(a.b_x AS INTEGER) AS box_x, round(median(b.sky), 7) AS level FROM fb a JOIN fb b ON a.obj_id = b.obj_id AND a.band = b.band AND abs(a.b_y - b.b_y) <= 1 AND abs(a.b_x - b.b_x) <= 1 GROUP BY ALL"""))
 def _(t: Tables):
     return SK.box_background(pixels(t), SIDE, 10).withColumn("level", F.round("level", 7)).withColumnsRenamed({"by": "box_y", "bx": "box_x"})
 
 
 # Boxes inside the masked disc are filled from the others; the spline's coefficients come from an elimination.
-MESH_SQL = clip_sql("mb", "obj_id, band, b_y, b_x", "CASE WHEN NOT masked THEN flux END", "(SELECT * FROM (SELECT *, avg(masked::INT) OVER (PARTITION BY obj_id, band, b_y, b_x) AS share FROM (SELECT *, y // 10 AS b_y, x // 10 AS b_x, sqrt((y - 19.5) * (y - 19.5) + (x - 19.5) * (x - 19.5)) <= 10 AS masked FROM pixels)) WHERE share <= 0.5)") + """,
-gb AS (SELECT i.obj_id, i.band, a.b AS b_y, c.b AS b_x FROM (SELECT DISTINCT obj_id, band FROM pixels) i, range(0, 4) a(b), range(0, 4) c(b)),
-nb AS (SELECT g.obj_id, g.band, g.b_y, g.b_x, m.sky, sqrt((m.b_y - g.b_y) ** 2 + (m.b_x - g.b_x) ** 2) AS d, row_number() OVER (PARTITION BY g.obj_id, g.band, g.b_y, g.b_x ORDER BY (m.b_y - g.b_y) ** 2 + (m.b_x - g.b_x) ** 2, m.b_y, m.b_x) AS k
-  FROM gb g JOIN mb m USING (obj_id, band)),
-fb AS (SELECT obj_id, band, b_y, b_x, CASE WHEN min(d) = 0 THEN max(sky) FILTER (d = 0) ELSE sum(sky / d) FILTER (d > 0) / sum(1 / d) FILTER (d > 0) END AS sky FROM nb WHERE k <= 10 GROUP BY ALL),
+MESH_SQL = clip_sql("mb", "obj_id, band, b_y, b_x", "CASE WHEN NOT masked THEN flux END", "(SELECT * FROM (SELECT *, avg(masked::INT) OVER (PARTITION BY obj_id, band, b_y, b_x) AS share FROM (SELECT *, y // 10 AS b_y, x // 10 AS b_x, sqrt((y - 19.5) * (y - 19.5) + (x - 19.5) * (x - 19.5)) <= 10 AS masked FROM pixels)) WHERE share <= 0.5)") + ",\n" + fill_sql("mb") + """,
 lv AS (SELECT a.obj_id, a.band, a.b_y, a.b_x, median(b.sky) AS level FROM fb a JOIN fb b ON a.obj_id = b.obj_id AND a.band = b.band AND abs(a.b_y - b.b_y) <= 1 AND abs(a.b_x - b.b_x) <= 1 GROUP BY ALL),
 el AS (SELECT 1 AS k, [[5, 1, 0, 0, 6, 0, 0, 0], [1, 4, 1, 0, 0, 6, 0, 0], [0, 1, 4, 1, 0, 0, 6, 0], [0, 0, 1, 5, 0, 0, 0, 6]]::DOUBLE[][] AS a UNION ALL
   SELECT k + 1, list_transform(a, lambda row, r: CASE WHEN r = k THEN list_transform(row, lambda v: v / a[k][k]) ELSE list_transform(row, lambda v, c: v - row[k] * a[k][c] / a[k][k]) END) FROM el WHERE k <= 4),
@@ -578,9 +591,9 @@ sb AS (SELECT obj_id, band, wy.p AS y, wx.p AS x, greatest(min(lo), least(max(hi
 @query("r40_smooth_background", with_sql(PIXELS_SQL, MESH_SQL, body="""
 SELECT obj_id, band, count(v) AS n_px, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(sum(v * (y - x)), 4) AS tilt FROM sb GROUP BY ALL""").replace("WITH", "WITH RECURSIVE", 1))
 def _(t: Tables):
-    """The middle of each image is masked, so that its boxes are dropped and filled."""
+    """The middle of each image is masked, so that its boxes are dropped and filled; the whole frame of an image gets a background."""
     px = PX.with_radius(pixels(t), SIDE)
-    d = SK.smooth_background(px, SK.box_background(px, SIDE, 10, F.col("r") <= 10), 10, SIDE)
+    d = SK.smooth_background(PX.frame(px, SIDE), SK.box_background(px, SIDE, 10, F.col("r") <= 10), 10, SIDE)
     return d.groupBy(*K).agg(F.count("background").alias("n_px"), r6(F.min("background")).alias("min"), r6(F.max("background")).alias("max"), r6(F.avg("background")).alias("mean"),
                              F.round(F.sum(F.col("background") * (F.col("y") - F.col("x"))), 4).alias("tilt"))
 

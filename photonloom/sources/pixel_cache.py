@@ -22,12 +22,14 @@ from photonloom.sources.sinks import guarded_write
 
 @dataclass(frozen=True)
 class CubeLayout:
-    """Row-major arrays of side x side in every band, of which the central crop x crop are stored as `storage`."""
+    """Row-major arrays of side x side in every band, of which the central crop x crop are stored as `storage`. With `gaps`, NULL is a pixel
+    that the image lacks; it stays NULL and counts neither as a zero nor as a failure."""
 
     side: int
     crop: int
     bands: tuple[str, ...] = ("g", "r", "z")
     storage: str = "float"
+    gaps: bool = False
 
     @property
     def schema(self) -> str:
@@ -46,13 +48,14 @@ def reading_fault(layout: CubeLayout) -> Column:
     for b in layout.bands:
         fault = fault.when(F.coalesce(F.size(b), F.lit(0)) != layout.side ** 2, f"size of {b}")
     for b in layout.bands:
-        bad = F.exists(centre(F.col(b), layout), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+        bad = F.exists(centre(F.col(b), layout), lambda v: (F.lit(False) if layout.gaps else v.isNull()) | F.coalesce(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(False)))
         fault = fault.when(bad, f"values of {b} not finite")
     return fault
 
 
 def zero_share(c: Column) -> Column:
-    return F.size(F.filter(c, lambda v: v == 0)) / F.size(c)
+    """Of the pixels that the array has."""
+    return F.size(F.filter(c, lambda v: v == 0)) / F.nullif(F.size(F.filter(c, lambda v: v.isNotNull())), F.lit(0))
 
 
 def prepared(cubes: DataFrame, layout: CubeLayout, variant: Variant) -> DataFrame:
@@ -65,7 +68,7 @@ def prepared(cubes: DataFrame, layout: CubeLayout, variant: Variant) -> DataFram
           .select("obj_id", "band", F.expr(f"int(p div {n})").alias("y"), F.expr(f"int(p % {n})").alias("x"), "flux", F.col("flux").alias("_before")))
     done = variant.apply(px)
     cell = lambda b: F.when(F.col("band") == b, F.struct("y", "x", F.col("flux").cast("double").alias("after"), "_before"))
-    d = done.groupBy("obj_id").agg(F.bool_or("failed").alias("fallback"), *[F.array_sort(F.collect_list(cell(b))).alias(b) for b in layout.bands])
+    d = done.groupBy("obj_id").agg(F.coalesce(F.bool_or(F.when(F.col("_before").isNotNull(), F.col("failed")) if layout.gaps else F.col("failed")), F.lit(False)).alias("fallback"), *[F.array_sort(F.collect_list(cell(b))).alias(b) for b in layout.bands])
     values = {b: F.when(F.col("fallback"), F.transform(b, lambda s: s["_before"])).otherwise(F.transform(b, lambda s: s["after"])) for b in layout.bands}
     return d.select("obj_id", *[v.alias(b) for b, v in values.items()], "fallback")
 
