@@ -103,6 +103,8 @@ family_mean AS (
 
 # --- images: 25 consecutive embeddings (8 x 8) tile one 40 x 40 image; three bands add a disc, a neighbour and the sky -----
 SIDE = 40
+#: Images of one task. Their arrays are small, the rows exploded from them are not.
+IMAGES_PER_TASK = 100
 PIXELS_SQL = """tiles AS (
   SELECT vec_id // 25 AS obj_id, (vec_id % 25) // 5 AS ty, vec_id % 5 AS tx, unnest(range(1, 65)) AS p, unnest(embedding) AS e, label
   FROM embeddings),
@@ -121,9 +123,10 @@ pixels AS (
 
 def images(t: Tables) -> DataFrame:
     """(obj_id, ty, tx, embedding): the tiles of an image share a partition, so pixel rows need no further shuffle."""
+    tasks = max(t.spark.sparkContext.defaultParallelism, -(-t.embeddings.count() // (25 * IMAGES_PER_TASK)))
     return (t.embeddings.select(F.expr("vec_id div 25").alias("obj_id"), F.expr("int((vec_id % 25) div 5)").alias("ty"),
                                 F.expr("int(vec_id % 5)").alias("tx"), "embedding")
-            .repartition("obj_id"))
+            .repartition(tasks, "obj_id"))
 
 
 def pixels(t: Tables) -> DataFrame:

@@ -28,6 +28,8 @@ def query(name: str, sql: str | None = None):
 
 
 _READERS: dict[tuple, DataFrame] = {}
+#: Rows of a table that one task starts from.
+ROWS_PER_TASK = 250_000
 
 
 class Tables:
@@ -48,8 +50,8 @@ class Tables:
         return _READERS[key]
 
     def spread(self, name: str, *columns: str) -> DataFrame:
-        """The named columns, over at least as many partitions as there are cores: one small file would otherwise be one
-        task. A scan that is already wide is left alone."""
+        """The named columns, over at least as many partitions as there are cores, and so many that each has at most
+        ROWS_PER_TASK rows: a scan's tasks are cut by bytes, and every row becomes many. A scan that is already wide is left alone."""
         df = getattr(self, name).select(*columns)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-getattr(self, name).count() // ROWS_PER_TASK))
+        return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df

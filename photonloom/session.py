@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 #: Settings applied when the session leaves them at Spark's default. Joins on (obj_id, y, x) may reuse a layout hashed on
 #: obj_id alone, so pixel tables are shuffled once per job and not once per join. The size of a scan says nothing about a table whose
-#: rows are exploded, so no join is broadcast by that estimate, only by measured sizes or a hint.
+#: rows are exploded, so no join is broadcast by that estimate, only by measured sizes or a hint. Shuffles are cut fine and put together
+#: up to a size, so that what one task reads stays the same on larger tables.
 RUNTIME_DEFAULTS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1024",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
 }
