@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from photonloom.functions.scalars import col
-from photonloom.session import cut_lineage, small
+from photonloom.session import cut_lineage, kept_rows, small
 
 #: Accuracy of the sketches: their ranks are off by at most a share of 1 / SKETCH of the group.
 SKETCH = 10_000
@@ -116,18 +116,22 @@ def _read_ranks(t: DataFrame, keys: list[str], probs: dict[str, float]) -> tuple
     return t.groupBy(*keys).agg(*aggs), cols
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, probs: dict[str, float], weight: Column | str | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles; one output column per entry of `probs`. Weighted rows are ordered as a whole."""
+def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, probs: dict[str, float], weight: Column | str | None = None, kept: bool = False) -> DataFrame:
+    """Exact linear-interpolation quantiles; one output column per entry of `probs`. Weighted rows are ordered as a whole. The rows are
+    read several times, so they are materialized unless they are `kept` already."""
     if weight is not None:
         found, cols = _read_ranks(ordered(value_counts(df, keys, value, weight), keys).withColumnsRenamed({c: f"_{c}" for c in ("value", "n_at", "n_before", "n_total")}).withColumn("_exact", F.lit(True)), list(keys), probs)
         return found.select(*keys, *cols)
-    return _selected(cut_lineage(df.select(*keys, col(value).alias("_x")).where("_x is not null")), list(keys), probs)
+    d = df.select(*keys, col(value).alias("_x")).where("_x is not null")
+    return _selected(d if kept else kept_rows(d), list(keys), probs)
 
 
-def median_and_mad(df: DataFrame, keys: Sequence[str], value: Column | str, outlier_factor: float | None = 3.0) -> DataFrame:
-    """(keys, med, nmad[, outlier_frac]) of a column: 1.4826 MAD about the median and the share beyond `outlier_factor` times it."""
+def median_and_mad(df: DataFrame, keys: Sequence[str], value: Column | str, outlier_factor: float | None = 3.0, kept: bool = False) -> DataFrame:
+    """(keys, med, nmad[, outlier_frac]) of a column: 1.4826 MAD about the median and the share beyond `outlier_factor` times it. The rows
+    are materialized unless they are `kept` already."""
     keys = list(keys)
-    d = cut_lineage(df.select(*keys, col(value).alias("_x")).where("_x is not null"))
+    d = df.select(*keys, col(value).alias("_x")).where("_x is not null")
+    d = d if kept else kept_rows(d)
     med = small(_selected(d, keys, {"med": 0.5}))
     dev = null_safe_join(d, med, keys).select(*keys, F.abs(F.col("_x") - F.col("med")).alias("_x"))
     mad = small(_selected(dev, keys, {"mad": 0.5}).select(*keys, (1.4826 * F.col("mad")).alias("nmad")))
@@ -139,20 +143,20 @@ def median_and_mad(df: DataFrame, keys: Sequence[str], value: Column | str, outl
 
 def spearman(df: DataFrame, keys: Sequence[str], a: Column | str, b: Column | str) -> DataFrame:
     """(keys, spearman): Pearson correlation of average ranks. Both columns are ordered in one layout (`part` tells them apart);
-    pairs meet their ranks by value, equal pairs as one row."""
+    pairs meet their ranks by value, equal pairs as one row. A number stands for the keys of a group."""
     keys = list(keys)
-    pairs = cut_lineage(df.select(*keys, col(a).cast("double").alias("_a"), col(b).cast("double").alias("_b")).where("_a is not null and _b is not null")
-                        .groupBy(*keys, "_a", "_b").agg(F.count("*").alias("_n")))
+    df = df.select(*keys, col(a).cast("double").alias("_a"), col(b).cast("double").alias("_b")).where("_a is not null and _b is not null")
+    groups = small(df.select(*keys).distinct().coalesce(1).withColumn("_g", F.monotonically_increasing_id()))
+    pairs = kept_rows(null_safe_join(df, groups, keys).groupBy("_g", "_a", "_b").agg(F.count("*").alias("_n")))
     parts = F.array(*[F.struct(F.lit(n).alias("part"), F.col(n).alias("v")) for n in ("_a", "_b")])
-    both = pairs.select(*keys, "_n", F.explode(parts).alias("s")).select(*keys, "_n", "s.part", "s.v")
-    table = ordered(value_counts(both, [*keys, "part"], "v", "_n"), [*keys, "part"])
+    both = pairs.select("_g", "_n", F.explode(parts).alias("s")).select("_g", "_n", "s.part", "s.v")
+    table = ordered(value_counts(both, ["_g", "part"], "v", "_n"), ["_g", "part"])
     rank = average_rank() - (F.col("n_total") + 1) / 2
-    of = {n: table.where(F.col("part") == n).select(*keys, F.col("value").alias(n), rank.alias(f"r{n}")) for n in ("_a", "_b")}
-    joined = null_safe_join(null_safe_join(pairs, of["_a"], [*keys, "_a"]), of["_b"], [*keys, "_b"])
+    of = {n: table.where(F.col("part") == n).select("_g", F.col("value").alias(n), rank.alias(f"r{n}")) for n in ("_a", "_b")}
+    joined = pairs.join(of["_a"], ["_g", "_a"]).join(of["_b"], ["_g", "_b"])
     n, ra, rb = F.col("_n"), F.col("r_a"), F.col("r_b")
-    return (joined.groupBy(*keys)
-            .agg(F.sum(n * ra * rb).alias("_ab"), F.sum(n * ra * ra).alias("_aa"), F.sum(n * rb * rb).alias("_bb"))
-            .select(*keys, (F.col("_ab") / F.nullif(F.sqrt(F.col("_aa") * F.col("_bb")), F.lit(0.0))).alias("spearman")))
+    sums = joined.groupBy("_g").agg(F.sum(n * ra * rb).alias("_ab"), F.sum(n * ra * ra).alias("_aa"), F.sum(n * rb * rb).alias("_bb"))
+    return groups.join(sums, "_g").select(*keys, (F.col("_ab") / F.nullif(F.sqrt(F.col("_aa") * F.col("_bb")), F.lit(0.0))).alias("spearman"))
 
 
 def ks_statistic(df: DataFrame, keys: Sequence[str], sample: Column, value: Column | str) -> DataFrame:

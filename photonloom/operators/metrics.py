@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from photonloom.functions.scalars import col, finite, safe_div
 from photonloom.operators.distribution import median_and_mad, quantiles, spearman
-from photonloom.session import cut_lineage
+from photonloom.session import cut_lineage, kept_rows
 
 
 def residuals(df: DataFrame, keys: Sequence[str], y: Column | str = "y", p: Column | str = "pred", *extra: str) -> DataFrame:
@@ -34,8 +34,8 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], y="y", p="pred", cata
     """N, RMSE, MSE, MAE, R2, bias, NMAD, outlier share, residual slope, Pearson and Spearman. The base table is
     read once; all statistics come from the materialized residuals."""
     keys = list(keys)
-    d = cut_lineage(residuals(df, keys, y, p))
-    out = moments(d, keys, catastrophic).join(median_and_mad(d, keys, "r"), keys)
+    d = kept_rows(residuals(df, keys, y, p))
+    out = moments(d, keys, catastrophic).join(median_and_mad(d, keys, "r", kept=True), keys)
     return out.join(spearman(d, keys, "y", "p"), keys) if rank else out
 
 
@@ -68,11 +68,11 @@ def residual_summary(df: DataFrame, keys: Sequence[str], value: Column | str = "
     """N, mean, sample std, NMAD and quantiles of one column per group."""
     keys = list(keys)
     d = df.select(*keys, finite(value).alias("v")).where("v is not null")
+    d = kept_rows(d)
     base = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")) \
         .where(F.col("n") >= minimum)
-    d = cut_lineage(d)
-    out = base.join(median_and_mad(d, keys, "v", outlier_factor=None), keys)
-    return out.join(quantiles(d, keys, "v", probs), keys) if probs else out
+    out = base.join(median_and_mad(d, keys, "v", outlier_factor=None, kept=True), keys)
+    return out.join(quantiles(d, keys, "v", probs, kept=True), keys) if probs else out
 
 
 def column_audit(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

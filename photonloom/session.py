@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -91,6 +92,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def kept_rows(df: DataFrame) -> DataFrame:
+    """Materialize a table of many rows that is read several times, as Parquet in the shared folder: each pass reads the columns it needs.
+    Unlike `cut_lineage` this fixes the rows, not their partitions."""
+    sc = df.sparkSession.sparkContext
+    base = f"{shared_dir(df.sparkSession).rstrip('/')}/rows-{sc.applicationId}"
+    where = sc._jvm.org.apache.hadoop.fs.Path(base)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path = f"{base}/{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize a DataFrame in the shared folder; partition ids and contents are fixed from here on."""
     spark = df.sparkSession
