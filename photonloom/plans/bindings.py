@@ -153,9 +153,12 @@ def aligned(t: Tables) -> DataFrame:
 
 
 def family_mean(t: Tables) -> DataFrame:
-    """Mean over the seeds of a family."""
-    return (aligned(t).groupBy("obj_id", "split", "kind", "redshift", "target", "family")
-            .agg(F.max("y").alias("y"), F.round(F.avg("pred"), 6).alias("pred")))
+    """Mean over the seeds of a family. The targets are unpivoted afterwards: a third of the rows enter the groups."""
+    from photonloom.operators.alignment import align_members
+
+    wide = align_members(pred_wide(t).where("y_d4000 IS NOT NULL"), "obj_id", ["family", "seed"], n_members=len(MEMBERS))
+    means = [c for x in TARGETS for c in (F.max(f"y_{x}").alias(f"y_{x}"), F.round(F.avg(f"pred_{x}"), 6).alias(f"pred_{x}"))]
+    return to_long(wide.groupBy("obj_id", "split", "kind", "redshift", "family").agg(*means)).select("obj_id", "split", "kind", "redshift", "target", "family", "y", "pred")
 
 
 def scale_of(t: Tables) -> DataFrame:

@@ -14,7 +14,7 @@ from photonloom.plans.bindings import ALIGNED_SQL, FAMILIES, OBJECTS_SQL, PRED_S
 from photonloom.plans.metric_queries import rounded
 from photonloom.plans.registry import Tables, query
 from photonloom.plans.split_queries import h_sql
-from photonloom.session import cut_lineage
+from photonloom.session import cut_lineage, kept_rows
 
 ALIGNED = [PRED_SQL, ALIGNED_SQL]
 N_BOOT = 1000
@@ -112,8 +112,8 @@ def _(t: Tables):
 LOSS_SQL = "loss AS (SELECT obj_id, split, family, avg(((pred - y) / sigma) * ((pred - y) / sigma)) AS loss FROM family_mean JOIN scale USING (target) GROUP BY ALL)"
 
 
-def losses(t: Tables):
-    return M.object_loss(family_mean(t), scale_of(t), ["obj_id", "split", "family"])
+def losses(t: Tables, means=None):
+    return M.object_loss(family_mean(t) if means is None else means, scale_of(t), ["obj_id", "split", "family"])
 
 
 @query("a33_criterion_difference", with_sql(*ALIGNED, SCALE_SQL, LOSS_SQL, "diff AS (SELECT obj_id, split, " + ", ".join(f"max(loss) FILTER (family = '{b}') - max(loss) FILTER (family = '{a}') AS d_{a}_{b}" for a, b in PAIRS) + " FROM loss GROUP BY ALL)",
@@ -184,9 +184,9 @@ cx(family, complexity) AS (VALUES ('conv', 1), ('eff', 2), ('vit', 3)),
 t AS (SELECT split, family, best, criterion, difference, std_error, complexity, family = best OR difference <= std_error AS "within" FROM m JOIN best USING (split) JOIN dif USING (split, family) JOIN cx USING (family))"""
 
 
-def one_se(t: Tables):
+def one_se(t: Tables, means=None):
     cx = t.spark.createDataFrame(list(COMPLEXITY.items()), "family string, complexity int")
-    return R.one_standard_error(losses(t), ["split"], "family", "obj_id", cx)
+    return R.one_standard_error(losses(t, means), ["split"], "family", "obj_id", cx)
 
 
 @query("a38_one_standard_error", with_sql(*ALIGNED, SCALE_SQL, LOSS_SQL, ONE_SE_SQL, body="""
@@ -229,8 +229,8 @@ def sigma_of(t: Tables) -> dict[str, float]:
     return row.asDict()
 
 
-def blend_weights(t: Tables, regularization: float = 0.01):
-    rows = E.member_rows(family_mean(t).where("split <> 'Test'"), "obj_id")
+def blend_weights(t: Tables, regularization: float = 0.01, means=None):
+    rows = E.member_rows((family_mean(t) if means is None else means).where("split <> 'Test'"), "obj_id")
     return E.convex_weights(E.residual_gram(rows, []), sigma_of(t), regularization)
 
 
@@ -282,8 +282,9 @@ SELECT split, target, count(DISTINCT obj_id) AS n, round(sum(w * (pred - y) * (p
 FROM wm JOIN en USING (obj_id, target) JOIN scale USING (target) GROUP BY split, target"""))
 def _(t: Tables):
     """With the weights of the convex blend."""
-    members, w = blend_weights(t)
-    d = E.ambiguity(family_mean(t), ["split"], "obj_id", E.weights_table(t.spark, w, members), scale_of(t))
+    means = kept_rows(family_mean(t))
+    members, w = blend_weights(t, means=means)
+    d = E.ambiguity(means, ["split"], "obj_id", E.weights_table(t.spark, w, members), scale_of(t))
     return d.select("split", "target", "n", *[F.round(c, 5).alias(c) for c in ("member_error", "ambiguity", "ensemble_error")])
 
 
@@ -325,8 +326,9 @@ def _(t: Tables):
     from photonloom.plans.cohort_queries import fresh_path
 
     path, root = fresh_path(t, "register")
-    chosen = one_se(t).where("split = 'Validation' AND chosen").first()["family"]
-    preds = family_mean(t).where((F.col("family") == chosen) & (F.col("split") == "Validation")).select("obj_id", "target", "pred")
+    means = kept_rows(family_mean(t))
+    chosen = one_se(t, means).where("split = 'Validation' AND chosen").first()["family"]
+    preds = means.where((F.col("family") == chosen) & (F.col("split") == "Validation")).select("obj_id", "target", "pred")
     reg = ChoiceRegister(t.spark, path, root)
     first = reg.register(chosen, preds, ["obj_id", "target"], "pred")
     second = reg.register("other", preds.withColumn("pred", F.col("pred") + 0.001), ["obj_id", "target"], "pred")
