@@ -14,7 +14,7 @@ from photonloom.plans.bindings import OBJECTS_SQL, PRED_SQL, objects, pred_wide,
 from photonloom.plans.metric_queries import rounded
 from photonloom.plans.registry import Tables, query
 from photonloom.plans.split_queries import h_sql
-from photonloom.session import cut_lineage
+from photonloom.session import kept_rows
 
 
 @query("f01_stretches", """WITH x AS (SELECT l_returnflag, l_linestatus, least(1.0, greatest(0.0, (l_quantity - 3) / 40)) AS v FROM lineitem)
@@ -207,13 +207,17 @@ def _(t: Tables):
     from photonloom.operators.splits import random_split
 
     sets = {"A": ["log_mstar"], "B": ["log_mstar", "log_sfr"], "C": ["log_mstar", "redshift"], "D": ["log_mstar", "log_sfr", "redshift"]}
-    base = cut_lineage(objects(t).where("d4000 IS NOT NULL AND redshift > 0").select("obj_id", "split", "log_mstar", "log_sfr", "redshift", "d4000"))
-    out = None
+    base = objects(t).where("d4000 IS NOT NULL AND redshift > 0").select("obj_id", "split", "log_mstar", "log_sfr", "redshift", "d4000")
+    train = base.where("split = 'Train'").select("obj_id")
+    # The fits read one table that has a flag per seed, and join nothing.
+    for seed in (1, 2):
+        part = random_split(train, "obj_id", 0.85, seed).groupBy("obj_id").agg(F.max("in_train").alias(f"train_{seed}"))
+        base = base.join(part, "obj_id", "left")
+    base, out = kept_rows(base), None
     for seed in (1, 2):
-        part = random_split(base.where("split = 'Train'").select("obj_id"), "obj_id", 0.85, seed).where("in_train")
         for name, cols in sets.items():
             d = MD.assemble(base, cols)
-            m = MD.ridge(d.join(part, "obj_id", "left_semi"), "features", "d4000", 1.0)
+            m = MD.ridge(d.where(f"train_{seed}"), "features", "d4000", 1.0)
             e = F.col("prediction") - F.col("d4000")
             row = (m.transform(d.where("split = 'Validation'")).agg(F.count("*").alias("n"), r6(F.sqrt(F.avg(e * e))).alias("rmse"))
                    .select(F.lit(name).alias("feature_set"), F.lit(seed).alias("seed"), "n", "rmse"))
