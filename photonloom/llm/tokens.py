@@ -9,6 +9,7 @@ white space is one word, encoded as it is. The results are those of the tokenize
 
 from __future__ import annotations
 
+import ctypes
 import os
 
 import numpy as np
@@ -16,10 +17,14 @@ import pyarrow as pa
 
 #: Words, and pieces of words, that a worker remembers before it forgets those that it met in one batch only, then the rarer
 #: half; results don't depend on it.
-MAX_WORDS, MAX_PIECES = 600_000, 600_000
+MAX_WORDS, MAX_PIECES = 300_000, 300_000
+#: Texts that are encoded at once: what a batch needs beside the known words is that of so many texts.
+TEXTS = 500
 #: Letters below this code point are classed alike by Python and by the tokenizer; other words go to the tokenizer whole.
 PLAIN_BELOW = 0x250
 _ENCODERS: dict[str, "Encoder"] = {}
+#: Of the C library, where it has such a function.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -28,6 +33,14 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A worker is reused and waits while the JVM works; without this it holds on to about as much
+    as the words it knows."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 class _Known:
     """Numbered keys with a list of ids each, and how often each was asked for."""
 
@@ -139,8 +152,14 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text; a null text has none."""
+        texts = pa.array(texts)
+        parts = [self._encode_part(texts.slice(at, TEXTS)) for at in range(0, max(1, len(texts)), TEXTS)]
+        give_back()
+        return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _encode_part(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         self.words, self.pieces = self.words.forget(MAX_WORDS), self.pieces.forget(MAX_PIECES)
-        texts = pa.array(texts).fill_null("").cast(pa.binary())
+        texts = texts.fill_null("").cast(pa.binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
         if offsets[-1] == offsets[0]:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)

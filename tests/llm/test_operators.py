@@ -4,7 +4,10 @@ import collections
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from photonloom.llm import decontaminate, lines, neighbours, orc_tokens, packing, pii, quality, sharding, simhash, substrings
+from photonloom.llm import decontaminate, lines, neighbours, orc_tokens, packing, pii, quality, sharding, simhash, substrings, tokens
 from photonloom.llm.common import prefix_sums, stored, tokenizer_path
 from photonloom.llm.components import roots
 from photonloom.llm.tokens import Encoder
@@ -360,3 +363,33 @@ def test_proximity(spark):
     terms = windows.selectExpr("explode(words) word").distinct().selectExpr("word", "xxhash64(word) term")
     got = decontaminate.near(decontaminate.build_index(docs, terms), windows, terms, 8).collect()
     assert {r.doc_id for r in got} == {1}
+
+
+def test_encoder_in_parts_equals_the_tokenizer(plain, texts, monkeypatch):
+    """Neither the cut of a batch nor what a worker forgets changes the ids."""
+    monkeypatch.setattr(tokens, "TEXTS", 7)
+    monkeypatch.setattr(tokens, "MAX_WORDS", 50)
+    monkeypatch.setattr(tokens, "MAX_PIECES", 50)
+    every = [*ODD, *list(texts.values())[:60]]
+    flat, n = Encoder(tokenizer_path()).encode(pa.array(every).slice(1))
+    assert flat.tolist() == [i for t in every[1:] for i in plain.encode(t or "", add_special_tokens=False).ids] and len(n) == len(every) - 1
+    assert [len(x) for x in Encoder(tokenizer_path()).encode(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_an_encoding_worker_stays_small():
+    """A worker that has met 600,000 words keeps less than 200 MB of them, in use or freed: it is reused and waits beside the JVM's own stages."""
+    run = """
+import random, re, sys
+import pyarrow as pa
+from photonloom.llm.common import tokenizer_path
+from photonloom.llm.tokens import Encoder
+held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+e, rng = Encoder.get(tokenizer_path()), random.Random(5)
+e.encode(pa.array(["one two"]))
+before = held()
+for _ in range(6):
+    e.encode(pa.array([" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(100)) for _ in range(1000)]))
+print(held() - before)
+"""
+    got = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(got.stdout) < 200
