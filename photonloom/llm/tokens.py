@@ -2,15 +2,18 @@
 
 Texts of natural language repeat their words. The tokenizer cuts a text into pieces first and encodes each piece alone;
 a piece never holds a non-space character before a space, so a text can be cut before each space that has no other white
-space beside it, and the ids of a text are those of its words in order. A batch's distinct words are found by Arrow's
-dictionary encoding, a worker remembers words and pieces up to a bound and forgets rare ones first, and ids are gathered with numpy. A text with mixed
-white space is one word, encoded as it is. The results are those of the tokenizer on the whole text.
+space beside it, and the ids of a text are those of its words in order. Pieces also end where a letter meets a digit or a mark, and on both sides of
+a single line end, so that a word is found again whatever stands behind it. A batch's distinct words are found by Arrow's
+dictionary encoding, a worker remembers words and pieces up to a bound and forgets rare ones first, and ids are gathered with numpy. New words of letters
+alone are pieces already; only the others are cut one by one. A text with mixed white space is one word, encoded as it is. The results are those of the
+tokenizer on the whole text.
 """
 
 from __future__ import annotations
 
 import ctypes
 import os
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,12 @@ MAX_WORDS, MAX_PIECES = 300_000, 300_000
 TEXTS = 500
 #: Letters below this code point are classed alike by Python and by the tokenizer; other words go to the tokenizer whole.
 PLAIN_BELOW = 0x250
+#: Of each byte: an ASCII letter, another visible ASCII character, the lead of a letter of two bytes below U+0240.
+LETTER, MARK, LEAD = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = MARK
+_KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+_KIND[0xC3:0xC9] = LEAD
 _ENCODERS: dict[str, "Encoder"] = {}
 #: Of the C library, where it has such a function.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -94,8 +103,9 @@ class Encoder:
         self.pieces_only.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")  # pieces are given in byte letters, one a line
         self.letters = _byte_letters()
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.mark = self.letters[10]
-        self.mark_id = self.pieces_only.encode(self.mark, add_special_tokens=False).ids[0]
+        vocabulary = self.pieces_only.get_vocab(with_added_tokens=False)
+        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte letter each
+        self.id_bytes[list(vocabulary.values())] = list(map(len, vocabulary))
         self.words, self.pieces = _Known(), _Known()
 
     @staticmethod
@@ -115,20 +125,39 @@ class Encoder:
             return [word[:-1], word[-1]]
         return self.pattern.findall(word)
 
+    def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces without line ends, and each one's length; the bytes of the ids tell where a piece ends."""
+        letters = b"\n".join(pieces).decode("latin-1").translate(self.letters | {10: "\n"})
+        ids = np.array(self.pieces_only.encode_batch_fast([letters], add_special_tokens=False)[0].ids, np.int32)
+        upto = np.cumsum(self.id_bytes[ids])
+        ends = np.searchsorted(upto, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))) + 1
+        return ids, np.diff(ends, prepend=0)
+
     def _learn_pieces(self, new: list[str]) -> None:
         plain = [p for p in new if "\n" not in p and (p.isascii() or max(map(ord, p)) < PLAIN_BELOW)]
         if plain:
-            letters = "\n".join(plain).encode().decode("latin-1").translate(self.letters | {10: f"\n{self.mark}\n"})
-            ids = np.array(self.pieces_only.encode_batch_fast([letters], add_special_tokens=False)[0].ids, np.int32)
-            is_mark = ids == self.mark_id
-            at = np.concatenate([[-1], np.flatnonzero(is_mark), [len(ids)]])
-            self.pieces.add(plain, ids[~is_mark], np.diff(at) - 1)
+            self.pieces.add(plain, *self._encode_pieces([p.encode() for p in plain]))
         if len(plain) < len(new):
             rest = [p for p in new if p not in self.pieces.number]
             got = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
             self.pieces.add(rest, np.array([i for ids in got for i in ids], np.int32), np.array([len(x) for x in got]))
 
     def _learn_words(self, new: list[bytes]) -> None:
+        """New words of letters alone, with a space before them or not, are single pieces; the others are cut first."""
+        lens = np.fromiter(map(len, new), np.int64, len(new))
+        data = np.frombuffer(b"".join(new), np.uint8)
+        starts = np.cumsum(lens) - lens
+        plain = self._letters(data) | (_KIND[data] == LEAD)  # a lead that no letter follows is found by the byte behind it
+        first = plain[starts] | (data[starts] == 32) & (lens > 1)
+        plain[starts] = first
+        alone = np.logical_and.reduceat(plain, starts)
+        if alone.any():
+            words = list(compress(new, alone))
+            self.words.add(words, *self._encode_pieces(words))
+        if not alone.all():
+            self._learn_mixed_words(list(compress(new, ~alone)))
+
+    def _learn_mixed_words(self, new: list[bytes]) -> None:
         cut = [self._cut(w.decode()) for w in new]
         flat = [p for ps in cut for p in ps]
         self._learn_pieces(list(dict.fromkeys(p for p in flat if p not in self.pieces.number)))
@@ -139,6 +168,26 @@ class Encoder:
         ends = upto[np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))]
         self.words.add(new, ids, np.diff(np.concatenate([[0], ends])))
 
+    @staticmethod
+    def _letters(data: np.ndarray) -> np.ndarray:
+        """Whether a letter ends at a byte: of ASCII, or of two bytes below U+0240."""
+        kind = _KIND[data]
+        ends = kind == LETTER
+        at = np.flatnonzero(kind[:-1] == LEAD) + 1
+        low = data[at]
+        ends[at] = ((low & 0xC0) == 0x80) & ~((data[at - 1] == 0xC3) & ((low == 0x97) | (low == 0xB7)))
+        return ends
+
+    @classmethod
+    def _borders(cls, data: np.ndarray) -> np.ndarray:
+        """Whether a piece begins at a byte that is no space: a mark or digit behind a letter, a single line end, what follows it."""
+        begins = np.zeros(len(data), bool)
+        begins[1:] = cls._letters(data)[:-1] & (_KIND[data[1:]] == MARK)
+        ends = np.flatnonzero(data[1:-1] == 10) + 1
+        ends = ends[(data[ends - 1] > 32) & (data[ends + 1] > 32)]
+        begins[ends] = begins[ends + 1] = True
+        return begins
+
     @staticmethod
     def _mixed(data: np.ndarray) -> np.ndarray:
         """Positions that show a text with white space beside a space, or with white space outside ASCII."""
@@ -165,17 +214,19 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
         offsets = offsets - offsets[0]
-        cut = data == 32
+        cut = (data == 32) | self._borders(data)
         for d in np.unique(np.searchsorted(offsets, self._mixed(data), "right") - 1):
             cut[offsets[d]:offsets[d + 1]] = False
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.append(np.flatnonzero(cut), len(data)).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
         known = self.words.number
-        if new := [w for w in distinct if w not in known]:
+        number = np.fromiter(map(known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(unknown := np.flatnonzero(number < 0)):
+            new = distinct[unknown].tolist()
             self._learn_words(new)
-        number = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+            number[unknown] = np.fromiter(map(known.__getitem__, new), np.int64, len(new))
         self.words.uses[number] += 1
         flat, lens = self.words.gather(number[coded.indices.to_numpy()])
         upto = np.concatenate([[0], np.cumsum(lens)])[np.searchsorted(starts[:-1], offsets, "left")]

@@ -376,6 +376,19 @@ def test_encoder_in_parts_equals_the_tokenizer(plain, texts, monkeypatch):
     assert [len(x) for x in Encoder(tokenizer_path()).encode(pa.array([], pa.string()))] == [0, 0]
 
 
+def test_encoder_cuts_where_letters_end(plain):
+    """A word is known once, whatever stands behind it, and the cuts change no id."""
+    e = Encoder(tokenizer_path())
+    e.encode(pa.array(["alpha alpha, alpha. alpha!! alpha&&& alpha7 alpha's alpha.\nalpha été été, été.\nété"]))
+    assert {w.decode() for w in e.words.number if "alpha" in w.decode() or "été" in w.decode()} == {"alpha", " alpha", " été", "été"}
+    rng, some = random.Random(8), ["a", "Zb", "é", "ß", "ǅ", "ɏ", "ʰ", "×", "÷", "́", "日", "'", "'s", "'ll", ".", "!!", "&&&", "-", "_", "7", "12", "²", "\n", "\r", "\t", "\0", "\x1c", "\x7f", " ", " ", "\u00a0", "\u0085", "\u2028", "<|endoftext|>"]
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 12))) for _ in range(6000)]
+    flat, n = e.encode(pa.array(texts))
+    ends = np.cumsum(n)
+    for text, ids in zip(texts, np.split(flat, ends[:-1])):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_an_encoding_worker_stays_small():
     """A worker that has met 600,000 words keeps less than 200 MB of them, in use or freed: it is reused and waits beside the JVM's own stages."""
     run = """
