@@ -284,8 +284,8 @@ WITH m AS (SELECT o_orderkey AS obj_id, l_linenumber, l_suppkey, coalesce(abs(o_
   FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey)
 SELECT obj_id, l_linenumber, l_suppkey, round(dist, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY dist, l_linenumber, l_suppkey) AS rn FROM m) WHERE rn = 1""")
 def _(t: Tables):
-    left = t.orders.selectExpr("o_orderkey AS obj_id", "o_totalprice / 10 AS a", "double(o_custkey) AS b")
-    right = t.lineitem.selectExpr("l_orderkey AS obj_id", "l_linenumber", "l_suppkey", "l_extendedprice AS ra", "double(l_partkey) AS rb")
+    left = t.orders.selectExpr("o_orderkey AS obj_id", "o_totalprice / 10 AS a", "o_custkey AS b")
+    right = t.lineitem.selectExpr("l_orderkey AS obj_id", "l_linenumber", "l_suppkey", "l_extendedprice AS ra", "l_partkey AS rb")
     out = C.closest_match(left, right, "obj_id", {"a": "ra", "b": "rb"}, ["l_linenumber", "l_suppkey"], ["l_linenumber", "l_suppkey"])
     return out.withColumn("dist", F.round("dist", 4))
 
