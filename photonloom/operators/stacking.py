@@ -213,7 +213,9 @@ def object_vectors(df: DataFrame, obj: str, lay: Layout, sigma: dict[str, float]
 
 
 def fold_cells(vectors: DataFrame, obj: str, outer: int, inner: int, repetitions: int, seed: int) -> DataFrame:
-    """Adds `cells`: per repetition outer fold x `inner` + inner fold, both of equal size."""
+    """Adds `cells`: per repetition outer fold x `inner` + inner fold, both of equal size. One fold needs no order."""
+    if outer * inner == 1:
+        return vectors.withColumn("cells", F.array_repeat(F.lit(0), repetitions))
     ids = vectors.select(obj, F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("repetition"))
     ranked = shuffled_rank(ids, obj, ["repetition"], seed, F.col("repetition"))
     cell = ((F.col("rank0") % outer) * inner + F.floor(F.col("rank0") / outer) % inner).cast("int")
@@ -257,7 +259,14 @@ class Moments:
 
     @classmethod
     def of(cls, vectors: DataFrame, obj: str, lay: Layout, outer: int, inner: int = 1, repetitions: int = 1, seed: int = 0) -> "Moments":
-        return cls(moment_cells(fold_cells(cut_lineage(vectors), obj, outer, inner, repetitions, seed), lay), lay, outer, inner)
+        read_again = outer * inner > 1  # the folds are ranked on the rows before they are added to them
+        return cls(moment_cells(fold_cells(cut_lineage(vectors) if read_again else vectors, obj, outer, inner, repetitions, seed), lay), lay, outer, inner)
+
+    @classmethod
+    def by_value(cls, vectors: DataFrame, lay: Layout, column: str, values: Sequence[str]) -> "Moments":
+        """A cell per value of a column, in the order of `values`, instead of folds; rows with another value are left out."""
+        cell = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)).cast("int") - 1
+        return cls(moment_cells(vectors.withColumn("cells", F.array(cell)).where("cells[0] >= 0"), lay), lay, len(values), 1)
 
     @property
     def repetitions(self) -> list[int]:
@@ -317,6 +326,16 @@ def nested_summary(rows: Sequence[dict]) -> list[dict]:
     return [{"repetition": k, "criterion": v, "mean": float(np.mean(values)), "std": std} for k, v in zip(reps, values)]
 
 
+def errors_by_value(m: Moments, w: np.ndarray, sigma: dict[str, float], values: Sequence[str]) -> list[tuple[str, str, int, float]]:
+    """(value, target, n, rmse) of the predictions of a fit's weights on the rows of each value, in the targets' own units."""
+    out = []
+    for (_, cell), s in sorted(m.cells.items()):
+        n = float(s[0, 0])
+        mse = np.maximum(squared_error(w, s, m.layout), 0) / n
+        out += [(values[cell], t, int(round(n)), float(np.sqrt(mse[j]) * sigma[t])) for j, t in enumerate(m.layout.targets)]
+    return out
+
+
 # --- predictions, and the family that is fitted on rows --------------------------------------------------------------------------
 def predicted(vectors: DataFrame, w: np.ndarray, lay: Layout, sigma: dict[str, float], *keep: str) -> DataFrame:
     """(keep..., target, y, pred) in the target's own units, from a fit's weights."""

@@ -15,6 +15,7 @@ from photonloom.plans.split_queries import h_sql
 LAYOUT = K.Layout(FAMILIES, TARGETS)
 SIZE, M, J = LAYOUT.size, len(FAMILIES), len(TARGETS)
 OUTER, INNER, REPETITIONS = 5, 4, 3
+SPLITS = ("Train", "Validation", "Test")
 
 #: A candidate table as a user would keep it: one row per configuration.
 CANDIDATE_ROWS = [{"kind": "uniform"}] + [{"kind": "convex", "regularization": r, "scope": s} for r in (0.0, 0.01, 1.0) for s in ("target", "global")] \
@@ -32,6 +33,13 @@ def vectors(t: Tables, rows: str, *keep: str):
     return K.object_vectors(family_mean(t).where(rows), "obj_id", LAYOUT, sigma_of(t), "redshift", *keep)
 
 
+def moments_by_split(t: Tables):
+    """The moments of every split, their sum outside the test split, and sigma: one pass, whatever is fitted and scored from them."""
+    sigma = sigma_of(t)
+    m = K.Moments.by_value(K.object_vectors(family_mean(t), "obj_id", LAYOUT, sigma, "redshift", "split"), LAYOUT, "split", SPLITS)
+    return m, m.sum(lambda r, o, i: SPLITS[o] != "Test"), sigma
+
+
 # --- the independent statement: normal equations solved by elimination, active sets by trying every support -------------------
 def _cell(target: str, value: str, family: str | None = None) -> str:
     return f"(max({value}) FILTER (target = '{target}'" + (f" AND family = '{family}'" if family else "") + f") / max(sigma) FILTER (target = '{target}'))"
@@ -154,15 +162,13 @@ SELECT CASE candidate WHEN 0 THEN 'linear' ELSE 'elastic' END AS kind, target, s
 FROM applied JOIN weights USING (candidate, j) JOIN names USING (j)"""))
 def _(t: Tables):
     """Non-negative linear and elastic-net stacking: coefficients, intercept, and the error of the predictions in every split."""
-    v, sigma = vectors(t, "true", "split"), sigma_of(t)
-    s = K.Moments.of(v.where("split <> 'Test'"), "obj_id", LAYOUT, 1).sum(lambda r, o, i: True)
-    e, out = F.col("pred") - F.col("y"), None
+    m, s, sigma = moments_by_split(t)
+    rows = []
     for kind, row in zip(("linear", "elastic"), E05_ROWS):
         w = K.fitted(K.Candidate(**row), s, LAYOUT)
-        coefficients = t.spark.createDataFrame([(kind, x, float(w[j, 0] * sigma[x]), *[float(w[j, i]) for i in LAYOUT.predictions(j)]) for j, x in enumerate(TARGETS)],
-                                               "kind string, target string, intercept double, " + ", ".join(f"{f} double" for f in FAMILIES))
-        rows = K.predicted(v, w, LAYOUT, sigma, "split").groupBy("split", "target").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse")).join(coefficients, "target")
-        out = rows if out is None else out.unionByName(rows)
+        own = {x: (float(w[j, 0] * sigma[x]), *[float(w[j, i]) for i in LAYOUT.predictions(j)]) for j, x in enumerate(TARGETS)}
+        rows += [(kind, x, split, n, *own[x], rmse) for split, x, n, rmse in K.errors_by_value(m, w, sigma, SPLITS)]
+    out = t.spark.createDataFrame(rows, "kind string, target string, split string, n long, intercept double, " + ", ".join(f"{f} double" for f in (*FAMILIES, "rmse")))
     return out.select("kind", "target", "split", "n", *[F.round(c, 5).alias(c) for c in ("intercept", *FAMILIES, "rmse")])
 
 
@@ -173,15 +179,11 @@ E06_ROWS = [{"kind": "ridge", "alpha": 1.0, "inputs": i, "covariate": z, "disagr
 SELECT inputs, covariate, disagreement, target, split, n, round(sqrt(mse) * sigma, 5) AS rmse FROM applied JOIN cand USING (candidate) JOIN names USING (j)"""))
 def _(t: Tables):
     """Ridge correction of the uniform mean from the same or all targets, with covariate and disagreement, fitted outside the test split."""
-    v, sigma = vectors(t, "true", "split"), sigma_of(t)
-    s = K.Moments.of(v.where("split <> 'Test'"), "obj_id", LAYOUT, 1).sum(lambda r, o, i: True)
-    e, out = F.col("pred") - F.col("y"), None
-    for row in E06_ROWS:
-        d = K.predicted(v, K.fitted(K.Candidate(**row), s, LAYOUT), LAYOUT, sigma, "split")
-        part = d.groupBy("target", "split").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 5).alias("rmse"))
-        part = part.withColumns({k: F.lit(row[k]) for k in ("inputs", "covariate", "disagreement")})
-        out = part if out is None else out.unionByName(part)
-    return out
+    m, s, sigma = moments_by_split(t)
+    rows = [(row["inputs"], row["covariate"], row["disagreement"], x, split, n, rmse) for row in E06_ROWS
+            for split, x, n, rmse in K.errors_by_value(m, K.fitted(K.Candidate(**row), s, LAYOUT), sigma, SPLITS)]
+    out = t.spark.createDataFrame(rows, "inputs string, covariate boolean, disagreement boolean, target string, split string, n long, rmse double")
+    return out.withColumn("rmse", F.round("rmse", 5))
 
 
 @query("e06_boosted_stacking")
