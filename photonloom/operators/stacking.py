@@ -202,6 +202,26 @@ def object_vectors(df: DataFrame, obj: str, lay: Layout, sigma: dict[str, float]
     named = {f"p_{j}_{i}": cell("pred", t, m) for j, t in enumerate(lay.targets) for i, m in enumerate(lay.members)}
     labels = {f"y_{j}": cell("y", t) for j, t in enumerate(lay.targets)}
     wide = df.groupBy(obj, *keep).agg(F.max(F.col(covariate).cast("double")).alias("_z"), *[c.alias(k) for k, c in {**named, **labels}.items()])
+    return _assembled(wide, obj, lay, *keep)
+
+
+def run_vectors(wide: DataFrame, obj: str, lay: Layout, sigma: dict[str, float], covariate: str, runs: Sequence[tuple[str, int]], *keep: str, digits: int = 6) -> DataFrame:
+    """As `object_vectors`, from the rows of prediction files (obj, family, seed, y_<target>, pred_<target>) in one aggregate, so that the rows
+    of an object that lie in one partition are one before the shuffle. An object needs every (family, seed) of `runs`; a member's
+    prediction is the mean over its runs, rounded."""
+    run = F.lit(0)
+    for i, (family, seed) in enumerate(runs):
+        run = F.when((F.col("family") == family) & (F.col("seed") == seed), 1 << i).otherwise(run)
+    named = {f"p_{j}_{i}": F.round(F.avg(F.when(F.col("family") == m, F.col(f"pred_{t}"))), digits) / sigma[t] for j, t in enumerate(lay.targets) for i, m in enumerate(lay.members)}
+    labels = {f"y_{j}": F.max(f"y_{t}") / sigma[t] for j, t in enumerate(lay.targets)}
+    rows = wide.groupBy(obj, *keep).agg(F.bit_or(run).alias("_runs"), F.max(F.col(covariate).cast("double")).alias("_z"), *[c.alias(k) for k, c in {**named, **labels}.items()])
+    return _assembled(rows.where(F.col("_runs") == (1 << len(runs)) - 1), obj, lay, *keep)
+
+
+def _assembled(wide: DataFrame, obj: str, lay: Layout, *keep: str) -> DataFrame:
+    """(obj, keep..., x) from columns p_<target>_<member>, y_<target> and _z, where none is null."""
+    named = [f"p_{j}_{i}" for j in range(len(lay.targets)) for i in range(len(lay.members))]
+    labels = [f"y_{j}" for j in range(len(lay.targets))]
     spread = []
     for j in range(len(lay.targets)):
         own = [F.col(f"p_{j}_{i}") for i in range(len(lay.members))]

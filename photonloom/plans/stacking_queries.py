@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from photonloom.operators import stacking as K
-from photonloom.plans.bindings import ALIGNED_SQL, FAMILIES, PRED_SQL, SCALE_SQL, TARGETS, family_mean, with_sql
+from photonloom.plans.bindings import ALIGNED_SQL, FAMILIES, MEMBERS, PRED_SQL, SCALE_SQL, TARGETS, pred_wide, with_sql
 from photonloom.plans.ensemble_queries import sigma_of
 from photonloom.plans.registry import Tables, query
 from photonloom.plans.split_queries import h_sql
@@ -30,13 +30,17 @@ def candidate_table(t: Tables, rows=CANDIDATE_ROWS):
 
 
 def vectors(t: Tables, rows: str, *keep: str):
-    return K.object_vectors(family_mean(t).where(rows), "obj_id", LAYOUT, sigma_of(t), "redshift", *keep)
+    return of_files(t, rows, sigma_of(t), *keep)
+
+
+def of_files(t: Tables, rows: str, sigma: dict[str, float], *keep: str):
+    return K.run_vectors(pred_wide(t).where("y_d4000 IS NOT NULL").where(rows), "obj_id", LAYOUT, sigma, "redshift", [(f, s) for f, _, s in MEMBERS], *keep)
 
 
 def moments_by_split(t: Tables):
     """The moments of every split, their sum outside the test split, and sigma: one pass, whatever is fitted and scored from them."""
     sigma = sigma_of(t)
-    m = K.Moments.by_value(K.object_vectors(family_mean(t), "obj_id", LAYOUT, sigma, "redshift", "split"), LAYOUT, "split", SPLITS)
+    m = K.Moments.by_value(of_files(t, "true", sigma, "split"), LAYOUT, "split", SPLITS)
     return m, m.sum(lambda r, o, i: SPLITS[o] != "Test"), sigma
 
 
