@@ -132,10 +132,10 @@ def indicator_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
 def closest_match(left: DataFrame, right: DataFrame, key: str, pairs: Mapping[str, str], payload: Sequence[str],
                   tie: Sequence[str]) -> DataFrame:
     """Among the rows of `right` with the same key keep the one at the smallest L1 distance; a missing part counts as
-    infinite. min_by keeps one candidate per task, so a key with many observations never gathers."""
+    infinite; ties go by `tie`, nulls last. min_by keeps one candidate per task, so a key with many observations never gathers."""
     dist = sum((F.abs(F.col(a) - F.col(b)) for a, b in pairs.items()), F.lit(0.0))
     d = left.join(right, key, "left").withColumn("dist", F.coalesce(dist, F.lit(float("inf"))))
-    best = F.min_by(F.struct(*payload, "dist"), F.struct("dist", *tie)).alias("_b")
+    best = F.min_by(F.struct(*payload, "dist"), F.struct("dist", *[x for c in tie for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])).alias("_b")
     return d.groupBy(key).agg(best).select(key, *[F.col(f"_b.{c}").alias(c) for c in [*payload, "dist"]])
 
 

@@ -287,7 +287,7 @@ def _(t: Tables):
     left = t.orders.selectExpr("o_orderkey AS obj_id", "o_totalprice / 10 AS a", "o_custkey AS b")
     right = t.lineitem.selectExpr("l_orderkey AS obj_id", "l_linenumber", "l_suppkey", "l_extendedprice AS ra", "l_partkey AS rb")
     out = C.closest_match(left, right, "obj_id", {"a": "ra", "b": "rb"}, ["l_linenumber", "l_suppkey"], ["l_linenumber", "l_suppkey"])
-    return out.withColumn("dist", F.round("dist", 4))
+    return out.withColumn("dist", S.round_scaled("dist", 4))
 
 
 @query("j05_catalogue_cross_check", with_sql(OBJECTS_SQL, body="""
