@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from photonloom.plans.registry import Tables
 
@@ -161,6 +162,18 @@ def family_mean(t: Tables) -> DataFrame:
     return to_long(wide.groupBy("obj_id", "split", "kind", "redshift", "family").agg(*means)).select("obj_id", "split", "kind", "redshift", "target", "family", "y", "pred")
 
 
+def family_residuals(t: Tables) -> DataFrame:
+    """(obj_id, split, kind, redshift, r_family_target...): `family_mean` minus its label with a column per family and target. The prediction
+    rows are grouped before the members of an object are counted, so a sixth of them is ordered."""
+    rows = pred_wide(t).where("y_d4000 IS NOT NULL").select("obj_id", "split", "kind", "redshift", *[f"y_{x}" for x in TARGETS], *[f"pred_{x}" for x in TARGETS], "family", "seed")
+    member = F.coalesce(*[F.when((F.col("family") == f) & (F.col("seed") == s), F.lit(1 << i)) for i, (f, _, s) in enumerate(MEMBERS)])
+    own = lambda f, c: F.when(F.col("family") == f, F.col(c))
+    means = [(F.round(F.avg(own(f, f"pred_{x}")), 6) - F.max(own(f, f"y_{x}"))).alias(f"r_{f}_{x}") for f in FAMILIES for x in TARGETS]
+    wide = rows.repartition("obj_id").groupBy("obj_id", "split", "kind", "redshift").agg(F.bit_or(member).alias("_members"), *means)
+    found = F.bit_or("_members").over(W.partitionBy("obj_id"))
+    return wide.withColumn("_members", found).where(F.col("_members") == (1 << len(MEMBERS)) - 1).drop("_members")
+
+
 def scale_of(t: Tables) -> DataFrame:
     """One row per target: sigma and median of the train labels."""
     from photonloom.operators.distribution import quantiles

@@ -10,7 +10,7 @@ from photonloom.operators import ensembles as E
 from photonloom.operators import metrics as M
 from photonloom.operators import resample as R
 from photonloom.operators.distribution import ks_statistic, quantiles, spearman
-from photonloom.plans.bindings import ALIGNED_SQL, FAMILIES, OBJECTS_SQL, PRED_SQL, SCALE_SQL, TARGETS, family_mean, objects, pred_wide, scale_of, with_sql
+from photonloom.plans.bindings import ALIGNED_SQL, FAMILIES, OBJECTS_SQL, PRED_SQL, SCALE_SQL, TARGETS, family_mean, family_residuals, objects, pred_wide, scale_of, with_sql
 from photonloom.plans.metric_queries import rounded
 from photonloom.plans.registry import Tables, query
 from photonloom.plans.split_queries import h_sql
@@ -92,7 +92,10 @@ mad AS (SELECT family, target, rep, 1.4826 * median(abs(r - med)) AS nmad FROM e
 
 
 def replicate_nmads(t: Tables):
-    return B.replicate_nmad(family_mean(t).withColumn("r", F.col("pred") - F.col("y")), "obj_id", ["family", "target"], "r", N_BOOT, 3)
+    """(family, target, rep, med, nmad)"""
+    reps = B.replicate_nmads(family_residuals(t), "obj_id", [], [f"r_{f}_{x}" for f, x in ERR], N_BOOT, 3)
+    of = F.create_map(*[v for f, x in ERR for v in (F.lit(f"r_{f}_{x}"), F.struct(F.lit(f).alias("family"), F.lit(x).alias("target")))])
+    return reps.withColumn("of", of[F.col("column")]).select("of.family", "of.target", "rep", "med", "nmad")
 
 
 @query("a32_bootstrap_nmad_interval", with_sql(*ALIGNED, *NMAD_SQL, body="""
